@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .q_langid import op1_language_id
 from .q_lines import SQL as LINE_SQL
 from .q_lines import op5_line_dedup
+from .q_merkle import SQL as MERKLE_SQL
+from .q_merkle import op9_fingerprints
+from .q_mixing import SQL as MIXING_SQL
+from .q_mixing import op8_mixing
 from .q_near import op10_near_dedup
 from .q_spans import op4_substring_dedup
 from .q_tokens import op2_token_files, op6_packing
+from .q_vectors import op7_embedding_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_files, op4_substring_dedup, op5_line_dedup, op6_packing, op10_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_token_files, op4_substring_dedup, op5_line_dedup, op6_packing, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_near_dedup)
 }
-ORACLES: dict[str, str] = {**LINE_SQL}
+ORACLES: dict[str, str] = {**LINE_SQL, **MIXING_SQL, **MERKLE_SQL}
