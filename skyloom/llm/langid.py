@@ -8,7 +8,7 @@ language costs ``switch`` nats. Runs of equal labels are the spans of mixed-lang
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,23 +161,32 @@ def label(texts: list[str | None], model: Model, switch: float = 12.0) -> list[t
 PREDICTED = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", switch: float = 12.0) -> DataFrame:
-    """Rows (key, lang_pred, score, spans): one for every row of docs, repeated keys included; see ``label`` for null and empty texts.
+def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",), switch: float = 12.0) -> DataFrame:
+    """The columns ``carry`` of every row of docs, repeated keys included, with lang_pred, score and spans; see ``label``
+    for null and empty texts.
 
-    Only key and text are read: other columns, whatever their names, neither matter nor come back.
+    No other column is read; carried ones that are named like the new ones are replaced.
     """
     batches_of(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    own = [c for c in carry if c not in ("lang_pred", "score", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = label(b.column(1).to_pylist(), shared.value, switch)
+            got = label(b.column(len(own)).to_pylist(), shared.value, switch)
             spans = pa.array([[dict(zip(("start", "end", "lang"), x, strict=True)) for x in g[2]] for g in got], span)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [key, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [*own, "lang_pred", "score", "spans"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {PREDICTED}")
+    kinds = dict(docs.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in own)
+    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, {PREDICTED}")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
+    """The rows of docs with a language that holds at least ``least`` of their letters, lang being set to it; undetermined ones go."""
+    found = predict(docs, model, carry=docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def learned(docs: DataFrame, key: str = "doc_id") -> Model:

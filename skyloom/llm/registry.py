@@ -14,11 +14,12 @@ from .q_merkle import op9_fingerprints
 from .q_mixing import SQL as MIXING_SQL
 from .q_mixing import op8_mixing
 from .q_near import op10_near_dedup
+from .q_quality import op3_quality
 from .q_spans import op4_substring_dedup
 from .q_tokens import op2_token_files, op6_packing
 from .q_vectors import op7_embedding_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_files, op4_substring_dedup, op5_line_dedup, op6_packing, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_token_files, op3_quality, op4_substring_dedup, op5_line_dedup, op6_packing, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_near_dedup)
 }
 ORACLES: dict[str, str] = {**LINE_SQL, **MIXING_SQL, **MERKLE_SQL}
