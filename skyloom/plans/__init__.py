@@ -1,0 +1,6 @@
+"""All queries of the library by name, and the SQL they are held against."""
+
+from . import expressions
+
+QUERIES = {**expressions.QUERIES}
+ORACLES = {**expressions.ORACLES}
