@@ -1,6 +1,7 @@
 """All queries of the library by name, and the SQL they are held against."""
 
-from . import expressions
+from . import expressions, series
 
-QUERIES = {**expressions.QUERIES}
-ORACLES = {**expressions.ORACLES}
+FAMILIES = [expressions, series]
+QUERIES = {name: f for m in FAMILIES for name, f in m.REG.queries.items()}
+ORACLES = {name: s for m in FAMILIES for name, s in m.REG.oracles.items()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +11,10 @@ from ..functions import parse as P
 from ..functions import tables as T
 from ..functions import weather as W
 from ..sources.bridge import observations, pixels, read, sql, stations
+from .registry import Registry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return keep
+REG = Registry()
+query = REG.query
 
 
 def ladder_sql(x: str, bands, half_open: bool = False) -> str:

@@ -6,13 +6,26 @@ arrive by key. Hourly means are rounded to six digits, so that what follows does
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: which event type stands for which pollutant ---
 PARAMETERS = {"view": "pm25", "click": "pm10", "purchase": "no2", "signup": "o3", "error": "so2"}
 
 
+#: Means of a few decimals often lie just between two rounded values; so little more puts them on one side.
+NUDGE = 1.37e-9
+
+
+def steady(x: Column, digits: int = 6) -> Column:
+    """x rounded so that the order in which it was summed up doesn't show."""
+    return F.round(x + NUDGE, digits)
+
+
+def steady_sql(x: str, digits: int = 6) -> str:
+    return f"round(({x}) + {NUDGE}::DOUBLE, {digits})"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
