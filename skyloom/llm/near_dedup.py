@@ -6,12 +6,16 @@ trees puts a class into the node of one minwise token; two sets of similarity 0.
 exhaustively by sketches; larger ones against their hub, the least id. Candidate pairs are confirmed on the full sets of
 whole texts. Since only components are returned, pairs that a confirmed chain already joins are not confirmed again:
 
-- a node first offers a spanning forest of its candidates (a star around the hub in a large node);
-- where one of those pairs is refuted, the node offers every candidate pair between different components;
+- a node first offers the greatest spanning forest of its candidates by estimated similarity (a star around the hub in a
+  large node);
+- where one of those pairs is refuted, members of different components are compared by their least ``LOW`` shingles,
+  which are whole sets for most texts, and the node offers the pairs that hold;
 - in a large node, members that aren't confirmed neighbours of the hub are compared with those neighbours where the
   triangle inequality of the Jaccard distance lets them be neighbours of one, and branch among themselves by further
   minwise tokens into children, which are treated alike. So a large group of near copies costs one pass around its hub,
   and documents that merely share a common shingle part quickly.
+
+Candidates are first told by one-permutation sketches of 256 bins: of pairs at 0.75, fewer than one in ten million isn't one.
 """
 
 from __future__ import annotations
@@ -25,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batches_of, components, table, union_all
-from .shingles import COORDINATES, linked, shingles, signatures
+from .shingles import BINS, COORDINATES, agreement, bits, linked, may_reach, shingles, signatures, sketches
 
 #: Tables of at most so many ids (16 MB) are sent to every executor; larger ones are joined by shuffles.
 SENDABLE = 1_000_000
-#: Sketches of 32 coordinates that agree on fewer are not candidates: of pairs at 0.75, one in ten million.
-AGREE = 11
-#: Those of pairs at 0.5 that agree on fewer: one in a hundred thousand.
-AGREE_LOOSE = 5
+
+#: Of a set, so many least hashes are compared where sketches leave doubt; smaller sets are compared whole.
+LOW = 1024
 
 
 def small_enough(df: DataFrame, most: int = SENDABLE) -> DataFrame:
@@ -41,7 +44,7 @@ def small_enough(df: DataFrame, most: int = SENDABLE) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, sig, sketch) of every row: set size, 128-bit fingerprint, minwise values and their low 16 bits; null where the set is empty."""
+    """(doc_id, n, f1, f2, sig, sketch) of every row: set size, 128-bit fingerprint, minwise values and sketch; null where the set is empty."""
     batches_of(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             row = np.full(len(sets), -1, np.int64)
             row[full] = np.arange(len(full))
             at = pa.array(row, mask=row < 0)
-            sketch = [s.tobytes() for s in sig.astype(np.uint16)]
+            sketch = [x.tobytes() for x in sketches([sets[i] for i in full])]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.ravel().view(np.int64)))
             cols = [pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(c.take(at) for c in cols)], ["doc_id", "n", "f1", "f2", "sig", "sketch"])
@@ -61,72 +64,131 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig array<long>, sketch binary")
 
 
-def _passes(sk: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    near = (sk[others] == sk[i]).sum(1) >= AGREE
-    return near & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+def _unpack(sketch: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _fits(n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+
+
+def _candidates(sk: np.ndarray, full: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    others = others[_fits(n, i, others, percent)]
+    return others[may_reach(*agreement(sk, full, i, others), percent / 100)]
 
 
 def _forest(sk: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the candidate graph, breadth first from the first member."""
-    left, out = np.arange(len(n)), []
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            hit = _passes(sk, n, i, left, percent)
-            out += [(i, int(j)) for j in left[hit]]
-            todo += left[hit].tolist()
-            left = left[~hit]
+    """Edges of the greatest spanning forest of the candidate graph by estimated similarity, grown from one member at a time."""
+    full, left, out = bits(sk), np.arange(len(n)), []
+    best, parent = np.full(len(n), -1.0), np.zeros(len(n), np.int64)
+    at, left = 0, left[1:]
+    while len(left):
+        same, either = agreement(sk, full, at, left)
+        near = np.where(may_reach(same, either, percent / 100) & _fits(n, at, left, percent), same / either, -1.0)
+        better = near > best[left]
+        best[left[better]], parent[left[better]] = near[better], at
+        k = int(best[left].argmax())
+        at = int(left[k])
+        if best[at] >= 0:
+            out.append((int(parent[at]), at))
+        left = np.delete(left, k)
     return out
 
 
-def _across(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Candidate pairs of members in different components."""
-    out = []
+class Lows:
+    """The least LOW hashes of each member's set, for counting what pairs have in common, never too little.
+
+    Hashes are looked up in a table of 2**20 marks, where now and then one passes for another; members are compared a few
+    hundred at a time. So memory stays small whatever the size of the node.
+    """
+
+    MARKS, TOGETHER = 1 << 20, 256
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.lists = [np.frombuffer(x, np.uint32) for x in raw]
+        self.sizes = np.array([len(x) for x in self.lists])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(self.lists) & np.uint32(self.MARKS - 1)
+        self.mark = np.zeros(self.MARKS, bool)
+        self.last = np.array([int(x[-1]) if m > LOW else 1 << 32 for x, m in zip(self.lists, n.tolist(), strict=True)])
+
+    def hold(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of others that may be linked to i; but for chance matches of hashes they are if both sets are whole."""
+        own = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = True
+        kept = [self._some(i, others[k : k + self.TOGETHER], percent) for k in range(0, len(others), self.TOGETHER)]
+        self.mark[own] = False
+        return np.concatenate(kept) if kept else others
+
+    def _some(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        cells = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
+        common = np.add.reduceat(self.mark[self.flat[cells]], ends - sizes, dtype=np.int64) + 2
+        top = np.minimum(self.last[i], self.last[others])
+        mine = np.searchsorted(self.lists[i], top, "right")
+        theirs = np.array([np.searchsorted(self.lists[j], t, "right") if t < self.last[j] else k for j, t, k in zip(others.tolist(), top.tolist(), sizes.tolist(), strict=True)])
+        union = mine + theirs - common
+        return others[np.where(top >= 1 << 32, 100 * common >= percent * union, may_reach(common, union, percent / 100))]
+
+
+def lows_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, low): the highest 32 bits of the least LOW hashes of the sets of these ids, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique((shingles(t)[:LOW] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "low"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.join(small_enough(ids), "id", "left_semi").mapInArrow(run, "id long, low binary").dropDuplicates(["id"])
+
+
+def _across(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components that hold by sketches and by least hashes."""
+    full, out, lows = bits(sk), [], Lows(low, n)
     for i in range(len(n) - 1):
         later = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        out += [(i, int(j)) for j in later[_passes(sk, n, i, later, percent)]]
+        out += [(i, int(j)) for j in lows.hold(i, _candidates(sk, full, n, i, later, percent), percent)]
     return out
 
 
-def node_pairs(rows: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs (node, a, b) of nodes of bounded size. rows: (node, id, n, sketch, comp)."""
+def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame:
+    """Candidate pairs (node, a, b) of nodes of bounded size: a forest of each, or those between components.
+
+    rows: (node, id, n, sketch), and for those between components also comp and low.
+    """
+    names = ["node", "id", "n", "sketch", *(["comp", "low"] if across else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: pa.Table | None = None
         for b in _then_none(batches):
-            if b is None:
-                cols = held
-            else:
-                sk = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-                cols = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), sk, b.column(4).to_numpy(zero_copy_only=False)]
-                if held is not None:
-                    cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if cols is None or not len(cols[0]):
+            new = [] if b is None else [pa.Table.from_batches([b])]
+            now = pa.concat_tables(([] if held is None else [held]) + new) if held is not None or new else None
+            if now is None or not now.num_rows:
                 continue
-            node = cols[0]
+            node = now["node"].to_numpy()
             cuts = np.flatnonzero(np.diff(node)) + 1
             last = len(node) if b is None else (int(cuts[-1]) if len(cuts) else 0)
-            held = None if b is None else [c[last:] for c in cols]
-            starts = np.concatenate([[0], cuts[cuts < last]]) if last else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], last) if last else starts
+            held = None if b is None else now.slice(last)
+            starts = np.concatenate([[0], cuts[cuts < last]]).astype(np.int64)
+            ends = np.append(starts[1:], last)
+            starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
+            if not last or not len(starts):
+                continue
+            ids, n = now["id"].to_numpy(), now["n"].to_numpy()
             out: list[tuple[int, int]] = []
-            two = starts[ends - starts == 2]
-            if len(two):
-                near = ((cols[3][two] == cols[3][two + 1]).sum(1) >= AGREE) & (100 * np.minimum(cols[2][two], cols[2][two + 1]) >= percent * np.maximum(cols[2][two], cols[2][two + 1]))
-                if across:
-                    near &= cols[4][two] != cols[4][two + 1]
-                out += [(int(i), int(i) + 1) for i in two[near]]
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s > 2:
-                    sk, n = cols[3][s:e], cols[2][s:e]
-                    got = _across(sk, n, cols[4][s:e], percent) if across else _forest(sk, n, percent)
-                    out += [(s + i, s + j) for i, j in got]
+                sk = _unpack(now["sketch"].slice(s, e - s))
+                if across:
+                    got = _across(sk, n[s:e], now["comp"].slice(s, e - s).to_numpy(), now["low"].slice(s, e - s).to_pylist(), percent)
+                else:
+                    got = _forest(sk, n[s:e], percent)
+                out += [(s + i, s + j) for i, j in got]
             if out:
                 i, j = np.array(out).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(np.minimum(cols[1][i], cols[1][j])), pa.array(np.maximum(cols[1][i], cols[1][j]))], ["node", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["node", "a", "b"])
 
-    dealt = rows.select("node", "id", "n", "sketch", "comp").repartition("node").sortWithinPartitions("node", "id")
+    dealt = rows.select(*names).repartition("node").sortWithinPartitions("node", "id")
     return dealt.mapInArrow(run, "node long, a long, b long").where("a <> b")
 
 
@@ -162,7 +224,7 @@ def _child(k: int) -> Column:
     return F.xxhash64(F.col("node"), F.lit(k), F.element_at("sig", c + 1))
 
 
-def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 1024, branches: int = 6, depth: int = 4) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 4096, branches: int = 6, depth: int = 4) -> DataFrame:
     """Confirmed pairs (a, b) with a < b that hold together every component. reps: (id, n, sig, sketch), one a class."""
     rows = reps.select("id", "n", "sig", "sketch", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).withColumn("node", F.xxhash64("t", "v")).drop("t", "v")
     found: DataFrame | None = None
@@ -190,28 +252,34 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12,
             calm = rows.join(small_enough(hot.select("node")), "node", "left_anti")
             large = rows.join(small_enough(hot.select("node")), "node", "left_semi")
             hubs = table(large.groupBy("node").agg(F.min(F.struct("id", "n", "sketch")).alias("hub")), "hubs")
-            # How many coordinates agree with the hub's: low for documents that share a common shingle only.
-            agree = sum((F.substring("sketch", 2 * k + 1, 2) == F.substring("hub.sketch", 2 * k + 1, 2)).cast("int") for k in range(COORDINATES))
-            around = table(large.join(small_enough(hubs), "node").where("id <> hub.id").select("node", "id", "n", "sig", "sketch", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), agree.alias("agree")), "around-hubs")
-            fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-            star = around.where((F.col("agree") >= AGREE) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        offered = table(node_pairs(calm.withColumn("comp", F.col("id")), percent, across=False), "offered")
+            joined = large.join(small_enough(hubs), "node").where("id <> hub.id")
+            around = table(_around(joined.select("node", "id", "n", "sig", "sketch", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch")), percent), "around-hubs")
+            star = around.where("close").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        offered = table(node_pairs(calm, percent), "offered")
         add(union_all([offered.select("a", "b"), *([star] if any_hot else [])]))
         comps = table(components(found), "components-so-far")
         refuted = table(offered.join(found, ["a", "b"], "left_anti").select("node").distinct(), "refuted-nodes")
-        more = []
+        doubtful: list[DataFrame] = []
         if not refuted.isEmpty():
-            again = calm.join(small_enough(refuted), "node", "left_semi")
-            more.append(node_pairs(_with_component(again, comps), percent, across=True).select("a", "b"))
+            again = table(calm.join(small_enough(refuted), "node", "left_semi").select("node", "id", "n", "sketch"), "again")
+            doubtful.append(again)
         if any_hot:
             direct = found.select(F.col("a").alias("hub"), F.col("b").alias("id"))
             rest = table(around.join(direct, ["hub", "id"], "left_anti"), "rest-of-hot")
             near = table(around.join(direct, ["hub", "id"], "left_semi").select("node", "id", "n", "sketch"), "near-hubs")
-            loose = rest.where(F.col("agree") >= AGREE_LOOSE).select("node", "id", "n", "sketch")
-            more.append(block_pairs(near, loose, percent).select("a", "b"))
-            if last:
-                whole = rest.select("node", "id", "n", "sketch")
-                more.append(block_pairs(whole, whole, percent).select("a", "b"))
+            loose = rest.where(F.lit(last) | F.col("loose")).select("node", "id", "n", "sketch")
+            doubtful += [near, loose]
+        more = []
+        if doubtful:
+            lows = table(lows_of(union_all([x.select("id") for x in doubtful]).distinct(), docs), "lows")
+            known = [_with_component(x, comps).join(lows, "id") for x in doubtful]
+            if len(doubtful) % 2:
+                more.append(node_pairs(known[0], percent, across=True).select("a", "b"))
+            if any_hot:
+                near, loose = known[-2:]
+                more.append(block_pairs(near, loose, percent).select("a", "b"))
+                if last:
+                    more.append(block_pairs(loose, loose, percent).select("a", "b"))
         if more:
             add(union_all(more))
         if not any_hot or last:
@@ -224,31 +292,49 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
 
 
+def _around(rows: DataFrame, percent: int) -> DataFrame:
+    """Members of large nodes beside their hub: close if they may be linked to it, loose if they may be linked to one that is.
+
+    Jaccard distances obey the triangle inequality, so who is linked to a neighbour of the hub has at least similarity
+    1 - 2 * (1 - percent / 100) to the hub.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = _unpack(b.column(4)), _unpack(b.column(7)), b.column(2).to_numpy(), b.column(6).to_numpy()
+            same, either = ((x == y) & (x != 0)).sum(1), ((x != 0) | (y != 0)).sum(1)
+            close = may_reach(same, either, percent / 100) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            loose = may_reach(same, either, max(0.0, 2 * percent / 100 - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(close), pa.array(loose)], ["node", "id", "n", "sig", "sketch", "hub", "close", "loose"])
+
+    return rows.mapInArrow(run, "node long, id long, n long, sig array<long>, sketch binary, hub long, close boolean, loose boolean")
+
+
 def block_pairs(left: DataFrame, right: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Candidate pairs (node, a, b) of members of left with members of right in the same node, block by block.
+    """Candidate pairs (node, a, b) of members of left with members of right in the same node but another component, block by block.
 
     Both sides are dealt to blocks by a hash of the id, as many as the node's larger side needs, so that no task holds
     more than two blocks at a time.
     """
     sizes = left.select("node").unionByName(right.select("node")).groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    x = left.join(sizes, "node").select("node", "id", "n", "sketch", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    y = right.join(sizes, "node").select("node", "id", "n", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"))
+    x = left.join(sizes, "node").select("node", "id", "n", "sketch", "comp", "low", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    y = right.join(sizes, "node").select("node", "id", "n", "sketch", "comp", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"))
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, COORDINATES)
-        n, ids = t["n"].to_numpy(), t["id"].to_numpy()
+        side, sk = t["side"].to_numpy(), _unpack(t["sketch"])
+        n, ids, comp, full = t["n"].to_numpy(), t["id"].to_numpy(), t["comp"].to_numpy(), bits(sk)
+        lows = Lows(t["low"].to_pylist(), n)
         right_at, out = np.flatnonzero(side == 1), []
         for i in np.flatnonzero(side == 0).tolist():
-            out += [(ids[i], ids[j]) for j in right_at[_passes(sk, n, i, right_at, percent)]]
+            out += [(ids[i], ids[j]) for j in lows.hold(i, _candidates(sk, full, n, i, right_at[comp[right_at] != comp[i]], percent), percent)]
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"node": pa.array(np.full(len(a), key[0].as_py(), np.int64)), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return x.unionByName(y).groupBy("node", "i", "j").applyInArrow(run, "node long, a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of docs; kept marks the least id of each component.
 
     Null and blank texts have empty sets and are alone. Rows without an id are alone too: their component_id is null and

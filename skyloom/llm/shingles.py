@@ -1,4 +1,4 @@
-"""Sets of hashed five-word shingles, minwise signatures and short sketches of texts."""
+"""Sets of hashed five-word shingles, minwise signatures and one-permutation sketches of texts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-#: Coordinates of a signature; a sketch keeps 16 bits of each.
+#: Coordinates of a signature, and bins of a sketch.
 COORDINATES = 32
+BINS = 256
+#: Pairs whose sketches agree on fewer bins than so many standard deviations below what is expected aren't candidates.
+SLACK = 5.5
 _RNG = np.random.default_rng(20)
 _MIX = _RNG.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,6 +49,33 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(_scramble(x * f + a), starts) for f, a in zip(_FACTORS, _ADDENDS, strict=True)], axis=1)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """uint8 (sets x BINS): hashes fall into bins by their highest bits, and a byte of each bin's least one stays; 0 if it has none."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    out = np.zeros((len(sets), BINS), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        at = np.searchsorted(s, edges)
+        filled = np.diff(at, append=len(s)) > 0
+        row[filled] = (s[at[filled]] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def agreement(sk: np.ndarray, filled: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bins agree between sketch i and the others, and how many are filled in either. filled: ``bits(sk)``."""
+    either = np.bitwise_count(filled[others] | filled[i]).sum(1, dtype=np.int64)
+    same = np.count_nonzero(sk[others] == sk[i], axis=1)
+    return same - (BINS - either), either
+
+
+def bits(sk: np.ndarray) -> np.ndarray:
+    return np.packbits(sk != 0, axis=1).view(np.uint64)
+
+
+def may_reach(same: np.ndarray, either: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether so many agreeing bins are within SLACK of what a pair of that similarity shows."""
+    return same >= similarity * either - SLACK * np.sqrt(similarity * (1 - similarity) * either)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * |a and b| >= percent * |a or b|, exactly."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
