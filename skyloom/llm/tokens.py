@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -17,13 +18,17 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use every core
 
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 #: Characters that are neither white space nor combining in any engine: printable ASCII and Latin letters with marks.
 PLAIN = "!-~¡-¬®-˿"
 _CUT = re.compile(f"(?= [{PLAIN}])")
 _STARTS_PLAIN = re.compile(f"\n?[{PLAIN}]")
-_STEM_AND_TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?]+)", re.DOTALL)
+_PUNCTUATION = re.escape(string.punctuation)
+#: A word of Latin letters with punctuation behind: both vocabularies split there.
+_WORD_AND_TAIL = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{_PUNCTUATION}]+)")
+_STEM_AND_TAIL = re.compile(f"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([{_PUNCTUATION}]+)", re.DOTALL)
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters after which a sentence can end, and a letter no text of this corpus is likely to hold.
 SENTENCE_ENDS = ".!?\n"
 RARE = "ⵣ"
@@ -35,16 +40,28 @@ class PieceEncoder:
     Vocabularies that drop white space and letter case (word-level ones) are told from byte-level ones by themselves.
     """
 
-    def __init__(self, path: str, remembered: int = 350_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remembered = remembered
         self.drops_blanks = not self._ids(" ")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.stems: dict[str, bytes] = {"": b""}
+        #: The same vocabulary for words of Latin letters, which need no pattern to be parted and no normal form.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        at_blanks = pre_tokenizers.Split(" ", "removed" if self.drops_blanks else "merged_with_next")
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([at_blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.between = f" {RARE} " if self.drops_blanks else "\n"
         self.mark = np.array(self._ids(self.between), np.uint32)
+        self.feed = b"" if self.drops_blanks else np.array(self._ids("\n"), np.uint32).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids end a word (word-level vocabularies mark it) or begin one (byte-level ones write the blank as Ġ).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if self.drops_blanks else token.startswith("Ġ")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -64,6 +81,19 @@ class PieceEncoder:
             return [np.array(self._ids(s), np.uint32).tobytes() for s in stems]
         return [raw[a:b] for a, b in zip(starts, [*(ends * 4).tolist(), len(raw)], strict=True)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of words of Latin letters, each after a blank: all are encoded as one text and parted where ids show a word's edge."""
+        if not words:
+            return []
+        text = " ".join(words).lower() if self.drops_blanks else " " + " ".join(words)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):  # can't be; then one by one
+            return [np.array(self._ids(f" {w}"), np.uint32).tobytes() for w in words]
+        cuts = ([0, *((at + 1) * 4).tolist()]) if self.drops_blanks else [*(at * 4).tolist(), len(ids) * 4]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _key(self, piece: str) -> tuple[str, str, bool]:
         """stem, tail and whether a line feed leads; a stem of a byte-level vocabulary has its blank before it."""
         fed = piece[0] == "\n"
@@ -76,18 +106,32 @@ class PieceEncoder:
         return (m[1], m[2], fed) if m else (p, "", fed)
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        keys = {}
+        """Remembers the ids of each piece; None for one that its text can't be cut at."""
+        known, older, words, tailed, keys = self.known, self.older, set(), [], {}
         for p in pieces:
-            if p in self.older:
-                self.known[p] = self.older[p]
+            if p in older:
+                known[p] = older[p]
+            elif p.isalpha() and (p.isascii() or _LATIN.fullmatch(p)):
+                words.add(p)
+            elif m := _WORD_AND_TAIL.fullmatch(p):
+                tailed.append((p, m[1], m[2]))
+                if m[1] not in known:
+                    words.add(m[1])
+            elif not _STARTS_PLAIN.match(p) or RARE in p:
+                known[p] = None
             else:
                 keys[p] = self._key(p)
-        for part in (0, 1):
-            new = list(dict.fromkeys(k[part] for k in keys.values() if k[part] not in self.stems))
-            self.stems.update(zip(new, self._many(new), strict=True))
-        feed = b"" if self.drops_blanks else np.array(self._ids("\n"), np.uint32).tobytes()
+        new = list(words)
+        known.update(zip(new, self._words(new), strict=True))
+        stems = [k[0] for k in keys.values()]
+        tails = [x[2] for x in tailed] + [k[1] for k in keys.values()]
+        for part in (stems, tails):
+            lacking = list(dict.fromkeys(x for x in part if x not in self.stems))
+            self.stems.update(zip(lacking, self._many(lacking), strict=True))
+        for p, word, tail in tailed:
+            known[p] = known[word] + self.stems[tail]
         for p, (stem, tail, fed) in keys.items():
-            self.known[p] = (feed if fed else b"") + self.stems[stem] + self.stems[tail]
+            known[p] = (self.feed if fed else b"") + self.stems[stem] + self.stems[tail]
 
     def _slowly(self, text: str) -> bytes:
         parts = [text] if self.drops_blanks else _CUT.split(text)
@@ -102,24 +146,16 @@ class PieceEncoder:
             self.known, self.older = {}, self.known
         if len(self.stems) > self.remembered:
             self.stems = {"": b""}
-        known, cut, missing = self.known, [], set()
-        for t in texts:
-            pieces = (t or "").replace("\n", " \n").split(" ")
-            new = set(pieces[1:]).difference(known)
-            odd = any(not _STARTS_PLAIN.match(p) or RARE in p for p in new)
-            cut.append(None if odd else pieces)
-            if not odd:
-                missing |= new
+        cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        missing = set(chain.from_iterable(x[1:] for x in cut)).difference(self.known)
         if missing:
             self._learn(missing)
-        out, at = [], known.__getitem__
+        out, at = [], self.known.__getitem__
         for t, pieces in zip(texts, cut, strict=True):
-            if not t:
-                raw = b""
-            elif pieces is None:
-                raw = self._slowly(t)
-            else:
+            try:
                 raw = (np.array(self._ids(pieces[0]), np.uint32).tobytes() if pieces[0] else b"") + b"".join(map(at, pieces[1:]))
+            except TypeError:  # a piece that can't be cut off
+                raw = self._slowly(t)
             out.append(np.frombuffer(raw, np.uint32))
         return out
 
