@@ -1,7 +1,7 @@
 """All queries of the library by name, and the SQL they are held against."""
 
-from . import expressions, series
+from . import expressions, geography, relations, series, streams
 
-FAMILIES = [expressions, series]
+FAMILIES = [expressions, series, geography, relations, streams]
 QUERIES = {name: f for m in FAMILIES for name, f in m.REG.queries.items()}
 ORACLES = {name: s for m in FAMILIES for name, s in m.REG.oracles.items()}
