@@ -205,7 +205,7 @@ def a11(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("acq_date").agg(F.round(F.sum(F.col("lat") * f) / F.sum(f), 6).alias("lat"), F.round(F.sum(F.col("lon") * f) / F.sum(f), 6).alias("lon"), F.round(F.sum(f), 6).alias("frp_total"))
 
 
-@query("t2_thinned_fires", sql(", r AS (SELECT *, row_number() OVER (PARTITION BY floor(lat / 0.05), floor(lon / 0.05) ORDER BY frp DESC, lat, lon, okey DESC, line DESC) AS rn FROM px) SELECT okey, line, lat, lon, frp FROM r WHERE rn = 1 ORDER BY frp DESC, lat, lon LIMIT 300", "px"))
+@query("t2_thinned_fires", sql(", r AS (SELECT *, row_number() OVER (PARTITION BY floor(lat / 0.05), floor(lon / 0.05) ORDER BY frp DESC, lat, lon, okey DESC, line DESC) AS rn FROM px) SELECT okey, line, lat, lon, frp FROM r WHERE rn = 1 OR (SELECT count(*) FROM px) <= 300 ORDER BY frp DESC, lat, lon LIMIT 300", "px"))
 def t2(spark, sf_dir):
     return FI.thinned(pixels(spark, sf_dir).select("okey", "line", "lat", "lon", "frp"), 300)
 
