@@ -48,7 +48,8 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-STATISTICS = list(statistics(F.lit("")))
+#: Their names, in the order of the samples' columns.
+STATISTICS = ["log_chars", "chars_per_word", "words_per_line", "upper_share", "digit_share", "odd_share", "shout_share", "stop_share", "lone_mark_share", "repeat_share"]
 
 
 @dataclass
