@@ -174,3 +174,39 @@ def test_qualified_names(spark):
     d = spark.createDataFrame([(1, "Pusa", "IMD"), (2, "Pusa", "DPCC"), (3, "Pusa", None), (4, "Rohini", "IMD"), (5, "Okhla", None), (6, "Okhla", None)], "id long, name string, agency string")
     got = {r["id"]: r["name"] for r in ST.qualified(d, "name", "agency", "id").collect()}
     assert got == {1: "Pusa · IMD", 2: "Pusa · DPCC", 3: "Pusa", 4: "Rohini", 5: "Okhla · 5", 6: "Okhla · 6"}
+
+
+def test_spline_goes_through_its_stations(spark):
+    from skyloom.operators.fields import spline
+
+    rng = random.Random(3)
+    rows, _ = places(spark, 7, 5)
+    vals = [rng.random() * 100 for _ in rows]
+    d = spark.createDataFrame([(H0, r[1], r[2], v) for r, v in zip(rows, vals, strict=True)] + [(H0 + dt.timedelta(hours=1), rows[0][1], rows[0][2], 5.0)], "hour timestamp_ntz, lat double, lon double, value double")
+    cells = [(i, 0, r[1], r[2]) for i, r in enumerate(rows)]
+    got = {(r["hour"], r["gy"]): r["value"] for r in spline(d, cells).collect()}
+    assert all(got[H0, i] == pytest.approx(v, abs=1e-6) for i, v in enumerate(vals))
+    assert all(got[H0 + dt.timedelta(hours=1), i] == pytest.approx(5.0) for i in range(7))
+
+
+def test_scenarios(spark):
+    from skyloom.operators import scenario as SC
+
+    d = spark.createDataFrame(SC.DISTRICTS, SC.DISTRICT_SCHEMA)
+    base, less = SC.frames(d).cache(), SC.frames(d, 50, 50, 50).cache()
+    assert base.count() == 5 * 73 and base.where("pm25 < 6 or pm25 > 780 or inversion < 0 or inversion > 1").count() == 0
+    assert less.agg(F.avg("pm25")).first()[0] < base.agg(F.avg("pm25")).first()[0]
+    live = base.select("district", "hour", "pm25", "inversion")
+    same = SC.with_interventions(live, base, base).join(live.withColumnRenamed("pm25", "was"), ["district", "hour"])
+    assert same.where("abs(pm25 - was) > 1e-9").count() == 0
+
+
+def test_left_out_uses_the_others_only(spark):
+    rows, st = places(spark, 5, 11)
+    v = spark.createDataFrame([(i, H0, 10.0 * (i + 1)) for i in range(4)], "id long, hour timestamp_ntz, value double")
+    got = {r["id"]: r for r in SP.left_out(st, v).collect()}
+    for i in range(4):
+        others = sorted((km(rows[i], rows[j]), j) for j in range(4) if j != i)
+        w = [(1 / d**2, 10.0 * (j + 1)) for d, j in others]
+        assert got[i]["idw"] == pytest.approx(sum(a * b for a, b in w) / sum(a for a, _ in w))
+        assert got[i]["nearest"] == 10.0 * (others[0][1] + 1)
