@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
-from .index import half_up
 from .parse import clamp
 
 # --- fixed values: optical depth per ug/m3, W/m2 per unit, m and degrees per W/m2, limits ---
@@ -150,5 +149,3 @@ def noise(seed: Column) -> Column:
 def advisory(aqi: Column) -> Column:
     return F.when(aqi <= 50, "Level 1 · Clear").when(aqi <= 100, "Level 2 · Watch").when(aqi <= 200, "Level 3 · Caution").when(aqi <= 300, "Level 4 · Warning").when(aqi <= 400, "Level 5 · Alert").otherwise("Level 6 · Emergency")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["half_up"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import index as X
@@ -66,7 +66,7 @@ def errors(samples: DataFrame, methods: Sequence[str], truth: str = "truth", by:
     return long.groupBy(*names, "method").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
 
 
-def mode(value: Column, weight: Column | None = None) -> Column:
+def mode(value: Column) -> Column:
     """The most frequent value; of several the least."""
     return F.mode(value, True)
 
@@ -88,6 +88,3 @@ def newest(rows: DataFrame, keys: Sequence[str], at: str, ties: bool = True) ->
     top = rows.groupBy(*keys).agg(F.max(at).alias(at))
     return rows.join(top, [*keys, at], "left_semi") if ties else rows.join(top, [*keys, at]).dropDuplicates([*keys])
 
-
-def latest_window(keys: Sequence[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

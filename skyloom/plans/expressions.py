@@ -371,19 +371,19 @@ def p3(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", *[P.number(x, lo, hi).alias(k) for k, (x, lo, hi) in fields.items()])
 
 
-@query("p4_moment", sql("SELECT event_id, epoch_ms(CASE WHEN event_id % 3 = 2 THEN date_trunc('second', ts) ELSE date_trunc('second', ts) END)::BIGINT AS ms FROM obs8", "obs8"))
+@query("p4_moment", sql("SELECT event_id, epoch_ms(date_trunc('second', ts))::BIGINT AS ms FROM obs8", "obs8"))
 def p4(spark, sf_dir):
     e, s = F.col("event_id"), F.unix_seconds(F.col("ts").cast("timestamp"))
     raw = F.when(e % 3 == 0, s.cast("string")).when(e % 3 == 1, (s * 1000).cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return _obs(spark, sf_dir).select("event_id", F.unix_millis(P.moment(raw)).alias("ms"))
 
 
-@query("p5_bulletin_number", sql(f"SELECT event_id, CASE WHEN NOT isnan(v) AND v >= 0 THEN v WHEN isnan(v) THEN v END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs8) WHERE v IS NULL OR NOT isnan(v)", "obs8"))
+@query("p5_bulletin_number", sql(f"SELECT event_id, CASE WHEN v >= 0 THEN v END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs8) WHERE v IS NULL OR NOT isnan(v)", "obs8"))
 def p5(spark, sf_dir):
     return _raw_text(spark, sf_dir).where("raw <> 'nan'").select("event_id", P.bulletin_number(F.col("raw")).alias("value"))
 
 
-@query("p6_bulletin_moment", sql("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END - INTERVAL '5:30' HOUR TO MINUTE AS at FROM obs8".replace("INTERVAL '5:30' HOUR TO MINUTE", "INTERVAL 330 MINUTE"), "obs8"))
+@query("p6_bulletin_moment", sql("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END - INTERVAL 330 MINUTE AS at FROM obs8", "obs8"))
 def p6(spark, sf_dir):
     e = F.col("event_id")
     raw = F.when(e % 3 == 0, F.date_format("ts", "dd-MM-yyyy HH:mm:ss")).when(e % 3 == 1, F.date_format("ts", "dd-MM-yyyy HH:mm")).otherwise("soon")
@@ -408,7 +408,7 @@ def p10(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", W.pbl_archive(F.col("value")).alias("archive"), W.pbl_live(F.col("value")).alias("live"))
 
 
-@query("p11_channels", sql("SELECT event_id, round(least(1.0::DOUBLE, value / 1000), 9) AS pm25, round(least(1.0::DOUBLE, (value - 30 + 10) / 60), 9) AS temperature, round(least(1.0::DOUBLE, value / 120), 9) AS o3_old FROM obs8 WHERE value >= 20".replace(" WHERE value >= 20", "").replace("least(1.0::DOUBLE, (value", "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value").replace("/ 60)", "/ 60))"), "obs8"))
+@query("p11_channels", sql("SELECT event_id, round(least(1.0::DOUBLE, value / 1000), 9) AS pm25, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value - 30 + 10) / 60)), 9) AS temperature, round(least(1.0::DOUBLE, value / 120), 9) AS o3_old FROM obs8", "obs8"))
 def p11(spark, sf_dir):
     v = F.col("value")
     return _obs(spark, sf_dir).select("event_id", F.round(W.normalised(v, "pm25"), 9).alias("pm25"), F.round(W.normalised(v - 30, "temperature"), 9).alias("temperature"), F.round(W.normalised(v, "o3", legacy=True), 9).alias("o3_old"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -11,11 +11,10 @@ from ..functions.parse import detected_at
 from ..operators import fires as FI
 from ..operators import matching as M
 from ..operators import spatial as SP
-from ..operators import timeseries as S
-from ..sources.bridge import hourly, observations, pixels, read, sql, stations, steady, steady_sql
+from ..sources.bridge import observations, pixels, sql, stations, steady
 from .expressions import BAND_SQL, STATE_SQL, _bear, _compass, _hav
 from .registry import Registry
-from .series import W5_SQL, h8, hp
+from .series import h8, hp
 
 REG = Registry()
 query = REG.query
@@ -253,6 +252,3 @@ def s4(spark, sf_dir):
     raw = pixels(spark, sf_dir).select(F.col("lat").cast("string").alias("latitude"), F.col("lon").cast("string").alias("longitude"), F.when(F.col("line") == 3, "n/a").otherwise(F.col("frp").cast("string")).alias("frp"), F.upper("confidence").alias("confidence"))
     kept = raw.select(*[F.col(c).try_cast("double").alias(c) for c in ("latitude", "longitude", "frp")], F.nullif(F.trim(F.lower("confidence")), F.lit("")).alias("confidence")).na.drop(subset=["latitude", "longitude", "frp"])
     return kept.agg(F.count("*").alias("pixels"), F.round(F.sum("frp"), 6).alias("frp_total"), F.count_if(F.col("confidence") == "n").alias("n"))
-
-
-__all__ = ["REG", "S", "W5_SQL", "Window", "hourly", "read", "steady_sql"]

@@ -11,15 +11,14 @@ from ..operators import forecast as FC
 from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
-from ..sources.bridge import observations, read, readings, sql, stations, steady, steady_sql
-from .expressions import CATEGORY_SQL, index_sql
+from ..sources.bridge import observations, read, readings, sql, steady, steady_sql
+from .expressions import CATEGORY_SQL
 from .registry import Registry
-from .series import A2_SQL, D8, WS, h8, hp, mesh
+from .series import A2_SQL, D8, h8, hp, mesh
 
 REG = Registry()
 query = REG.query
 K = ["station_id"]
-MODEL = "round(value * 0.6 + hour(hour), 6)"
 FC_SQL = "fc AS (SELECT station_id, hour, round(value * 0.6 + extract(hour FROM hour) + CASE WHEN station_id = 7 THEN NULL ELSE 0 END, 6) AS model FROM h8 WHERE extract(hour FROM hour) % 11 <> 3)"
 
 
@@ -153,7 +152,7 @@ def f1(spark, sf_dir):
     return b.select("station_id", "lead", "hour", steady(F.col("value")).alias("value"), "method")
 
 
-@query("a19_averages_mode", f"SELECT o_custkey AS key, {steady_sql('avg(o_totalprice)')} AS mean, (list_sort(list(n ORDER BY c DESC, n))) [1] AS x, max(ts) AS last FROM (SELECT 1) a, (SELECT 1) b, (SELECT o_custkey, o_totalprice, o_orderdate AS ts, 1 AS c, 1 AS n FROM orders) GROUP BY o_custkey".replace(", (list_sort(list(n ORDER BY c DESC, n))) [1] AS x", ", (SELECT p.o_orderpriority FROM orders p WHERE p.o_custkey = orders_.o_custkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant").replace("FROM (SELECT 1) a, (SELECT 1) b, (SELECT o_custkey, o_totalprice, o_orderdate AS ts, 1 AS c, 1 AS n FROM orders)", "FROM (SELECT o_custkey, o_totalprice, o_orderdate AS ts FROM orders) orders_"))
+@query("a19_averages_mode", f"SELECT o_custkey AS key, {steady_sql('avg(o_totalprice)')} AS mean, (SELECT p.o_orderpriority FROM orders p WHERE p.o_custkey = o.o_custkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant, max(o_orderdate) AS last FROM orders o GROUP BY o_custkey")
 def a19(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("key")).agg(steady(F.avg("o_totalprice")).alias("mean"), R.mode(F.col("o_orderpriority")).alias("dominant"), F.max("o_orderdate").alias("last"))
@@ -405,7 +404,7 @@ def k2(spark, sf_dir):
     return fresh.select("key", "ts")
 
 
-@query("k4_merge_keep_last", "WITH n AS (SELECT user_id AS key, max((ts, event_id, value)) AS t FROM events GROUP BY user_id) SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT key FROM n) UNION ALL SELECT key, t[3] FROM n".replace("max((ts, event_id, value)) AS t", "arg_max(value, (ts, event_id)) AS v").replace("SELECT key, t[3] FROM n", "SELECT key, v FROM n"))
+@query("k4_merge_keep_last", "WITH n AS (SELECT user_id AS key, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY user_id) SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT key FROM n) UNION ALL SELECT key, v FROM n")
 def k4(spark, sf_dir):
     old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     new = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "value", "ts", "event_id")
@@ -463,6 +462,3 @@ def s19(spark, sf_dir):
     y = F.year("ts")
     r = readings(spark, sf_dir).where((F.col("ts") >= F.make_date(y, F.lit(10), F.lit(1))) & (F.col("ts") < F.date_add(F.make_date(y, F.lit(12), F.lit(31)), 1)))
     return r.groupBy(y.cast("long").alias("season")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
-
-
-__all__ = ["REG", "MODEL", "WS", "index_sql", "stations"]

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import index as X
+from ..functions import tables as T
 from ..operators import rollup as R
 from ..operators import timeseries as S
 from ..sources.bridge import hourly, observations, read, sql, steady, steady_sql
 from .expressions import CATEGORY_SQL, X3_SQL, index_by_sql, index_sql, ladder_sql
-from ..functions import tables as T
 from .registry import Registry
 
 REG = Registry()
@@ -241,9 +241,9 @@ _stage = "CASE WHEN aqi <= 200 THEN 0 WHEN aqi <= 300 THEN 1 WHEN aqi <= 400 THE
 
 @query(
     "a6_policy_city",
-    sql(f""", {W5_SQL}, m AS (SELECT {steady_sql('avg(worst) * 4')} AS pm25, max(worst) * 4 AS hot, arg_max(station_id, worst * 1000 - station_id) AS hot_id, count(*)::INTEGER AS stations FROM worst),
-    c AS (SELECT *, round_even(pm25, 1) AS c FROM m), a AS (SELECT *, {X3_SQL.format("c", ladder_sql("c", T.POLICY_PM25))} AS aqi FROM c)
-    SELECT pm25 AS city_pm25, aqi AS city_aqi, {_stage} AS stage, hot_id AS hotspot_id, round(hot, 4) AS hotspot_pm25, stations FROM a""".replace("m AS (SELECT round", "mm AS (SELECT round").replace("FROM m), a AS", "FROM mm), a AS"), "h8"),
+    sql(f""", {W5_SQL}, w AS (SELECT {steady_sql('avg(worst) * 4')} AS pm25, max(worst) * 4 AS hot, arg_max(station_id, worst * 1000 - station_id) AS hot_id, count(*)::INTEGER AS stations FROM worst),
+    c AS (SELECT *, round_even(pm25, 1) AS c FROM w), a AS (SELECT *, {X3_SQL.format("c", ladder_sql("c", T.POLICY_PM25))} AS aqi FROM c)
+    SELECT pm25 AS city_pm25, aqi AS city_aqi, {_stage} AS stage, hot_id AS hotspot_id, round(hot, 4) AS hotspot_pm25, stations FROM a""", "h8"),
 )
 def a6(spark, sf_dir):
     w = S.worst_mean(S.densify(h8(spark, sf_dir), K), K).withColumn("worst", steady(F.col("worst")))
