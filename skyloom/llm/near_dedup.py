@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, components, table, union_all
+from .shared import batches_of, components, let_go, table, union_all
 from .shingles import BINS, COORDINATES, agreement, bits, linked, may_reach, shingles, signatures, sketches
 
 #: Tables of at most so many ids (16 MB) are sent to every executor; larger ones are joined by shuffles.
@@ -48,6 +48,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     batches_of(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -160,6 +161,7 @@ def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame
     names = ["node", "id", "n", "sketch", *(["comp", "low"] if across else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: pa.Table | None = None
         for b in _then_none(batches):
             new = [] if b is None else [pa.Table.from_batches([b])]
@@ -226,7 +228,7 @@ def _child(k: int) -> Column:
 
 def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 4096, branches: int = 6, depth: int = 4) -> DataFrame:
     """Confirmed pairs (a, b) with a < b that hold together every component. reps: (id, n, sig, sketch), one a class."""
-    rows = reps.select("id", "n", "sig", "sketch", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).withColumn("node", F.xxhash64("t", "v")).drop("t", "v")
+    nodes = reps.select("id", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).select("id", F.xxhash64("t", "v").alias("node"))
     found: DataFrame | None = None
     tested: DataFrame | None = None
 
@@ -244,13 +246,15 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12,
         tested = new if tested is None else tested.unionByName(new)
 
     for level in range(depth + 1):
-        hot = table(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > small), "hot-nodes")
+        # Nodes of one member, most of them, go before anything but ids is dealt out.
+        sizes = table(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes")
+        members = table(nodes.join(small_enough(sizes), "node"), "members")
+        hot = sizes.where(F.col("size") > small)
         any_hot = not hot.isEmpty()
         last = level == depth
-        calm = rows
+        calm = members.where(F.col("size") <= small).select("node", "id").join(reps.select("id", "n", "sketch"), "id")
         if any_hot:
-            calm = rows.join(small_enough(hot.select("node")), "node", "left_anti")
-            large = rows.join(small_enough(hot.select("node")), "node", "left_semi")
+            large = members.where(F.col("size") > small).select("node", "id").join(reps.select("id", "n", "sig", "sketch"), "id")
             hubs = table(large.groupBy("node").agg(F.min(F.struct("id", "n", "sketch")).alias("hub")), "hubs")
             joined = large.join(small_enough(hubs), "node").where("id <> hub.id")
             around = table(_around(joined.select("node", "id", "n", "sig", "sketch", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch")), percent), "around-hubs")
@@ -284,7 +288,7 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12,
             add(union_all(more))
         if not any_hot or last:
             break
-        rows = rest.select("id", "n", "sig", "sketch", F.explode(F.array([_child(k) for k in range(branches)])).alias("node"))
+        nodes = rest.select("id", F.explode(F.array([_child(k) for k in range(branches)])).alias("node"))
     return found
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The ASCII white space of the contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -35,6 +39,22 @@ def batches_of(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_held: dict[str, object] = {}
+
+
+def held_by_worker(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under this name; it keeps one such thing at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]  # type: ignore[return-value]
+
+
+def let_go() -> None:
+    """Frees what the worker holds for other work: memory-hungry tasks begin with this."""
+    _held.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
