@@ -20,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks alread
 
 from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
+from .shared import held_by_worker  # noqa: E402
+
 #: Characters that are neither white space nor combining in any engine: printable ASCII and Latin letters with marks.
 PLAIN = "!-~¡-¬®-˿"
 _CUT = re.compile(f"(?= [{PLAIN}])")
@@ -169,11 +171,6 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One for each Python worker: what it remembers serves the next tasks too."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return held_by_worker(f"encoder {path}", lambda: PieceEncoder(path))
