@@ -48,7 +48,7 @@ class Scheme:
 
 
 def _power(width: int) -> int:
-    return 1 << max(1, (width - 1).bit_length())
+    return 1 << max(2, (width - 1).bit_length())  # no fewer axes than probes may use
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93, scheme: Scheme | None = N
     given = table(rows.select(name.alias("id"), lab.alias("label"), F.when(F.coalesce(fine, F.lit(False)), vec).alias("v")), "vectors")
     valid = given.where("v is not null")
     size = F.size("v")
-    classes = table(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("size")), "classes").withColumn("width", size)
+    classes = table(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("size")), "classes").withColumn("width", size).withColumn("class", F.xxhash64("label", "v"))
     total = classes.agg(F.count("*").alias("n"), F.max("width").alias("width")).first()
     if not total["n"]:
         return given.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -173,19 +173,20 @@ def near_vectors(rows: DataFrame, least: float = 0.93, scheme: Scheme | None = N
                 n = len(v)
                 probed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c[0].size), pa.array(c.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.full(n, w, np.int32)), b.column(4).take(at), probed], ["id", "label", "v", "width", "size", "codes"]
+                    [b.column(0).take(at), b.column(1).take(at), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.full(n, w, np.int32)), b.column(4).take(at), b.column(5).take(at), probed],
+                    ["id", "label", "v", "width", "size", "class", "codes"],
                 )
 
-    signed = table(classes.select("id", "label", "v", "width", "size").mapInArrow(sign, "id long, label string, v binary, width int, size long, codes array<long>"), "codes").withColumn("class", F.xxhash64("label", "v"))
-    stands = signed.select("class", "label", "width", F.posexplode("codes").alias("at", "code")).select(
-        "class", F.xxhash64("label", "width", F.floor(F.col("at") / plan.probes), "code").alias("bucket"), F.floor(F.col("at") / plan.probes).cast("int").alias("t"), "code", (F.col("at") % plan.probes == 0).alias("own")
+    signed = table(classes.select("id", "label", "v", "width", "size", "class").mapInArrow(sign, "id long, label string, v binary, width int, size long, class long, codes array<long>"), "codes")
+    stands = signed.select("class", "id", "label", "width", F.posexplode("codes").alias("at", "code")).select(
+        "class", "id", F.xxhash64("label", "width", F.floor(F.col("at") / plan.probes), "code").alias("bucket"), F.floor(F.col("at") / plan.probes).cast("int").alias("t"), "code", (F.col("at") % plan.probes == 0).alias("own")
     )
     sizes = table(stands.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 and owners > 0").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
     mine = F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int")
     # Block pairs (i, j) with i <= j: a member stands in its own row and its own column of them.
-    met = stands.join(sizes, "bucket").select("class", "bucket", "t", "code", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("class", "bucket", "t", "code", "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"))
-    full = met.join(signed.select("class", "id", "v", "width", "size", "codes"), "class")
+    met = stands.join(sizes, "bucket").select("class", "id", "bucket", "t", "code", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("class", "id", "bucket", "t", "code", "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"))
+    full = met.join(signed.select("class", "id", "v", "width", "size", "codes"), ["class", "id"])  # by id too: a chance match of hashes mustn't double rows
     dealt = full.select("bucket", "i", "j", "t", "code", "own", "side", "id", "v", "width", "size", "codes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
