@@ -61,6 +61,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, row_group_mb
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .parquet(path)
     )
 

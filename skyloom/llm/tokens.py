@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,8 +27,6 @@ PLAIN = "!-~¡-¬®-˿"
 _CUT = re.compile(f"(?= [{PLAIN}])")
 _STARTS_PLAIN = re.compile(f"\n?[{PLAIN}]")
 _PUNCTUATION = re.escape(string.punctuation)
-#: A word of Latin letters with punctuation behind: both vocabularies split there.
-_WORD_AND_TAIL = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{_PUNCTUATION}]+)")
 _STEM_AND_TAIL = re.compile(f"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([{_PUNCTUATION}]+)", re.DOTALL)
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters after which a sentence can end, and a letter no text of this corpus is likely to hold.
@@ -107,18 +105,19 @@ class PieceEncoder:
         m = _STEM_AND_TAIL.fullmatch(p)
         return (m[1], m[2], fed) if m else (p, "", fed)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Remembers the ids of each piece; None for one that its text can't be cut at."""
-        known, older, words, tailed, keys = self.known, self.older, set(), [], {}
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
-            elif p.isalpha() and (p.isascii() or _LATIN.fullmatch(p)):
-                words.add(p)
-            elif m := _WORD_AND_TAIL.fullmatch(p):
-                tailed.append((p, m[1], m[2]))
-                if m[1] not in known:
-                    words.add(m[1])
+        known, older, tailed, keys = self.known, self.older, [], {}
+        again = older.keys() & pieces
+        known.update((p, older[p]) for p in again)
+        pieces = pieces - again
+        words = {p for p in pieces if p.isalpha() and (p.isascii() or _LATIN.fullmatch(p))}
+        for p in pieces - words:
+            word = p.rstrip(string.punctuation)  # both vocabularies split between a word and punctuation behind it
+            if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
+                tailed.append((p, word, p[len(word) :]))
+                if word not in known:
+                    words.add(word)
             elif not _STARTS_PLAIN.match(p) or RARE in p:
                 known[p] = None
             else:
@@ -139,7 +138,7 @@ class PieceEncoder:
         parts = [text] if self.drops_blanks else _CUT.split(text)
         return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)), np.uint32).tobytes()
 
-    def encode(self, texts: list[str | None], together: int = 64) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str | None], together: int = 16) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), together):
             yield from self._some(texts[i : i + together])
 
@@ -149,13 +148,14 @@ class PieceEncoder:
         if len(self.stems) > self.remembered:
             self.stems = {"": b""}
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        missing = set(chain.from_iterable(x[1:] for x in cut)).difference(self.known)
+        firsts = [x.pop(0) for x in cut]  # no blank stands before them
+        missing = set(chain.from_iterable(cut)).difference(self.known)
         if missing:
             self._learn(missing)
         out, at = [], self.known.__getitem__
-        for t, pieces in zip(texts, cut, strict=True):
+        for t, first, pieces in zip(texts, firsts, cut, strict=True):
             try:
-                raw = (np.array(self._ids(pieces[0]), np.uint32).tobytes() if pieces[0] else b"") + b"".join(map(at, pieces[1:]))
+                raw = (np.array(self._ids(first), np.uint32).tobytes() if first else b"") + b"".join(map(at, pieces))
             except TypeError:  # a piece that can't be cut off
                 raw = self._slowly(t)
             out.append(np.frombuffer(raw, np.uint32))
