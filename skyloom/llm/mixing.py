@@ -41,7 +41,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds:
 
     cells: the dimensions and tokens, a row for each combination; nulls are a value of their own. targets: for each
     dimension its values and target tokens; a value without a target keeps its weight. Sums by value are partial
-    aggregates; each round is written once.
+    aggregates; each step is written, so that plans stay as small as the first one's.
     """
     now = cells.withColumn("weight", F.col("tokens") * F.lit(share))
     held = {d: table(t, f"targets-{d}") for d, t in targets.items()}
@@ -50,8 +50,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds:
             sums = now.groupBy(F.col(d).alias("__value")).agg(F.sum("weight").alias("__sum"))
             factor = sums.join(want.withColumnRenamed(d, "__wanted"), F.col("__value").eqNullSafe(F.col("__wanted"))).where("__sum > 0").select("__value", (F.col("target") / F.col("__sum")).alias("__factor"))
             scaled = F.least(F.col("tokens").cast("double"), F.col("weight") * F.coalesce("__factor", F.lit(1.0)))
-            now = now.join(factor, F.col(d).eqNullSafe(F.col("__value")), "left").select(*cells.columns, scaled.alias("weight"))
-        now = table(now, "raked")
+            now = table(now.join(factor, F.col(d).eqNullSafe(F.col("__value")), "left").select(*cells.columns, scaled.alias("weight")), "raked")
     return now
 
 
