@@ -9,7 +9,6 @@ head of a monotone queue. A window of exactly a power of two isn't padded.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,34 +32,42 @@ def cut(ends: np.ndarray, penalty: np.ndarray, size: int, each: float = 12.0) ->
     """
     n = len(ends)
     at = np.concatenate([[0], ends]).astype(np.int64)
-    exact: dict[int, list[int]] = {}
+    exact: list[list[int] | None] = [None] * n
+    place = np.full(int(at[-1]) + 1, -1, np.int32)
+    place[at] = np.arange(n + 1)
     power = 1
     while power <= size:
-        want = at[1:] - power
-        k = np.searchsorted(at, want)
-        for j in np.flatnonzero((want >= 0) & (at[np.minimum(k, n)] == want)).tolist():
-            exact.setdefault(j + 1, []).append(int(k[j]))
+        ahead = int(np.searchsorted(at, power))  # earlier ends have no start so far behind them
+        start = place[at[ahead:] - power]
+        hit = np.flatnonzero(start >= 0)
+        for j, i in zip((hit + ahead - 1).tolist(), start[hit].tolist(), strict=True):
+            exact[j] = [*(exact[j] or []), i]
         power *= 2
-    pos, pen = at.tolist(), [0.0, *penalty.tolist()]
-    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    best, back = [0.0], [0]
     # A padded window from i to j costs best[i] + size - (pos[j] - pos[i]) + pen[j]: the queue holds i by best[i] + pos[i].
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j in range(1, n + 1):
-        p = pos[j]
-        while pos[queue[0][1]] < p - size:
-            queue.popleft()
-        key, i = queue[0]
-        cost = key + size - p
-        if j in exact:
-            for x in exact[j]:
+    keys, starts, places, head = [0.0], [0], [0], 0
+    for j, (p, pen, closed) in enumerate(zip(at[1:].tolist(), (penalty + each).tolist(), exact, strict=True), 1):
+        low = p - size
+        while places[head] < low:
+            head += 1
+        key, i = keys[head] + size, starts[head]
+        if closed:
+            cost = key - p
+            for x in closed:
                 if best[x] < cost or (best[x] == cost and x < i):
                     cost, i = best[x], x
-        cost += pen[j] + each
-        best[j], back[j] = cost, i
-        key = cost + p
-        while queue and queue[-1][0] > key:
-            queue.pop()
-        queue.append((key, j))
+            key = cost + p
+        key += pen
+        best.append(key - p)
+        back.append(i)
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
+            starts.pop()
+            places.pop()
+        keys.append(key)
+        starts.append(j)
+        places.append(p)
+    pos = at.tolist()
     out, j = [], n
     while j:
         out.append(pos[j])
@@ -70,17 +77,19 @@ def cut(ends: np.ndarray, penalty: np.ndarray, size: int, each: float = 12.0) ->
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, stride: int, at_sentence: float, inside: float) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, and what ending there costs."""
-    kind = np.where(ends_sentence[ids], at_sentence, np.inf)
-    kind[doc_ends - 1] = 0.0
-    ends = np.flatnonzero(np.isfinite(kind)) + 1
+    stop = ends_sentence[ids]
+    stop[doc_ends - 1] = True
+    ends = np.flatnonzero(stop) + 1
     gaps = np.diff(ends, prepend=0)
-    if (gaps > stride).any():
-        start = (ends - gaps)[gaps > stride]
-        reach = gaps[gaps > stride]
-        extra = np.concatenate([np.arange(a + stride, a + g, stride) for a, g in zip(start.tolist(), reach.tolist(), strict=True)])
-        kind[extra - 1] = inside
-        ends = np.flatnonzero(np.isfinite(kind)) + 1
-    return ends, kind[ends - 1]
+    wide = np.flatnonzero(gaps > stride)
+    extra = np.zeros(0, np.int64)
+    if len(wide):
+        extra = np.concatenate([np.arange(a + stride, a + g, stride) for a, g in zip((ends - gaps)[wide].tolist(), gaps[wide].tolist(), strict=True)])
+        ends = np.sort(np.concatenate([ends, extra]))
+    cost = np.full(len(ends), at_sentence)
+    cost[np.searchsorted(ends, extra)] = inside
+    cost[np.searchsorted(ends, doc_ends)] = 0.0
+    return ends, cost
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at_sentence: float = 2.0, inside: float = 8.0, stride: int = 64, block: int = 1 << 20, parts: int | None = None) -> DataFrame:

@@ -32,6 +32,7 @@ _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters after which a sentence can end, and a letter no text of this corpus is likely to hold.
 SENTENCE_ENDS = ".!?\n"
 RARE = "ⵣ"
+ODD = 0
 
 
 class PieceEncoder:
@@ -45,8 +46,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.remembered = remembered
         self.drops_blanks = not self._ids(" ")
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | int] = {}
+        self.older: dict[str, bytes | int] = {}
         self.stems: dict[str, bytes] = {"": b""}
         #: The same vocabulary for words of Latin letters, which need no pattern to be parted and no normal form.
         self.plain = Tokenizer.from_file(path)
@@ -106,7 +107,7 @@ class PieceEncoder:
         return (m[1], m[2], fed) if m else (p, "", fed)
 
     def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of each piece; None for one that its text can't be cut at."""
+        """Remembers the ids of each piece; ODD for one that its text can't be cut at."""
         known, older, tailed, keys = self.known, self.older, [], {}
         again = older.keys() & pieces
         known.update((p, older[p]) for p in again)
@@ -119,7 +120,7 @@ class PieceEncoder:
                 if word not in known:
                     words.add(word)
             elif not _STARTS_PLAIN.match(p) or RARE in p:
-                known[p] = None
+                known[p] = ODD
             else:
                 keys[p] = self._key(p)
         new = list(words)
@@ -149,13 +150,21 @@ class PieceEncoder:
             self.stems = {"": b""}
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
         firsts = [x.pop(0) for x in cut]  # no blank stands before them
-        missing = set(chain.from_iterable(cut)).difference(self.known)
+        get, parts, gaps, missing = self.known.get, [], [], set()
+        for pieces in cut:
+            found = list(map(get, pieces))
+            gap = [k for k, x in enumerate(found) if x is None] if None in found else []
+            missing.update([pieces[k] for k in gap])
+            parts.append(found)
+            gaps.append(gap)
         if missing:
             self._learn(missing)
-        out, at = [], self.known.__getitem__
-        for t, first, pieces in zip(texts, firsts, cut, strict=True):
+        out, known = [], self.known
+        for t, first, pieces, found, gap in zip(texts, firsts, cut, parts, gaps, strict=True):
+            for k in gap:
+                found[k] = known[pieces[k]]
             try:
-                raw = (np.array(self._ids(first), np.uint32).tobytes() if first else b"") + b"".join(map(at, pieces))
+                raw = (np.array(self._ids(first), np.uint32).tobytes() if first else b"") + b"".join(found)
             except TypeError:  # a piece that can't be cut off
                 raw = self._slowly(t)
             out.append(np.frombuffer(raw, np.uint32))
