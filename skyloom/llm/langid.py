@@ -7,7 +7,6 @@ language costs ``switch`` nats. Runs of equal labels are the spans of mixed-lang
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from .shared import batches_of, held_out
 
 BITS = 16
 UNDETERMINED = "und"
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 #: Scripts by the first UTF-8 byte of a letter (inclusive ranges of Unicode's blocks).
 SCRIPT_LEADS = [
     ("latin", 0x41, 0x7A),
@@ -147,7 +145,7 @@ def label(texts: list[str | None], model: Model, switch: float = 12.0) -> list[t
     out = []
     for i, t in enumerate(texts):
         a, b = w.firsts[i], w.firsts[i + 1]
-        if a == b or not model.languages or not _HAS_LETTER.search(t or ""):
+        if a == b or not model.languages or not any(map(str.isalpha, t or "")):
             out.append((UNDETERMINED, 0.0, []))
             continue
         path = viterbi(s[a:b], switch)
