@@ -1,16 +1,22 @@
-"""Substring deduplication by sliding sentence spans.
-
-Each text is cut into sentences (after . ! ? with white space behind, and at line feeds). From every sentence the shortest
-run of consecutive sentences that has at least ``words`` words is hashed, and so is the shortest run that ends with it.
-All runs of all documents meet by hash; runs that aren't the first of their kind are repeated spans, and every sentence
-that such a span covers goes. A repeated passage goes entirely if its whole sentences have ``words`` words or more, for
-each of them lies in a run inside the passage; shorter common lines stay. Passages of over 50 words that begin and end
-inside other sentences still hold 20 words of whole sentences.
+"""Substring deduplication by sliding spans of sentences and of parts of long sentences.
+
+Each text is cut into sentences (after . ! ? with white space behind, after the full stops of other scripts, and at line
+feeds). Sentences of WINDOW words or more are cut further, before the words whose hash is the least of some WINDOW
+consecutive words of the sentence. From every piece the shortest run of consecutive pieces that has at least ``words``
+words is hashed, and so is the shortest run that ends with it. All runs of all documents meet by hash; runs that aren't
+the first of their kind are repeated spans, and every piece that such a span covers goes. A repeated passage goes
+entirely if its whole pieces have ``words`` words or more, for each of them lies in a run inside the passage; shorter
+common lines stay.
+
+Where a passage of 51 words or more begins and ends doesn't matter: it holds a cut behind at most its first WINDOW - 1
+words and one before at most its last WINDOW, and these two and all cuts between depend on its own words only. At least
+51 - (2 WINDOW - 1) = 20 words lie in between; only those outside stay. In scripts without blanks each character is a word.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +28,65 @@ from pyspark.sql import functions as F
 from .firsts import ROW, repeats
 from .shared import batches_of, table
 
+#: Full stops of other scripts; they end a sentence with or without white space behind.
+STOPS = "\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u3002\uff01\uff0e\uff1f\uff61"
 #: A sentence with the white space behind it; together they make up the text.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![\s])[^.!?\n]*)*[.!?\n]*\s*")
+SENTENCE = re.compile(rf"[^.!?\n{STOPS}]*(?:[.!?]+(?!\s)[^.!?\n{STOPS}]*)*[.!?{STOPS}]*\s*")
+#: Sentences of so many words are cut further.
+WINDOW = 16
+
+
+def _unspaced() -> tuple[str, str]:
+    """The letters of scripts without blanks (Thai to Myanmar, Khmer, kana, Han), and the marks that stand on them."""
+    blocks = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF)]
+    chars = [chr(c) for a, b in blocks for c in range(a, b + 1)]
+    marks = "".join(c for c in chars if unicodedata.category(c)[0] == "M")
+    letters = "".join(c for c in chars if unicodedata.category(c)[0] == "L")
+    return letters + "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff", marks
+
+
+_LETTERS, _MARKS = _unspaced()
+UNSPACED = re.compile(f"[{_LETTERS}]")
+WORD = re.compile(r"\S+")
+WORD_OR_LETTER = re.compile(rf"[{_LETTERS}][{_MARKS}]*|[^\s{_LETTERS}]+")
+
+
+def words_of(piece: str) -> list[str]:
+    """Its words; of scripts without blanks, its characters."""
+    return piece.split() if piece.isascii() or not UNSPACED.search(piece) else WORD_OR_LETTER.findall(piece)
+
+
+def least(hashes: list[int], window: int = WINDOW) -> list[int]:
+    """Where the least of some so many consecutive hashes is; of equal ones, the last."""
+    out, m = [], -1
+    for r, h in enumerate(hashes):
+        if m < 0 or h <= hashes[m]:
+            m = r
+        elif m <= r - window:
+            m = min(range(r, r - window, -1), key=hashes.__getitem__)
+        if r >= window - 1 and (not out or out[-1] != m):
+            out.append(m)
+    return out
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in SENTENCE.findall(text) if s]
+    """Sentences, the long ones in pieces; together they make up the text."""
+    out = []
+    for s in SENTENCE.findall(text):
+        if len(s) < WINDOW or len(words_of(s)) < WINDOW:
+            if s:
+                out.append(s)
+            continue
+        at = [m.start() for m in (WORD if s.isascii() else WORD_OR_LETTER).finditer(s)]
+        ends = [*at[1:], len(s)]
+        hashes = [xxhash.xxh32_intdigest(s[x:y].rstrip()) for x, y in zip(at, ends, strict=True)]
+        cuts = [0, *(at[i] for i in least(hashes) if i), len(s)]
+        out += [s[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+    return out
 
 
 def runs(counts: list[int], words: int) -> list[tuple[int, int]]:
-    """(start, length) of the shortest runs of at least so many words from each sentence on, and up to each."""
+    """(start, length) of the shortest runs of at least so many words from each piece on, and up to each."""
     n, total = len(counts), [0]
     for c in counts:
         total.append(total[-1] + c)
@@ -53,14 +108,14 @@ def runs(counts: list[int], words: int) -> list[tuple[int, int]]:
 
 
 def span_keys(docs: DataFrame, words: int = 20) -> DataFrame:
-    """Occurrences (ROW) of runs: pos is the first sentence, size the number of sentences. Blanks between words don't count."""
+    """Occurrences (ROW) of runs: pos is the first piece, size the number of pieces. Blanks between words don't count."""
     batches_of(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, doc, at, size = bytearray(), [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = [s.split() for s in sentences(text)]
+                parts = [words_of(s) for s in sentences(text)]
                 each = [xxhash.xxh3_128_digest(" ".join(p)) for p in parts]
                 for i, n in runs([len(p) for p in parts], words):
                     raw += xxhash.xxh3_128_digest(b"".join(each[i : i + n]))
@@ -75,13 +130,13 @@ def span_keys(docs: DataFrame, words: int = 20) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, words: int = 20, parts: int | None = None) -> DataFrame:
-    """(doc_id, spans): the repeated runs (start, size in sentences) of each document that has some."""
+    """(doc_id, spans): the repeated runs (start, size in pieces) of each document that has some."""
     gone = repeats(table(span_keys(docs, words), "span-keys"), whole_doc=False, parts=parts)
     return gone.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("spans"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with text lacking the covered sentences, and columns n_sentences, n_removed (sentences), removed: array of
+    """docs with text lacking the covered pieces, and columns n_sentences, n_removed (both count pieces), removed: array of
     (start, length) in characters of the old text.
 
     A null text stays null with no sentences. Other columns stay; those named like the new ones are replaced. Rows with

@@ -146,6 +146,32 @@ def test_planted_passage_goes_and_clean_text_stays(spark):
     assert "word30" not in got[2]["text"] and got[2]["text"].startswith("Quite another start.") and got[2]["text"].endswith("Some other end.")
 
 
+def test_passages_inside_sentences_go(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for n in range(51, 71):  # no full stop; short sentences that don't add up to 20 words; Chinese without blanks
+        inner = some(n)
+        edges = f"{some(22)}. {some(9)}. {some(n - 31)}"
+        chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+        for text, glue, own in ((inner, " ", some), (edges, " ", some), (chinese, "", lambda k: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(k)))):
+            passages.append(text)
+            rows += [(len(rows) + i, f"{own(rng.randint(1, 30))}{glue}{text}{glue}{own(rng.randint(1, 30))}\u3002") for i in (0, 1)]
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in enumerate(passages):
+        first, second = rows[2 * k][1], rows[2 * k + 1][1]
+        assert got[2 * k]["text"] == first
+        begin, end, r = second.index(text), second.index(text) + len(text), got[2 * k + 1]
+        assert len(r["removed"]) == 1
+        cut = r["removed"][0]["start"], r["removed"][0]["start"] + r["removed"][0]["length"]
+        assert begin <= cut[0] and cut[1] <= end + 1  # with the blank behind
+        assert r["text"] == second[: cut[0]] + second[cut[1] :]
+        assert len(span_dedup.words_of(second[begin : cut[0]])) < span_dedup.WINDOW and len(span_dedup.words_of(second[cut[1] : end])) <= span_dedup.WINDOW
+
+
 def brute_components(docs):
     sets = {d["doc_id"]: shingles(d["text"]) for d in docs}
     parent = {k: k for k in sets}
