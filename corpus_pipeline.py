@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.langid import accepted, learned
 from skyloom.llm.line_dedup import dedup_lines
-from skyloom.llm.mixing import mix, with_topics
+from skyloom.llm.mixing import mix_attainable, with_topics
 from skyloom.llm.near_dedup import near_duplicates
 from skyloom.llm.packing import pack
 from skyloom.llm.shared import read_documents, table
@@ -46,9 +46,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that their tokens come close to tempered weights of sources, languages and topics."""
+    """Documents are sampled so that their tokens come close to tempered weights of sources, languages and topics, as far as
+    there are tokens; documents without a topic follow the other two."""
     rows = with_topics(docs, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    gone = table(mix(rows, SHARE).where(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct(), "not-sampled")
+    gone = table(mix_attainable(rows, SHARE).where(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct(), "not-sampled")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
 
 

@@ -3,21 +3,31 @@
 Token counts are summed up by cell (source, language, topic). The cells' weights are raked: scaled to the target of each
 source, then of each language, then of each topic, round after round, never above what a cell holds. A document is
 sampled with its cell's weight by its cell's tokens as probability, decided by a hash of its id.
+
+``mix`` takes a fixed number of rounds to targets as tempered, as op8's SQL has it. ``mix_attainable`` first clips targets
+at what there is and shares out the rest, leaves documents without a topic out of the topic step, and rakes until the
+weights settle; ``marginals`` reports what is wanted and what comes out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, union_all
 
 DIMENSIONS = ("source", "lang", "topic")
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 10
+#: Dimensions in which null is no value: such documents have no target there.
+OPEN = ("topic",)
+#: Raking ends when a round moves less than this part of all tokens, or after so many rounds.
+SETTLED, LONGEST = 1e-6, 2000
 
 
 def words(text: Column) -> Column:
@@ -69,12 +79,87 @@ def mix(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None
     cells = table(rows.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = {d: tempered(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
     raked = rake(cells, targets, share, rounds)
+    return sampled(rows, raked, share, seed, dimensions)
+
+
+def sampled(rows: DataFrame, raked: DataFrame, share: float, seed: str, dimensions: Sequence[str]) -> DataFrame:
+    """rows with the probability of their cell, weight by tokens, and whether they are kept."""
     fit = raked.select(*[F.col(d).alias(f"__{d}") for d in dimensions], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(share)).alias("probability"))
     same = [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in dimensions]
     out = rows.join(fit, same, "left").drop(*[f"__{d}" for d in dimensions])
     return out.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("probability"))
 
 
+def attainable(cells: DataFrame, dimension: str, share: float, exponent: float) -> DataFrame:
+    """(dimension, target) as tempered, but no target is above what its value holds: the rest goes to values with room,
+    in proportion to their tokens to the power ``exponent`` again. Nulls of OPEN dimensions have no target."""
+    here = cells.where(F.col(dimension).isNotNull()) if dimension in OPEN else cells
+    sums = table(here.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0"), "sums")
+    wanted = F.pow("have", F.lit(exponent))
+    scale, seen = 0.0, -1
+    while True:  # the scale grows, and so do the values that are taken whole
+        whole = F.col("have") <= wanted * F.lit(scale)
+        r = sums.agg(F.sum("have"), F.count_if(whole), F.sum(F.when(whole, F.col("have")).otherwise(0.0)), F.sum(F.when(~whole, wanted).otherwise(0.0))).first()
+        if not r[0] or r[1] == seen or not r[3]:
+            break
+        scale, seen = (r[0] * share - r[2]) / r[3], r[1]
+    return sums.select(dimension, F.least("have", wanted * F.lit(scale)).alias("target"))
+
+
+def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], share: float) -> DataFrame:
+    """cells with weight as rake has it, but round after round until the weights settle. Where the caps of the cells leave
+    no weights that meet all targets, all weights are scaled in the end, so that the share of all tokens is met.
+
+    The driver does it: it holds a row for each combination of labels, none for documents."""
+    rows = cells.toArrow()
+    tokens = np.array(rows.column("tokens").to_pylist(), np.float64)
+    steps = []
+    for d, t in targets.items():
+        want = {r[0]: r[1] for r in t.collect()}
+        values = rows.column(d).to_pylist()
+        code = {v: i for i, v in enumerate(dict.fromkeys(values))}
+        steps.append((np.array([code[v] for v in values], np.int64), np.array([want.get(v, np.nan) for v in code])))
+    weight = tokens * share
+    for _ in range(LONGEST):
+        last = weight
+        for at, want in steps:
+            sums = np.bincount(at, weight, len(want))
+            factor = np.where(np.isnan(want) | (sums <= 0), 1.0, want / np.where(sums > 0, sums, 1.0))
+            weight = np.minimum(tokens, weight * factor[at])
+        if np.abs(weight - last).sum() <= SETTLED * tokens.sum():
+            break
+    while weight.sum() > 0 and abs(missing := tokens.sum() * share - weight.sum()) > SETTLED * tokens.sum():
+        room = (weight < tokens) & (weight > 0) if missing > 0 else weight > 0
+        if not room.any():
+            break
+        weight = np.where(room, np.minimum(tokens, weight * (1 + missing / weight[room].sum())), weight)
+    return table(cells.sparkSession.createDataFrame(rows.append_column("weight", pa.array(weight, pa.float64())), cells.withColumn("weight", F.lit(0.0)).schema), "raked")
+
+
+def fitted(docs: DataFrame, share: float, exponents: dict[str, float] | None, dimensions: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The cells of docs with settled weights, and the targets of each dimension."""
+    cells = table(docs.groupBy(*dimensions).agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")), "cells")
+    targets = {d: attainable(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
+    return rake_settled(cells, targets, share), targets
+
+
+def mix_attainable(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, seed: str = "mix", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """As mix, but to targets that the values hold, with weights that settled and the whole share of all tokens."""
+    raked, _ = fitted(docs, share, exponents, dimensions)
+    return sampled(docs.select("doc_id", *dimensions, "tokens"), raked, share, seed, dimensions)
+
+
+def marginals(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """(dimension, value, tokens, wanted, achieved): what mix_attainable wants of each value and what its weights come to."""
+    raked, targets = fitted(docs, share, exponents, dimensions)
+    out = []
+    for d, t in targets.items():
+        sums = raked.groupBy(F.col(d).alias("__value")).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("achieved"))
+        both = sums.join(t, F.col("__value").eqNullSafe(F.col(d)), "left")
+        out.append(both.select(F.lit(d).alias("dimension"), F.col("__value").cast("string").alias("value"), "tokens", F.col("target").alias("wanted"), "achieved"))
+    return union_all(out)
+
+
 def with_topics(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic and tokens of docs: the topic is the label of the vector of that id, null without one.
 

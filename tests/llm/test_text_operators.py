@@ -331,3 +331,34 @@ def test_mixing_reaches_its_targets(spark, clashing, nothing):
     vectors = spark.createDataFrame([(1, 4), (1, 3), (2, None), (None, 9)], "vec_id long, label int")
     assert mixing.mix(mixing.with_topics(clashing, vectors)).count() == clashing.count()
     assert mixing.mix(mixing.with_topics(nothing, vectors)).count() == 0
+
+
+def test_mixing_of_scarce_topics_takes_the_whole_share(spark, nothing):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(["x", "x", "y"]), rng.choice([1, 2, 2, 2]) if i % 5 == 0 else None, rng.randint(50, 150)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic int, tokens long")
+    got = mixing.mix_attainable(d, share=0.8).withColumn("expected", F.col("probability") * F.col("tokens")).cache()
+    total = d.agg(F.sum("tokens")).first()[0]
+    assert got.count() == 4000 and got.where("probability < 0 or probability > 1 or kept is null").count() == 0
+    assert got.agg(F.sum("expected")).first()[0] == pytest.approx(0.8 * total, rel=1e-3)
+    assert got.where("topic is null").agg(F.sum("expected") / F.sum("tokens")).first()[0] == pytest.approx(0.8, abs=0.01)
+    for dim in ("source", "lang", "topic"):
+        there = d if dim != "topic" else d.where("topic is not null")
+        have = {r[0]: r[1] for r in there.groupBy(dim).agg(F.sum("tokens")).collect()}
+        want, free = {}, set(have)
+        while True:  # values that their share would exceed are taken whole
+            scale = (0.8 * sum(have.values()) - sum(want.values())) / sum(have[v] ** 0.5 for v in free)
+            full = {v for v in free if have[v] <= scale * have[v] ** 0.5}
+            if not full:
+                break
+            want |= {v: have[v] for v in full}
+            free -= full
+        want |= {v: scale * have[v] ** 0.5 for v in free}
+        expected = {r[0]: r[1] for r in got.groupBy(dim).agg(F.sum("expected")).collect()}
+        for v in have:
+            assert expected[v] == pytest.approx(want[v], rel=0.01)
+    report = mixing.marginals(d, share=0.8).collect()
+    assert len(report) == 8 and all(r["wanted"] is None or r["achieved"] == pytest.approx(r["wanted"], rel=0.01) for r in report)
+    assert mixing.mix_attainable(mixing.with_topics(nothing, spark.createDataFrame([], "vec_id long, label int"))).count() == 0
