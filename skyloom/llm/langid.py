@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, held_out
+from .shared import held_out, sliced
 
 BITS = 16
 UNDETERMINED = "und"
@@ -79,11 +79,9 @@ class Model:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", least_script_share: float = 0.001) -> Model:
     """Counts over all rows with a text and a label. What comes to the driver is the model: 2**BITS counts a language at most."""
-    batches_of(labelled.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             by: dict[str, list[str]] = {}
             for t, lg in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lg, []).append(t)
@@ -165,13 +163,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
 
     No other column is read; carried ones that are named like the new ones are replaced.
     """
-    batches_of(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     own = [c for c in carry if c not in ("lang_pred", "score", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = label(b.column(len(own)).to_pylist(), shared.value, switch)
             spans = pa.array([[dict(zip(("start", "end", "lang"), x, strict=True)) for x in g[2]] for g in got], span)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [*own, "lang_pred", "score", "spans"])

@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .firsts import ROW, repeats
-from .shared import BLANKS, batches_of, table
+from .shared import BLANKS, sliced, table
 
 
 def line_keys(docs: DataFrame, least: int = 10) -> DataFrame:
     """Occurrences (ROW) of keys of at least ``least`` characters. Rows without an id hold none."""
-    batches_of(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw, doc, at, size = bytearray(), [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, line in enumerate(text.split("\n")):
@@ -73,14 +71,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     named n_lines or n_dropped is replaced). Rows with equal ids lose lines alike, for they are one document; rows
     without an id lose nothing.
     """
-    batches_of(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     at = own.index("text")
     bits = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("n_bits").alias("__n"), F.col("bitmap").alias("__bits"))
     both = docs.select(*own).join(bits.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, lines, dropped = [], [], []
             for text, n, bits in zip(*(b.column(i).to_pylist() for i in (at, len(own), len(own) + 1)), strict=True):
                 split = (text or "").split("\n")

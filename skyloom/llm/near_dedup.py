@@ -2,20 +2,22 @@
 
 Documents are sets of five-word shingles. Equal sets become one class with its least id. Each of ``trees`` independent
 trees puts a class into the node of one minwise token; two sets of similarity 0.75 share such a node with probability
-0.75 a tree, so twelve trees miss one pair in sixteen million. Nodes of at most ``small`` members are compared
-exhaustively by sketches; larger ones against their hub, the least id. Candidate pairs are confirmed on the full sets of
-whole texts. Since only components are returned, pairs that a confirmed chain already joins are not confirmed again:
-
-- a node first offers the greatest spanning forest of its candidates by estimated similarity (a star around the hub in a
-  large node);
-- where one of those pairs is refuted, members of different components are compared by their least ``LOW`` shingles,
-  which are whole sets for most texts, and the node offers the pairs that hold;
-- in a large node, members that aren't confirmed neighbours of the hub are compared with those neighbours where the
-  triangle inequality of the Jaccard distance lets them be neighbours of one, and branch among themselves by further
-  minwise tokens into children, which are treated alike. So a large group of near copies costs one pass around its hub,
-  and documents that merely share a common shingle part quickly.
-
-Candidates are first told by one-permutation sketches of 256 bins: of pairs at 0.75, fewer than one in ten million isn't one.
+0.75 a tree, so twelve trees miss one pair in sixteen million. Nodes of at most ``small`` members are leaves, whose
+members are compared exhaustively. A larger node branches:
+
+- its members are compared exactly with their hub, the least id in it, and those linked to the hub leave the node;
+- the rest pick further minwise tokens, ``branches`` of them, and so go into children, which are treated alike.
+
+So a large group of near copies costs one pass around its hub, and documents that merely share a common shingle part
+quickly. Since only components are returned, pairs that a confirmed chain already joins are not confirmed again:
+
+- a leaf first offers the greatest spanning forest of its candidates by estimated similarity; sketches of 256 bins
+  tell candidates (of pairs at 0.75, fewer than one in ten million isn't one), and full sets of whole texts confirm;
+- where a refuted pair still lies between two components, the leaf's candidates are compared anew, by their least
+  ``LOW`` shingles, which are whole sets for most texts, and again full sets confirm;
+- who left a large node is linked to its hub, so of the rest only those in another component can join anything to it.
+  By the triangle inequality of the Jaccard distance they must have half the similarity of the hub's neighbours to the
+  hub, 1 - 2 * (1 - 0.75), to be linked to one; these few are compared with the neighbours block by block.
 """
 
 from __future__ import annotations
@@ -28,28 +30,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, components, let_go, table, union_all
-from .shingles import BINS, COORDINATES, agreement, bits, linked, may_reach, shingles, signatures, sketches
+from .shared import components, let_go, sliced, table, union_all
+from .shingles import BINS, COORDINATES, agreement, bits, may_reach, shingles, signatures, sketches
 
-#: Tables of at most so many ids (16 MB) are sent to every executor; larger ones are joined by shuffles.
+#: Tables of at most so many ids (8 MB of longs) are sent to every executor; larger ones are joined by shuffles.
 SENDABLE = 1_000_000
-
 #: Of a set, so many least hashes are compared where sketches leave doubt; smaller sets are compared whole.
 LOW = 1024
+#: Members that are compared with others in one task.
+BLOCK = 512
 
 
-def small_enough(df: DataFrame, most: int = SENDABLE) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_enough(ids: DataFrame, most: int = SENDABLE) -> DataFrame:
+    """A written table of ids alone, marked for broadcast if it has at most so many rows."""
+    if [t for _, t in ids.dtypes] != ["bigint"]:
+        raise ValueError("only a table of ids has a known width")
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n, f1, f2, sig, sketch) of every row: set size, 128-bit fingerprint, minwise values and sketch; null where the set is empty."""
-    batches_of(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for b in batches:
+        for b in sliced(batches, 500):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full])
@@ -73,11 +77,6 @@ def _fits(n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray
     return 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
 
 
-def _candidates(sk: np.ndarray, full: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    others = others[_fits(n, i, others, percent)]
-    return others[may_reach(*agreement(sk, full, i, others), percent / 100)]
-
-
 def _forest(sk: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Edges of the greatest spanning forest of the candidate graph by estimated similarity, grown from one member at a time."""
     full, left, out = bits(sk), np.arange(len(n)), []
@@ -96,65 +95,52 @@ def _forest(sk: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]
     return out
 
 
-class Lows:
-    """The least LOW hashes of each member's set, for counting what pairs have in common, never too little.
+def _joining(left: list[int], right: np.ndarray, sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of members in left and right that hold by sketches and by least hashes, enough to join all components that can be.
 
-    Hashes are looked up in a table of 2**20 marks, where now and then one passes for another; members are compared a few
-    hundred at a time. So memory stays small whatever the size of the node.
+    A pair of whole sets that holds joins its components, so that no other pair between them is asked for; where sets
+    are longer than LOW all pairs that may hold are returned.
     """
-
-    MARKS, TOGETHER = 1 << 20, 256
-
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.lists = [np.frombuffer(x, np.uint32) for x in raw]
-        self.sizes = np.array([len(x) for x in self.lists])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate(self.lists) & np.uint32(self.MARKS - 1)
-        self.mark = np.zeros(self.MARKS, bool)
-        self.last = np.array([int(x[-1]) if m > LOW else 1 << 32 for x, m in zip(self.lists, n.tolist(), strict=True)])
-
-    def hold(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-        """Those of others that may be linked to i; but for chance matches of hashes they are if both sets are whole."""
-        own = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
-        self.mark[own] = True
-        kept = [self._some(i, others[k : k + self.TOGETHER], percent) for k in range(0, len(others), self.TOGETHER)]
-        self.mark[own] = False
-        return np.concatenate(kept) if kept else others
-
-    def _some(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-        sizes = self.sizes[others]
-        ends = np.cumsum(sizes)
-        cells = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
-        common = np.add.reduceat(self.mark[self.flat[cells]], ends - sizes, dtype=np.int64) + 2
-        top = np.minimum(self.last[i], self.last[others])
-        mine = np.searchsorted(self.lists[i], top, "right")
-        theirs = np.array([np.searchsorted(self.lists[j], t, "right") if t < self.last[j] else k for j, t, k in zip(others.tolist(), top.tolist(), sizes.tolist(), strict=True)])
-        union = mine + theirs - common
-        return others[np.where(top >= 1 << 32, 100 * common >= percent * union, may_reach(common, union, percent / 100))]
+    full, comp, out = bits(sk), comp.copy(), []
+    lists = [np.frombuffer(x, np.uint32) for x in low]
+    for i in left:
+        others = right[comp[right] != comp[i]]
+        others = others[_fits(n, i, others, percent)]
+        others = others[may_reach(*agreement(sk, full, i, others), percent / 100)]
+        for j in others.tolist():
+            if comp[i] == comp[j]:
+                continue
+            whole = n[i] <= LOW and n[j] <= LOW
+            a, b = lists[i], lists[j]
+            if not whole:
+                top = min(int(x[-1]) if m > LOW else 1 << 32 for x, m in ((a, n[i]), (b, n[j])))
+                a, b = (x[: int(np.searchsorted(x, top, "right"))] if top < 1 << 32 else x for x in (a, b))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - common
+            if whole and 100 * common >= percent * union:
+                out.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+            elif not whole and may_reach(np.array([common]), np.array([union]), percent / 100)[0]:
+                out.append((i, j))
+    return out
 
 
 def lows_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, low): the highest 32 bits of the least LOW hashes of the sets of these ids, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique((shingles(t)[:LOW] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(small_enough(ids), "id", "left_semi").mapInArrow(run, "id long, low binary").dropDuplicates(["id"])
+    return texts_of(docs).join(small_enough(table(ids, "low-ids")), "id", "left_semi").mapInArrow(run, "id long, low binary").dropDuplicates(["id"])
 
 
-def _across(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Pairs of members in different components that hold by sketches and by least hashes."""
-    full, out, lows = bits(sk), [], Lows(low, n)
-    for i in range(len(n) - 1):
-        later = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        out += [(i, int(j)) for j in lows.hold(i, _candidates(sk, full, n, i, later, percent), percent)]
-    return out
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame:
-    """Candidate pairs (node, a, b) of nodes of bounded size: a forest of each, or those between components.
+    """Candidate pairs (node, a, b) of leaves: a forest of each, or those that join its components.
 
     rows: (node, id, n, sketch), and for those between components also comp and low.
     """
@@ -182,7 +168,8 @@ def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 sk = _unpack(now["sketch"].slice(s, e - s))
                 if across:
-                    got = _across(sk, n[s:e], now["comp"].slice(s, e - s).to_numpy(), now["low"].slice(s, e - s).to_pylist(), percent)
+                    comp, low, all_of = now["comp"].slice(s, e - s).to_numpy(), now["low"].slice(s, e - s).to_pylist(), np.arange(e - s)
+                    got = _joining(all_of.tolist(), all_of, sk, n[s:e], comp, low, percent)
                 else:
                     got = _forest(sk, n[s:e], percent)
                 out += [(s + i, s + j) for i, j in got]
@@ -199,25 +186,38 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are linked. Texts of ids in pairs are written once and dealt by b, then by a."""
-    batches_of(pairs.sparkSession, 500)
+def compared(pairs: DataFrame, docs: DataFrame, percent: int, shares: DataFrame | None = None) -> DataFrame:
+    """(a, b, linked, loose) of pairs (a, b) by their full sets: linked, and at least as similar as the triangle inequality
+    asks of those linked to a common third one.
+
+    shares: (a, shares) for an a with very many pairs, which are dealt to so many tasks, each with a copy of a's text.
+    """
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = table(rows.join(small_enough(ids), "id", "left_semi"), "pair-texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = texts_of(docs).join(small_enough(ids), "id", "left_semi")
+    if shares is None:
+        dealt, own = pairs.select("a", "b", F.lit(0).alias("share")), texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.lit(0).alias("share"))
+    else:
+        dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+        own = texts.join(shares.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(own, ["a", "share"])
+    far = max(0, 2 * percent - 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, held = None, None
-        for b in batches:
-            keep = []
+        for b in sliced(batches, 500):
+            verdicts = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if held is None or x != text:
                     text, held = x, shingles(x)
-                keep.append(linked(held, shingles(y), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                other = shingles(y)
+                common = len(np.intersect1d(held, other, assume_unique=True))
+                union = len(held) + len(other) - common
+                verdicts.append((common > 0 and 100 * common >= percent * union, 100 * common >= far * union))
+            yes, near = zip(*verdicts, strict=True) if verdicts else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(yes, pa.bool_()), pa.array(near, pa.bool_())], ["a", "b", "linked", "loose"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, loose boolean")
+    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("loose").alias("loose"))  # repeated ids: any of their texts
 
 
 def _child(k: int) -> Column:
@@ -226,129 +226,103 @@ def _child(k: int) -> Column:
     return F.xxhash64(F.col("node"), F.lit(k), F.element_at("sig", c + 1))
 
 
-def links(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 4096, branches: int = 6, depth: int = 4) -> DataFrame:
-    """Confirmed pairs (a, b) with a < b that hold together every component. reps: (id, n, sig, sketch), one a class."""
+def joined_components(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = BLOCK, branches: int = 6, depth: int = 4) -> DataFrame:
+    """(id, component) of the classes that are linked to another. reps: (id, n, sig, sketch), one a class."""
     nodes = reps.select("id", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).select("id", F.xxhash64("t", "v").alias("node"))
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-
-    def add(pairs: DataFrame) -> None:
-        """Confirms the pairs that weren't tested before and adds the linked ones to found."""
-        nonlocal found, tested
-        new = pairs.select("a", "b").distinct()
-        new = table(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if found is None:
-                found = new
-        else:
-            ok = table(confirmed(new, docs, percent), "links")
-            found = ok if found is None else table(found.unionByName(ok), "links")
-        tested = new if tested is None else tested.unionByName(new)
-
+    leaves, stars = [], []
     for level in range(depth + 1):
-        # Nodes of one member, most of them, go before anything but ids is dealt out.
-        sizes = table(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes")
-        members = table(nodes.join(small_enough(sizes), "node"), "members")
+        sizes = table(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"), "node-sizes")
+        members = nodes.join(sizes, "node")
+        leaves.append(members.where(F.col("size") <= small).select("node", "id"))
         hot = sizes.where(F.col("size") > small)
-        any_hot = not hot.isEmpty()
-        last = level == depth
-        calm = members.where(F.col("size") <= small).select("node", "id").join(reps.select("id", "n", "sketch"), "id")
-        if any_hot:
-            large = members.where(F.col("size") > small).select("node", "id").join(reps.select("id", "n", "sig", "sketch"), "id")
-            hubs = table(large.groupBy("node").agg(F.min(F.struct("id", "n", "sketch")).alias("hub")), "hubs")
-            joined = large.join(small_enough(hubs), "node").where("id <> hub.id")
-            around = table(_around(joined.select("node", "id", "n", "sig", "sketch", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch")), percent), "around-hubs")
-            star = around.where("close").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        offered = table(node_pairs(calm, percent), "offered")
-        add(union_all([offered.select("a", "b"), *([star] if any_hot else [])]))
-        comps = table(components(found), "components-so-far")
-        refuted = table(offered.join(found, ["a", "b"], "left_anti").select("node").distinct(), "refuted-nodes")
-        doubtful: list[DataFrame] = []
-        if not refuted.isEmpty():
-            again = table(calm.join(small_enough(refuted), "node", "left_semi").select("node", "id", "n", "sketch"), "again")
-            doubtful.append(again)
-        if any_hot:
-            direct = found.select(F.col("a").alias("hub"), F.col("b").alias("id"))
-            rest = table(around.join(direct, ["hub", "id"], "left_anti"), "rest-of-hot")
-            near = table(around.join(direct, ["hub", "id"], "left_semi").select("node", "id", "n", "sketch"), "near-hubs")
-            loose = rest.where(F.lit(last) | F.col("loose")).select("node", "id", "n", "sketch")
-            doubtful += [near, loose]
-        more = []
-        if doubtful:
-            lows = table(lows_of(union_all([x.select("id") for x in doubtful]).distinct(), docs), "lows")
-            known = [_with_component(x, comps).join(lows, "id") for x in doubtful]
-            if len(doubtful) % 2:
-                more.append(node_pairs(known[0], percent, across=True).select("a", "b"))
-            if any_hot:
-                near, loose = known[-2:]
-                more.append(block_pairs(near, loose, percent).select("a", "b"))
-                if last:
-                    more.append(block_pairs(loose, loose, percent).select("a", "b"))
-        if more:
-            add(union_all(more))
-        if not any_hot or last:
+        if hot.isEmpty():
             break
-        nodes = rest.select("id", F.explode(F.array([_child(k) for k in range(branches)])).alias("node"))
-    return found
-
-
-def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
-
-
-def _around(rows: DataFrame, percent: int) -> DataFrame:
-    """Members of large nodes beside their hub: close if they may be linked to it, loose if they may be linked to one that is.
-
-    Jaccard distances obey the triangle inequality, so who is linked to a neighbour of the hub has at least similarity
-    1 - 2 * (1 - percent / 100) to the hub.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, n, m = _unpack(b.column(4)), _unpack(b.column(7)), b.column(2).to_numpy(), b.column(6).to_numpy()
-            same, either = ((x == y) & (x != 0)).sum(1), ((x != 0) | (y != 0)).sum(1)
-            close = may_reach(same, either, percent / 100) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            loose = may_reach(same, either, max(0.0, 2 * percent / 100 - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(close), pa.array(loose)], ["node", "id", "n", "sig", "sketch", "hub", "close", "loose"])
-
-    return rows.mapInArrow(run, "node long, id long, n long, sig array<long>, sketch binary, hub long, close boolean, loose boolean")
-
-
-def block_pairs(left: DataFrame, right: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Candidate pairs (node, a, b) of members of left with members of right in the same node but another component, block by block.
-
-    Both sides are dealt to blocks by a hash of the id, as many as the node's larger side needs, so that no task holds
-    more than two blocks at a time.
+        large = members.where((F.col("size") > small) & (F.col("id") != F.col("hub"))).select("node", "id", "hub")
+        shares = hot.groupBy(F.col("hub").alias("a")).agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("shares"))
+        star = table(compared(large.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs, percent, shares).withColumn("last", F.lit(level == depth)), "stars")
+        stars.append(star)
+        if level < depth:
+            rest = large.join(star.where("not linked").select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]).select("node", "id")
+            nodes = table(rest.join(reps.select("id", "sig"), "id").select("id", F.explode(F.array([_child(k) for k in range(branches)])).alias("node")), "children")
+    offered = table(node_pairs(union_all(leaves).join(reps.select("id", "n", "sketch"), "id"), percent), "offered")
+    around = table(union_all(stars), "around") if stars else None
+    tested = table(compared(offered.select("a", "b").distinct(), docs, percent), "tested")
+    first = union_all([x.where("linked").select("a", "b") for x in ([tested] if around is None else [tested, around])])
+    comps = table(components(first), "components-so-far")
+
+    more = []
+    lost = offered.join(tested.where("not linked").select("a", "b"), ["a", "b"])
+    ends = _with_component(_with_component(lost, comps, "a", "comp_a"), comps, "b", "comp_b").where("comp_a <> comp_b")
+    doubtful = table(ends.select("node").distinct(), "doubtful-leaves")
+    if not doubtful.isEmpty():
+        again = offered.join(doubtful, "node", "left_semi").select("node", F.explode(F.array("a", "b")).alias("id")).distinct()
+        again = table(_with_component(again, comps, "id", "comp"), "again")
+        more.append(node_pairs(_ready(again, reps, docs), percent, across=True).select("a", "b"))
+    if around is not None:
+        rest = around.where("not linked and (loose or last)").select(F.col("a").alias("hub"), F.col("b").alias("id"), "last")
+        rest = _with_component(_with_component(rest, comps, "hub", "comp_hub"), comps, "id", "comp")
+        rest = table(rest.where("comp <> comp_hub or last").select("hub", "id", "comp", "last"), "rest")
+        if not rest.isEmpty():
+            near = around.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("id")).join(rest.select("hub").distinct(), "hub", "left_semi")
+            near = _with_component(near, comps, "id", "comp")
+            sides = table(near.withColumn("side", F.lit(0)).unionByName(rest.where("last").drop("last").withColumn("side", F.lit(0))).unionByName(rest.drop("last").withColumn("side", F.lit(1))), "sides")
+            more.append(block_pairs(_ready(sides, reps, docs), percent))
+    if not more:
+        return comps
+    second = table(compared(union_all(more).distinct(), docs, percent).where("linked").select("a", "b"), "links")
+    if second.isEmpty():
+        return comps
+    joined = components(_with_component(_with_component(second, comps, "a", "comp_a"), comps, "b", "comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    known = comps.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id")))
+    return known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
+def _with_component(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
+    known = comps.select(F.col("id").alias(of), F.col("component").alias("__comp"))
+    return rows.join(known, of, "left").withColumn(name, F.coalesce("__comp", of)).drop("__comp")
+
+
+def _ready(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with what the comparison by least hashes needs."""
+    return rows.join(reps.select("id", "n", "sketch"), "id").join(lows_of(rows.select("id").distinct(), docs), "id")
+
+
+def block_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of members of side 0 with members of side 1 around the same hub but in another component.
+
+    rows: (hub, id, side, comp, n, sketch, low). Both sides are dealt to blocks by a hash of the id, as many as their
+    rows need, so that no task holds more than two blocks at a time.
     """
-    sizes = left.select("node").unionByName(right.select("node")).groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    x = left.join(sizes, "node").select("node", "id", "n", "sketch", "comp", "low", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    y = right.join(sizes, "node").select("node", "id", "n", "sketch", "comp", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"))
+    count = lambda s: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / block)).cast("int")
+    sizes = rows.groupBy("hub").agg(count(0).alias("blocks_0"), count(1).alias("blocks_1"))
+    own = lambda b: F.array(F.pmod(F.xxhash64("id", F.lit(7)), F.col(b)).cast("int"))
+    every = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
+    first = F.col("side") == 0
+    dealt = rows.join(sizes, "hub")
+    dealt = dealt.withColumn("i", F.explode(F.when(first, own("blocks_0")).otherwise(every("blocks_0"))))
+    dealt = dealt.withColumn("j", F.explode(F.when(first, every("blocks_1")).otherwise(own("blocks_1"))))
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        side, sk = t["side"].to_numpy(), _unpack(t["sketch"])
-        n, ids, comp, full = t["n"].to_numpy(), t["id"].to_numpy(), t["comp"].to_numpy(), bits(sk)
-        lows = Lows(t["low"].to_pylist(), n)
-        right_at, out = np.flatnonzero(side == 1), []
-        for i in np.flatnonzero(side == 0).tolist():
-            out += [(ids[i], ids[j]) for j in lows.hold(i, _candidates(sk, full, n, i, right_at[comp[right_at] != comp[i]], percent), percent)]
-        a, b = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.table({"node": pa.array(np.full(len(a), key[0].as_py(), np.int64)), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(t: pa.Table) -> pa.Table:
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        out = _joining(np.flatnonzero(side == 1).tolist(), np.flatnonzero(side == 0), _unpack(t["sketch"]), t["n"].to_numpy(), t["comp"].to_numpy(), t["low"].to_pylist(), percent)
+        a, b = ids[np.array(out, np.int64).reshape(-1, 2)].T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return x.unionByName(y).groupBy("node", "i", "j").applyInArrow(run, "node long, a long, b long").where("a <> b")
+    return dealt.select("hub", "id", "side", "comp", "n", "sketch", "low", "i", "j").groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of docs; kept marks the least id of each component.
 
     Null and blank texts have empty sets and are alone. Rows without an id are alone too: their component_id is null and
-    they are kept. Repeated ids are one document for links. Columns other than doc_id and text aren't read.
+    they are kept. Repeated ids are one document for links: any of their texts may be linked. Columns other than doc_id
+    and text aren't read.
     """
     sets = table(sets_of(docs), "sets")
     full = sets.where("n > 0 and doc_id is not null")
     reps = table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
-    comps = components(links(reps, docs, percent, trees, small))
+    comps = joined_components(reps, docs, percent, trees, small)
     classes = reps.select("f1", "f2", "id").join(comps, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component_id"))
-    rows = sets.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    alone = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"))
+    row = lambda df, c: df.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
+    alone = sets.where("not (n > 0 and doc_id is not null)")
+    return row(full.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"]), F.col("component_id")).unionByName(row(alone, F.col("doc_id")))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_of, table
+from .shared import sliced, table
 from .token_files import in_order
 from .tokens import encoder
 
@@ -100,8 +100,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at
     ``block`` ids, so that a task holds one block; a block ends with a window. The pieces are written to a scratch table
     once, because the number of windows before each range is needed for sequence_id.
     """
-    batches_of(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         enc = encoder(vocabulary)
@@ -126,7 +124,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "window_in_part", "offset"])
 
         held, total = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 held.append((key, np.concatenate([ids, end])))
                 total += len(ids) + 1

@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, written
+
 T = TypeVar("T")
 
+table = written
+
 #: The ASCII white space of the contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster names in spark.checkpoint.dir; only where that is unset, in a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to a scratch table and reads it back. Lost executors cost nothing that was written."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def batches_of(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of so many rows, so that a batch of long texts still fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows. Spark bounds a batch by its bytes (64 MB); what is made of it at once is bounded here."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 _held: dict[str, object] = {}
@@ -73,6 +61,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _is_star_forest(e: DataFrame) -> bool:
+    """Whether each u of edges (u, v) has one v only, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    roles = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return roles.where((F.col("child") > 1) | (F.col("child") + F.col("root") > 1)).isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (id, component), component being the smallest id.
 
@@ -80,16 +75,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     with very many edges is no hot task; each round is written to a scratch table. Isolated ids aren't in the result.
     """
     e = table(edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
-    while True:
+    while not _is_star_forest(e):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = table(small.where("u <> v").distinct(), name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .firsts import ROW, repeats
-from .shared import batches_of, table
+from .shared import sliced, table
 
 #: Full stops of other scripts; they end a sentence with or without white space behind.
 STOPS = "\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u3002\uff01\uff0e\uff1f\uff61"
@@ -109,10 +109,8 @@ def runs(counts: list[int], words: int) -> list[tuple[int, int]]:
 
 def span_keys(docs: DataFrame, words: int = 20) -> DataFrame:
     """Occurrences (ROW) of runs: pos is the first piece, size the number of pieces. Blanks between words don't count."""
-    batches_of(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw, doc, at, size = bytearray(), [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = [words_of(s) for s in sentences(text)]
@@ -142,7 +140,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     A null text stays null with no sentences. Other columns stay; those named like the new ones are replaced. Rows with
     equal ids are one document. Rows without an id lose nothing.
     """
-    batches_of(docs.sparkSession)
     new = ("n_sentences", "n_removed", "removed")
     own = [c for c in docs.columns if c not in new]
     at = own.index("text")
@@ -151,7 +148,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     cuts = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, totals, gone, where = [], [], [], []
             for text, found in zip(b.column(at).to_pylist(), b.column(len(own)).to_pylist(), strict=True):
                 parts = sentences(text or "")

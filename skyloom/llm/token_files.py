@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_of, partitions
+from .shared import partitions, sliced
 from .tokens import encoder
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -36,11 +36,9 @@ def lists(ids: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, parts: int | None = None) -> DataFrame:
     """One row a document (repeated ids included; a null text is an empty one): its ids with end_id appended."""
-    batches_of(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
-        for b in batches:
+        for b in sliced(batches):
             ids = [np.concatenate([x, end]) for x in encoder(vocabulary).encode(b.column(1).to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
