@@ -2,22 +2,21 @@
 
 Documents are sets of five-word shingles. Equal sets become one class with its least id. Each of ``trees`` independent
 trees puts a class into the node of one minwise token; two sets of similarity 0.75 share such a node with probability
-0.75 a tree, so twelve trees miss one pair in sixteen million. Nodes of at most ``small`` members are leaves, whose
-members are compared exhaustively. A larger node branches:
-
-- its members are compared exactly with their hub, the least id in it, and those linked to the hub leave the node;
-- the rest pick further minwise tokens, ``branches`` of them, and so go into children, which are treated alike.
-
-So a large group of near copies costs one pass around its hub, and documents that merely share a common shingle part
-quickly. Since only components are returned, pairs that a confirmed chain already joins are not confirmed again:
-
-- a leaf first offers the greatest spanning forest of its candidates by estimated similarity; sketches of 256 bins
-  tell candidates (of pairs at 0.75, fewer than one in ten million isn't one), and full sets of whole texts confirm;
-- where a refuted pair still lies between two components, the leaf's candidates are compared anew, by their least
-  ``LOW`` shingles, which are whole sets for most texts, and again full sets confirm;
-- who left a large node is linked to its hub, so of the rest only those in another component can join anything to it.
-  By the triangle inequality of the Jaccard distance they must have half the similarity of the hub's neighbours to the
-  hub, 1 - 2 * (1 - 0.75), to be linked to one; these few are compared with the neighbours block by block.
+0.75 a tree, so twelve trees miss one pair in sixteen million. Only components are asked for, so pairs that a confirmed
+chain already joins needn't be found:
+
+- First the nodes of the first ``early`` trees are dealt to chunks of at most about ``small`` members, each tree anew, and
+  each chunk offers the greatest spanning forest of its candidates by estimated similarity. What of it is confirmed makes
+  the first components; chunks of several trees overlap at random, so that large groups of copies become few components.
+- Then all trees count. A node of one component is done. A node in which members of different components make up at
+  most ``small``^2 / 2 pairs is a leaf: these pairs are compared exhaustively. Any other node branches: its members pick
+  further minwise tokens, ``branches`` of them, and so go into children, which are treated alike. Documents that merely
+  share a common shingle part quickly. Nodes that are no leaf at ``depth`` are compared block by block.
+- A leaf offers a greatest spanning forest of its components. Where a refuted pair hides others, the leaf is compared
+  anew by the least ``LOW`` shingles of its members, which are whole sets for most texts, and offers what holds.
+
+Sketches of 256 bins tell candidates (of pairs at 0.75, fewer than one in ten million isn't one), and full sets of whole
+texts confirm every pair.
 """
 
 from __future__ import annotations
@@ -31,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, let_go, sliced, table, union_all
-from .shingles import BINS, COORDINATES, agreement, bits, may_reach, shingles, signatures, sketches
+from .shingles import BINS, COORDINATES, agreement, bits, linked, may_reach, shingles, signatures, sketches
 
 #: Tables of at most so many ids (8 MB of longs) are sent to every executor; larger ones are joined by shuffles.
 SENDABLE = 1_000_000
 #: Of a set, so many least hashes are compared where sketches leave doubt; smaller sets are compared whole.
 LOW = 1024
-#: Members that are compared with others in one task.
-BLOCK = 512
+#: A leaf of more members than so many is dealt to blocks.
+BLOCK = 4096
 
 
 def small_enough(ids: DataFrame, most: int = SENDABLE) -> DataFrame:
@@ -77,34 +76,53 @@ def _fits(n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray
     return 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
 
 
-def _forest(sk: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of the greatest spanning forest of the candidate graph by estimated similarity, grown from one member at a time."""
-    full, left, out = bits(sk), np.arange(len(n)), []
-    best, parent = np.full(len(n), -1.0), np.zeros(len(n), np.int64)
-    at, left = 0, left[1:]
-    while len(left):
-        same, either = agreement(sk, full, at, left)
-        near = np.where(may_reach(same, either, percent / 100) & _fits(n, at, left, percent), same / either, -1.0)
-        better = near > best[left]
-        best[left[better]], parent[left[better]] = near[better], at
-        k = int(best[left].argmax())
-        at = int(left[k])
-        if best[at] >= 0:
-            out.append((int(parent[at]), at))
-        left = np.delete(left, k)
-    return out
-
-
-def _joining(left: list[int], right: np.ndarray, sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Pairs of members in left and right that hold by sketches and by least hashes, enough to join all components that can be.
+def _forest(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """Edges of a greatest spanning forest of components by estimated similarity, and whether there are other candidates."""
+    full, names, comp = bits(sk), *np.unique(comp, return_inverse=True)
+    order = np.argsort(np.bincount(comp), kind="stable")  # members of the largest component need no turn of their own
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    turn = rank[comp]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(turn < len(names) - 1).tolist():
+        others = np.flatnonzero(turn > turn[i])
+        others = others[_fits(n, i, others, percent)]
+        same, either = agreement(sk, full, i, others)
+        near = may_reach(same, either, percent / 100)
+        if near.any():
+            others = others[near]
+            found.append((same[near] / either[near], np.full(len(others), i), others))
+    if not found:
+        return [], False
+    near, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    root, out = list(range(len(names))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in np.argsort(-near, kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
+        x, y = top(int(comp[i])), top(int(comp[j]))
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+            if len(out) == len(names) - 1:
+                break
+    return out, len(near) > len(out)
+
+
+def _joining(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of members that hold by sketches and by least hashes, enough to join all components that can be.
 
     A pair of whole sets that holds joins its components, so that no other pair between them is asked for; where sets
     are longer than LOW all pairs that may hold are returned.
     """
     full, comp, out = bits(sk), comp.copy(), []
     lists = [np.frombuffer(x, np.uint32) for x in low]
-    for i in left:
-        others = right[comp[right] != comp[i]]
+    for i in range(len(n)):
+        others = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         others = others[_fits(n, i, others, percent)]
         others = others[may_reach(*agreement(sk, full, i, others), percent / 100)]
         for j in others.tolist():
@@ -139,12 +157,13 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame:
-    """Candidate pairs (node, a, b) of leaves: a forest of each, or those that join its components.
+def leaf_pairs(rows: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+    """Candidate pairs (node, a, b, more) of leaves: a forest of components, more telling of other candidates in the leaf.
+    With exact, by least hashes, pairs that join all components that can be.
 
-    rows: (node, id, n, sketch), and for those between components also comp and low.
+    rows: (node, id, comp, n, sketch), and for exact ones also low.
     """
-    names = ["node", "id", "n", "sketch", *(["comp", "low"] if across else [])]
+    names = ["node", "id", "comp", "n", "sketch", *(["low"] if exact else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -163,22 +182,21 @@ def node_pairs(rows: DataFrame, percent: int, across: bool = False) -> DataFrame
             starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
             if not last or not len(starts):
                 continue
-            ids, n = now["id"].to_numpy(), now["n"].to_numpy()
-            out: list[tuple[int, int]] = []
+            ids, comp, n = now["id"].to_numpy(), now["comp"].to_numpy(), now["n"].to_numpy()
+            out: list[tuple[int, int, bool]] = []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 sk = _unpack(now["sketch"].slice(s, e - s))
-                if across:
-                    comp, low, all_of = now["comp"].slice(s, e - s).to_numpy(), now["low"].slice(s, e - s).to_pylist(), np.arange(e - s)
-                    got = _joining(all_of.tolist(), all_of, sk, n[s:e], comp, low, percent)
+                if exact:
+                    got, more = _joining(sk, n[s:e], comp[s:e], now["low"].slice(s, e - s).to_pylist(), percent), False
                 else:
-                    got = _forest(sk, n[s:e], percent)
-                out += [(s + i, s + j) for i, j in got]
+                    got, more = _forest(sk, n[s:e], comp[s:e], percent)
+                out += [(s + i, s + j, more) for i, j in got]
             if out:
-                i, j = np.array(out).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["node", "a", "b"])
+                i, j, more = (np.array(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(more)], ["node", "a", "b", "more"])
 
     dealt = rows.select(*names).repartition("node").sortWithinPartitions("node", "id")
-    return dealt.mapInArrow(run, "node long, a long, b long").where("a <> b")
+    return dealt.mapInArrow(run, "node long, a long, b long, more boolean").where("a <> b")
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -186,38 +204,24 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def compared(pairs: DataFrame, docs: DataFrame, percent: int, shares: DataFrame | None = None) -> DataFrame:
-    """(a, b, linked, loose) of pairs (a, b) by their full sets: linked, and at least as similar as the triangle inequality
-    asks of those linked to a common third one.
-
-    shares: (a, shares) for an a with very many pairs, which are dealt to so many tasks, each with a copy of a's text.
-    """
+def compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of written pairs (a, b): whether their full sets are linked. Of repeated ids, any texts count."""
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     texts = texts_of(docs).join(small_enough(ids), "id", "left_semi")
-    if shares is None:
-        dealt, own = pairs.select("a", "b", F.lit(0).alias("share")), texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.lit(0).alias("share"))
-    else:
-        dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
-        own = texts.join(shares.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(own, ["a", "share"])
-    far = max(0, 2 * percent - 100)
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, held = None, None
         for b in sliced(batches, 500):
-            verdicts = []
+            yes = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if held is None or x != text:
                     text, held = x, shingles(x)
-                other = shingles(y)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                union = len(held) + len(other) - common
-                verdicts.append((common > 0 and 100 * common >= percent * union, 100 * common >= far * union))
-            yes, near = zip(*verdicts, strict=True) if verdicts else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(yes, pa.bool_()), pa.array(near, pa.bool_())], ["a", "b", "linked", "loose"])
+                yes.append(linked(held, shingles(y), percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(yes, pa.bool_())], ["a", "b", "linked"])
 
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, loose boolean")
-    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("loose").alias("loose"))  # repeated ids: any of their texts
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def _child(k: int) -> Column:
@@ -226,54 +230,66 @@ def _child(k: int) -> Column:
     return F.xxhash64(F.col("node"), F.lit(k), F.element_at("sig", c + 1))
 
 
-def joined_components(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = BLOCK, branches: int = 6, depth: int = 4) -> DataFrame:
-    """(id, component) of the classes that are linked to another. reps: (id, n, sig, sketch), one a class."""
-    nodes = reps.select("id", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).select("id", F.xxhash64("t", "v").alias("node"))
-    leaves, stars = [], []
+def first_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, small: int, early: int) -> DataFrame:
+    """(a, b, linked) of forests of chunks of the first trees. members: (t, node, id, size)."""
+    chunk = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("size") / small))
+    rows = members.where(F.col("t") < early).select(F.xxhash64("node", chunk).alias("node"), "id", F.col("id").alias("comp"))
+    pairs = leaf_pairs(rows.join(reps.select("id", "n", "sketch"), "id"), percent).select("a", "b").distinct()
+    return table(compared(table(pairs, "first-pairs"), docs, percent), "first-tested")
+
+
+def leaves_of(nodes: DataFrame, reps: DataFrame, small: int, branches: int, depth: int) -> DataFrame:
+    """(node, id, comp) of leaves with more than one component; node names a leaf, or a block of one. nodes: (node, id, comp)."""
+    few, found = small * small // 2, []
     for level in range(depth + 1):
-        sizes = table(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"), "node-sizes")
-        members = nodes.join(sizes, "node")
-        leaves.append(members.where(F.col("size") <= small).select("node", "id"))
-        hot = sizes.where(F.col("size") > small)
-        if hot.isEmpty():
+        each = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
+        sizes = table(each.groupBy("node").agg(F.sum("c").alias("size"), pairs.alias("pairs"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where("pairs > 0"), "node-sizes")
+        members, last = nodes.join(sizes, "node"), level == depth
+        found.append(members if last else members.where(F.col("pairs") <= few))
+        if last or sizes.where(F.col("pairs") > few).isEmpty():
             break
-        large = members.where((F.col("size") > small) & (F.col("id") != F.col("hub"))).select("node", "id", "hub")
-        shares = hot.groupBy(F.col("hub").alias("a")).agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("shares"))
-        star = table(compared(large.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs, percent, shares).withColumn("last", F.lit(level == depth)), "stars")
-        stars.append(star)
-        if level < depth:
-            rest = large.join(star.where("not linked").select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"]).select("node", "id")
-            nodes = table(rest.join(reps.select("id", "sig"), "id").select("id", F.explode(F.array([_child(k) for k in range(branches)])).alias("node")), "children")
-    offered = table(node_pairs(union_all(leaves).join(reps.select("id", "n", "sketch"), "id"), percent), "offered")
-    around = table(union_all(stars), "around") if stars else None
-    tested = table(compared(offered.select("a", "b").distinct(), docs, percent), "tested")
-    first = union_all([x.where("linked").select("a", "b") for x in ([tested] if around is None else [tested, around])])
-    comps = table(components(first), "components-so-far")
-
-    more = []
-    lost = offered.join(tested.where("not linked").select("a", "b"), ["a", "b"])
-    ends = _with_component(_with_component(lost, comps, "a", "comp_a"), comps, "b", "comp_b").where("comp_a <> comp_b")
-    doubtful = table(ends.select("node").distinct(), "doubtful-leaves")
+        large = members.where(F.col("pairs") > few).select("node", "id", "comp").join(reps.select("id", "sig"), "id")
+        nodes = table(large.select("id", "comp", F.explode(F.array([_child(k) for k in range(branches)])).alias("node")), "children")
+    blocks = F.ceil(F.col("size") / F.when(F.col("pairs") <= few, BLOCK).otherwise(small)).cast("int")
+    own, every = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    both = F.transform(every, lambda y: F.least(own, y) * blocks + F.greatest(own, y))
+    block = F.when(F.col("pairs") > few, both).when(F.col("comp") == F.col("largest"), F.array(own)).otherwise(every)
+    return union_all(found).select("node", "id", "comp", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("node"), "id", "comp")
+
+
+def joined_components(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 512, early: int = 4, branches: int = 6, depth: int = 4) -> DataFrame:
+    """(id, component) of the classes that are linked to another. reps: (id, n, sig, sketch), one a class."""
+    nodes = reps.select("id", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).select("t", F.xxhash64("t", "v").alias("node"), "id")
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    members = table(nodes.join(sizes, "node"), "members")
+    tested = first_links(members, reps, docs, percent, small, early)
+    comps = table(components(tested.where("linked")), "first-components")
+
+    leaves = table(leaves_of(_with_component(members.select("node", "id"), comps, "id", "comp"), reps, small, branches, depth), "leaves")
+    known = reps.select("id", "n", "sketch")
+    offered = table(leaf_pairs(leaves.join(known, "id"), percent), "offered")
+    new = table(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    then = table(compared(new, docs, percent), "tested")
+    refuted = tested.unionByName(then).where("not linked").select("a", "b")
+    doubtful = table(offered.where("more").join(refuted, ["a", "b"]).select("node").distinct(), "doubtful-leaves")
+    found = then.where("linked").select("a", "b")
     if not doubtful.isEmpty():
-        again = offered.join(doubtful, "node", "left_semi").select("node", F.explode(F.array("a", "b")).alias("id")).distinct()
-        again = table(_with_component(again, comps, "id", "comp"), "again")
-        more.append(node_pairs(_ready(again, reps, docs), percent, across=True).select("a", "b"))
-    if around is not None:
-        rest = around.where("not linked and (loose or last)").select(F.col("a").alias("hub"), F.col("b").alias("id"), "last")
-        rest = _with_component(_with_component(rest, comps, "hub", "comp_hub"), comps, "id", "comp")
-        rest = table(rest.where("comp <> comp_hub or last").select("hub", "id", "comp", "last"), "rest")
-        if not rest.isEmpty():
-            near = around.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("id")).join(rest.select("hub").distinct(), "hub", "left_semi")
-            near = _with_component(near, comps, "id", "comp")
-            sides = table(near.withColumn("side", F.lit(0)).unionByName(rest.where("last").drop("last").withColumn("side", F.lit(0))).unionByName(rest.drop("last").withColumn("side", F.lit(1))), "sides")
-            more.append(block_pairs(_ready(sides, reps, docs), percent))
-    if not more:
-        return comps
-    second = table(compared(union_all(more).distinct(), docs, percent).where("linked").select("a", "b"), "links")
-    if second.isEmpty():
-        return comps
-    joined = components(_with_component(_with_component(second, comps, "a", "comp_a"), comps, "b", "comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
-    known = comps.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id")))
+        again = table(leaves.join(doubtful, "node", "left_semi").distinct(), "again")
+        lows = lows_of(again.select("id").distinct(), docs)
+        pairs = leaf_pairs(again.join(known, "id").join(lows, "id"), percent, exact=True).select("a", "b").distinct()
+        pairs = table(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
+        found = found.unionByName(compared(pairs, docs, percent).where("linked").select("a", "b"))
+    return components_with(comps, found)
+
+
+def components_with(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, component) once edges (a, b) are added."""
+    edges = table(edges, "links")
+    between = _with_component(_with_component(edges, comps, "a", "comp_a"), comps, "b", "comp_b")
+    joined = components(between.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    new = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti")
+    known = comps.unionByName(new.withColumn("component", F.col("id")))
     return known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
@@ -282,36 +298,7 @@ def _with_component(rows: DataFrame, comps: DataFrame, of: str, name: str) -> Da
     return rows.join(known, of, "left").withColumn(name, F.coalesce("__comp", of)).drop("__comp")
 
 
-def _ready(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows with what the comparison by least hashes needs."""
-    return rows.join(reps.select("id", "n", "sketch"), "id").join(lows_of(rows.select("id").distinct(), docs), "id")
-
-
-def block_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) of members of side 0 with members of side 1 around the same hub but in another component.
-
-    rows: (hub, id, side, comp, n, sketch, low). Both sides are dealt to blocks by a hash of the id, as many as their
-    rows need, so that no task holds more than two blocks at a time.
-    """
-    count = lambda s: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / block)).cast("int")
-    sizes = rows.groupBy("hub").agg(count(0).alias("blocks_0"), count(1).alias("blocks_1"))
-    own = lambda b: F.array(F.pmod(F.xxhash64("id", F.lit(7)), F.col(b)).cast("int"))
-    every = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
-    first = F.col("side") == 0
-    dealt = rows.join(sizes, "hub")
-    dealt = dealt.withColumn("i", F.explode(F.when(first, own("blocks_0")).otherwise(every("blocks_0"))))
-    dealt = dealt.withColumn("j", F.explode(F.when(first, every("blocks_1")).otherwise(own("blocks_1"))))
-
-    def run(t: pa.Table) -> pa.Table:
-        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-        out = _joining(np.flatnonzero(side == 1).tolist(), np.flatnonzero(side == 0), _unpack(t["sketch"]), t["n"].to_numpy(), t["comp"].to_numpy(), t["low"].to_pylist(), percent)
-        a, b = ids[np.array(out, np.int64).reshape(-1, 2)].T
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.select("hub", "id", "side", "comp", "n", "sketch", "low", "i", "j").groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of docs; kept marks the least id of each component.
 
     Null and blank texts have empty sets and are alone. Rows without an id are alone too: their component_id is null and

@@ -362,3 +362,19 @@ def test_mixing_of_scarce_topics_takes_the_whole_share(spark, nothing):
     report = mixing.marginals(d, share=0.8).collect()
     assert len(report) == 8 and all(r["wanted"] is None or r["achieved"] == pytest.approx(r["wanted"], rel=0.01) for r in report)
     assert mixing.mix_attainable(mixing.with_topics(nothing, spark.createDataFrame([], "vec_id long, label int"))).count() == 0
+
+
+@pytest.mark.parametrize("small", [4, 16, 512])
+def test_near_dedup_of_a_drifting_family(spark, small):
+    """Copies of copies: neighbours are linked, distant ones aren't, and some are linked to nothing."""
+    import random
+
+    rng = random.Random(11)
+    now, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        for _ in range(rng.choice([1, 1, 2, 9])):
+            now[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((i * 7 % 151, " ".join(now)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, small=small)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs.collect())
