@@ -11,7 +11,8 @@ chain already joins needn't be found:
 - Then all trees count. A node of one component is done. A node in which members of different components make up at
   most ``small``^2 / 2 pairs is a leaf: these pairs are compared exhaustively. Any other node branches: its members pick
   further minwise tokens, ``branches`` of them, and so go into children, which are treated alike. Documents that merely
-  share a common shingle part quickly. Nodes that are no leaf at ``depth`` are compared block by block.
+  share a common shingle part quickly. Where the children would hold more than half as many pairs, as with members that
+  are all half alike, branching doesn't pay, and the node is a leaf all the same; large leaves are compared by blocks.
 - A leaf offers a greatest spanning forest of its components. Where a refuted pair hides others, the leaf is compared
   anew by the least ``LOW`` shingles of its members, which are whole sets for most texts, and offers what holds.
 
@@ -113,33 +114,63 @@ def _forest(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tu
     return out, len(near) > len(out)
 
 
+class Lows:
+    """The least LOW hashes of each member's set, for counting what pairs have in common, never too little.
+
+    Hashes are looked up in a table of 2**20 marks, where now and then one passes for another; members are compared a few
+    hundred at a time. So memory stays small whatever the size of the node.
+    """
+
+    MARKS, TOGETHER = 1 << 20, 256
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.lists = [np.frombuffer(x, np.uint32) for x in raw]
+        self.sizes = np.array([len(x) for x in self.lists])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(self.lists) & np.uint32(self.MARKS - 1)
+        self.mark = np.zeros(self.MARKS, bool)
+        self.last = np.array([int(x[-1]) if m > LOW else 1 << 32 for x, m in zip(self.lists, n.tolist(), strict=True)])
+
+    def hold(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of others that may be linked to i; but for chance matches of hashes they are if both sets are whole."""
+        own = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = True
+        kept = [self._some(i, others[k : k + self.TOGETHER], percent) for k in range(0, len(others), self.TOGETHER)]
+        self.mark[own] = False
+        return np.concatenate(kept) if kept else others
+
+    def _some(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        cells = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
+        common = np.add.reduceat(self.mark[self.flat[cells]], ends - sizes, dtype=np.int64) + 2
+        top = np.minimum(self.last[i], self.last[others])
+        mine = np.searchsorted(self.lists[i], top, "right")
+        theirs = np.array([np.searchsorted(self.lists[j], t, "right") if t < self.last[j] else k for j, t, k in zip(others.tolist(), top.tolist(), sizes.tolist(), strict=True)])
+        union = mine + theirs - common
+        return others[np.where(top >= 1 << 32, 100 * common >= percent * union, may_reach(common, union, percent / 100))]
+
+
 def _joining(sk: np.ndarray, n: np.ndarray, comp: np.ndarray, low: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Pairs of members that hold by sketches and by least hashes, enough to join all components that can be.
 
     A pair of whole sets that holds joins its components, so that no other pair between them is asked for; where sets
     are longer than LOW all pairs that may hold are returned.
     """
-    full, comp, out = bits(sk), comp.copy(), []
-    lists = [np.frombuffer(x, np.uint32) for x in low]
+    full, comp, out, lows = bits(sk), comp.copy(), [], Lows(low, n)
     for i in range(len(n)):
         others = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         others = others[_fits(n, i, others, percent)]
         others = others[may_reach(*agreement(sk, full, i, others), percent / 100)]
-        for j in others.tolist():
+        for j in lows.hold(i, others, percent).tolist():
             if comp[i] == comp[j]:
                 continue
-            whole = n[i] <= LOW and n[j] <= LOW
-            a, b = lists[i], lists[j]
-            if not whole:
-                top = min(int(x[-1]) if m > LOW else 1 << 32 for x, m in ((a, n[i]), (b, n[j])))
-                a, b = (x[: int(np.searchsorted(x, top, "right"))] if top < 1 << 32 else x for x in (a, b))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            union = len(a) + len(b) - common
-            if whole and 100 * common >= percent * union:
-                out.append((i, j))
+            if n[i] <= LOW and n[j] <= LOW:
+                common = len(np.intersect1d(lows.lists[i], lows.lists[j], assume_unique=True))
+                if 100 * common < percent * (len(lows.lists[i]) + len(lows.lists[j]) - common):
+                    continue
                 comp[comp == comp[j]] = comp[i]
-            elif not whole and may_reach(np.array([common]), np.array([union]), percent / 100)[0]:
-                out.append((i, j))
+            out.append((i, j))
     return out
 
 
@@ -225,9 +256,9 @@ def compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _child(k: int) -> Column:
-    """The k-th child of a node: all members pick the same further coordinate."""
-    c = F.pmod(F.xxhash64(F.col("node"), F.lit(k)), F.lit(COORDINATES)).cast("int")
-    return F.xxhash64(F.col("node"), F.lit(k), F.element_at("sig", c + 1))
+    """The k-th child of node parent: all members pick the same further coordinate."""
+    c = F.pmod(F.xxhash64("parent", F.lit(k)), F.lit(COORDINATES)).cast("int")
+    return F.xxhash64("parent", F.lit(k), F.element_at("sig", c + 1))
 
 
 def first_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, small: int, early: int) -> DataFrame:
@@ -238,27 +269,42 @@ def first_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: i
     return table(compared(table(pairs, "first-pairs"), docs, percent), "first-tested")
 
 
+def _sizes(nodes: DataFrame, *more: str) -> DataFrame:
+    """Of nodes with several components: size, the largest component, and the pairs of members that lie in different ones."""
+    each = nodes.groupBy("node", *more, "comp").agg(F.count("*").alias("c"))
+    pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
+    return each.groupBy("node", *more).agg(F.sum("c").alias("size"), pairs.alias("pairs"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where("pairs > 0")
+
+
 def leaves_of(nodes: DataFrame, reps: DataFrame, small: int, branches: int, depth: int) -> DataFrame:
     """(node, id, comp) of leaves with more than one component; node names a leaf, or a block of one. nodes: (node, id, comp)."""
     few, found = small * small // 2, []
+    is_leaf = F.col("pairs") <= few
+    sizes = table(_sizes(nodes), "node-sizes")
     for level in range(depth + 1):
-        each = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"))
-        pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
-        sizes = table(each.groupBy("node").agg(F.sum("c").alias("size"), pairs.alias("pairs"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where("pairs > 0"), "node-sizes")
-        members, last = nodes.join(sizes, "node"), level == depth
-        found.append(members if last else members.where(F.col("pairs") <= few))
-        if last or sizes.where(F.col("pairs") > few).isEmpty():
+        members = nodes.join(sizes, "node")
+        if level == depth or sizes.where(~is_leaf).isEmpty():
+            found.append(members)
             break
-        large = members.where(F.col("pairs") > few).select("node", "id", "comp").join(reps.select("id", "sig"), "id")
-        nodes = table(large.select("id", "comp", F.explode(F.array([_child(k) for k in range(branches)])).alias("node")), "children")
-    blocks = F.ceil(F.col("size") / F.when(F.col("pairs") <= few, BLOCK).otherwise(small)).cast("int")
+        found.append(members.where(is_leaf))
+        large = members.where(~is_leaf)
+        children = large.select(F.col("node").alias("parent"), "id", "comp").join(reps.select("id", "sig"), "id")
+        children = table(children.select("parent", "id", "comp", F.explode(F.array([_child(k) for k in range(branches)])).alias("node")), "children")
+        below = table(_sizes(children, "parent"), "child-sizes")
+        sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("pairs").alias("below"))
+        pays = table(sizes.where(~is_leaf).join(sums, "node", "left").select("node", (F.coalesce("below", F.lit(0.0)) * 2 < F.col("pairs")).alias("pays")), "branching")
+        found.append(large.join(pays.where("not pays").select("node"), "node", "left_semi"))
+        branched = pays.where("pays").select(F.col("node").alias("parent"))
+        nodes = children.join(branched, "parent", "left_semi").select("node", "id", "comp")
+        sizes = below.join(branched, "parent", "left_semi").drop("parent")
+    blocks = F.ceil(F.col("size") / F.when(is_leaf, BLOCK).otherwise(BLOCK // 2)).cast("int")
     own, every = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
     both = F.transform(every, lambda y: F.least(own, y) * blocks + F.greatest(own, y))
-    block = F.when(F.col("pairs") > few, both).when(F.col("comp") == F.col("largest"), F.array(own)).otherwise(every)
+    block = F.when(~is_leaf, both).when(F.col("comp") == F.col("largest"), F.array(own)).otherwise(every)
     return union_all(found).select("node", "id", "comp", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("node"), "id", "comp")
 
 
-def joined_components(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 512, early: int = 4, branches: int = 6, depth: int = 4) -> DataFrame:
+def joined_components(reps: DataFrame, docs: DataFrame, percent: int = 75, trees: int = 12, small: int = 512, early: int = 4, branches: int = 3, depth: int = 4) -> DataFrame:
     """(id, component) of the classes that are linked to another. reps: (id, n, sig, sketch), one a class."""
     nodes = reps.select("id", F.posexplode(F.slice("sig", 1, trees)).alias("t", "v")).select("t", F.xxhash64("t", "v").alias("node"), "id")
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
