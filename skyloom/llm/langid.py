@@ -1,12 +1,14 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels each word.
 
-``train`` counts byte trigrams of words for each label. ``predict`` scores every word of a text under each language,
+``train`` counts character trigrams of words (runs of letters) for each label. ``predict`` scores every word of a text under each language,
 admits only languages that use the word's script, and finds the cheapest labelling of the words when each change of
 language costs ``switch`` nats. Runs of equal labels are the spans of mixed-language text.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,37 +17,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, sliced
+from .shared import columns_of, held_out, quoted, sliced
 
 BITS = 16
 UNDETERMINED = "und"
-#: Scripts by the first UTF-8 byte of a letter (inclusive ranges of Unicode's blocks).
-SCRIPT_LEADS = [
-    ("latin", 0x41, 0x7A),
-    ("latin", 0xC2, 0xCB),
-    ("greek", 0xCD, 0xCF),
-    ("cyrillic", 0xD0, 0xD4),
-    ("armenian_hebrew", 0xD5, 0xD7),
-    ("arabic", 0xD8, 0xDF),
-    ("indic", 0xE0, 0xE0),
-    ("other_bmp", 0xE1, 0xE2),
-    ("han_kana", 0xE3, 0xE9),
-    ("hangul", 0xEA, 0xED),
-    ("private_bmp", 0xEE, 0xEF),
-    ("astral", 0xF0, 0xF4),
-]
-SCRIPTS = list(dict.fromkeys(name for name, _, _ in SCRIPT_LEADS))
-_SCRIPT_OF = np.zeros(256, np.uint8)
-for _name, _low, _high in SCRIPT_LEADS:
-    _SCRIPT_OF[_low : _high + 1] = SCRIPTS.index(_name)
-_LETTER = np.zeros(256, bool)
-_LETTER[ord("a") : ord("z") + 1] = True
-_LETTER[0x80:] = True
+#: Scripts by ranges of code points (inclusive, Unicode's blocks).
+SCRIPT_RANGES = {
+    "latin": [(0x0041, 0x024F), (0x0250, 0x02AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "greek": [(0x0370, 0x03FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "armenian": [(0x0530, 0x058F), (0xFB13, 0xFB17)],
+    "hebrew": [(0x0590, 0x05FF), (0xFB1D, 0xFB4F)],
+    "arabic": [(0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "syriac": [(0x0700, 0x074F)],
+    "thaana": [(0x0780, 0x07BF)],
+    "devanagari": [(0x0900, 0x097F), (0xA8E0, 0xA8FF)],
+    "bengali": [(0x0980, 0x09FF)],
+    "gurmukhi": [(0x0A00, 0x0A7F)],
+    "gujarati": [(0x0A80, 0x0AFF)],
+    "oriya": [(0x0B00, 0x0B7F)],
+    "tamil": [(0x0B80, 0x0BFF)],
+    "telugu": [(0x0C00, 0x0C7F)],
+    "kannada": [(0x0C80, 0x0CFF)],
+    "malayalam": [(0x0D00, 0x0D7F)],
+    "sinhala": [(0x0D80, 0x0DFF)],
+    "thai": [(0x0E00, 0x0E7F)],
+    "lao": [(0x0E80, 0x0EFF)],
+    "tibetan": [(0x0F00, 0x0FFF)],
+    "myanmar": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF)],
+    "cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
+    "hiragana": [(0x3040, 0x309F)],
+    "katakana": [(0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "bopomofo": [(0x3100, 0x312F), (0x31A0, 0x31BF)],
+    "han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
+}
+SCRIPTS = ["other", *SCRIPT_RANGES]
+_LAST = 0x323AF
+
+
+@functools.cache
+def _scripts() -> np.ndarray:
+    """For each code point 0 if it is no letter and no mark on one, else its script's place in SCRIPTS plus 1."""
+    kinds = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(_LAST + 1)])
+    out = kinds.astype(np.uint8)
+    for k, ranges in enumerate(SCRIPT_RANGES.values(), 2):
+        for low, high in ranges:
+            out[low : high + 1] = np.where(kinds[low : high + 1], k, 0)
+    return out
 
 
 @dataclass
 class Words:
-    """The words of a batch: where each starts among the letters, its size in bytes, its script, and each text's first word."""
+    """The words of a batch, runs of letters and their marks: where each starts among the letters, its size, the script of
+    most of its letters (of equally many, the first of SCRIPTS), and each text's first word."""
 
     grams: np.ndarray
     starts: np.ndarray
@@ -55,17 +84,23 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    a = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n\n", np.uint8)
-    letter = _LETTER[a]
+    raw = [t.lower() for t in texts]
+    a = np.frombuffer(("\n" + "\n".join(raw) + "\n\n").encode("utf-32-le", "replace"), np.uint32)
+    kind = _scripts()[np.minimum(a, _LAST)]
+    letter = kind > 0
     at = np.flatnonzero(letter)
-    plain = np.where(letter, a, 32).astype(np.uint32)
-    tri = (plain[at - 1] << 16) | (plain[at] << 8) | plain[at + 1]
+    plain = np.where(letter, a, np.uint32(32))
+    tri = plain[at - 1] * np.uint32(0x9E3779B1) ^ plain[at] * np.uint32(0x85EBCA77) ^ plain[at + 1] * np.uint32(0xC2B2AE3D)
     grams = (tri * np.uint32(2654435761)) >> np.uint32(32 - BITS)
     first = np.flatnonzero(~letter[at - 1]) if len(at) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(at)))
+    own = kind[at].astype(np.int64) - 1
+    scripts = own[first] if len(at) else own
+    odd = np.flatnonzero(np.add.reduceat(own, first) != scripts * sizes) if len(at) else first  # not all of one script
+    for w in odd.tolist():
+        scripts[w] = np.bincount(own[first[w] : first[w] + sizes[w]]).argmax()
     ends = np.cumsum([1] + [len(r) + 1 for r in raw])
-    return Words(grams, first, sizes, _SCRIPT_OF[a[at[first]]], np.searchsorted(at[first], ends))
+    return Words(grams, first, sizes, scripts, np.searchsorted(at[first], ends))
 
 
 @dataclass
@@ -174,14 +209,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [*own, "lang_pred", "score", "spans"])
 
     kinds = dict(docs.dtypes)
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in own)
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, {PREDICTED}")
+    fields = ", ".join(f"{quoted(c)} {kinds[c]}" for c in own)
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns_of(docs, own))], docs[quoted(text)].cast("string").alias("whole")).mapInArrow(run, f"{fields}, {PREDICTED}")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
     """The rows of docs with a language that holds at least ``least`` of their letters, lang being set to it; undetermined ones go."""
     found = predict(docs, model, carry=docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(quoted(c)) for c in docs.columns])
 
 
 def learned(docs: DataFrame, key: str = "doc_id") -> Model:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .firsts import ROW, repeats
-from .shared import BLANKS, sliced, table
+from .shared import BLANKS, beside, quoted, sliced, table
 
 
 def line_keys(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -73,8 +73,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     at = own.index("text")
-    bits = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("n_bits").alias("__n"), F.col("bitmap").alias("__bits"))
-    both = docs.select(*own).join(bits.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    both = beside(docs, own, bitmaps.select("doc_id", "n_bits", "bitmap"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -94,7 +93,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(own))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
 
-    kinds = ", ".join(f"`{c}` {'string' if c == 'text' else t}" for c, t in docs.select(*own).dtypes)
+    kinds = ", ".join(f"{quoted(c)} {'string' if c == 'text' else t}" for c, t in docs.dtypes if c in own)
     return both.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
 
 

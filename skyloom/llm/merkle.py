@@ -11,6 +11,8 @@ of its node followed by eight of each leaf.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,35 @@ def likeness(root_a: Column, short_a: Column, root_b: Column, short_b: Column) -
 
 
 def changed_sections(leaves_a: Column, leaves_b: Column) -> Column:
-    """The differing branches: array<struct<section, leaves>> of sections (from 0) whose nodes differ, with the paragraphs
-    (from 0) whose leaves differ there. Sections and paragraphs are compared by position; what one side lacks differs."""
-    pairs = F.zip_with(leaves_a, leaves_b, lambda a, b: F.struct(F.coalesce(a, F.array().cast("array<string>")).alias("a"), F.coalesce(b, F.array().cast("array<string>")).alias("b"), (a.isNull() | b.isNull()).alias("lone")))
-    opened = F.transform(pairs, lambda x, i: F.struct(i.alias("section"), F.filter(F.transform(F.zip_with(x["a"], x["b"], lambda p, q: p.eqNullSafe(q)), lambda same, k: F.when(~same, k)), lambda k: k.isNotNull()).alias("leaves"), x["lone"].alias("lone")))
-    return F.transform(F.filter(opened, lambda x: x["lone"] | (F.size(x["leaves"]) > 0)), lambda x: F.struct(x["section"], x["leaves"]))
+    """The differing branches: array<struct<section, leaves>>. Sections whose node the other tree has too are the same,
+    wherever they stand; those left over are paired in order, and their paragraphs are compared by place. section is the
+    place (from 0) in b, or in a where b lacks it; leaves are the places of paragraphs that differ or that one side lacks."""
+    none = F.array().cast("array<string>")
+
+    def left_over(own: Column, other: Column) -> Column:
+        placed = F.transform(own, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+        return F.filter(placed, lambda x: ~F.array_contains(nodes(other), F.md5(F.concat(F.lit("s"), F.array_join(x["s"], "")))))
+
+    pairs = F.zip_with(left_over(leaves_a, leaves_b), left_over(leaves_b, leaves_a), lambda a, b: F.struct(F.coalesce(b["i"], a["i"]).alias("section"), F.coalesce(a["s"], none).alias("a"), F.coalesce(b["s"], none).alias("b")))
+    differing = lambda x: F.filter(F.transform(F.zip_with(x["a"], x["b"], lambda p, q: p.eqNullSafe(q)), lambda same, k: F.when(~same, k)), lambda k: k.isNotNull())
+    return F.transform(pairs, lambda x: F.struct(x["section"], differing(x).alias("leaves")))
+
+
+def quantiles(rows: DataFrame, column: str, ranges: int) -> Column:
+    """Bounds of so many ranges of about equally many rows, ascending, in arrays of some sqrt(ranges) each: one literal in plans."""
+    width = max(1, round(ranges**0.5))
+    found = rows.agg(F.array_distinct(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 100 * ranges)).alias("b")).first()["b"] or []
+    return F.from_json(F.lit(json.dumps([found[k : k + width] for k in range(0, len(found), width)])), "array<array<bigint>>")
+
+
+def place(value: Column, bounds: Column) -> Column:
+    """How many of the bounds (a result of ``quantiles``) lie below value; null for null. The arrays that lie below
+    as a whole are counted first, then one is searched."""
+    whole = F.size(F.filter(bounds, lambda b: F.element_at(b, -1) < value))
+    within = F.filter(bounds, lambda b: (F.element_at(b, -1) >= value) & (F.element_at(b, 1) < value))
+    rest = F.coalesce(F.size(F.filter(F.get(within, F.lit(0)), lambda b: b < value)), F.lit(0))
+    width = F.coalesce(F.size(F.get(bounds, F.lit(0))), F.lit(0))
+    return F.when(value.isNotNull(), whole * width + rest)
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -68,9 +94,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = parts or 4 * partitions(docs.sparkSession)
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("b")).first()["b"] or []
-    marks = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
-    rows = rows.withColumn("range", F.coalesce(F.size(F.filter(marks, lambda b: b < F.col("doc_id"))), F.lit(-1)))
+    rows = rows.withColumn("range", F.coalesce(place(F.col("doc_id"), quantiles(rows, "doc_id", ranges)), F.lit(-1)))
     heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row for each range
     order = Window.orderBy(F.desc("range"))
     heads = heads.select("range", "head", F.coalesce(F.lag("range").over(order), F.min("range").over(Window.partitionBy())).alias("before"))

@@ -4,18 +4,19 @@ Token counts are summed up by cell (source, language, topic). The cells' weights
 source, then of each language, then of each topic, round after round, never above what a cell holds. A document is
 sampled with its cell's weight by its cell's tokens as probability, decided by a hash of its id.
 
+Cells are combinations of labels, far fewer than documents: they are gathered in one row, and all rounds are a fold over
+arrays in one expression.
+
 ``mix`` takes a fixed number of rounds to targets as tempered, as op8's SQL has it. ``mix_attainable`` first clips targets
-at what there is and shares out the rest, leaves documents without a topic out of the topic step, and rakes until the
-weights settle; ``marginals`` reports what is wanted and what comes out.
+at what there is and shares out the rest, leaves documents without a topic out of the topic step, and rakes until weights
+have settled; ``marginals`` reports what is wanted and what comes out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table, union_all
@@ -26,13 +27,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 10
 #: Dimensions in which null is no value: such documents have no target there.
 OPEN = ("topic",)
-#: Raking ends when a round moves less than this part of all tokens, or after so many rounds.
-SETTLED, LONGEST = 1e-6, 2000
+#: Rounds after which weights have settled, and steps that then scale all to the share of all tokens.
+SETTLED, FINAL = 300, 40
 
 
 def words(text: Column) -> Column:
     """The number of runs of non-blank characters; 0 for null."""
-    return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "a"), BLANK, "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def tempered(cells: DataFrame, dimension: str, share: float, exponent: float) -> DataFrame:
@@ -46,22 +47,48 @@ def tempered(cells: DataFrame, dimension: str, share: float, exponent: float) ->
     return sums.join(F.broadcast(total)).select(dimension, (F.col("all") * F.lit(share) * part).alias("target"))  # total is one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS, final: int = 0) -> DataFrame:
     """cells with weight: their tokens scaled to the targets of each dimension in turn, at most all of a cell.
 
     cells: the dimensions and tokens, a row for each combination; nulls are a value of their own. targets: for each
-    dimension its values and target tokens; a value without a target keeps its weight. Sums by value are partial
-    aggregates; each step is written, so that plans stay as small as the first one's.
+    dimension its values and target tokens; a value without a target keeps its weight. In the end ``final`` steps scale
+    all weights to the share of all tokens, for the caps of the cells may leave less.
     """
-    now = cells.withColumn("weight", F.col("tokens") * F.lit(share))
-    held = {d: table(t, f"targets-{d}") for d, t in targets.items()}
-    for _ in range(rounds):
-        for d, want in held.items():
-            sums = now.groupBy(F.col(d).alias("__value")).agg(F.sum("weight").alias("__sum"))
-            factor = sums.join(want.withColumnRenamed(d, "__wanted"), F.col("__value").eqNullSafe(F.col("__wanted"))).where("__sum > 0").select("__value", (F.col("target") / F.col("__sum")).alias("__factor"))
-            scaled = F.least(F.col("tokens").cast("double"), F.col("weight") * F.coalesce("__factor", F.lit(1.0)))
-            now = table(now.join(factor, F.col(d).eqNullSafe(F.col("__value")), "left").select(*cells.columns, scaled.alias("weight")), "raked")
-    return now
+    names, coded = list(targets), cells
+    for k, d in enumerate(names):  # each value of a dimension gets a number
+        values = cells.select(d).distinct().join(targets[d].select(F.col(d).alias("__wanted"), F.col("target").alias(f"__target{k}")), F.col(d).eqNullSafe(F.col("__wanted")), "left")
+        values = values.select(F.col(d).alias("__value"), f"__target{k}", (F.row_number().over(Window.orderBy(d)) - 1).alias(f"__code{k}"))
+        coded = coded.join(values, F.col(d).eqNullSafe(F.col("__value"))).drop("__value")
+    every = range(len(names))
+    codes = F.array(*[F.col(f"__code{k}") for k in every], F.lit(0))
+    wanted = F.array(*[F.col(f"__target{k}") for k in every], F.lit(None).cast("double"))
+    cell = F.struct(codes.alias("codes"), wanted.alias("targets"), F.coalesce(F.col("tokens").cast("double"), F.lit(0.0)).alias("tokens"), F.struct(*[F.col(c) for c in cells.columns]).alias("cell"))
+    row = coded.agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    row = row.withColumn("all", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"]) * F.lit(share))
+    row = row.withColumn("widths", F.transform(F.sequence(F.lit(1), F.lit(len(names) + 1)), lambda d: F.aggregate("cells", F.lit(0), lambda a, c: F.greatest(a, F.element_at(c["codes"], d) + 1))))
+    each = F.lit(len(names))
+    dimension = lambda step: F.when(step < each * rounds, F.pmod(step, each)).otherwise(each).cast("int") + 1
+
+    def summed(weights: Column, d: Column) -> Column:
+        pairs = lambda v: F.zip_with("cells", weights, lambda c, w: F.when(F.element_at(c["codes"], d) == v, w).otherwise(0.0))
+        return F.transform(F.sequence(F.lit(0), F.element_at("widths", d) - 1), lambda v: F.aggregate(pairs(v), F.lit(0.0), lambda a, w: a + w))
+
+    def scaled(weights: Column, sums: Column, d: Column) -> Column:
+        def one(c: Column, w: Column) -> Column:
+            have, want = F.element_at(sums, F.element_at(c["codes"], d) + 1), F.when(d > each, F.col("all")).otherwise(F.element_at(c["targets"], d))
+            return F.least(c["tokens"], w * F.when(have > 0, F.coalesce(want / have, F.lit(1.0))).otherwise(1.0))
+
+        return F.zip_with("cells", weights, one)
+
+    def step(state: Column, k: Column) -> Column:  # sums first, then what follows from them
+        d, sums, first = dimension(F.floor(k / 2)), state["sums"], F.pmod(k, F.lit(2)) == 0
+        weights = F.when(first, state["weights"]).otherwise(scaled(state["weights"], sums, d))
+        return F.struct(weights.alias("weights"), F.when(first, summed(state["weights"], d)).otherwise(sums).alias("sums"))
+
+    start = F.struct(F.transform("cells", lambda c: c["tokens"] * F.lit(share)).alias("weights"), F.array().cast("array<double>").alias("sums"))
+    steps = F.sequence(F.lit(0), F.lit(2 * (len(names) * rounds + final) - 1))
+    fitted = row.select("cells", F.aggregate(steps, start, step, lambda s: s["weights"]).alias("weights"))
+    return table(fitted.select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).select("x.cells.cell.*", F.col("x.weights").alias("weight")), "raked")
 
 
 def chance(key: Column, seed: str) -> Column:
@@ -75,7 +102,7 @@ def mix(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None
     exponents: how each dimension's target is tempered, 0.5 where none is given. A cell without tokens has probability
     ``share``. Rows that repeat an id share its fate if they are in one cell. Null dimensions are a value of their own.
     """
-    rows = docs.select("doc_id", *dimensions, "tokens")
+    rows = table(docs.select("doc_id", *dimensions, "tokens"), "token-counts")
     cells = table(rows.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = {d: tempered(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
     raked = rake(cells, targets, share, rounds)
@@ -106,47 +133,18 @@ def attainable(cells: DataFrame, dimension: str, share: float, exponent: float)
     return sums.select(dimension, F.least("have", wanted * F.lit(scale)).alias("target"))
 
 
-def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], share: float) -> DataFrame:
-    """cells with weight as rake has it, but round after round until the weights settle. Where the caps of the cells leave
-    no weights that meet all targets, all weights are scaled in the end, so that the share of all tokens is met.
-
-    The driver does it: it holds a row for each combination of labels, none for documents."""
-    rows = cells.toArrow()
-    tokens = np.array(rows.column("tokens").to_pylist(), np.float64)
-    steps = []
-    for d, t in targets.items():
-        want = {r[0]: r[1] for r in t.collect()}
-        values = rows.column(d).to_pylist()
-        code = {v: i for i, v in enumerate(dict.fromkeys(values))}
-        steps.append((np.array([code[v] for v in values], np.int64), np.array([want.get(v, np.nan) for v in code])))
-    weight = tokens * share
-    for _ in range(LONGEST):
-        last = weight
-        for at, want in steps:
-            sums = np.bincount(at, weight, len(want))
-            factor = np.where(np.isnan(want) | (sums <= 0), 1.0, want / np.where(sums > 0, sums, 1.0))
-            weight = np.minimum(tokens, weight * factor[at])
-        if np.abs(weight - last).sum() <= SETTLED * tokens.sum():
-            break
-    while weight.sum() > 0 and abs(missing := tokens.sum() * share - weight.sum()) > SETTLED * tokens.sum():
-        room = (weight < tokens) & (weight > 0) if missing > 0 else weight > 0
-        if not room.any():
-            break
-        weight = np.where(room, np.minimum(tokens, weight * (1 + missing / weight[room].sum())), weight)
-    return table(cells.sparkSession.createDataFrame(rows.append_column("weight", pa.array(weight, pa.float64())), cells.withColumn("weight", F.lit(0.0)).schema), "raked")
-
-
-def fitted(docs: DataFrame, share: float, exponents: dict[str, float] | None, dimensions: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The cells of docs with settled weights, and the targets of each dimension."""
-    cells = table(docs.groupBy(*dimensions).agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")), "cells")
+def fitted(rows: DataFrame, share: float, exponents: dict[str, float] | None, dimensions: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The cells of rows with settled weights, and the targets of each dimension."""
+    cells = table(rows.groupBy(*dimensions).agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")), "cells")
     targets = {d: attainable(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
-    return rake_settled(cells, targets, share), targets
+    return rake(cells, targets, share, SETTLED, FINAL), targets
 
 
 def mix_attainable(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, seed: str = "mix", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """As mix, but to targets that the values hold, with weights that settled and the whole share of all tokens."""
-    raked, _ = fitted(docs, share, exponents, dimensions)
-    return sampled(docs.select("doc_id", *dimensions, "tokens"), raked, share, seed, dimensions)
+    rows = table(docs.select("doc_id", *dimensions, "tokens"), "token-counts")
+    raked, _ = fitted(rows, share, exponents, dimensions)
+    return sampled(rows, raked, share, seed, dimensions)
 
 
 def marginals(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import TypeVar
 
@@ -27,6 +27,27 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions and schemas need it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [df[quoted(c)] for c in names]
+
+
+def beside(docs: DataFrame, own: Sequence[str], found: DataFrame) -> DataFrame:
+    """The columns own of docs by position, and behind them those of found (doc_id and others) for the same id, null without one.
+
+    Names may clash: columns of the result are named by place. Rows without an id are spread by their text, not dealt to one task.
+    """
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns_of(docs, own))], F.col("doc_id").cast("long").alias("key"))
+    rows = rows.withColumn("salt", F.when(F.col("key").isNull(), F.xxhash64(f"c{list(own).index('text')}")).otherwise(F.lit(0)))
+    others = [c for c in found.columns if c != "doc_id"]
+    right = found.select(F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("salt"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(others)])
+    return rows.join(right, ["key", "salt"], "left").select(*[f"c{i}" for i in range(len(own))], *[f"f{i}" for i in range(len(others))])
+
+
 _held: dict[str, object] = {}
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .firsts import ROW, repeats
-from .shared import sliced, table
+from .shared import beside, quoted, sliced, table
 
 #: Full stops of other scripts; they end a sentence with or without white space behind.
 STOPS = "\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u3002\uff01\uff0e\uff1f\uff61"
@@ -143,8 +143,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     new = ("n_sentences", "n_removed", "removed")
     own = [c for c in docs.columns if c not in new]
     at = own.index("text")
-    found = spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    both = docs.select(*own).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    both = beside(docs, own, spans.select("doc_id", "spans"))
     cuts = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +170,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(own))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, cuts)], [*own, *new])
 
-    kinds = ", ".join(f"`{c}` {'string' if c == 'text' else t}" for c, t in docs.select(*own).dtypes)
+    kinds = ", ".join(f"{quoted(c)} {'string' if c == 'text' else t}" for c, t in docs.dtypes if c in own)
     return both.mapInArrow(run, f"{kinds}, n_sentences long, n_removed long, removed array<struct<start:long,length:long>>")
 
 

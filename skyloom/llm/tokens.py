@@ -3,7 +3,7 @@
 Both kinds of vocabulary file split a text before they merge, and never across a single blank or line feed that a plain
 character follows, nor across the end of a word that a full stop or comma follows. Texts are cut at those places, each
 different piece goes to the library once, and its ids are remembered. A text with any other pattern of white space goes
-to the library cut only where that can't matter.
+to the library cut only where that can't matter. Special tokens' texts count as those tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ class PieceEncoder:
 
     def __init__(self, path: str, remembered: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts that hold one of these go to the library whole: it finds them before it splits anything.
+        self.special = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)", re.IGNORECASE if any(t.normalized for t in added) else 0)
         self.remembered = remembered
         self.drops_blanks = not self._ids(" ")
         self.known: dict[str, bytes | int] = {}
@@ -51,7 +53,6 @@ class PieceEncoder:
         self.stems: dict[str, bytes] = {"": b""}
         #: The same vocabulary for words of Latin letters, which need no pattern to be parted and no normal form.
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
         at_blanks = pre_tokenizers.Split(" ", "removed" if self.drops_blanks else "merged_with_next")
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([at_blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -163,6 +164,9 @@ class PieceEncoder:
         for t, first, pieces, found, gap in zip(texts, firsts, cut, parts, gaps, strict=True):
             for k in gap:
                 found[k] = known[pieces[k]]
+            if self.special.search(t or ""):
+                out.append(np.array(self._ids(t), np.uint32))
+                continue
             try:
                 raw = (np.array(self._ids(first), np.uint32).tobytes() if first else b"") + b"".join(found)
             except TypeError:  # a piece that can't be cut off

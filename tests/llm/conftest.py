@@ -38,7 +38,7 @@ def clashing(awkward):
     from pyspark.sql import functions as F
 
     out = awkward
-    for c in ("n_lines", "n_dropped", "lang_pred", "score", "spans", "n", "id", "a", "b", "component", "kept", "part", "removed", "node", "tokens", "range", "label"):
+    for c in ("n_lines", "n_dropped", "lang_pred", "score", "spans", "n", "id", "a", "b", "component", "kept", "part", "removed", "node", "tokens", "range", "label", "a.b", "__doc", "key", "salt", "c0", "f0", "tick`ed"):
         out = out.withColumn(c, F.lit("x"))
     return out
 

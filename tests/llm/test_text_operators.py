@@ -24,7 +24,6 @@ def rows_of(df, *columns):
 
 def encoder(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,6 +42,33 @@ def test_token_files_round_trip(spark, clashing):
     assert [r["start"] for r in got] == list(itertools.accumulate([0] + [len(i) for _, i in want[:-1]]))
 
 
+def test_special_tokens_are_the_library_s(spark):
+    from skyloom.llm.tokens import PieceEncoder
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y\n<|endoftext|>", "<|ENDOFTEXT|> <| endoftext |>", "plain words"]
+    for path in (WORD, BYTE):
+        enc = encoder(path)
+        assert [x.tolist() for x in PieceEncoder(path).encode(texts)] == [enc(t) for t in texts]
+
+
+def test_token_files_are_read_selectively(spark):
+    import pyarrow.parquet as pq
+
+    path = scratch(spark, "tokens")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.concat(F.lit("word"), F.col("id") % 50), 40)).alias("text"))
+    token_files.write(docs, path, WORD, 1, page_rows=100, parts=1)
+    name = next(r["f"] for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()).removeprefix("file://")
+    group = pq.ParquetFile(name).metadata.row_group(0)
+    cols = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    ids = cols["ids.list.element"]
+    assert "RLE_DICTIONARY" in ids.encodings and "DELTA_BINARY_PACKED" in cols["doc_id"].encodings
+    assert all(c.has_column_index and c.has_offset_index for c in cols.values())
+    some = spark.read.parquet(path).where("doc_id = 77").select("n_tokens")
+    plan = some._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,77)" in plan and "ids" not in plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert some.count() == 1
+
+
 def test_token_files_of_nothing(spark, nothing):
     path = scratch(spark, "tokens")
     token_files.write(nothing, path, WORD, 1)
@@ -246,6 +272,63 @@ def test_language_id(spark, clashing, nothing):
     assert kept.columns == clashing.columns and kept.where("text is null").count() == 0
 
 
+def brute_label(texts, model, switch=12.0):
+    """Words by the standard library, scores by dictionaries, every state of the dynamic programme."""
+    import math
+    import unicodedata
+
+    script = lambda c: next((n for n, rs in langid.SCRIPT_RANGES.items() if any(x <= ord(c) <= y for x, y in rs)), "other")
+    out = []
+    for t in texts:
+        words = ["".join(g) for k, g in itertools.groupby((t or "").lower(), lambda c: unicodedata.category(c)[0] in "LM") if k]
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        rows = []
+        for w in words:
+            seen = collections.Counter(map(script, w))
+            own = max(seen, key=lambda x: (seen[x], -langid.SCRIPTS.index(x)))
+            p = f" {w} "
+            slots = [(((ord(p[i]) * 0x9E3779B1) ^ (ord(p[i + 1]) * 0x85EBCA77) ^ (ord(p[i + 2]) * 0xC2B2AE3D)) % 2**32 * 2654435761 % 2**32) >> (32 - langid.BITS) for i in range(len(w))]
+            uses = model.uses[langid.SCRIPTS.index(own)]
+            rows.append([sum(float(model.logs[x, k]) for x in slots) - (0 if uses[k] or not uses.any() else 1e4) for k in range(len(model.languages))])
+        best = [(v, [k]) for k, v in enumerate(rows[0])]
+        for r in rows[1:]:
+            best = [max(((v - switch * (p[-1] != k) + r[k], [*p, k]) for v, p in best), key=lambda x: x[0]) for k in range(len(r))]
+        path = max(best, key=lambda x: x[0])[1]
+        share = collections.Counter()
+        for k, w in zip(path, words, strict=True):
+            share[k] += len(w)
+        top = max(share, key=share.get)
+        out.append((model.languages[top], share[top] / math.fsum(share.values())))
+    return out
+
+
+def test_language_id_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    lexicon = {
+        "en": "the quick brown fox jumps over lazy dog don\u2019t \u201cspeak\u201d \u2014 and then went home",
+        "fr": "le renard \u00ab brun \u00bb saute l\u2019\u00e9t\u00e9 d\u2019o\u00f9 \u00e0 la maison o\u00f9 \u201cdort\u201d",
+        "vi": "\u1ec5nh \u0111\u01b0\u1ee3c ti\u1ebfng vi\u1ec7t \u1ed1ng \u1ee9ng nh\u1eefng ng\u01b0\u1eddi",
+        "th": "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22 \u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35 \u0e19\u0e49\u0e33",
+        "ja": "\u3053\u308c\u306f \u65e5\u672c\u8a9e\u3067\u3059 \u30ab\u30bf\u30ab\u30ca",
+        "zh": "\u8fd9\u662f \u4e2d\u6587 \u6587\u5b57",
+        "hi": "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e",
+    }
+    words = {k: v.split() for k, v in lexicon.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(k, 25), k) for i in range(12) for k in words], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    probes = [text(k, 12) for k in words] + [f"{text(a, 14)} {text(b, 9)}" for a in words for b in words] + ["\u201cthe\u201d \u201clazy\u201d \u201cdog\u201d", "", "12 \u2014", None, "\u00bd"]
+    got = langid.label(probes, model)
+    for g, b in zip(got, brute_label(probes, model), strict=True):
+        assert g[0] == b[0] and g[1] == pytest.approx(b[1])
+    assert [g[0] for g in got[: len(words)]] == list(words)
+    assert got[len(words) + len(words) ** 2][:2] == ("en", 1.0)
+
+
 def test_viterbi_is_the_best_path():
     import numpy as np
 
@@ -312,6 +395,19 @@ def test_differing_branches(spark):
     assert [(x["section"], x["leaves"]) for x in r] == [(0, [1]), (2, [1]), (3, [0])]
 
 
+def test_an_inserted_section_is_the_only_change(spark):
+    a, b = "One. Two.\nThree.\nFour.", "One. Two.\nNew here. And here.\nThree.\nFour."
+    both = spark.range(1).select(merkle.changed_sections(merkle.tree(F.lit(a)), merkle.tree(F.lit(b))).alias("x"), merkle.changed_sections(merkle.tree(F.lit(b)), merkle.tree(F.lit(a))).alias("y")).first()
+    assert [(x["section"], x["leaves"]) for x in both["x"]] == [(1, [0, 1])] == [(x["section"], x["leaves"]) for x in both["y"]]
+
+
+def test_places_among_quantiles(spark):
+    rows = spark.range(0, 1000, 3).select(F.col("id").alias("doc_id"))
+    got = rows.select("doc_id", merkle.place(F.col("doc_id"), merkle.quantiles(rows, "doc_id", 37)).alias("p")).collect()
+    counts = collections.Counter(r["p"] for r in got)
+    assert [r["p"] for r in got] == sorted(r["p"] for r in got) and set(counts) == set(range(37)) and max(counts.values()) <= 12
+
+
 def test_mixing_reaches_its_targets(spark, clashing, nothing):
     import random
 
