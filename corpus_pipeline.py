@@ -16,7 +16,7 @@ from skyloom.llm.line_dedup import dedup_lines
 from skyloom.llm.mixing import mix_attainable, with_topics
 from skyloom.llm.near_dedup import near_duplicates
 from skyloom.llm.packing import pack
-from skyloom.llm.shared import read_documents, table
+from skyloom.llm.shared import quoted, read_documents, table
 
 #: Of all tokens, the part that the mixture takes.
 SHARE = 0.8
@@ -36,13 +36,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines that a document of smaller id holds go; n_chars is counted anew. Documents of which nothing is left go."""
     cleaned = dedup_lines(docs)
     left = cleaned.where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return left.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*map(quoted, docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least id stays, with all its rows; rows without an id stay."""
     gone = table(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     there are tokens; documents without a topic follow the other two."""
     rows = with_topics(docs, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     gone = table(mix_attainable(rows, SHARE).where(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct(), "not-sampled")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*map(quoted, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
