@@ -55,10 +55,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
     """
     t = F.unix_micros(F.col(at).cast("timestamp"))
     both = left.withColumn("__r", F.lit(None).cast("timestamp_ntz")).withColumn("__t", t).unionByName(right.select(*keys, at).distinct().withColumn("__r", F.col(at)).withColumn("__t", t), allowMissingColumns=True).withColumn("__left", F.col("__r").isNull())
-    # Right rows come first among equals, so an exact hit is "before".
-    w = Window.partitionBy(*keys).orderBy("__t", "__left")
-    before = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Right rows come first among equals, so an exact hit is "before". Both frames only grow: a shrinking one begins anew with each row.
+    so_far = lambda *order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = so_far("__t", "__left"), so_far(F.desc("__t"), F.desc("__left"))
     out = both.withColumn("__b", before).withColumn("__a", after).where("__left")
     gap = lambda c: F.abs(F.unix_micros(F.col(c).cast("timestamp")) - F.col("__t"))
     take = F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull() | (gap("__b") <= gap("__a")), F.col("__b")).otherwise(F.col("__a"))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def series(keys: Sequence[str], hour: str = "hour") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(hour)
+def series(keys: Sequence[str], hour: str = "hour", backwards: bool = False) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.desc(hour) if backwards else F.col(hour))
 
 
 def densify(rows: DataFrame, keys: Sequence[str], hour: str = "hour", whole: bool = False) -> DataFrame:
@@ -82,19 +82,22 @@ def drop_stuck(rows: DataFrame, keys: Sequence[str], value: str = "value", hour:
     return out.withColumn(value, F.when(~F.coalesce(stuck, F.lit(False)), F.col(value))).drop("run", "run_length")
 
 
-def filled(value: Column, spec: WindowSpec) -> Column:
-    """The last value so far, else the first one to come."""
-    before = F.last(value, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(before, after)
+def _so_far(value: Column, spec: WindowSpec) -> Column:
+    """The last value up to a row: a frame that only grows, so that each row is looked at once. In the opposite order of
+    rows it is the first value to come, for which a frame that shrinks would begin anew with each row."""
+    return F.last(value, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def interpolated(value: Column, hour: Column, spec: WindowSpec) -> Column:
-    """On the line between the neighbours in time; the nearest value at the ends."""
+def filled(value: Column, spec: WindowSpec, backwards: WindowSpec) -> Column:
+    """The last value so far, else the first one to come. backwards: spec in the opposite order."""
+    return F.coalesce(_so_far(value, spec), _so_far(value, backwards))
+
+
+def interpolated(value: Column, hour: Column, spec: WindowSpec, backwards: WindowSpec) -> Column:
+    """On the line between the neighbours in time; the nearest value at the ends. backwards: spec in the opposite order."""
     at = F.unix_seconds(hour.cast("timestamp"))
     known = F.when(value.isNotNull(), F.struct(at.alias("t"), value.alias("v")))
-    a = F.last(known, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing))
+    a, b = _so_far(known, spec), _so_far(known, backwards)
     between = a["v"] + (b["v"] - a["v"]) * (at - a["t"]) / (b["t"] - a["t"])
     return F.when(value.isNotNull(), value).when(a.isNotNull() & b.isNotNull(), between).otherwise(F.coalesce(a["v"], b["v"]))
 

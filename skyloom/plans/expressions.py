@@ -10,7 +10,7 @@ from ..functions import index as X
 from ..functions import parse as P
 from ..functions import tables as T
 from ..functions import weather as W
-from ..sources.bridge import observations, pixels, read, sql, stations
+from ..sources.bridge import SMALL, observations, pixels, read, sql, stations
 from .registry import Registry
 
 REG = Registry()
@@ -34,16 +34,16 @@ CATEGORY_SQL = "CASE WHEN {0} <= 50 THEN 'Good' WHEN {0} <= 100 THEN 'Satisfacto
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir, 8)
+    return observations(spark, sf_dir, SMALL)
 
 
-@query("x1_sub_index", sql(f"SELECT event_id, parameter, {index_by_sql('parameter', '(value * 1.3 - 5)')} AS sub_index FROM obs8", "obs8"))
+@query("x1_sub_index", sql(f"SELECT event_id, parameter, {index_by_sql('parameter', '(value * 1.3 - 5)')} AS sub_index FROM obs", "obs"))
 def x1(spark, sf_dir):
     c = F.col("value") * 1.3 - 5
     return _obs(spark, sf_dir).select("event_id", "parameter", X.by_pollutant(F.col("parameter"), lambda p: X.sub_index(p, c)).alias("sub_index"))
 
 
-@query("x2_category", sql(f"SELECT event_id, {CATEGORY_SQL.format('(value * 2)')} AS category FROM obs8", "obs8"))
+@query("x2_category", sql(f"SELECT event_id, {CATEGORY_SQL.format('(value * 2)')} AS category FROM obs", "obs"))
 def x2(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.category(F.col("value") * 2).alias("category"))
 
@@ -52,7 +52,7 @@ _p3 = "round_even(value / 0.7, 1)"
 X3_SQL = "coalesce(round_even(CASE WHEN {0} > 350 THEN ({0} - 250.1::DOUBLE) * (99::DOUBLE / (350.0::DOUBLE - 250.1::DOUBLE)) + 401 ELSE {1} END, 0)::INTEGER, 0)"
 
 
-@query("x3_policy_index", sql(f"SELECT event_id, {X3_SQL.format('c', ladder_sql('c', T.POLICY_PM25))} AS aqi FROM (SELECT event_id, {_p3} AS c FROM obs8)", "obs8"))
+@query("x3_policy_index", sql(f"SELECT event_id, {X3_SQL.format('c', ladder_sql('c', T.POLICY_PM25))} AS aqi FROM (SELECT event_id, {_p3} AS c FROM obs)", "obs"))
 def x3(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.policy_index(F.col("value") / 0.7).alias("aqi"))
 
@@ -64,9 +64,9 @@ def _x4(p: str, x: str) -> str:
 @query(
     "x4_ingest_index",
     sql(
-        f""", s AS (SELECT event_id, {_x4("pm25", "value")} AS a, {_x4("pm10", "value * 2")} AS b, {_x4("nox", "value * 1.5")} AS c, {_x4("o3", "value / 2")} AS d FROM obs8)
+        f""", s AS (SELECT event_id, {_x4("pm25", "value")} AS a, {_x4("pm10", "value * 2")} AS b, {_x4("nox", "value * 1.5")} AS c, {_x4("o3", "value / 2")} AS d FROM obs)
         SELECT event_id, greatest(a, b, c, d) AS aqi, CASE greatest(a, b, c, d) WHEN a THEN 'PM2.5' WHEN b THEN 'PM10' WHEN c THEN 'NOx' WHEN d THEN 'O3' END AS dominant FROM s""",
-        "obs8",
+        "obs",
     ),
 )
 def x4(spark, sf_dir):
@@ -74,7 +74,7 @@ def x4(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.ingest_index(v, v * 2, v * 1.5, v / 2).alias("x")).select("event_id", "x.*")
 
 
-@query("x5_client_index", sql(f"SELECT event_id, floor(coalesce({ladder_sql('value', T.CLIENT_PM25, True)}, (value - 250) * (99.0::DOUBLE / 750) + 401) + 0.5)::INTEGER AS aqi FROM obs8", "obs8"))
+@query("x5_client_index", sql(f"SELECT event_id, floor(coalesce({ladder_sql('value', T.CLIENT_PM25, True)}, (value - 250) * (99.0::DOUBLE / 750) + 401) + 0.5)::INTEGER AS aqi FROM obs", "obs"))
 def x5(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.client_index(F.col("value")).alias("aqi"))
 
@@ -84,7 +84,7 @@ def _x6(p: str, i: str) -> str:
     return f"CASE {w} ELSE {T.FOREIGN[p][-1][1]}::DOUBLE END"
 
 
-@query("x6_from_foreign_index", sql(f"SELECT event_id, {_x6('pm25', 'i')} AS pm25, {_x6('pm10', 'i')} AS pm10, {_x6('o3', 'i')} AS o3 FROM (SELECT event_id, floor(value * 1.2)::INTEGER AS i FROM obs8)", "obs8"))
+@query("x6_from_foreign_index", sql(f"SELECT event_id, {_x6('pm25', 'i')} AS pm25, {_x6('pm10', 'i')} AS pm10, {_x6('o3', 'i')} AS o3 FROM (SELECT event_id, floor(value * 1.2)::INTEGER AS i FROM obs)", "obs"))
 def x6(spark, sf_dir):
     d = _obs(spark, sf_dir).select("event_id", F.floor(F.col("value") * 1.2).cast("int").alias("i"))
     return d.select("event_id", *[X.from_foreign(p, F.col("i")).alias(p) for p in ("pm25", "pm10", "o3")])
@@ -95,7 +95,7 @@ def _x7(i: str) -> str:
     return f"CASE WHEN {i} >= 0 THEN CASE {w} END END"
 
 
-@query("x7_pm25_of_index", sql(f"SELECT event_id, {_x7('i')} AS pm25 FROM (SELECT event_id, floor(value * 1.3 - 3)::INTEGER AS i FROM obs8)", "obs8"))
+@query("x7_pm25_of_index", sql(f"SELECT event_id, {_x7('i')} AS pm25 FROM (SELECT event_id, floor(value * 1.3 - 3)::INTEGER AS i FROM obs)", "obs"))
 def x7(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.pm25_of_index(F.floor(F.col("value") * 1.3 - 3).cast("int")).alias("pm25"))
 
@@ -103,7 +103,7 @@ def x7(spark, sf_dir):
 _x8 = " ".join(f"WHEN i BETWEEN {c} AND {d} THEN (i - {c}) * (({b}::DOUBLE - {a}::DOUBLE) / {d - c}) + {a}::DOUBLE" for a, b, c, d in T.POLICY_PM25)
 
 
-@query("x8_pm25_roughly", sql(f"SELECT event_id, CASE {_x8} ELSE 350.0::DOUBLE END AS pm25 FROM (SELECT event_id, floor(value * 1.3)::INTEGER AS i FROM obs8)", "obs8"))
+@query("x8_pm25_roughly", sql(f"SELECT event_id, CASE {_x8} ELSE 350.0::DOUBLE END AS pm25 FROM (SELECT event_id, floor(value * 1.3)::INTEGER AS i FROM obs)", "obs"))
 def x8(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.pm25_roughly(F.floor(F.col("value") * 1.3).cast("int")).alias("pm25"))
 
@@ -111,13 +111,13 @@ def x8(spark, sf_dir):
 _x9 = " ".join((f"WHEN i <= {t} THEN" if t else "ELSE") + " {'stage': " + str(s) + f", 'category': '{n}', 'actions': " + "[" + ", ".join(f"'{a}'" for a in acts) + "]}" for t, s, n, acts in T.STAGES)
 
 
-@query("x9_policy_stage", sql(f"SELECT event_id, s.stage AS stage, s.category AS category, len(s.actions)::INTEGER AS n_actions, s.actions[1] AS first_action FROM (SELECT event_id, CASE {_x9} END AS s FROM (SELECT event_id, floor(value * 2)::INTEGER AS i FROM obs8))", "obs8"))
+@query("x9_policy_stage", sql(f"SELECT event_id, s.stage AS stage, s.category AS category, len(s.actions)::INTEGER AS n_actions, s.actions[1] AS first_action FROM (SELECT event_id, CASE {_x9} END AS s FROM (SELECT event_id, floor(value * 2)::INTEGER AS i FROM obs))", "obs"))
 def x9(spark, sf_dir):
     s = _obs(spark, sf_dir).select("event_id", X.policy_stage(F.floor(F.col("value") * 2).cast("int")).alias("s"))
     return s.select("event_id", "s.stage", "s.category", F.size("s.actions").alias("n_actions"), F.get("s.actions", F.lit(0)).alias("first_action"))
 
 
-_w = "SELECT event_id, value AS pm25, value * 8 AS pbl, (event_id % 60) / 10.0::DOUBLE AS wind, (event_id % 24)::DOUBLE AS hour, value * 3 AS solar FROM obs8"
+_w = "SELECT event_id, value AS pm25, value * 8 AS pbl, (event_id % 60) / 10.0::DOUBLE AS wind, (event_id % 24)::DOUBLE AS hour, value * 3 AS solar FROM obs"
 
 
 def _weather(spark, sf_dir):
@@ -130,7 +130,7 @@ def _weather(spark, sf_dir):
     sql(
         f"""SELECT event_id, coalesce(pbl < 400 AND wind < 2, false) AS inversion, round_even(wind * pbl, 2) AS ventilation,
         CASE WHEN pbl IS NULL OR wind IS NULL THEN 'UNKNOWN' WHEN pbl < 300 AND wind < 1.5 THEN 'CRITICAL' WHEN pbl < 500 AND wind < 2.5 THEN 'HIGH' WHEN pbl < 800 OR wind < 3.5 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM ({_w})""",
-        "obs8",
+        "obs",
     ),
 )
 def x10(spark, sf_dir):
@@ -141,17 +141,17 @@ _clamp = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
 _isi = f"1 / (1 + exp(-8 * (0.45 * {_clamp.format('pm25 / 500')} + 0.35 * {_clamp.format('1 - pbl / 2000')} + 0.2 * {_clamp.format('1 - wind / 10')} - 0.5)))"
 
 
-@query("x11_inversion_index", sql(f"SELECT event_id, round({_isi}, 6) AS isi FROM ({_w})", "obs8"))
+@query("x11_inversion_index", sql(f"SELECT event_id, round({_isi}, 6) AS isi FROM ({_w})", "obs"))
 def x11(spark, sf_dir):
     return _weather(spark, sf_dir).select("event_id", F.round(W.inversion_index(F.col("pm25"), F.col("pbl"), F.col("wind")), 6).alias("isi"))
 
 
-@query("x12_alert_level", sql(f"SELECT event_id, CASE WHEN s > 1.65 THEN 'EMERGENCY' WHEN s > 1.2 THEN 'WARNING' WHEN s > 0.8 THEN 'ADVISORY' ELSE 'NOMINAL' END AS level FROM (SELECT event_id, pm25 / 120 + wind / 6 * 0.75 AS s FROM ({_w}))", "obs8"))
+@query("x12_alert_level", sql(f"SELECT event_id, CASE WHEN s > 1.65 THEN 'EMERGENCY' WHEN s > 1.2 THEN 'WARNING' WHEN s > 0.8 THEN 'ADVISORY' ELSE 'NOMINAL' END AS level FROM (SELECT event_id, pm25 / 120 + wind / 6 * 0.75 AS s FROM ({_w}))", "obs"))
 def x12(spark, sf_dir):
     return _weather(spark, sf_dir).select("event_id", X.alert_level(F.col("pm25"), F.col("wind") / 6).alias("level"))
 
 
-@query("x13_inversion_severity", sql(f"SELECT event_id, CASE WHEN isi > 0.85 THEN 'EMERGENCY' WHEN isi > 0.75 THEN 'SEVERE' ELSE 'MODERATE' END AS severity FROM (SELECT event_id, {_isi} AS isi FROM ({_w}))", "obs8"))
+@query("x13_inversion_severity", sql(f"SELECT event_id, CASE WHEN isi > 0.85 THEN 'EMERGENCY' WHEN isi > 0.75 THEN 'SEVERE' ELSE 'MODERATE' END AS severity FROM (SELECT event_id, {_isi} AS isi FROM ({_w}))", "obs"))
 def x13(spark, sf_dir):
     return _weather(spark, sf_dir).select("event_id", W.inversion_severity(W.inversion_index(F.col("pm25"), F.col("pbl"), F.col("wind"))).alias("severity"))
 
@@ -167,7 +167,7 @@ def _x14() -> str:
         f""", w AS (SELECT *, greatest(50.0::DOUBLE, pbl) AS pbl0, hour AS temp FROM ({_w})){rounds}
         SELECT event_id, round(aod2, 6) AS aod, round(pm2, 6) AS pm25_out, round(greatest(0.0::DOUBLE, solar + {d}), 6) AS solar_out, round(greatest(50.0::DOUBLE, pbl0 + 0.42 * {d}), 6) AS pbl_out,
         round(temp + 0.018 * {d}, 6) AS temp_out, round(CASE WHEN pm25 > 0 THEN pm2 / pm25 ELSE 1 END, 6) AS amplification FROM t2""",
-        "obs8",
+        "obs",
     )
 
 
@@ -184,12 +184,12 @@ _pct = "floor(greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({}) / 400 * 100)) + 0.
     "x15_exposure_risk",
     sql(
         f""", s AS (SELECT event_id, floor(value * 2)::INTEGER AS aqi, CASE WHEN event_id % 3 > 0 THEN floor(value)::INTEGER END AS pm25, CASE WHEN event_id % 5 = 0 THEN floor(value * 1.5)::INTEGER END AS co,
-        CASE WHEN event_id % 2 = 0 THEN floor(value * 0.7)::INTEGER END AS pm10, CASE WHEN event_id % 4 = 0 THEN floor(value * 1.8)::INTEGER END AS o3 FROM obs8),
+        CASE WHEN event_id % 2 = 0 THEN floor(value * 0.7)::INTEGER END AS pm10, CASE WHEN event_id % 4 = 0 THEN floor(value * 1.8)::INTEGER END AS o3 FROM obs),
         r AS (SELECT event_id, unnest([{{'id': 'respiratory', 'pct': {_pct.format("coalesce(pm25, aqi)")}, 'm': pm25 IS NOT NULL}}, {{'id': 'cardio', 'pct': {_pct.format("coalesce(greatest(pm25, co), aqi) * 0.82::DOUBLE")}, 'm': greatest(pm25, co) IS NOT NULL}},
         {{'id': 'irritant', 'pct': {_pct.format("coalesce(pm10, aqi) * 0.9::DOUBLE")}, 'm': pm10 IS NOT NULL}}, {{'id': 'exertion', 'pct': {_pct.format("greatest(aqi, coalesce(o3, 0) * 1.15::DOUBLE) * 1.08::DOUBLE")}, 'm': o3 IS NOT NULL}}]) AS x FROM s)
         SELECT event_id, x.id AS id, x.pct AS pct, CASE WHEN x.pct < 15 THEN 'Minimal' WHEN x.pct < 28 THEN 'Low' WHEN x.pct < 45 THEN 'Moderate' WHEN x.pct < 65 THEN 'Elevated' WHEN x.pct < 85 THEN 'High' ELSE 'Severe' END AS level,
         CASE WHEN x.m THEN 'measured' ELSE 'composite' END AS basis FROM r""",
-        "obs8",
+        "obs",
     ),
 )
 def x15(spark, sf_dir):
@@ -200,7 +200,7 @@ def x15(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", F.inline(rows))
 
 
-@query("x16_alert_stage", sql("SELECT event_id, CASE WHEN value * 3 > 400 THEN 'EMERGENCY' WHEN value * 3 > 300 THEN 'ALERT' WHEN value * 3 > 200 THEN 'WATCH' ELSE 'NONE' END AS stage FROM obs8", "obs8"))
+@query("x16_alert_stage", sql("SELECT event_id, CASE WHEN value * 3 > 400 THEN 'EMERGENCY' WHEN value * 3 > 300 THEN 'ALERT' WHEN value * 3 > 200 THEN 'WATCH' ELSE 'NONE' END AS stage FROM obs", "obs"))
 def x16(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.alert_stage(F.col("value") * 3).alias("stage"))
 
@@ -210,7 +210,7 @@ def x16(spark, sf_dir):
     sql(
         f""", w AS ({_w}), f AS (SELECT unnest(['MODEL', 'PM10', 'O3', 'NOx', 'PBL', 'WIND']) AS field)
         SELECT event_id, field, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE field WHEN 'PM10' THEN pm25 * 1.74 / 210 WHEN 'O3' THEN solar / 130 WHEN 'NOx' THEN hour / 150 WHEN 'PBL' THEN 1 - pbl / 1000 WHEN 'WIND' THEN 1 - wind / 6 ELSE pm25 / 120 END)), 9) AS intensity FROM w, f""",
-        "obs8",
+        "obs",
     ),
 )
 def x17(spark, sf_dir):
@@ -219,7 +219,7 @@ def x17(spark, sf_dir):
     return d.select("event_id", "field", F.round(W.field_intensity(F.col("field"), F.col("pm25"), F.col("solar"), F.col("hour"), F.col("pbl"), F.col("wind")), 9).alias("intensity"))
 
 
-@query("x18_coverage_status", sql("SELECT event_id, CASE WHEN value >= 90 THEN 'ok' WHEN value >= 60 THEN 'degraded' ELSE 'offline' END AS status FROM obs8", "obs8"))
+@query("x18_coverage_status", sql("SELECT event_id, CASE WHEN value >= 90 THEN 'ok' WHEN value >= 60 THEN 'degraded' ELSE 'offline' END AS status FROM obs", "obs"))
 def x18(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", W.coverage_status(F.col("value")).alias("status"))
 
@@ -227,9 +227,9 @@ def x18(spark, sf_dir):
 @query(
     "x19_freshness",
     sql(
-        """, c AS (SELECT event_id, ts, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) - (event_id % 3) * INTERVAL 1 DAY END AS started, date_trunc('day', ts) + (event_id % 40) * INTERVAL 1 HOUR AS last_valid FROM obs8)
+        """, c AS (SELECT event_id, ts, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) - (event_id % 3) * INTERVAL 1 DAY END AS started, date_trunc('day', ts) + (event_id % 40) * INTERVAL 1 HOUR AS last_valid FROM obs)
         SELECT event_id, started, CASE WHEN last_valid <= ts THEN 'expired' WHEN started IS NULL THEN 'unknown' WHEN (epoch_us(ts) - epoch_us(started)) / 3.6e9 > 24 THEN 'stale' WHEN (epoch_us(ts) - epoch_us(started)) / 3.6e9 > 6 THEN 'aging' ELSE 'fresh' END AS status FROM c""",
-        "obs8",
+        "obs",
     ),
 )
 def x19(spark, sf_dir):
@@ -282,9 +282,9 @@ def x21(spark, sf_dir):
 
 @query(
     "x22_wind_block",
-    sql(f""", w AS (SELECT event_id, sin(event_id) * value / 50 AS u, CASE WHEN event_id % 11 > 0 THEN cos(event_id) * value / 40 END AS v FROM obs8),
+    sql(f""", w AS (SELECT event_id, sin(event_id) * value / 50 AS u, CASE WHEN event_id % 11 > 0 THEN cos(event_id) * value / 40 END AS v FROM obs),
     g AS (SELECT *, sqrt(u * u + v * v) AS s, degrees(atan2(u, v)) + 360.0 AS d FROM w), k AS (SELECT *, d - 360.0 * floor(d / 360.0) AS t FROM g), b AS (SELECT *, t + 180.0 - 360.0 * floor((t + 180.0) / 360.0) AS f FROM k)
-    SELECT event_id, round_even(s, 2) AS speed_ms, round_even(s * 3.6, 1) AS speed_kmh, round_even(t, 1) AS to_deg, {_compass("t")} AS to_compass, round_even(f, 1) AS from_deg, {_compass("f")} AS from_compass FROM b""", "obs8"),
+    SELECT event_id, round_even(s, 2) AS speed_ms, round_even(s * 3.6, 1) AS speed_kmh, round_even(t, 1) AS to_deg, {_compass("t")} AS to_compass, round_even(f, 1) AS from_deg, {_compass("f")} AS from_compass FROM b""", "obs"),
 )
 def x22(spark, sf_dir):
     e, v = F.col("event_id"), F.col("value")
@@ -302,15 +302,15 @@ def x23(spark, sf_dir):
     return d.select("hour", F.round(W.clear_sky(h), 9).alias("solar"), F.round(W.diurnal(h), 9).alias("diurnal"), F.round(W.pbl_shape(h), 9).alias("pbl"))
 
 
-@query("x24_ingest_category", sql(f"SELECT event_id, coalesce({CATEGORY_SQL.format('a')}, 'Unknown') AS category FROM (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN value * 2 END AS a FROM obs8)", "obs8"))
+@query("x24_ingest_category", sql(f"SELECT event_id, coalesce({CATEGORY_SQL.format('a')}, 'Unknown') AS category FROM (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN value * 2 END AS a FROM obs)", "obs"))
 def x24(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", X.ingest_category(F.when(F.col("event_id") % 9 > 0, F.col("value") * 2)).alias("category"))
 
 
 @query(
     "x25_station_pm25",
-    sql(f""", s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS own, CASE WHEN event_id % 3 = 1 THEN value + 1 END AS conc, CASE WHEN event_id % 4 > 0 THEN floor(value * 1.2)::INTEGER END AS i FROM obs8)
-    SELECT event_id, coalesce(own, conc, {_x7("i")}) AS value, CASE WHEN coalesce(own, conc) IS NOT NULL THEN 'measured' WHEN {_x7("i")} IS NOT NULL THEN 'index' ELSE 'none' END AS basis FROM s""", "obs8"),
+    sql(f""", s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS own, CASE WHEN event_id % 3 = 1 THEN value + 1 END AS conc, CASE WHEN event_id % 4 > 0 THEN floor(value * 1.2)::INTEGER END AS i FROM obs)
+    SELECT event_id, coalesce(own, conc, {_x7("i")}) AS value, CASE WHEN coalesce(own, conc) IS NOT NULL THEN 'measured' WHEN {_x7("i")} IS NOT NULL THEN 'index' ELSE 'none' END AS basis FROM s""", "obs"),
 )
 def x25(spark, sf_dir):
     e, v = F.col("event_id"), F.col("value")
@@ -318,12 +318,12 @@ def x25(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", s.alias("s")).select("event_id", "s.value", "s.basis")
 
 
-@query("x28_age_text", sql("SELECT event_id, CASE WHEN m < 60 THEN greatest(m, 1)::VARCHAR || 'm' WHEN m // 60 < 24 THEN (m // 60)::VARCHAR || 'h' ELSE (m // 1440)::VARCHAR || 'd' END AS age FROM (SELECT event_id, floor(value * value / 10)::BIGINT AS m FROM obs8)", "obs8"))
+@query("x28_age_text", sql("SELECT event_id, CASE WHEN m < 60 THEN greatest(m, 1)::VARCHAR || 'm' WHEN m // 60 < 24 THEN (m // 60)::VARCHAR || 'h' ELSE (m // 1440)::VARCHAR || 'd' END AS age FROM (SELECT event_id, floor(value * value / 10)::BIGINT AS m FROM obs)", "obs"))
 def x28(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", W.age_text(F.col("value") * F.col("value") / 10).alias("age"))
 
 
-@query("x29_noise", sql("SELECT event_id, round(x - floor(x), 4) AS noise FROM (SELECT event_id, sin((event_id % 1000) * 12.9898::DOUBLE) * 43758.5453::DOUBLE AS x FROM obs8)", "obs8"))
+@query("x29_noise", sql("SELECT event_id, round(x - floor(x), 4) AS noise FROM (SELECT event_id, sin((event_id % 1000) * 12.9898::DOUBLE) * 43758.5453::DOUBLE AS x FROM obs)", "obs"))
 def x29(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", F.round(W.noise(F.col("event_id") % 1000), 4).alias("noise"))
 
@@ -336,8 +336,8 @@ _M = "CASE parameter WHEN 'no2' THEN 46.0055 WHEN 'so2' THEN 64.066 WHEN 'o3' TH
 
 @query(
     "p1_units",
-    sql(f""", u AS (SELECT event_id, parameter, value, {_U}[event_id % 6 + 1] AS unit FROM obs8)
-    SELECT event_id, unit, round(CASE WHEN unit IN ('ppb', 'ppm') THEN CASE unit WHEN 'ppm' THEN value * 1000 ELSE value END * {_M} / 24.45::DOUBLE WHEN unit = 'mg/m3' THEN value * 1000 WHEN unit <> 'furlong' THEN value END, 6) AS value FROM u""", "obs8"),
+    sql(f""", u AS (SELECT event_id, parameter, value, {_U}[event_id % 6 + 1] AS unit FROM obs)
+    SELECT event_id, unit, round(CASE WHEN unit IN ('ppb', 'ppm') THEN CASE unit WHEN 'ppm' THEN value * 1000 ELSE value END * {_M} / 24.45::DOUBLE WHEN unit = 'mg/m3' THEN value * 1000 WHEN unit <> 'furlong' THEN value END, 6) AS value FROM u""", "obs"),
 )
 def p1(spark, sf_dir):
     d = _obs(spark, sf_dir).withColumn("unit", F.get(F.array(*map(F.lit, _units)), (F.col("event_id") % 6).cast("int")))
@@ -352,7 +352,7 @@ def _raw_text(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", "ts", F.when(e % 6 == 0, "NA").when(e % 6 == 1, "-999").when(e % 6 == 2, F.concat(F.lit(" "), v)).when(e % 6 == 3, "").when(e % 6 == 4, "nan").otherwise(v).alias("raw"))
 
 
-@query("p2_number", sql(f"SELECT event_id, CASE WHEN NOT isnan(v) AND v BETWEEN 0 AND 300 THEN round_even(v, 2) END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs8)", "obs8"))
+@query("p2_number", sql(f"SELECT event_id, CASE WHEN NOT isnan(v) AND v BETWEEN 0 AND 300 THEN round_even(v, 2) END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs)", "obs"))
 def p2(spark, sf_dir):
     return _raw_text(spark, sf_dir).select("event_id", P.number(F.col("raw"), 0, 300).alias("value"))
 
@@ -363,7 +363,7 @@ _c = "CASE WHEN {0} BETWEEN {1} AND {2} THEN round_even({0}, 2) END"
 @query(
     "p3_cleaned_record",
     sql(f"""SELECT event_id, {_c.format("value * 4", 0, 1500)} AS pm25, {_c.format("value * 8", 0, 2500)} AS pm10, {_c.format("value - 20", 0, 1000)} AS nox, {_c.format("value / 3.1", -20, 60)} AS temperature,
-    {_c.format("value", 0, 100)} AS humidity, {_c.format("value * 2", 0, 360)} AS wind_direction, {_c.format("value + 200", 200, 600)} AS brightness FROM obs8""", "obs8"),
+    {_c.format("value", 0, 100)} AS humidity, {_c.format("value * 2", 0, 360)} AS wind_direction, {_c.format("value + 200", 200, 600)} AS brightness FROM obs""", "obs"),
 )
 def p3(spark, sf_dir):
     v = F.col("value")
@@ -371,19 +371,19 @@ def p3(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", *[P.number(x, lo, hi).alias(k) for k, (x, lo, hi) in fields.items()])
 
 
-@query("p4_moment", sql("SELECT event_id, epoch_ms(date_trunc('second', ts))::BIGINT AS ms FROM obs8", "obs8"))
+@query("p4_moment", sql("SELECT event_id, epoch_ms(date_trunc('second', ts))::BIGINT AS ms FROM obs", "obs"))
 def p4(spark, sf_dir):
     e, s = F.col("event_id"), F.unix_seconds(F.col("ts").cast("timestamp"))
     raw = F.when(e % 3 == 0, s.cast("string")).when(e % 3 == 1, (s * 1000).cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return _obs(spark, sf_dir).select("event_id", F.unix_millis(P.moment(raw)).alias("ms"))
 
 
-@query("p5_bulletin_number", sql(f"SELECT event_id, CASE WHEN v >= 0 THEN v END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs8) WHERE v IS NULL OR NOT isnan(v)", "obs8"))
+@query("p5_bulletin_number", sql(f"SELECT event_id, CASE WHEN v >= 0 THEN v END AS value FROM (SELECT event_id, try_cast(trim({_raw}) AS DOUBLE) AS v FROM obs) WHERE v IS NULL OR NOT isnan(v)", "obs"))
 def p5(spark, sf_dir):
     return _raw_text(spark, sf_dir).where("raw <> 'nan'").select("event_id", P.bulletin_number(F.col("raw")).alias("value"))
 
 
-@query("p6_bulletin_moment", sql("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END - INTERVAL 330 MINUTE AS at FROM obs8", "obs8"))
+@query("p6_bulletin_moment", sql("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END - INTERVAL 330 MINUTE AS at FROM obs", "obs"))
 def p6(spark, sf_dir):
     e = F.col("event_id")
     raw = F.when(e % 3 == 0, F.date_format("ts", "dd-MM-yyyy HH:mm:ss")).when(e % 3 == 1, F.date_format("ts", "dd-MM-yyyy HH:mm")).otherwise("soon")
@@ -397,18 +397,18 @@ def p7(spark, sf_dir):
     return pixels(spark, sf_dir).select("okey", "line", P.detected_at(F.when(line != 5, F.col("acq_date")), t).cast("timestamp_ntz").alias("at"))
 
 
-@query("p8_wind_parts", sql("SELECT event_id, round(-value * sin(radians(event_id % 360)), 6) + 0.0 AS u, round(-value * cos(radians(event_id % 360)), 6) + 0.0 AS v, round(value / 3.6::DOUBLE, 6) AS ms FROM obs8", "obs8"))
+@query("p8_wind_parts", sql("SELECT event_id, round(-value * sin(radians(event_id % 360)), 6) + 0.0 AS u, round(-value * cos(radians(event_id % 360)), 6) + 0.0 AS v, round(value / 3.6::DOUBLE, 6) AS ms FROM obs", "obs"))
 def p8(spark, sf_dir):
     u, v = G.wind_parts(F.col("value"), F.col("event_id") % 360)
     return _obs(spark, sf_dir).select("event_id", (F.round(u, 6) + 0.0).alias("u"), (F.round(v, 6) + 0.0).alias("v"), F.round(W.kmh_to_ms(F.col("value")), 6).alias("ms"))
 
 
-@query("p10_pbl_floor", sql("SELECT event_id, greatest(50.0::DOUBLE, value) AS archive, CASE WHEN value > 50 THEN value END AS live FROM obs8", "obs8"))
+@query("p10_pbl_floor", sql("SELECT event_id, greatest(50.0::DOUBLE, value) AS archive, CASE WHEN value > 50 THEN value END AS live FROM obs", "obs"))
 def p10(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", W.pbl_archive(F.col("value")).alias("archive"), W.pbl_live(F.col("value")).alias("live"))
 
 
-@query("p11_channels", sql("SELECT event_id, round(least(1.0::DOUBLE, value / 1000), 9) AS pm25, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value - 30 + 10) / 60)), 9) AS temperature, round(least(1.0::DOUBLE, value / 120), 9) AS o3_old FROM obs8", "obs8"))
+@query("p11_channels", sql("SELECT event_id, round(least(1.0::DOUBLE, value / 1000), 9) AS pm25, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value - 30 + 10) / 60)), 9) AS temperature, round(least(1.0::DOUBLE, value / 120), 9) AS o3_old FROM obs", "obs"))
 def p11(spark, sf_dir):
     v = F.col("value")
     return _obs(spark, sf_dir).select("event_id", F.round(W.normalised(v, "pm25"), 9).alias("pm25"), F.round(W.normalised(v - 30, "temperature"), 9).alias("temperature"), F.round(W.normalised(v, "o3", legacy=True), 9).alias("o3_old"))
@@ -476,12 +476,12 @@ def p22(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), P.redacted(text).alias("line"))
 
 
-@query("p23_humidity", sql("SELECT event_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 * exp(17.67 * (d - 273.15) / (d - 273.15 + 243.5)) / exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5)))), 6) AS rh FROM (SELECT event_id, 280 + value / 20 AS t, 278 + event_id % 20 AS d FROM obs8)", "obs8"))
+@query("p23_humidity", sql("SELECT event_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 * exp(17.67 * (d - 273.15) / (d - 273.15 + 243.5)) / exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5)))), 6) AS rh FROM (SELECT event_id, 280 + value / 20 AS t, 278 + event_id % 20 AS d FROM obs)", "obs"))
 def p23(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", F.round(W.humidity(280 + F.col("value") / 20, 278 + F.col("event_id") % 20), 6).alias("rh"))
 
 
-@query("p24_decay", sql("SELECT event_id, round(CASE WHEN h < 0 THEN 0 WHEN h <= 2 THEN value WHEN h <= 6 THEN value * (1 - (h - 2) / 4) ELSE 0 END, 9) AS frp FROM (SELECT event_id, value, event_id % 90 / 10.0::DOUBLE - 1 AS h FROM obs8)", "obs8"))
+@query("p24_decay", sql("SELECT event_id, round(CASE WHEN h < 0 THEN 0 WHEN h <= 2 THEN value WHEN h <= 6 THEN value * (1 - (h - 2) / 4) ELSE 0 END, 9) AS frp FROM (SELECT event_id, value, event_id % 90 / 10.0::DOUBLE - 1 AS h FROM obs)", "obs"))
 def p24(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", F.round(W.decayed(F.col("value"), F.col("event_id") % 90 / F.lit(10.0) - 1), 9).alias("frp"))
 

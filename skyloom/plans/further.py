@@ -16,14 +16,14 @@ from ..operators import scenario as SC
 from ..operators import spatial as SP
 from ..operators import store as ST
 from ..operators import timeseries as S
-from ..sources.bridge import observations, pixels, read, sql, stations, steady, steady_sql
+from ..sources.bridge import SMALL, observations, pixels, read, sql, stations, steady, steady_sql
 from ..sources.scratch import written
 from ..streaming import recorder as R
 from .expressions import CATEGORY_SQL, index_by_sql, ladder_sql
 from .geography import GRID_SQL, split
 from .registry import Query, Registry
 from .relations import M_LAST, backtest, dense, fitted, indexed
-from .series import A2_SQL, h8, hp
+from .series import A2_SQL, h_small, hp
 from .streams import _fresh, dropped
 
 REG = Registry()
@@ -36,11 +36,11 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_partitioned_scan", sql("SELECT station_id, count(*) AS n, max(value) AS top FROM obs8 WHERE parameter = 'pm25' AND ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY station_id", "obs8"))
+@query("s1_partitioned_scan", sql("SELECT station_id, count(*) AS n, max(value) AS top FROM obs WHERE parameter = 'pm25' AND ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY station_id", "obs"))
 def s1(spark, sf_dir):
     """A Hive-style folder by day and pollutant: both filters prune partitions."""
     path = _place(spark, "observations")
-    observations(spark, sf_dir, 8).withColumn("day", F.col("ts").cast("date")).write.partitionBy("day", "parameter").parquet(path)
+    observations(spark, sf_dir, SMALL).withColumn("day", F.col("ts").cast("date")).write.partitionBy("day", "parameter").parquet(path)
     got = spark.read.parquet(path).where("parameter = 'pm25' and day between date'2024-01-10' and date'2024-01-12'")
     return got.groupBy("station_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
@@ -52,10 +52,10 @@ def s3(spark, sf_dir):
     return spark.read.schema("event_id long, ts timestamp_ntz, value double").option("header", True).csv(path).where("value > 20")
 
 
-@query("s5_archive_fallback", sql("SELECT okey, line, frp, 'standard' AS product FROM px WHERE acq_date < '1994-01-01' AND line > 2", "px"))
+@query("s5_archive_fallback", sql("SELECT okey, line, frp, 'standard' AS product FROM px WHERE acq_date < '1996-01-01' AND line > 2", "px"))
 def s5(spark, sf_dir):
     """The preferred product is empty for the window, so the other one answers."""
-    p = pixels(spark, sf_dir).where("acq_date < '1994-01-01'")
+    p = pixels(spark, sf_dir).where("acq_date < '1996-01-01'")
     swift = p.where("line > 99").select("okey", "line", "frp", F.lit("swift").alias("product"))
     return ST.preferred([swift, p.where("line > 2").select("okey", "line", "frp", F.lit("standard").alias("product"))], 1)
 
@@ -73,19 +73,19 @@ def s6(spark, sf_dir):
     return back.select(F.col("location_id").alias("station"), F.explode("sensors").alias("parameter", "l")).select("station", F.explode("l").alias("x"), "parameter").select("station", F.col("x.sensor_id").alias("sensor"), "parameter")
 
 
-@query("s15_latest_measurements", sql("SELECT station_id, max(value) FILTER (parameter = 'pm25') AS pm25, coalesce(nullif(max(value) FILTER (parameter = 'no2'), 0), max(value) FILTER (parameter = 'so2')) AS nox, max(value) FILTER (parameter = 'o3') AS o3 FROM hp8 WHERE hour = (SELECT max(hour) FROM hp8) GROUP BY station_id", "hp8"))
+@query("s15_latest_measurements", sql("SELECT station_id, max(value) FILTER (parameter = 'pm25') AS pm25, coalesce(nullif(max(value) FILTER (parameter = 'no2'), 0), max(value) FILTER (parameter = 'so2')) AS nox, max(value) FILTER (parameter = 'o3') AS o3 FROM hp WHERE hour = (SELECT max(hour) FROM hp) GROUP BY station_id", "hp"))
 def s15(spark, sf_dir):
-    h = hp(spark, sf_dir, 8)
+    h = hp(spark, sf_dir, SMALL)
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")  # one row
     m = now.groupBy("station_id").agg(F.map_from_entries(F.collect_list(F.struct("parameter", "value"))).alias("m"))  # one entry a pollutant
     get = lambda k: F.try_element_at("m", F.lit(k))
     return m.select("station_id", get("pm25").alias("pm25"), F.coalesce(F.nullif(get("no2"), F.lit(0.0)), get("so2")).alias("nox"), get("o3").alias("o3"))
 
 
-@query("s16_weather_surrogate", sql("SELECT event_id, coalesce(CASE WHEN event_id % 4 > 0 THEN value * 10 END, 350 + 800 * greatest(0.0::DOUBLE, 1 - pow(extract(hour FROM ts) - 8, 2) / 36)) AS pbl FROM obs8", "obs8"))
+@query("s16_weather_surrogate", sql("SELECT event_id, coalesce(CASE WHEN event_id % 4 > 0 THEN value * 10 END, 350 + 800 * greatest(0.0::DOUBLE, 1 - pow(extract(hour FROM ts) - 8, 2) / 36)) AS pbl FROM obs", "obs"))
 def s16(spark, sf_dir):
     h = F.hour("ts")
-    o = observations(spark, sf_dir, 8)
+    o = observations(spark, sf_dir, SMALL)
     return o.select("event_id", F.coalesce(F.when(F.col("event_id") % 4 > 0, F.col("value") * 10), 350 + 800 * F.greatest(F.lit(0.0), 1 - F.pow(h - 8, F.lit(2)) / 36)).alias("pbl"))
 
 
@@ -95,14 +95,14 @@ def s17(spark, sf_dir):
     return pixels(spark, sf_dir).select("okey", "line", F.coalesce(F.when(n == 0, 300 + f), F.when(n == 1, 310 + f), F.lit(320.0)).alias("brightness"))
 
 
-@query("s18_units_per_sensor", sql("SELECT sensor_id % 3 = 2 AS skipped, count(*) AS n FROM obs8 GROUP BY 1", "obs8"))
+@query("s18_units_per_sensor", sql("SELECT sensor_id % 3 = 2 AS skipped, count(*) AS n FROM obs GROUP BY 1", "obs"))
 def s18(spark, sf_dir):
-    o = observations(spark, sf_dir, 8)
+    o = observations(spark, sf_dir, SMALL)
     units = o.select("sensor_id").distinct().where("sensor_id % 3 <> 2").select("sensor_id", F.lit("ug/m3").alias("unit"))
     return o.join(units, "sensor_id", "left").groupBy(F.col("unit").isNull().alias("skipped")).agg(F.count("*").alias("n"))
 
 
-@query("k1_index_by_season", sql(f"{A2_SQL} SELECT extract(day FROM hour) // 8 AS season, count(*) AS n, count(*) FILTER (valid) AS valid FROM mesh GROUP BY 1", "hp2"))
+@query("k1_index_by_season", sql(f"{A2_SQL} SELECT extract(day FROM hour) // 8 AS season, count(*) AS n, count(*) FILTER (valid) AS valid FROM mesh GROUP BY 1", "hp_large"))
 def k1(spark, sf_dir):
     from .series import mesh
 
@@ -119,18 +119,18 @@ def k9(spark, sf_dir):
 
 
 def subs(spark, sf_dir) -> DataFrame:
-    h = hp(spark, sf_dir, 8)
+    h = hp(spark, sf_dir, SMALL)
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
     return now.withColumn("sub", X.by_pollutant(F.col("parameter"), lambda p: X.sub_index(p, F.col("value"))))
 
 
-SUBS = f"subs AS (SELECT *, {index_by_sql('parameter', 'value')} AS sub FROM hp8 WHERE hour = (SELECT max(hour) FROM hp8))"
+SUBS = f"subs AS (SELECT *, {index_by_sql('parameter', 'value')} AS sub FROM hp WHERE hour = (SELECT max(hour) FROM hp))"
 _pols = "(VALUES ('pm25'), ('pm10'), ('no2'), ('so2'), ('o3'), ('co'), ('nh3')) p(parameter)"
 
 
-@query("x26_pollutant_cards", sql(f", {SUBS}, s AS (SELECT DISTINCT station_id FROM hp8) SELECT s.station_id, p.parameter, sub IS NOT NULL AS measured, CASE WHEN sub IS NOT NULL THEN greatest(2, least(100, sub)) END AS pct, {CATEGORY_SQL.format('sub')} AS status FROM s CROSS JOIN {_pols} LEFT JOIN subs ON subs.station_id = s.station_id AND subs.parameter = p.parameter", "hp8"))
+@query("x26_pollutant_cards", sql(f", {SUBS}, s AS (SELECT DISTINCT station_id FROM hp) SELECT s.station_id, p.parameter, sub IS NOT NULL AS measured, CASE WHEN sub IS NOT NULL THEN greatest(2, least(100, sub)) END AS pct, {CATEGORY_SQL.format('sub')} AS status FROM s CROSS JOIN {_pols} LEFT JOIN subs ON subs.station_id = s.station_id AND subs.parameter = p.parameter", "hp"))
 def x26(spark, sf_dir):
-    every = hp(spark, sf_dir, 8).select("station_id").distinct().withColumn("parameter", F.explode(F.array(*map(F.lit, ["pm25", "pm10", "no2", "so2", "o3", "co", "nh3"]))))
+    every = hp(spark, sf_dir, SMALL).select("station_id").distinct().withColumn("parameter", F.explode(F.array(*map(F.lit, ["pm25", "pm10", "no2", "so2", "o3", "co", "nh3"]))))
     c = every.join(subs(spark, sf_dir).select("station_id", "parameter", "sub"), ["station_id", "parameter"], "left")
     return c.select("station_id", "parameter", F.col("sub").isNotNull().alias("measured"), F.when(F.col("sub").isNotNull(), F.greatest(F.lit(2), F.least(F.lit(100), F.col("sub")))).alias("pct"), X.category(F.col("sub")).alias("status"))
 
@@ -144,7 +144,7 @@ def x27(spark, sf_dir):
     return d.select("acq_date", "fires", F.when(zero, 0.0).when(F.col("share").isNotNull(), SC.rounded(F.col("share"), 1)).alias("share"), F.when(zero | F.col("share").isNotNull(), "measured").otherwise("no fire data").alias("note"))
 
 
-@query("a35_channel_states", sql(f", {SUBS} SELECT p.parameter, CASE WHEN p.parameter IN (SELECT parameter FROM subs WHERE sub IS NOT NULL) THEN 'indexed' WHEN p.parameter = 'co' THEN 'withheld' ELSE 'absent' END AS state FROM {_pols}", "hp8"))
+@query("a35_channel_states", sql(f", {SUBS} SELECT p.parameter, CASE WHEN p.parameter IN (SELECT parameter FROM subs WHERE sub IS NOT NULL) THEN 'indexed' WHEN p.parameter = 'co' THEN 'withheld' ELSE 'absent' END AS state FROM {_pols}", "hp"))
 def a35(spark, sf_dir):
     order = spark.createDataFrame([(p,) for p in ("pm25", "pm10", "no2", "so2", "o3", "co", "nh3")], "parameter string")
     held = spark.createDataFrame([("co", True)], "parameter string, withheld boolean")
@@ -153,39 +153,39 @@ def a35(spark, sf_dir):
     return c.select("parameter", F.when(F.col("there"), "indexed").when(F.col("withheld"), "withheld").otherwise("absent").alias("state"))
 
 
-@query("a40_mesh_range", sql(f"{A2_SQL}, {M_LAST} SELECT zone, min(aqi) AS low, max(aqi) AS high, count(*) AS n FROM ml GROUP BY zone", "hp2"))
+@query("a40_mesh_range", sql(f"{A2_SQL}, {M_LAST} SELECT zone, min(aqi) AS low, max(aqi) AS high, count(*) AS n FROM ml GROUP BY zone", "hp_large"))
 def a40(spark, sf_dir):
     return indexed(spark, sf_dir).groupBy("zone").agg(F.min("aqi").alias("low"), F.max("aqi").alias("high"), F.count("*").alias("n"))
 
 
-@query("a45_index_of_means", sql(f", {SUBS} SELECT station_id, count(sub) AS n, CASE WHEN count(sub) >= 3 THEN max(sub) END AS aqi FROM subs GROUP BY station_id", "hp8"))
+@query("a45_index_of_means", sql(f", {SUBS} SELECT station_id, count(sub) AS n, CASE WHEN count(sub) >= 3 THEN max(sub) END AS aqi FROM subs GROUP BY station_id", "hp"))
 def a45(spark, sf_dir):
     """From averages as they are, without a window: three sub-indices suffice, whichever they are."""
     return subs(spark, sf_dir).groupBy("station_id").agg(F.count("sub").alias("n"), F.max("sub").alias("m")).select("station_id", "n", F.when(F.col("n") >= 3, F.col("m")).alias("aqi"))
 
 
-@query("a47_kpi_cards", sql(f", {SUBS} SELECT parameter, CASE WHEN avg(CASE WHEN parameter <> 'o3' THEN value END) IS NOT NULL THEN 'ug/m3' ELSE 'sub-index' END AS unit, {steady_sql("coalesce(avg(CASE WHEN parameter <> 'o3' THEN value END), avg(sub))")} AS value, count(*) AS live FROM subs GROUP BY parameter", "hp8"))
+@query("a47_kpi_cards", sql(f", {SUBS} SELECT parameter, CASE WHEN avg(CASE WHEN parameter <> 'o3' THEN value END) IS NOT NULL THEN 'ug/m3' ELSE 'sub-index' END AS unit, {steady_sql("coalesce(avg(CASE WHEN parameter <> 'o3' THEN value END), avg(sub))")} AS value, count(*) AS live FROM subs GROUP BY parameter", "hp"))
 def a47(spark, sf_dir):
     conc = F.avg(F.when(F.col("parameter") != "o3", F.col("value")))
     s = subs(spark, sf_dir).groupBy("parameter").agg(conc.alias("c"), F.avg("sub").alias("i"), F.count("*").alias("live"))
     return s.select("parameter", F.when(F.col("c").isNotNull(), "ug/m3").otherwise("sub-index").alias("unit"), steady(F.coalesce("c", "i")).alias("value"), "live")
 
 
-@query("a48_regime_scale", sql(f"SELECT {steady_sql('avg(value) / 111', 9)} AS regime FROM h8 WHERE hour = (SELECT min(hour) FROM h8)", "h8"))
+@query("a48_regime_scale", sql(f"SELECT {steady_sql('avg(value) / 111', 9)} AS regime FROM h_small WHERE hour = (SELECT min(hour) FROM h_small)", "h_small"))
 def a48(spark, sf_dir):
-    h = h8(spark, sf_dir)
+    h = h_small(spark, sf_dir)
     return h.join(F.broadcast(h.agg(F.min("hour").alias("hour"))), "hour").agg(steady(F.avg("value") / 111, 9).alias("regime"))
 
 
-@query("a51_physical_error", sql(f"SELECT station_id, {steady_sql('sqrt(avg(pow(least(1.0::DOUBLE, value / 1000) * 1000 - 40, 2)))')} AS rmse FROM h8 GROUP BY station_id", "h8"))
+@query("a51_physical_error", sql(f"SELECT station_id, {steady_sql('sqrt(avg(pow(least(1.0::DOUBLE, value / 1000) * 1000 - 40, 2)))')} AS rmse FROM h_small GROUP BY station_id", "h_small"))
 def a51(spark, sf_dir):
     from ..functions import weather as W
 
     e = W.physical(W.normalised(F.col("value"), "pm25"), "pm25") - 40
-    return h8(spark, sf_dir).groupBy("station_id").agg(steady(F.sqrt(F.avg(e * e))).alias("rmse"))
+    return h_small(spark, sf_dir).groupBy("station_id").agg(steady(F.sqrt(F.avg(e * e))).alias("rmse"))
 
 
-@query("t7_shortfall_rank", sql("SELECT parameter, 8 - count(DISTINCT station_id) AS missing, rank() OVER (ORDER BY 8 - count(DISTINCT station_id) DESC, parameter)::INTEGER AS place FROM hp8 WHERE hour = (SELECT max(hour) FROM hp8) GROUP BY parameter", "hp8"))
+@query("t7_shortfall_rank", sql("SELECT parameter, 8 - count(DISTINCT station_id) AS missing, rank() OVER (ORDER BY 8 - count(DISTINCT station_id) DESC, parameter)::INTEGER AS place FROM hp WHERE hour = (SELECT max(hour) FROM hp) GROUP BY parameter", "hp"))
 def t7(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -193,29 +193,29 @@ def t7(spark, sf_dir):
     return c.withColumn("place", F.rank().over(Window.orderBy(F.desc("missing"), "parameter")))  # a row a pollutant
 
 
-@query("t10_hub_station", sql(f", {SUBS}, m AS (SELECT station_id, max(sub) AS aqi FROM subs GROUP BY station_id) SELECT station_id, aqi FROM m ORDER BY station_id <> 77, station_id <> 5, aqi DESC, station_id LIMIT 1", "hp8"))
+@query("t10_hub_station", sql(f", {SUBS}, m AS (SELECT station_id, max(sub) AS aqi FROM subs GROUP BY station_id) SELECT station_id, aqi FROM m ORDER BY station_id <> 77, station_id <> 5, aqi DESC, station_id LIMIT 1", "hp"))
 def t10(spark, sf_dir):
     m = subs(spark, sf_dir).groupBy("station_id").agg(F.max("sub").alias("aqi"))
     return m.orderBy(F.col("station_id") != 77, F.col("station_id") != 5, F.desc("aqi"), "station_id").limit(1)
 
 
-@query("t11_worst_first", sql(f", {SUBS} SELECT station_id, parameter, sub FROM subs WHERE sub IS NOT NULL ORDER BY sub DESC, station_id, parameter LIMIT 10", "hp8"))
+@query("t11_worst_first", sql(f", {SUBS} SELECT station_id, parameter, sub FROM subs WHERE sub IS NOT NULL ORDER BY sub DESC, station_id, parameter LIMIT 10", "hp"))
 def t11(spark, sf_dir):
     return subs(spark, sf_dir).where("sub is not null").orderBy(F.desc("sub"), "station_id", "parameter").limit(10).select("station_id", "parameter", "sub")
 
 
-@query("o7_engine_fallback", sql("SELECT station_id, hour, CASE WHEN station_id % 3 = 0 THEN 40 ELSE value END AS value, station_id % 3 = 0 AS is_synthetic FROM h8", "h8"))
+@query("o7_engine_fallback", sql("SELECT station_id, hour, CASE WHEN station_id % 3 = 0 THEN 40 ELSE value END AS value, station_id % 3 = 0 AS is_synthetic FROM h_small", "h_small"))
 def o7(spark, sf_dir):
-    h = h8(spark, sf_dir)
+    h = h_small(spark, sf_dir)
     there = h.where("station_id % 3 <> 0").select("station_id", "hour", F.col("value").alias("v"))
     j = h.select("station_id", "hour").join(there, ["station_id", "hour"], "left")
     return j.select("station_id", "hour", F.coalesce("v", F.lit(40.0)).alias("value"), F.col("v").isNull().alias("is_synthetic"))
 
 
-@query("g2_filled_grid", sql(f", {GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st WHERE id < 8)), v AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h8 WHERE hour < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT gy, gx, round(sum(value / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)) / sum(1 / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)), 6) AS value FROM kk JOIN v USING (id) WHERE rank <= 8 GROUP BY gy, gx", "st", "h8"))
+@query("g2_filled_grid", sql(f", {GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st WHERE id < 8)), v AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small WHERE hour < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT gy, gx, round(sum(value / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)) / sum(1 / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)), 6) AS value FROM kk JOIN v USING (id) WHERE rank <= 8 GROUP BY gy, gx", "st", "h_small"))
 def g2(spark, sf_dir):
     """Silent stations are filled forward first, so every one of the eight counts."""
-    h = h8(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
     last = h.groupBy(F.col("station_id").alias("id")).agg(F.max(F.struct("hour", "value"))["value"].alias("value"))
     w = SP.nearest_stations(SP.grid(spark), stations(spark, sf_dir).where("id < 8"))
     f = SP.weighted(w, last, ["gy", "gx"])
@@ -224,7 +224,7 @@ def g2(spark, sf_dir):
 
 @query("g4_spline_field")
 def g4(spark, sf_dir):
-    v = h8(spark, sf_dir).where("hour >= timestamp_ntz'2024-01-15' and hour < timestamp_ntz'2024-01-16'").withColumnRenamed("station_id", "id").join(F.broadcast(stations(spark, sf_dir).where("id < 8").select("id", "lat", "lon")), "id")  # eight rows
+    v = h_small(spark, sf_dir).where("hour >= timestamp_ntz'2024-01-15' and hour < timestamp_ntz'2024-01-16'").withColumnRenamed("station_id", "id").join(F.broadcast(stations(spark, sf_dir).where("id < 8").select("id", "lat", "lon")), "id")  # eight rows
     cells = [(i, j, 28.2 + i * 0.7 / 9, 76.8 + j * 0.8 / 9) for i in range(10) for j in range(10)]
     return FL.spline(v, cells)
 
@@ -241,9 +241,9 @@ def g6(spark, sf_dir):
     return pixels(spark, sf_dir).select("okey", "line", F.round(F.when(align > 0.3, km / (align * 18 + 1e-6)), 6).alias("arrival_h"), F.round(F.col("frp") * F.greatest(align, F.lit(0.0)) * F.exp(F.pow(km / 80, F.lit(2)) * -0.5), 6).alias("proxy"))
 
 
-@query("g8_channel_stack", sql("SELECT hour, " + ", ".join(f"{steady_sql(f'''avg(value) FILTER (parameter = '{p}')''')} AS {p}" for p in T.POLLUTANTS) + " FROM hp8 GROUP BY hour", "hp8"))
+@query("g8_channel_stack", sql("SELECT hour, " + ", ".join(f"{steady_sql(f'''avg(value) FILTER (parameter = '{p}')''')} AS {p}" for p in T.POLLUTANTS) + " FROM hp GROUP BY hour", "hp"))
 def g8(spark, sf_dir):
-    p = hp(spark, sf_dir, 8).groupBy("hour").pivot("parameter", T.POLLUTANTS).agg(F.avg("value"))
+    p = hp(spark, sf_dir, SMALL).groupBy("hour").pivot("parameter", T.POLLUTANTS).agg(F.avg("value"))
     return p.select("hour", *[steady(F.col(c)).alias(c) for c in T.POLLUTANTS])
 
 
@@ -298,7 +298,7 @@ def f4(spark, sf_dir):
 
 @query("f5_interventions")
 def f5(spark, sf_dir):
-    live = h8(spark, sf_dir).where("station_id < 5").select(F.get(F.array(*[F.lit(d[1]) for d in SC.DISTRICTS]), F.col("station_id").cast("int")).alias("district"), (F.unix_seconds(F.col("hour").cast("timestamp")) / 3600 % 73).cast("int").alias("hour"), F.col("value").alias("pm25"), F.lit(0.4).alias("inversion"))
+    live = h_small(spark, sf_dir).where("station_id < 5").select(F.get(F.array(*[F.lit(d[1]) for d in SC.DISTRICTS]), F.col("station_id").cast("int")).alias("district"), (F.unix_seconds(F.col("hour").cast("timestamp")) / 3600 % 73).cast("int").alias("hour"), F.col("value").alias("pm25"), F.lit(0.4).alias("inversion"))
     return SC.with_interventions(live, SC.frames(districts(spark)), SC.frames(districts(spark), 40, 25, 10))
 
 
@@ -308,7 +308,7 @@ def f3(spark, sf_dir):
     live, archive = split(spark, sf_dir)
     pairs = M.exclusive(M.pairs_within(archive, live, 12.0), ["km"], [])
     n = live.agg(F.count("*").alias("n")).first()["n"]
-    feed = h8(spark, sf_dir).select(F.col("station_id").alias("k"), "hour", "value")
+    feed = h_small(spark, sf_dir).select(F.col("station_id").alias("k"), "hour", "value")
     borrowed = pairs.join(feed, (F.col("b") / 5).cast("long") % F.lit(min(8, n)) == F.col("k")).select((F.col("a") % 8).alias("station_id"), "hour", "value").dropDuplicates(["station_id", "hour"])
     d, whole, _ = fitted(spark, sf_dir)
     shares = d.groupBy("hour").agg(F.lit(0.1).alias("share"))
@@ -317,7 +317,7 @@ def f3(spark, sf_dir):
 
 
 @query("f7_frames", sql(f""", {SUBS}, m AS (SELECT station_id, max(sub) AS aqi FROM subs GROUP BY station_id), o AS (SELECT station_id, aqi, unnest(range(73)) AS f FROM m), s AS (SELECT *, aqi * ((1 + 0.32 * cos(((7 + f) % 24 - 7) / 24.0::DOUBLE * 2 * pi())) / (1 + 0.32 * cos((7 - 7) / 24.0::DOUBLE * 2 * pi()))) * ((1 + 0.06 * sin(f * 0.7::DOUBLE + station_id * 1.3::DOUBLE)) / (1 + 0.06 * sin(station_id * 1.3::DOUBLE))) AS x FROM o)
-    SELECT station_id, f::INTEGER AS lead, floor(x + 0.5)::INTEGER AS aqi FROM s""", "hp8"))
+    SELECT station_id, f::INTEGER AS lead, floor(x + 0.5)::INTEGER AS aqi FROM s""", "hp"))
 def f7(spark, sf_dir):
     """Frames that leave hour 0 as measured: dial and jitter are relative to theirs at hour 0, here seven in the morning."""
     from ..functions.weather import diurnal
@@ -331,7 +331,7 @@ def f7(spark, sf_dir):
 
 @query("r8_stuck_online")
 def r8(spark, sf_dir):
-    rows = h8(spark, sf_dir).select("station_id", F.col("hour").cast("timestamp").alias("ts"), (F.round(F.col("value") / 10) * 10).alias("value"))
+    rows = h_small(spark, sf_dir).select("station_id", F.col("hour").cast("timestamp").alias("ts"), (F.round(F.col("value") / 10) * 10).alias("value"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = _fresh(spark, "stuck")
     stream = R.stuck(R.snapshots(spark, dropped(rows.coalesce(1), "rows", 1), "station_id long, ts timestamp, value double"), 3, 100.0)
@@ -343,6 +343,6 @@ def r8(spark, sf_dir):
 TOOLS: dict[str, Query] = {"city_now": lambda s, d: indexed(s, d).agg(F.max("aqi").alias("worst"), F.avg("aqi").alias("mean")), "backtest_size": lambda s, d: backtest(s, d).agg(F.count("*").alias("n")), "missing_hours": lambda s, d: S.densify(dense(s, d).select("station_id", "hour"), K).agg(F.count("*").alias("n"))}
 
 
-@query("u2_named_tool", sql(f"{A2_SQL}, {M_LAST} SELECT max(aqi) AS worst, {steady_sql('avg(aqi)')} AS mean FROM ml", "hp2"))
+@query("u2_named_tool", sql(f"{A2_SQL}, {M_LAST} SELECT max(aqi) AS worst, {steady_sql('avg(aqi)')} AS mean FROM ml", "hp_large"))
 def u2(spark, sf_dir):
     return TOOLS["city_now"](spark, sf_dir).select("worst", steady(F.col("mean")).alias("mean"))

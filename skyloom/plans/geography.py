@@ -11,10 +11,10 @@ from ..functions.parse import detected_at
 from ..operators import fires as FI
 from ..operators import matching as M
 from ..operators import spatial as SP
-from ..sources.bridge import observations, pixels, sql, stations, steady
+from ..sources.bridge import SMALL, observations, pixels, sql, stations, steady
 from .expressions import BAND_SQL, STATE_SQL, _bear, _compass, _hav
 from .registry import Registry
-from .series import h8, hp
+from .series import h_small, hp
 
 REG = Registry()
 query = REG.query
@@ -31,6 +31,11 @@ def split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 SPLIT_SQL = "live AS (SELECT * FROM st WHERE id % 5 = 0), arch AS (SELECT * FROM st WHERE id % 5 <> 0)"
 
 
+#: Plumes are drawn for strong fires, those of at least so many detections.
+STRONG = "quantity >= 50"
+STRONG_SQL = f"strong AS (SELECT * FROM px WHERE {STRONG})"
+
+
 @query("j5_without_near", sql(f", {SPLIT_SQL} SELECT id, name FROM arch a WHERE NOT EXISTS (SELECT 1 FROM live b WHERE {FLAT} <= 4)", "st"))
 def j5(spark, sf_dir):
     live, archive = split(spark, sf_dir)
@@ -44,13 +49,13 @@ def j6(spark, sf_dir):
     return M.exclusive(p, ["km"], []).select("a", "b", steady(F.col("km")).alias("km"))
 
 
-@query("j7_nearest_in_time", sql(""", p AS (SELECT event_id, station_id, ts FROM obs8 WHERE parameter = 'so2'), r AS (SELECT DISTINCT station_id, hour FROM hp8 WHERE parameter = 'o3' AND extract(hour FROM hour) % 6 = 0),
+@query("j7_nearest_in_time", sql(""", p AS (SELECT event_id, station_id, ts FROM obs WHERE parameter = 'so2'), r AS (SELECT DISTINCT station_id, hour FROM hp WHERE parameter = 'o3' AND extract(hour FROM hour) % 6 = 0),
     c AS (SELECT event_id, hour, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(ts) - epoch_us(hour)), hour) AS rn FROM p JOIN r USING (station_id) WHERE abs(epoch_us(ts) - epoch_us(hour)) <= 129600000000)
-    SELECT p.event_id, c.hour AS nearest FROM p LEFT JOIN c ON p.event_id = c.event_id AND c.rn = 1""", "obs8", "hp8"))
+    SELECT p.event_id, c.hour AS nearest FROM p LEFT JOIN c ON p.event_id = c.event_id AND c.rn = 1""", "obs", "hp"))
 def j7(spark, sf_dir):
-    obs = observations(spark, sf_dir, 8)
+    obs = observations(spark, sf_dir, SMALL)
     left = obs.where("parameter = 'so2'").select("event_id", "station_id", "ts")
-    right = hp(spark, sf_dir, 8).where("parameter = 'o3' and hour(hour) % 6 = 0").select("station_id", F.col("hour").alias("ts"))
+    right = hp(spark, sf_dir, SMALL).where("parameter = 'o3' and hour(hour) % 6 = 0").select("station_id", F.col("hour").alias("ts"))
     return M.nearest_in_time(left, right, ["station_id"], "ts", 36).select("event_id", "nearest")
 
 
@@ -71,11 +76,11 @@ def j9(spark, sf_dir):
     return SP.nearest_stations(SP.grid(spark), stations(spark, sf_dir)).select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), "id", "rank", F.round("km", 6).alias("km"))
 
 
-@query("j13_season_sensors", sql(""", l AS (SELECT station_id, parameter, sensor_id, min(ts)::DATE AS first, max(ts)::DATE AS last FROM obs8 WHERE extract(day FROM ts) % (sensor_id % 4 + 2) = 1 GROUP BY ALL),
+@query("j13_season_sensors", sql(""", l AS (SELECT station_id, parameter, sensor_id, min(ts)::DATE AS first, max(ts)::DATE AS last FROM obs WHERE extract(day FROM ts) % (sensor_id % 4 + 2) = 1 GROUP BY ALL),
     w AS (SELECT DATE '2024-01-05' AS a, DATE '2024-01-24' AS b), c AS (SELECT l.*, CASE WHEN last >= a AND first <= b AND last >= first THEN (date_diff('day', greatest(first, a), least(last, b)) + 1) / 20.0::DOUBLE ELSE 0 END AS share, least(last, b) AS reach FROM l, w)
-    SELECT station_id, parameter, sensor_id, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY station_id, parameter ORDER BY reach DESC, sensor_id) AS rn FROM c WHERE share >= 0.5) WHERE rn = 1""", "obs8"))
+    SELECT station_id, parameter, sensor_id, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY station_id, parameter ORDER BY reach DESC, sensor_id) AS rn FROM c WHERE share >= 0.5) WHERE rn = 1""", "obs"))
 def j13(spark, sf_dir):
-    o = observations(spark, sf_dir, 8).where("day(ts) % (sensor_id % 4 + 2) = 1")
+    o = observations(spark, sf_dir, SMALL).where("day(ts) % (sensor_id % 4 + 2) = 1")
     life = o.groupBy("station_id", "parameter", "sensor_id").agg(F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last"))
     a, b = F.lit("2024-01-05").cast("date"), F.lit("2024-01-24").cast("date")
     c = life.withColumn("share", M.overlap_share(F.col("first"), F.col("last"), a, b)).where("share >= 0.5")
@@ -83,9 +88,9 @@ def j13(spark, sf_dir):
     return best.select("station_id", "parameter", (-F.col("t.s")).alias("sensor_id"), F.round("t.share", 6).alias("share"))
 
 
-@query("j14_recent_events", sql(", hh AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM obs8), e AS (SELECT ts, value FROM obs8 WHERE parameter = 'so2') SELECT hour, count(*) AS n, round(sum(value) + 1.37e-9, 6) AS total FROM hh JOIN e ON ts <= hour AND ts >= hour - INTERVAL 6 HOUR GROUP BY hour", "obs8"))
+@query("j14_recent_events", sql(", hh AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM obs), e AS (SELECT ts, value FROM obs WHERE parameter = 'so2') SELECT hour, count(*) AS n, round(sum(value) + 1.37e-9, 6) AS total FROM hh JOIN e ON ts <= hour AND ts >= hour - INTERVAL 6 HOUR GROUP BY hour", "obs"))
 def j14(spark, sf_dir):
-    obs = observations(spark, sf_dir, 8)
+    obs = observations(spark, sf_dir, SMALL)
     hours = obs.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
     near = M.hours_after(obs.where("parameter = 'so2'").select("ts", "value"), "ts", 6)
     return near.join(hours, "hour").groupBy("hour").agg(F.count("*").alias("n"), steady(F.sum("value")).alias("total"))
@@ -100,26 +105,26 @@ def j16(spark, sf_dir):
 @query("j17_channel_lookup", "SELECT c.* FROM (VALUES " + ", ".join(f"('{n}', '{u}', {o}::DOUBLE, {s}::DOUBLE)" for n, u, o, s, _ in T.CHANNELS) + ") c(name, unit, \"offset\", scale) WHERE name IN (SELECT DISTINCT CASE event_type WHEN 'view' THEN 'pm25' WHEN 'click' THEN 'pm10' WHEN 'purchase' THEN 'no2' WHEN 'signup' THEN 'o3' END FROM events)")
 def j17(spark, sf_dir):
     spec = spark.createDataFrame([c[:4] for c in T.CHANNELS], "name string, unit string, offset double, scale double")
-    used = observations(spark, sf_dir, 8).select(F.col("parameter").alias("name")).distinct()
+    used = observations(spark, sf_dir, SMALL).select(F.col("parameter").alias("name")).distinct()
     return used.join(F.broadcast(spec), "name").select("name", "unit", "offset", "scale")  # twelve rows
 
 
-V = "v AS (SELECT station_id AS id, value FROM h8 WHERE hour = (SELECT max(hour) FROM h8 WHERE hour < TIMESTAMP '2024-01-15'))"
+V = "v AS (SELECT station_id AS id, value FROM h_small WHERE hour = (SELECT max(hour) FROM h_small WHERE hour < TIMESTAMP '2024-01-15'))"
 
 
 def _snapshot(spark, sf_dir) -> DataFrame:
-    h = h8(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
     return h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour").select(F.col("station_id").alias("id"), "value")  # one row
 
 
-@query("g1_idw_grid", sql(f", {KNN_SQL}, {V} SELECT gy, gx, round(sum(value / (km * km)) / sum(1 / (km * km)), 6) AS value FROM k JOIN v USING (id) GROUP BY gy, gx".replace("km * km", "CASE WHEN km = 0 THEN 1e-26 ELSE km * km END"), "st", "h8"))
+@query("g1_idw_grid", sql(f", {KNN_SQL}, {V} SELECT gy, gx, round(sum(value / (km * km)) / sum(1 / (km * km)), 6) AS value FROM k JOIN v USING (id) GROUP BY gy, gx".replace("km * km", "CASE WHEN km = 0 THEN 1e-26 ELSE km * km END"), "st", "h_small"))
 def g1(spark, sf_dir):
     w = SP.nearest_stations(SP.grid(spark), stations(spark, sf_dir))
     f = SP.weighted(w, _snapshot(spark, sf_dir), ["gy", "gx"])
     return f.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("value", 6).alias("value"))
 
 
-@query("g5_nearest_fill", sql(f", {GRID_SQL}, {V}, n AS (SELECT gy, gx, id, row_number() OVER (PARTITION BY gy, gx ORDER BY sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)), id) AS rn FROM g, st JOIN v USING (id)) SELECT gy, gx, value FROM n JOIN v USING (id) WHERE rn = 1", "st", "h8"))
+@query("g5_nearest_fill", sql(f", {GRID_SQL}, {V}, n AS (SELECT gy, gx, id, row_number() OVER (PARTITION BY gy, gx ORDER BY sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)), id) AS rn FROM g, st JOIN v USING (id)) SELECT gy, gx, value FROM n JOIN v USING (id) WHERE rn = 1", "st", "h_small"))
 def g5(spark, sf_dir):
     v = _snapshot(spark, sf_dir)
     known = stations(spark, sf_dir).join(v.select("id"), "id", "left_semi")
@@ -129,30 +134,30 @@ def g5(spark, sf_dir):
 
 @query(
     "g7_plume",
-    sql(f""", {GRID_SQL}, p AS (SELECT gy, gx, frp, (glon - lon) * 97.5::DOUBLE AS dx, (glat - lat) * 111.0::DOUBLE AS dy FROM px, g),
+    sql(f""", {STRONG_SQL}, {GRID_SQL}, p AS (SELECT gy, gx, frp, (glon - lon) * 97.5::DOUBLE AS dx, (glat - lat) * 111.0::DOUBLE AS dy FROM strong, g),
     a AS (SELECT *, dx * (3.0::DOUBLE / 5) + dy * (-4.0::DOUBLE / 5) AS al, abs(dy * (3.0::DOUBLE / 5) - dx * (-4.0::DOUBLE / 5)) AS ac FROM p)
     SELECT gy, gx, round(sum(frp * exp(-(dx * dx + dy * dy) / 4050)) * 0.22, 6) AS frp, round(sum(CASE WHEN al > 0 AND al / 18 <= 72 THEN frp * exp(-(ac * ac) / 4050) / (1 + al / 200) * (2.0::DOUBLE / 5) ELSE 0 END) * 0.22, 6) AS smoke FROM a GROUP BY gy, gx""", "px"),
 )
 def g7(spark, sf_dir):
-    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).select("lat", "lon", "frp"), 3.0, -4.0)
+    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).where(STRONG).select("lat", "lon", "frp"), 3.0, -4.0)
     return f.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("frp", 6).alias("frp"), F.round("smoke", 6).alias("smoke"))
 
 
 @query(
     "g9_left_out",
     sql(""", s AS (SELECT * FROM st WHERE id < 8), r AS (SELECT a.id AS a, b.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2)), b.id) AS rank, 1 / pow(greatest(1e-9, sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2))), 2) AS w FROM s a, s b WHERE a.id <> b.id),
-    q AS (SELECT a, hour, sum(w * value) / sum(w) AS idw, arg_min(value, rank) AS nearest FROM r JOIN h8 ON h8.station_id = r.id WHERE rank <= 8 GROUP BY a, hour)
-    SELECT h.station_id AS id, h.hour, h.value AS truth, round(q.idw + 1.37e-9, 6) AS idw, q.nearest FROM h8 h LEFT JOIN q ON q.a = h.station_id AND q.hour = h.hour""", "st", "h8"),
+    q AS (SELECT a, hour, sum(w * value) / sum(w) AS idw, arg_min(value, rank) AS nearest FROM r JOIN h_small ON h_small.station_id = r.id WHERE rank <= 8 GROUP BY a, hour)
+    SELECT h.station_id AS id, h.hour, h.value AS truth, round(q.idw + 1.37e-9, 6) AS idw, q.nearest FROM h_small h LEFT JOIN q ON q.a = h.station_id AND q.hour = h.hour""", "st", "h_small"),
 )
 def g9(spark, sf_dir):
     s = stations(spark, sf_dir).where("id < 8")
-    return SP.left_out(s, h8(spark, sf_dir).withColumnRenamed("station_id", "id")).select("id", "hour", "truth", steady(F.col("idw")).alias("idw"), "nearest")
+    return SP.left_out(s, h_small(spark, sf_dir).withColumnRenamed("station_id", "id")).select("id", "hour", "truth", steady(F.col("idw")).alias("idw"), "nearest")
 
 
 @query(
     "g10_client_grid",
     sql(f""", {V}, c AS (SELECT y, x, 28.2::DOUBLE + y * 0.7::DOUBLE / 17 AS glat, 76.8::DOUBLE + x * 0.8::DOUBLE / 17 AS glon FROM range(18) a(y), range(18) b(x)), w AS (SELECT y, x, value, 1 / (pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2) + 0.01) AS w FROM c, st JOIN v USING (id))
-    SELECT y AS gy, x AS gx, round(sum(w * value) / sum(w), 6) AS value FROM w GROUP BY y, x""", "st", "h8"),
+    SELECT y AS gy, x AS gx, round(sum(w * value) / sum(w), 6) AS value FROM w GROUP BY y, x""", "st", "h_small"),
 )
 def g10(spark, sf_dir):
     c = SP.grid(spark, 18, 18).select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.col("lat").alias("glat"), F.col("lon").alias("glon"))
@@ -230,11 +235,11 @@ def t8(spark, sf_dir):
 
 @query(
     "a22_block_alerts",
-    sql(f""", {GRID_SQL}, p AS (SELECT gy, gx, sum(frp * exp(-(pow((glon - lon) * 97.5::DOUBLE, 2) + pow((glat - lat) * 111.0::DOUBLE, 2)) / 4050)) * 0.22 AS frp FROM px, g GROUP BY gy, gx), i AS (SELECT gy // 7 AS bi, gx // 8 AS bj, avg(1 / (1 + exp(-frp / 500 + 1))) AS isi FROM p WHERE (gy // 7) * 7 < 63 AND (gx // 8) * 8 < 72 GROUP BY 1, 2)
+    sql(f""", {STRONG_SQL}, {GRID_SQL}, p AS (SELECT gy, gx, sum(frp * exp(-(pow((glon - lon) * 97.5::DOUBLE, 2) + pow((glat - lat) * 111.0::DOUBLE, 2)) / 4050)) * 0.22 AS frp FROM strong, g GROUP BY gy, gx), i AS (SELECT gy // 7 AS bi, gx // 8 AS bj, avg(1 / (1 + exp(-frp / 500 + 1))) AS isi FROM p WHERE (gy // 7) * 7 < 63 AND (gx // 8) * 8 < 72 GROUP BY 1, 2)
     SELECT bi::INTEGER AS bi, bj::INTEGER AS bj, round(isi, 6) AS isi FROM i WHERE isi >= 0.3 ORDER BY bi, bj LIMIT 10""", "px"),
 )
 def a22(spark, sf_dir):
-    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).select("lat", "lon", "frp"), 3.0, -4.0)
+    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).where(STRONG).select("lat", "lon", "frp"), 3.0, -4.0)
     f = f.withColumn("isi", 1 / (1 + F.exp(-F.col("frp") / 500 + 1)))
     return SP.block_alerts(f, "isi", 0.3).select("bi", "bj", F.round("isi", 6).alias("isi"))
 

@@ -11,31 +11,31 @@ from ..operators import forecast as FC
 from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
-from ..sources.bridge import observations, read, readings, sql, steady, steady_sql
+from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, steady, steady_sql
 from .expressions import CATEGORY_SQL
 from .registry import Registry
-from .series import A2_SQL, D8, h8, hp, mesh
+from .series import A2_SQL, D8, h_small, hp, mesh
 
 REG = Registry()
 query = REG.query
 K = ["station_id"]
-FC_SQL = "fc AS (SELECT station_id, hour, round(value * 0.6 + extract(hour FROM hour) + CASE WHEN station_id = 7 THEN NULL ELSE 0 END, 6) AS model FROM h8 WHERE extract(hour FROM hour) % 11 <> 3)"
+FC_SQL = "fc AS (SELECT station_id, hour, round(value * 0.6 + extract(hour FROM hour) + CASE WHEN station_id = 7 THEN NULL ELSE 0 END, 6) AS model FROM h_small WHERE extract(hour FROM hour) % 11 <> 3)"
 
 
 def model(spark, sf_dir) -> DataFrame:
-    h = h8(spark, sf_dir).where("hour(hour) % 11 <> 3")
+    h = h_small(spark, sf_dir).where("hour(hour) % 11 <> 3")
     return h.select("station_id", "hour", F.round(F.col("value") * 0.6 + F.hour("hour") + F.when(F.col("station_id") == 7, F.lit(None)).otherwise(0), 6).alias("model"))
 
 
-@query("j1_left_join", sql(f", {FC_SQL} SELECT station_id, hour, value, model FROM h8 LEFT JOIN fc USING (station_id, hour)", "h8"))
+@query("j1_left_join", sql(f", {FC_SQL} SELECT station_id, hour, value, model FROM h_small LEFT JOIN fc USING (station_id, hour)", "h_small"))
 def j1(spark, sf_dir):
-    return h8(spark, sf_dir).join(model(spark, sf_dir), ["station_id", "hour"], "left")
+    return h_small(spark, sf_dir).join(model(spark, sf_dir), ["station_id", "hour"], "left")
 
 
-@query("j2_full_join", sql(f", {FC_SQL}, late AS (SELECT station_id, hour + INTERVAL 3 HOUR AS hour, model FROM fc) SELECT station_id, hour, value, model FROM h8 FULL JOIN late USING (station_id, hour)", "h8"))
+@query("j2_full_join", sql(f", {FC_SQL}, late AS (SELECT station_id, hour + INTERVAL 3 HOUR AS hour, model FROM fc) SELECT station_id, hour, value, model FROM h_small FULL JOIN late USING (station_id, hour)", "h_small"))
 def j2(spark, sf_dir):
     late = model(spark, sf_dir).withColumn("hour", F.col("hour") + F.expr("interval 3 hours"))
-    return h8(spark, sf_dir).join(late, ["station_id", "hour"], "outer")
+    return h_small(spark, sf_dir).join(late, ["station_id", "hour"], "outer")
 
 
 @query("j3_semi_joins", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT user_id FROM events)")
@@ -51,7 +51,7 @@ def j4(spark, sf_dir):
 
 
 def dense(spark, sf_dir) -> DataFrame:
-    d = S.densify(h8(spark, sf_dir), K).withColumnRenamed("value", "obs")
+    d = S.densify(h_small(spark, sf_dir), K).withColumnRenamed("value", "obs")
     return d.join(model(spark, sf_dir), ["station_id", "hour"], "left")
 
 
@@ -64,12 +64,12 @@ def fitted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (d, *FC.corrections(d.where("hour <= timestamp_ntz'2024-01-15'")))
 
 
-@query("a12_scale", sql(f", {N_SQL}, {FIT_SQL} SELECT {steady_sql('scale', 9)} AS scale FROM wh", "h8"))
+@query("a12_scale", sql(f", {N_SQL}, {FIT_SQL} SELECT {steady_sql('scale', 9)} AS scale FROM wh", "h_small"))
 def a12(spark, sf_dir):
     return fitted(spark, sf_dir)[1].select(steady(F.col("scale"), 9).alias("scale"))
 
 
-@query("a13_climatology", sql(f", {N_SQL}, {FIT_SQL} SELECT lh::INTEGER AS local_hour, {steady_sql('clim')} AS climatology, {steady_sql('hs')} AS hour_scale FROM bh", "h8"))
+@query("a13_climatology", sql(f", {N_SQL}, {FIT_SQL} SELECT lh::INTEGER AS local_hour, {steady_sql('clim')} AS climatology, {steady_sql('hs')} AS hour_scale FROM bh", "h_small"))
 def a13(spark, sf_dir):
     return fitted(spark, sf_dir)[2].select("local_hour", steady(F.col("climatology")).alias("climatology"), steady(F.col("hour_scale")).alias("hour_scale"))
 
@@ -86,7 +86,7 @@ def backtest(spark, sf_dir) -> DataFrame:
     return FC.samples(d, "station_id", whole, by, F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
-@query("f2_backtest_samples", sql(f", {F2_SQL} SELECT station_id, origin, lead::INTEGER AS lead, truth, {', '.join(f'{steady_sql(m)} AS {m}' for m in FC.METHODS)} FROM s", "h8"))
+@query("f2_backtest_samples", sql(f", {F2_SQL} SELECT station_id, origin, lead::INTEGER AS lead, truth, {', '.join(f'{steady_sql(m)} AS {m}' for m in FC.METHODS)} FROM s", "h_small"))
 def f2(spark, sf_dir):
     return backtest(spark, sf_dir).select("station_id", "origin", "lead", "truth", *[steady(F.col(m)).alias(m) for m in FC.METHODS])
 
@@ -99,7 +99,7 @@ def _err(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "n", *[steady(F.col(c)).alias(c) for c in ("rmse", "mae", "bias")])
 
 
-@query("a14_scores", sql(f", {F2_SQL}{_LONG} SELECT method, {_ERR} FROM u GROUP BY method", "h8"))
+@query("a14_scores", sql(f", {F2_SQL}{_LONG} SELECT method, {_ERR} FROM u GROUP BY method", "h_small"))
 def a14(spark, sf_dir):
     return _err(R.errors(backtest(spark, sf_dir), FC.METHODS), "method")
 
@@ -107,18 +107,18 @@ def a14(spark, sf_dir):
 _BUCKET = "CASE WHEN lead <= 6 THEN '+1-6h' WHEN lead <= 24 THEN '+7-24h' WHEN lead <= 48 THEN '+25-48h' ELSE '+49-72h' END"
 
 
-@query("a15_scores_by_lead", sql(f", {F2_SQL}{_LONG} SELECT {_BUCKET} AS bucket, method, {_ERR} FROM u GROUP BY 1, 2", "h8"))
+@query("a15_scores_by_lead", sql(f", {F2_SQL}{_LONG} SELECT {_BUCKET} AS bucket, method, {_ERR} FROM u GROUP BY 1, 2", "h_small"))
 def a15(spark, sf_dir):
     return _err(R.errors(backtest(spark, sf_dir).withColumn("bucket", F.expr(_BUCKET)), FC.METHODS, by=["bucket"]), "bucket", "method")
 
 
-@query("a16_correlation", sql(f", {F2_SQL} SELECT count(*) AS n, round(corr(scaled, truth), 9) AS corr FROM s WHERE scaled IS NOT NULL", "h8"))
+@query("a16_correlation", sql(f", {F2_SQL} SELECT count(*) AS n, round(corr(scaled, truth), 9) AS corr FROM s WHERE scaled IS NOT NULL", "h_small"))
 def a16(spark, sf_dir):
     s = backtest(spark, sf_dir).where("scaled is not null")
     return s.agg(F.count("*").alias("n"), F.round(F.corr("scaled", "truth"), 9).alias("corr"))
 
 
-@query("a17_pooled_error", sql(f", {F2_SQL}, q AS (SELECT station_id, count(*) AS n, sqrt(avg((raw - truth) * (raw - truth))) AS r FROM s WHERE raw IS NOT NULL GROUP BY station_id) SELECT station_id % 2 AS band, count(*) AS stations, sum(n)::BIGINT AS n, {steady_sql('sqrt(sum(n * r * r) / sum(n))')} AS rmse FROM q GROUP BY 1", "h8"))
+@query("a17_pooled_error", sql(f", {F2_SQL}, q AS (SELECT station_id, count(*) AS n, sqrt(avg((raw - truth) * (raw - truth))) AS r FROM s WHERE raw IS NOT NULL GROUP BY station_id) SELECT station_id % 2 AS band, count(*) AS stations, sum(n)::BIGINT AS n, {steady_sql('sqrt(sum(n * r * r) / sum(n))')} AS rmse FROM q GROUP BY 1", "h_small"))
 def a17(spark, sf_dir):
     q = R.errors(backtest(spark, sf_dir), ["raw"], by=["station_id"])
     return q.groupBy((F.col("station_id") % 2).alias("band")).agg(F.count("*").alias("stations"), F.sum("n").alias("n"), steady(F.sqrt(F.sum(F.col("n") * F.col("rmse") * F.col("rmse")) / F.sum("n"))).alias("rmse"))
@@ -131,7 +131,7 @@ def _f1(x: str, t: float) -> str:
 @query(
     "a18_verdict",
     sql(f""", {F2_SQL}, v AS (SELECT truth, diurnal_persistence AS b, scaled_hourly AS o FROM s WHERE diurnal_persistence IS NOT NULL AND scaled_hourly IS NOT NULL), w AS (SELECT *, (SELECT avg(o) / avg(b) FROM v) AS f FROM v)
-    SELECT count(*) AS n, {steady_sql("sqrt(avg(pow(b - truth, 2)))")} AS base_rmse, {steady_sql("sqrt(avg(pow(b * f - truth, 2)))")} AS uniform_rmse, {steady_sql("avg(o - truth)")} AS other_bias, {_f1("b", 80)} AS base_f1_80, {_f1("b * f", 80)} AS uniform_f1_80, count(*) FILTER (truth >= 90) AS severe_n FROM w""", "h8"),
+    SELECT count(*) AS n, {steady_sql("sqrt(avg(pow(b - truth, 2)))")} AS base_rmse, {steady_sql("sqrt(avg(pow(b * f - truth, 2)))")} AS uniform_rmse, {steady_sql("avg(o - truth)")} AS other_bias, {_f1("b", 80)} AS base_f1_80, {_f1("b * f", 80)} AS uniform_f1_80, count(*) FILTER (truth >= 90) AS severe_n FROM w""", "h_small"),
 )
 def a18(spark, sf_dir):
     v = FC.verdict(backtest(spark, sf_dir), "diurnal_persistence", "scaled_hourly", thresholds=(80.0,), severe=90.0)
@@ -142,7 +142,7 @@ def a18(spark, sf_dir):
     "f1_blend_forecast",
     sql(f""", {N_SQL}, {FIT_SQL}, q AS (SELECT hour, count(obs) / 8.0::DOUBLE AS share FROM n GROUP BY hour), og AS (SELECT max(hour) - INTERVAL 96 HOUR AS origin FROM n), sx AS (SELECT DISTINCT station_id FROM n), ll AS (SELECT station_id, unnest(generate_series(1, 72)) AS lead FROM sx),
     lx AS (SELECT ll.*, origin + to_hours(lead) AS hour FROM ll, og), j AS (SELECT lx.station_id, lx.lead, lx.hour, t.model * wh.scale AS m, q.share >= 0.5 AS ok, CASE WHEN q.share >= 0.5 THEN y.obs END AS day FROM lx LEFT JOIN n t USING (station_id, hour) LEFT JOIN n y ON y.station_id = lx.station_id AND y.hour = lx.hour - INTERVAL 24 HOUR LEFT JOIN q ON q.hour = lx.hour - INTERVAL 24 HOUR, wh)
-    SELECT station_id, lead::INTEGER AS lead, hour, {steady_sql("coalesce((day + m) / 2, day, m)")} AS value, CASE WHEN ok THEN 'blend' ELSE 'model_only' END AS method FROM j""", "h8"),
+    SELECT station_id, lead::INTEGER AS lead, hour, {steady_sql("coalesce((day + m) / 2, day, m)")} AS value, CASE WHEN ok THEN 'blend' ELSE 'model_only' END AS method FROM j""", "h_small"),
 )
 def f1(spark, sf_dir):
     d, whole, _ = fitted(spark, sf_dir)
@@ -173,22 +173,22 @@ def a21(spark, sf_dir):
     return e.withColumn("hours_span", ((hour("newest") - hour("oldest")) / 3600).cast("long") + 1)
 
 
-@query("a23_district_frames", sql(f"SELECT hour, station_id % 4 AS district, {steady_sql('avg(value)')} AS pm25, count(*) AS cells FROM h8 GROUP BY ALL", "h8"))
+@query("a23_district_frames", sql(f"SELECT hour, station_id % 4 AS district, {steady_sql('avg(value)')} AS pm25, count(*) AS cells FROM h_small GROUP BY ALL", "h_small"))
 def a23(spark, sf_dir):
-    return h8(spark, sf_dir).groupBy("hour", (F.col("station_id") % 4).alias("district")).agg(steady(F.avg("value")).alias("pm25"), F.count("*").alias("cells"))
+    return h_small(spark, sf_dir).groupBy("hour", (F.col("station_id") % 4).alias("district")).agg(steady(F.avg("value")).alias("pm25"), F.count("*").alias("cells"))
 
 
-@query("a24_smoke_share", sql(", p AS (SELECT avg(value) FILTER (parameter = 'so2') AS s, avg(value) FILTER (parameter = 'pm25') AS t FROM obs8) SELECT round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, s / 9 / t * 100)), 6) AS share_pct FROM p WHERE t > 0", "obs8"))
+@query("a24_smoke_share", sql(", p AS (SELECT avg(value) FILTER (parameter = 'so2') AS s, avg(value) FILTER (parameter = 'pm25') AS t FROM obs) SELECT round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, s / 9 / t * 100)), 6) AS share_pct FROM p WHERE t > 0", "obs"))
 def a24(spark, sf_dir):
     m = lambda p: F.avg(F.when(F.col("parameter") == p, F.col("value")))
-    s = observations(spark, sf_dir, 8).agg(m("so2").alias("s"), m("pm25").alias("t")).where("t > 0")
+    s = observations(spark, sf_dir, SMALL).agg(m("so2").alias("s"), m("pm25").alias("t")).where("t > 0")
     return s.select(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("s") / 9 / F.col("t") * 100)), 6).alias("share_pct"))
 
 
-@query("a25_feedback_summary", sql("SELECT round(avg(a), 9) AS aod_mean, round(max(a), 9) AS aod_max, round(avg(-180 * (1 / (1 + exp(-a)) - 0.5)), 6) AS dimming_mean, round(min(-180 * (1 / (1 + exp(-a)) - 0.5)), 6) AS dimming_most FROM (SELECT least(3.5::DOUBLE, value * 0.007) AS a FROM obs8)", "obs8"))
+@query("a25_feedback_summary", sql("SELECT round(avg(a), 9) AS aod_mean, round(max(a), 9) AS aod_max, round(avg(-180 * (1 / (1 + exp(-a)) - 0.5)), 6) AS dimming_mean, round(min(-180 * (1 / (1 + exp(-a)) - 0.5)), 6) AS dimming_most FROM (SELECT least(3.5::DOUBLE, value * 0.007) AS a FROM obs)", "obs"))
 def a25(spark, sf_dir):
     c = W.coupled(F.col("value"), F.lit(1000.0), F.lit(800.0), F.lit(20.0))
-    d = observations(spark, sf_dir, 8).select(c["aod"].alias("a"), (c["solar_out"] - 1000).alias("d"))
+    d = observations(spark, sf_dir, SMALL).select(c["aod"].alias("a"), (c["solar_out"] - 1000).alias("d"))
     return d.agg(F.round(F.avg("a"), 9).alias("aod_mean"), F.round(F.max("a"), 9).alias("aod_max"), F.round(F.avg("d"), 6).alias("dimming_mean"), F.round(F.min("d"), 6).alias("dimming_most"))
 
 
@@ -209,9 +209,9 @@ def a27(spark, sf_dir):
     return e.unionByName(issues(read(spark, sf_dir, "orders"), "orders", ["o_custkey", "o_orderdate"], "o_totalprice", -1, 400000))
 
 
-@query("a28_channel_stats", sql("SELECT parameter, min(value) AS low, max(value) AS high, round(avg(value) + 1.37e-9, 6) AS mean, round(avg((value > 60)::INTEGER), 6) AS clipped FROM obs8 GROUP BY parameter", "obs8"))
+@query("a28_channel_stats", sql("SELECT parameter, min(value) AS low, max(value) AS high, round(avg(value) + 1.37e-9, 6) AS mean, round(avg((value > 60)::INTEGER), 6) AS clipped FROM obs GROUP BY parameter", "obs"))
 def a28(spark, sf_dir):
-    return observations(spark, sf_dir, 8).groupBy("parameter").agg(F.min("value").alias("low"), F.max("value").alias("high"), steady(F.avg("value")).alias("mean"), F.round(F.avg((F.col("value") > 60).cast("int")), 6).alias("clipped"))
+    return observations(spark, sf_dir, SMALL).groupBy("parameter").agg(F.min("value").alias("low"), F.max("value").alias("high"), steady(F.avg("value")).alias("mean"), F.round(F.avg((F.col("value") > 60).cast("int")), 6).alias("clipped"))
 
 
 M_LAST = "ml AS (SELECT station_id, aqi, prominent, hour, CASE WHEN station_id % 2 = 0 THEN 'North' ELSE 'South' END AS zone FROM mesh WHERE valid)"
@@ -222,30 +222,30 @@ def indexed(spark, sf_dir) -> DataFrame:
     return m.withColumn("zone", F.when(F.col("station_id") % 2 == 0, "North").otherwise("South"))
 
 
-@query("a30_city_now", sql(f"{A2_SQL}, {M_LAST} SELECT count(*) AS indexed, {steady_sql('avg(aqi)')} AS mean, max(aqi) AS worst, min(aqi) AS best FROM ml", "hp2"))
+@query("a30_city_now", sql(f"{A2_SQL}, {M_LAST} SELECT count(*) AS indexed, {steady_sql('avg(aqi)')} AS mean, max(aqi) AS worst, min(aqi) AS best FROM ml", "hp_large"))
 def a30(spark, sf_dir):
     return indexed(spark, sf_dir).agg(F.count("*").alias("indexed"), steady(F.avg("aqi")).alias("mean"), F.max("aqi").alias("worst"), F.min("aqi").alias("best"))
 
 
-@query("a31_history_summary", sql(", d AS (SELECT hour::DATE AS day, round(avg(value) + 1.37e-9, 6) AS v FROM h8 GROUP BY 1) SELECT round(avg(v) + 1.37e-9, 6) AS mean, arg_min(day, v) AS best, arg_max(day, v) AS worst FROM d", "h8"))
+@query("a31_history_summary", sql(", d AS (SELECT hour::DATE AS day, round(avg(value) + 1.37e-9, 6) AS v FROM h_small GROUP BY 1) SELECT round(avg(v) + 1.37e-9, 6) AS mean, arg_min(day, v) AS best, arg_max(day, v) AS worst FROM d", "h_small"))
 def a31(spark, sf_dir):
-    d = h8(spark, sf_dir).groupBy(F.col("hour").cast("date").alias("day")).agg(steady(F.avg("value")).alias("v"))
+    d = h_small(spark, sf_dir).groupBy(F.col("hour").cast("date").alias("day")).agg(steady(F.avg("value")).alias("v"))
     return d.agg(steady(F.avg("v")).alias("mean"), F.min(F.struct("v", "day"))["day"].alias("best"), F.max(F.struct("v", "day"))["day"].alias("worst"))
 
 
-@query("a32_alert_counts", sql(f"{A2_SQL}, {M_LAST} SELECT zone, count(*) FILTER (aqi > 200) AS watch, count(*) FILTER (aqi > 100) AS moderate, max(aqi) AS worst FROM ml GROUP BY zone", "hp2"))
+@query("a32_alert_counts", sql(f"{A2_SQL}, {M_LAST} SELECT zone, count(*) FILTER (aqi > 200) AS watch, count(*) FILTER (aqi > 100) AS moderate, max(aqi) AS worst FROM ml GROUP BY zone", "hp_large"))
 def a32(spark, sf_dir):
     return indexed(spark, sf_dir).groupBy("zone").agg(F.count_if(F.col("aqi") > 200).alias("watch"), F.count_if(F.col("aqi") > 100).alias("moderate"), F.max("aqi").alias("worst"))
 
 
-@query("a33_channel_coverage", sql("SELECT parameter, count(*) AS reporting, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM hp8 WHERE hour = (SELECT max(hour) FROM hp8 WHERE hour < TIMESTAMP '2024-01-15') GROUP BY parameter", "hp8"))
+@query("a33_channel_coverage", sql("SELECT parameter, count(*) AS reporting, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM hp WHERE hour = (SELECT max(hour) FROM hp WHERE hour < TIMESTAMP '2024-01-15') GROUP BY parameter", "hp"))
 def a33(spark, sf_dir):
-    h = hp(spark, sf_dir, 8).where("hour < timestamp_ntz'2024-01-15'")
+    h = hp(spark, sf_dir, SMALL).where("hour < timestamp_ntz'2024-01-15'")
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
     return now.groupBy("parameter").agg(F.count("*").alias("reporting"), F.min("value").alias("low"), R.upper_median(F.col("value")).alias("upper_median"))
 
 
-@query("a34_drivers", sql(f"{A2_SQL}, {M_LAST} SELECT prominent, count(*) FILTER (zone = 'North') AS \"North\", count(*) FILTER (zone = 'South') AS \"South\", round(count(*) * 100.0 / (SELECT count(*) FROM ml), 6) AS pct FROM ml GROUP BY prominent", "hp2"))
+@query("a34_drivers", sql(f"{A2_SQL}, {M_LAST} SELECT prominent, count(*) FILTER (zone = 'North') AS \"North\", count(*) FILTER (zone = 'South') AS \"South\", round(count(*) * 100.0 / (SELECT count(*) FROM ml), 6) AS pct FROM ml GROUP BY prominent", "hp_large"))
 def a34(spark, sf_dir):
     m = indexed(spark, sf_dir)
     p = m.groupBy("prominent").pivot("zone", ["North", "South"]).count().na.fill(0)
@@ -253,14 +253,14 @@ def a34(spark, sf_dir):
     return p.join(F.broadcast(total)).select("prominent", "North", "South", F.round((F.col("North") + F.col("South")) * 100.0 / F.col("all"), 6).alias("pct"))
 
 
-@query("a36_zone_summary", sql(f"{A2_SQL}, {M_LAST}, c AS (SELECT zone, prominent, count(*) AS n FROM ml GROUP BY ALL) SELECT zone, {steady_sql('avg(aqi)')} AS mean, count(*) AS n, (SELECT prominent FROM c WHERE c.zone = ml.zone ORDER BY n DESC, prominent LIMIT 1) AS dominant FROM ml GROUP BY zone", "hp2"))
+@query("a36_zone_summary", sql(f"{A2_SQL}, {M_LAST}, c AS (SELECT zone, prominent, count(*) AS n FROM ml GROUP BY ALL) SELECT zone, {steady_sql('avg(aqi)')} AS mean, count(*) AS n, (SELECT prominent FROM c WHERE c.zone = ml.zone ORDER BY n DESC, prominent LIMIT 1) AS dominant FROM ml GROUP BY zone", "hp_large"))
 def a36(spark, sf_dir):
     return indexed(spark, sf_dir).groupBy("zone").agg(steady(F.avg("aqi")).alias("mean"), F.count("*").alias("n"), R.mode(F.col("prominent")).alias("dominant"))
 
 
-@query("a37_city_hours", sql(f", z AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h8), c AS (SELECT hour, avg(value) AS v FROM h8 GROUP BY hour) SELECT hour, {steady_sql('v')} AS value FROM z LEFT JOIN c USING (hour)", "h8"))
+@query("a37_city_hours", sql(f", z AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h_small), c AS (SELECT hour, avg(value) AS v FROM h_small GROUP BY hour) SELECT hour, {steady_sql('v')} AS value FROM z LEFT JOIN c USING (hour)", "h_small"))
 def a37(spark, sf_dir):
-    c = h8(spark, sf_dir).groupBy("hour").agg(steady(F.avg("value")).alias("value")).withColumn("city", F.lit(1))
+    c = h_small(spark, sf_dir).groupBy("hour").agg(steady(F.avg("value")).alias("value")).withColumn("city", F.lit(1))
     return S.densify(c, ["city"]).select("hour", "value")
 
 
@@ -269,9 +269,9 @@ def a38(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.round(R.circular_mean(F.col("value")), 4).alias("bearing"))
 
 
-@query("a39_sector_worst", sql("SELECT station_id % 4 AS sector, count(*) AS stations, max(value) AS worst, arg_max(station_id, value) AS station_id FROM h8 WHERE hour = (SELECT max(hour) FROM h8 WHERE hour < TIMESTAMP '2024-01-15') GROUP BY 1", "h8"))
+@query("a39_sector_worst", sql("SELECT station_id % 4 AS sector, count(*) AS stations, max(value) AS worst, arg_max(station_id, value) AS station_id FROM h_small WHERE hour = (SELECT max(hour) FROM h_small WHERE hour < TIMESTAMP '2024-01-15') GROUP BY 1", "h_small"))
 def a39(spark, sf_dir):
-    h = h8(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
     t = now.groupBy((F.col("station_id") % 4).alias("sector")).agg(F.count("*").alias("stations"), F.max(F.struct("value", (-F.col("station_id")).alias("s"))).alias("t"))
     return t.select("sector", "stations", F.col("t.value").alias("worst"), (-F.col("t.s")).alias("station_id"))
@@ -303,20 +303,26 @@ def a43(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).distinct()
 
 
-@query("a44_series_by_key", sql("SELECT station_id, parameter, list({'slot': event_id, 'value': CASE WHEN event_id % 5 > 0 THEN value END}.value ORDER BY event_id) AS series FROM obs2 WHERE event_id < 400 AND parameter <> 'so2' GROUP BY ALL", "obs2"))
+@query(
+    "a44_series_by_key",
+    sql("""SELECT station_id, parameter, date_trunc('day', ts) AS day, list(CASE WHEN event_id % 5 > 0 THEN value END ORDER BY event_id) AS series
+    FROM obs_large WHERE parameter <> 'so2' GROUP BY ALL""", "obs_large"),
+)
 def a44(spark, sf_dir):
-    o = observations(spark, sf_dir, 2).where("event_id < 400 and parameter <> 'so2'")
-    s = o.groupBy("station_id", "parameter").agg(F.sort_array(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("value")))).alias("s"))
-    return s.select("station_id", "parameter", F.transform("s", lambda x: x["value"]).alias("series"))
+    """A list holds a day of a station's readings, whatever the size of the table."""
+    o = observations(spark, sf_dir, LARGE).where("parameter <> 'so2'").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    slot = F.struct("event_id", F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("value"))
+    s = o.groupBy("station_id", "parameter", "day").agg(F.sort_array(F.collect_list(slot)).alias("s"))
+    return s.select("station_id", "parameter", "day", F.transform("s", lambda x: x["value"]).alias("series"))
 
 
-@query("a46_inversion_means", sql("SELECT inv AS inversion, v AS ventilation, CASE WHEN p < 300 AND w < 1.5 THEN 'CRITICAL' WHEN p < 500 AND w < 2.5 THEN 'HIGH' WHEN p < 800 OR w < 3.5 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM (SELECT p, w, p < 400 AND w < 2 AS inv, round_even(p * w, 2) AS v FROM (SELECT round(avg(value * 8), 6) AS p, round(avg(value / 25), 6) AS w FROM obs8))", "obs8"))
+@query("a46_inversion_means", sql("SELECT inv AS inversion, v AS ventilation, CASE WHEN p < 300 AND w < 1.5 THEN 'CRITICAL' WHEN p < 500 AND w < 2.5 THEN 'HIGH' WHEN p < 800 OR w < 3.5 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM (SELECT p, w, p < 400 AND w < 2 AS inv, round_even(p * w, 2) AS v FROM (SELECT round(avg(value * 8), 6) AS p, round(avg(value / 25), 6) AS w FROM obs))", "obs"))
 def a46(spark, sf_dir):
-    m = observations(spark, sf_dir, 8).agg(F.round(F.avg(F.col("value") * 8), 6).alias("p"), F.round(F.avg(F.col("value") / 25), 6).alias("w"))
+    m = observations(spark, sf_dir, SMALL).agg(F.round(F.avg(F.col("value") * 8), 6).alias("p"), F.round(F.avg(F.col("value") / 25), 6).alias("w"))
     return m.select(W.dispersion(F.col("p"), F.col("w")).alias("d")).select("d.*")
 
 
-@query("a49_better_than_raw", sql(f", {F2_SQL}{_LONG}, r AS (SELECT method, sqrt(avg(pow(guess - truth, 2))) AS rmse FROM u GROUP BY method) SELECT a.method, {steady_sql('(b.rmse - a.rmse) / b.rmse * 100')} AS better_pct FROM r a, r b WHERE b.method = 'raw'", "h8"))
+@query("a49_better_than_raw", sql(f", {F2_SQL}{_LONG}, r AS (SELECT method, sqrt(avg(pow(guess - truth, 2))) AS rmse FROM u GROUP BY method) SELECT a.method, {steady_sql('(b.rmse - a.rmse) / b.rmse * 100')} AS better_pct FROM r a, r b WHERE b.method = 'raw'", "h_small"))
 def a49(spark, sf_dir):
     r = R.errors(backtest(spark, sf_dir), FC.METHODS).select("method", "rmse")
     raw = r.where("method = 'raw'").select(F.col("rmse").alias("b"))
@@ -335,14 +341,14 @@ def t1(spark, sf_dir):
     return readings(spark, sf_dir).select("id", "ts").orderBy(F.desc("ts"), "id").offset(20).limit(50)
 
 
-@query("t4_worst_three", sql(f"{A2_SQL} SELECT station_id, hour, aqi FROM mesh WHERE valid ORDER BY aqi DESC, station_id, hour LIMIT 3", "hp2"))
+@query("t4_worst_three", sql(f"{A2_SQL} SELECT station_id, hour, aqi FROM mesh WHERE valid ORDER BY aqi DESC, station_id, hour LIMIT 3", "hp_large"))
 def t4(spark, sf_dir):
     return indexed(spark, sf_dir).orderBy(F.desc("aqi"), "station_id", "hour").limit(3).select("station_id", "hour", "aqi")
 
 
-@query("t5_every_sixth", sql("SELECT station_id, hour, value FROM h8 WHERE extract(hour FROM hour) % 6 = 0", "h8"))
+@query("t5_every_sixth", sql("SELECT station_id, hour, value FROM h_small WHERE extract(hour FROM hour) % 6 = 0", "h_small"))
 def t5(spark, sf_dir):
-    return h8(spark, sf_dir).where(F.hour("hour") % 6 == 0)
+    return h_small(spark, sf_dir).where(F.hour("hour") % 6 == 0)
 
 
 @query("t6_qualified_names", "WITH r AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS agency FROM part), a AS (SELECT *, count(*) OVER (PARTITION BY name) AS c FROM r), b AS (SELECT id, agency, CASE WHEN c > 1 AND agency IS NOT NULL THEN name || ' · ' || agency ELSE name END AS name FROM a), d AS (SELECT *, count(*) OVER (PARTITION BY name) AS c FROM b) SELECT id, CASE WHEN c > 1 THEN name || ' · ' || id ELSE name END AS name FROM d")
@@ -368,9 +374,9 @@ def o2(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).intersect(read(spark, sf_dir, "events").select("user_id"))
 
 
-@query("o3_missing_hours", sql(f", {D8} SELECT station_id, hour FROM d EXCEPT SELECT station_id, hour FROM h8", "h8"))
+@query("o3_missing_hours", sql(f", {D8} SELECT station_id, hour FROM d EXCEPT SELECT station_id, hour FROM h_small", "h_small"))
 def o3(spark, sf_dir):
-    h = h8(spark, sf_dir)
+    h = h_small(spark, sf_dir)
     return S.densify(h, K).join(h, ["station_id", "hour"], "left_anti").select("station_id", "hour")
 
 
@@ -392,7 +398,7 @@ def o6(spark, sf_dir):
     return e.join(F.broadcast(any_live)).where((F.col("event_type") == "error") | ~F.col("any")).select("event_id", "value")
 
 
-@query("o8_split_mesh", sql(f"{A2_SQL} SELECT station_id, hour, CASE WHEN valid THEN 'indexed' WHEN n_pollutants > 0 THEN 'unindexed' ELSE 'dropped' END AS part FROM mesh", "hp2"))
+@query("o8_split_mesh", sql(f"{A2_SQL} SELECT station_id, hour, CASE WHEN valid THEN 'indexed' WHEN n_pollutants > 0 THEN 'unindexed' ELSE 'dropped' END AS part FROM mesh", "hp_large"))
 def o8(spark, sf_dir):
     return mesh(spark, sf_dir).select("station_id", "hour", F.when(F.col("valid"), "indexed").when(F.col("n_pollutants") > 0, "unindexed").otherwise("dropped").alias("part"))
 
@@ -421,14 +427,14 @@ def k11(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station_id"), F.col("s_acctbal").alias("value"), F.lit("ugm3").alias("unit"))
 
 
-@query("f8_advisories", sql(f"{A2_SQL}, {M_LAST}, w AS (SELECT zone, max(aqi) AS a, count(*) AS n FROM ml GROUP BY zone) SELECT zone, CASE WHEN a > 300 THEN 'stage' WHEN a > 200 THEN 'watch' ELSE 'clear' END AS kind, a AS aqi, rank() OVER (ORDER BY a DESC, zone)::INTEGER AS place FROM w", "hp2"))
+@query("f8_advisories", sql(f"{A2_SQL}, {M_LAST}, w AS (SELECT zone, max(aqi) AS a, count(*) AS n FROM ml GROUP BY zone) SELECT zone, CASE WHEN a > 300 THEN 'stage' WHEN a > 200 THEN 'watch' ELSE 'clear' END AS kind, a AS aqi, rank() OVER (ORDER BY a DESC, zone)::INTEGER AS place FROM w", "hp_large"))
 def f8(spark, sf_dir):
     w = indexed(spark, sf_dir).groupBy("zone").agg(F.max("aqi").alias("aqi"))
     kind = F.when(F.col("aqi") > 300, "stage").when(F.col("aqi") > 200, "watch").otherwise("clear")
     return w.select("zone", kind.alias("kind"), "aqi", F.rank().over(Window.orderBy(F.desc("aqi"), "zone")).alias("place"))  # a row for each zone
 
 
-@query("f9_narrative", sql(f"{A2_SQL}, {M_LAST} SELECT zone || ': index ' || max(aqi) || ' (' || {CATEGORY_SQL.format('max(aqi)')} || ') over ' || count(*) || ' hours' AS line FROM ml GROUP BY zone", "hp2"))
+@query("f9_narrative", sql(f"{A2_SQL}, {M_LAST} SELECT zone || ': index ' || max(aqi) || ' (' || {CATEGORY_SQL.format('max(aqi)')} || ') over ' || count(*) || ' hours' AS line FROM ml GROUP BY zone", "hp_large"))
 def f9(spark, sf_dir):
     z = indexed(spark, sf_dir).groupBy("zone").agg(F.max("aqi").alias("a"), F.count("*").alias("n"))
     return z.select(F.format_string("%s: index %d (%s) over %d hours", "zone", "a", X.category(F.col("a")), "n").alias("line"))
@@ -442,17 +448,17 @@ def s2(spark, sf_dir):
     return e.select("ts", "user_id", "value").where(F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
 
-@query("s9_columnar_json", sql("SELECT station_id, hour, value FROM h8", "h8"))
+@query("s9_columnar_json", sql("SELECT station_id, hour, value FROM h_small", "h_small"))
 def s9(spark, sf_dir):
-    arrays = h8(spark, sf_dir).groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("r"))
+    arrays = h_small(spark, sf_dir).groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("r"))
     doc = arrays.select("station_id", F.to_json(F.struct(F.struct(F.transform("r", lambda x: x["hour"]).alias("time"), F.transform("r", lambda x: x["value"]).alias("value")).alias("hourly"))).alias("doc"))
     back = doc.select("station_id", F.from_json("doc", "hourly struct<time:array<timestamp_ntz>,value:array<double>>").alias("d"))
     return back.select("station_id", F.inline(F.arrays_zip("d.hourly.time", "d.hourly.value"))).toDF("station_id", "hour", "value")
 
 
-@query("s10_cells_by_time", sql("SELECT hour AS valid_time, count(*) AS cells, list(value ORDER BY station_id) AS vals FROM h8 WHERE station_id BETWEEN 1 AND 5 GROUP BY hour", "h8"))
+@query("s10_cells_by_time", sql("SELECT hour AS valid_time, count(*) AS cells, list(value ORDER BY station_id) AS vals FROM h_small WHERE station_id BETWEEN 1 AND 5 GROUP BY hour", "h_small"))
 def s10(spark, sf_dir):
-    h = h8(spark, sf_dir).where("station_id between 1 and 5")
+    h = h_small(spark, sf_dir).where("station_id between 1 and 5")
     g = h.groupBy(F.col("hour").alias("valid_time")).agg(F.sort_array(F.collect_list(F.struct("station_id", "value"))).alias("r"))
     return g.select("valid_time", F.size("r").cast("long").alias("cells"), F.transform("r", lambda x: x["value"]).alias("vals"))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.bridge import observations, read, sql, steady, steady_sql
+from ..sources.bridge import LARGE, SMALL, observations, read, sql, steady, steady_sql
 from ..sources.scratch import written
 from ..streaming import recorder as R
 from .registry import Registry
@@ -27,15 +27,15 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-POLLS = "polls AS (SELECT station_id, value < 300 AS valid, ts AS observed_at, parameter AS pollutant, CASE WHEN event_id % 3 > 0 THEN value END AS concentration, floor(value)::INTEGER AS sub_index, event_id AS seq FROM obs8), rec AS (SELECT station_id, pollutant, date_trunc('hour', observed_at) AS hour, coalesce(concentration, sub_index) AS value, CASE WHEN concentration IS NOT NULL THEN 'ugm3' ELSE 'subindex' END AS unit, seq FROM polls WHERE valid AND pollutant IN ('pm25', 'pm10', 'o3'))"
+POLLS = "polls AS (SELECT station_id, value < 300 AS valid, ts AS observed_at, parameter AS pollutant, CASE WHEN event_id % 3 > 0 THEN value END AS concentration, floor(value)::INTEGER AS sub_index, event_id AS seq FROM obs), rec AS (SELECT station_id, pollutant, date_trunc('hour', observed_at) AS hour, coalesce(concentration, sub_index) AS value, CASE WHEN concentration IS NOT NULL THEN 'ugm3' ELSE 'subindex' END AS unit, seq FROM polls WHERE valid AND pollutant IN ('pm25', 'pm10', 'o3'))"
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir, 8)
+    o = observations(spark, sf_dir, SMALL)
     return o.select("station_id", (F.col("value") < 300).alias("valid"), F.col("ts").alias("observed_at"), F.col("parameter").alias("pollutant"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("concentration"), F.floor("value").cast("int").alias("sub_index"), F.col("event_id").alias("seq"))
 
 
-@query("r1_recorder", sql(f", {POLLS} SELECT station_id, pollutant, hour, unit, arg_max(value, seq) AS value, max(seq) AS seq FROM rec GROUP BY ALL", "obs8"))
+@query("r1_recorder", sql(f", {POLLS} SELECT station_id, pollutant, hour, unit, arg_max(value, seq) AS value, max(seq) AS seq FROM rec GROUP BY ALL", "obs"))
 def r1(spark, sf_dir):
     p = polls(spark, sf_dir)
     table = _fresh(spark, "live-history")
@@ -43,9 +43,9 @@ def r1(spark, sf_dir):
     return R.current(spark, table).select("station_id", "pollutant", "hour", "unit", "value", "seq")
 
 
-@query("r3_tumbling_hours", sql(f"SELECT station_id, parameter, date_trunc('hour', ts) AS hour, {steady_sql('avg(value)')} AS value, count(*) AS n FROM obs8 GROUP BY ALL", "obs8"))
+@query("r3_tumbling_hours", sql(f"SELECT station_id, parameter, date_trunc('hour', ts) AS hour, {steady_sql('avg(value)')} AS value, count(*) AS n FROM obs GROUP BY ALL", "obs"))
 def r3(spark, sf_dir):
-    o = observations(spark, sf_dir, 8).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
+    o = observations(spark, sf_dir, SMALL).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
     s = R.tumbling(R.snapshots(spark, dropped(o, "events", 2), "station_id long, parameter string, ts timestamp, value double", 2))
     table = _fresh(spark, "hours")
     s.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(table)).option("checkpointLocation", _fresh(spark, "at")).trigger(availableNow=True).start().awaitTermination()
@@ -53,9 +53,9 @@ def r3(spark, sf_dir):
     return last.select("station_id", "parameter", F.col("hour").cast("timestamp_ntz").alias("hour"), steady(F.col("t.value")).alias("value"), F.col("t.n").alias("n"))
 
 
-@query("r4_sliding_days", sql(f", w AS (SELECT station_id, parameter, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM obs2) SELECT station_id, parameter, until, {steady_sql('avg(value)')} AS value, count(*) AS n FROM w GROUP BY ALL", "obs2"))
+@query("r4_sliding_days", sql(f", w AS (SELECT station_id, parameter, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM obs_large) SELECT station_id, parameter, until, {steady_sql('avg(value)')} AS value, count(*) AS n FROM w GROUP BY ALL", "obs_large"))
 def r4(spark, sf_dir):
-    o = observations(spark, sf_dir, 2).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
+    o = observations(spark, sf_dir, LARGE).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
     return R.sliding(o).select("station_id", "parameter", F.col("until").cast("timestamp_ntz").alias("until"), steady(F.col("value")).alias("value"), "n")
 
 
@@ -68,7 +68,7 @@ def r5(spark, sf_dir):
     return o.groupBy("key").agg(F.count("*").alias("all")).join(there, "key").select("key", (F.col("all") - F.col("kept")).alias("skipped"))
 
 
-@query("k5_stream_retention", sql(f", {POLLS}, c AS (SELECT station_id, pollutant, hour, unit, arg_max(value, seq) AS value FROM rec GROUP BY ALL) SELECT station_id, pollutant, hour, unit, value FROM c WHERE hour >= (SELECT max(hour) FROM c) - INTERVAL 10 DAY", "obs8"))
+@query("k5_stream_retention", sql(f", {POLLS}, c AS (SELECT station_id, pollutant, hour, unit, arg_max(value, seq) AS value FROM rec GROUP BY ALL) SELECT station_id, pollutant, hour, unit, value FROM c WHERE hour >= (SELECT max(hour) FROM c) - INTERVAL 10 DAY", "obs"))
 def k5(spark, sf_dir):
     p = polls(spark, sf_dir)
     table, target = _fresh(spark, "live-history"), _fresh(spark, "kept")
@@ -77,7 +77,7 @@ def k5(spark, sf_dir):
     return spark.read.parquet(target).select("station_id", "pollutant", "hour", "unit", "value")
 
 
-@query("r6_step_means", sql(f"SELECT event_id % 72 AS lead, {steady_sql('avg(value)')} AS mean, count(*) AS n FROM obs8 GROUP BY 1", "obs8"))
+@query("r6_step_means", sql(f"SELECT event_id % 72 AS lead, {steady_sql('avg(value)')} AS mean, count(*) AS n FROM obs GROUP BY 1", "obs"))
 def r6(spark, sf_dir):
-    o = observations(spark, sf_dir, 8).select((F.col("event_id") % 72).alias("lead"), "value")
+    o = observations(spark, sf_dir, SMALL).select((F.col("event_id") % 72).alias("lead"), "value")
     return R.step_means(o).select("lead", steady(F.col("mean")).alias("mean"), "n")

@@ -72,9 +72,9 @@ def test_windows_equal_brute_force(spark):
 
 def test_fill_and_interpolation(spark):
     d = S.densify(hourly(spark, {1: [4, None, None, 10, None, 3], 2: [1, None, 2]}), ["station_id"], whole=True)
-    spec = S.series(["station_id"])
-    assert by_station(d.withColumn("f", S.filled(F.col("value"), spec)), "f") == {1: [4, 4, 4, 10, 10, 3], 2: [1, 1, 2, 2, 2, 2]}
-    assert by_station(d.withColumn("f", S.interpolated(F.col("value"), F.col("hour"), spec)), "f") == {1: [4, 6, 8, 10, 6.5, 3], 2: [1, 1.5, 2, 2, 2, 2]}
+    spec, backwards = S.series(["station_id"]), S.series(["station_id"], backwards=True)
+    assert by_station(d.withColumn("f", S.filled(F.col("value"), spec, backwards)), "f") == {1: [4, 4, 4, 10, 10, 3], 2: [1, 1, 2, 2, 2, 2]}
+    assert by_station(d.withColumn("f", S.interpolated(F.col("value"), F.col("hour"), spec, backwards)), "f") == {1: [4, 6, 8, 10, 6.5, 3], 2: [1, 1.5, 2, 2, 2, 2]}
 
 
 def test_history_trims_all_alike(spark):
