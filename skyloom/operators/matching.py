@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,48 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float, left_id: str = "i
     return a.join(b, ["cy", "cx"]).select("a", "b", d.alias("km")).where(F.col("km") <= km)
 
 
+def neighbours(points: DataFrame, places: DataFrame, k: int, keys: Sequence[str], apart: bool = False) -> DataFrame:
+    """(*keys, id, rank, km) of the k places (id, lat, lon) nearest to each point (*keys, lat, lon), ties by id;
+    fewer where there are fewer. With ``apart`` the place of a point's own id doesn't count.
+
+    Each round looks within a radius, by ``pairs_within``; points that find k places there are done, the others go on
+    with twice the radius. The first radius follows from how dense the places lie, so most points need one round. Of
+    places at one spot only the k (or k + 1) of least id can be among the nearest, so the others are left out.
+    """
+    spot = Window.partitionBy("lat", "lon").orderBy("id")
+    most = k + 1 if apart else k
+    some = places.select("id", "lat", "lon").dropna().withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= most)
+    some = written(some.drop("__n"), "places")
+    left = written(points.select(F.struct(*keys).alias("a"), "lat", "lon").dropna(subset=["lat", "lon"]), "points")
+    edges = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lon")]
+    inner = some.agg(F.count("*").alias("n"), *edges).first()
+    outer = left.select("lat", "lon").unionByName(some.select("lat", "lon")).agg(*edges).first()
+    if not inner["n"]:
+        return left.select("a.*", F.lit(None).cast(dict(some.dtypes)["id"]).alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("km")).where("false")
+    sides = lambda e: ((e["max_lat"] - e["min_lat"]) * T.KM_LAT, (e["max_lon"] - e["min_lon"]) * T.KM_LON)
+    whole = 1.01 * math.hypot(*sides(outer)) + 1e-3
+    dense = math.sqrt(2 * most * math.prod(sides(inner)) / (math.pi * inner["n"]))
+    km = whole if inner["n"] <= most else max(dense, whole / 1000)
+    found = None
+    while True:
+        last = km >= whole
+        near = pairs_within(left, some, km, "a", "id").withColumnRenamed("b", "id")
+        near = near.where(F.col("km") <= km * (1 - 1e-9))  # what lies on the rim may miss by rounding
+        if apart:
+            near = near.where(F.col("id") != F.col(f"a.{keys[0]}"))
+        own = Window.partitionBy("a")
+        top = near.withColumn("rank", F.row_number().over(own.orderBy("km", "id"))).where(F.col("rank") <= k)
+        done = top if last else top.withColumn("__n", F.count("*").over(own)).where(F.col("__n") == k).drop("__n")
+        done = written(done, "neighbours")
+        found = done if found is None else found.unionByName(done)
+        if not last:
+            left = written(left.join(done.where("rank = 1").select("a"), "a", "left_anti"), "points")
+            last = left.isEmpty()
+        if last:
+            return found.select("a.*", "id", "rank", "km")
+        km *= 2
+
+
 def without_near(left: DataFrame, right: DataFrame, km: float, key: str = "id") -> DataFrame:
     """Rows of left that no place of right is within km of."""
     taken = pairs_within(left, right, km, key, key).select(F.col("a").alias(key)).distinct()

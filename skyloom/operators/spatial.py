@@ -1,14 +1,17 @@
-"""Grids, inverse-distance fields and plumes. The grid is the broadcast side: 5,600 cells whatever the data."""
+"""Grids, inverse-distance fields and plumes. A grid is of fixed size: 5,600 cells whatever the data."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo as G
 from ..functions import tables as T
+from . import matching as M
 
 
 def grid(spark: SparkSession, rows: int | None = None, cols: int | None = None) -> DataFrame:
@@ -20,15 +23,9 @@ def grid(spark: SparkSession, rows: int | None = None, cols: int | None = None)
 
 
 def nearest_stations(cells: DataFrame, stations: DataFrame, k: int = 8, power: float = 2.0, keys: Sequence[str] = ("gy", "gx")) -> DataFrame:
-    """The k stations nearest to each cell, with raw weights 1 / distance ** power; ties by id.
-
-    cells is a grid of fixed size and goes to all stations; Spark keeps the best k of each task before the shuffle.
-    """
-    c, s = cells.select(*keys, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), stations.select("id", "lat", "lon")
-    d = s.join(F.broadcast(c)).withColumn("km", G.planar_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("km", "id"))
-    top = d.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select(*keys, "id", "rank", "km", (1 / F.pow(F.when(F.col("km") == 0, 1e-13).otherwise(F.col("km")), F.lit(power))).alias("weight"))
+    """The k stations nearest to each cell, with raw weights 1 / distance ** power; ties by id."""
+    km = F.when(F.col("km") == 0, 1e-13).otherwise(F.col("km"))
+    return M.neighbours(cells, stations, k, keys).withColumn("weight", 1 / F.pow(km, F.lit(power)))
 
 
 def weighted(weights: DataFrame, values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -43,42 +40,51 @@ def weighted(weights: DataFrame, values: DataFrame, by: Sequence[str], value: st
 def plume(cells: DataFrame, fires: DataFrame, u: float, v: float, sigma: float = 45.0, decay: float = 200.0, reference: float = 2.0, horizon_h: float = 72.0, calm: float = 0.5, factor: float = 0.22) -> DataFrame:
     """Frp and smoke of each cell, summed over all fires: what burns near it, and what the wind carries to it.
 
-    fires is scanned once against the broadcast grid; sums are partial by cell, so a large season only means more tasks.
+    cells is a grid of fixed size and goes to every task as arrays; fires at one place are summed first, each task adds up
+    its fires' fields, and only one row for each cell leaves it. No fires give no rows.
     """
-    speed = (u * u + v * v) ** 0.5
-    f = fires.join(F.broadcast(cells.select("gy", "gx", F.col("lat").alias("glat"), F.col("lon").alias("glon"))))
-    dx, dy = (F.col("glon") - F.col("lon")) * T.KM_LON, (F.col("glat") - F.col("lat")) * T.KM_LAT
-    dist = F.hypot(dx, dy)
-    near = F.exp(-(dist * dist) / (2 * sigma**2))
-    if speed < calm:
-        weight = near / (1 + dist / decay) * (reference / calm)
-    else:
-        along, across = dx * (u / speed) + dy * (v / speed), F.abs(dy * (u / speed) - dx * (v / speed))
-        carried = (along > 0) & (along / (speed * 3.6) <= horizon_h)
-        weight = F.when(carried, F.exp(-(across * across) / (2 * sigma**2)) / (1 + along / decay) * (reference / speed)).otherwise(0.0)
-    return f.groupBy("gy", "gx").agg((F.sum(F.col("frp") * near) * factor).alias("frp"), (F.sum(F.col("frp") * weight) * factor).alias("smoke"))
+    at, speed = cells.select("gy", "gx", "lat", "lon").toPandas(), math.hypot(u, v)
+    lat, lon = at["lat"].to_numpy(), at["lon"].to_numpy()
+
+    def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frp, smoke, seen = np.zeros(len(at)), np.zeros(len(at)), False
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                f, seen = batch.iloc[i : i + 256], True
+                dx, dy = (lon - f["lon"].to_numpy()[:, None]) * T.KM_LON, (lat - f["lat"].to_numpy()[:, None]) * T.KM_LAT
+                near = np.exp(-(dx * dx + dy * dy) / (2 * sigma**2))
+                if speed < calm:
+                    weight = near / (1 + np.hypot(dx, dy) / decay) * (reference / calm)
+                else:
+                    along, across = dx * (u / speed) + dy * (v / speed), dy * (u / speed) - dx * (v / speed)
+                    carried = (along > 0) & (along / (speed * 3.6) <= horizon_h)
+                    weight = np.where(carried, np.exp(-(across * across) / (2 * sigma**2)) / (1 + np.maximum(along, 0) / decay), 0.0) * (reference / speed)
+                frp, smoke = frp + f["frp"].to_numpy() @ near, smoke + f["frp"].to_numpy() @ weight
+        if seen:
+            yield pd.DataFrame({"gy": at["gy"], "gx": at["gx"], "frp": frp, "smoke": smoke})
+
+    places = fires.dropna(subset=["lat", "lon", "frp"]).groupBy("lat", "lon").agg(F.sum("frp").alias("frp"))
+    # Few bytes, much work: dealt to all cores, which Spark would not do by size.
+    parts = places.repartition(fires.sparkSession.sparkContext.defaultParallelism).mapInPandas(fields, "gy int, gx int, frp double, smoke double")
+    return parts.groupBy("gy", "gx").agg((F.sum("frp") * factor).alias("frp"), (F.sum("smoke") * factor).alias("smoke"))
 
 
 def left_out(stations: DataFrame, values: DataFrame, by: str = "hour", k: int = 8) -> DataFrame:
-    """Each station's value beside what its nearest others make of it (renormalised) and the nearest reporting one's.
-
-    stations are those of one network; each meets the others by a join on unequal ids.
-    """
-    a, b = stations.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), stations.select("id", "lat", "lon")
-    d = a.join(b, F.col("a") != F.col("id")).withColumn("km", G.planar_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon")))
-    top = d.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("km", "id"))).where(F.col("rank") <= k)
+    """Each station's value beside what its k nearest others make of it (renormalised) and the nearest reporting one's."""
+    top = M.neighbours(stations.select(F.col("id").alias("a"), "lat", "lon"), stations, k, ["a"], apart=True)
     w = top.select("a", "id", "rank", (1 / F.pow(F.greatest("km", F.lit(1e-9)), F.lit(2.0))).alias("weight"))
     got = w.join(values.where("value is not null"), "id").groupBy("a", by).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("idw"), F.min(F.struct("rank", "value")).alias("n"))
     return values.select(F.col("id").alias("a"), by, F.col("value").alias("truth")).join(got, ["a", by], "left").select(F.col("a").alias("id"), by, "truth", "idw", F.col("n.value").alias("nearest"))
 
 
-def block_alerts(field: DataFrame, isi: str, threshold: float, height: int = 7, width: int = 8, most: int = 10, rows: int = 70, cols: int = 80) -> DataFrame:
-    """Blocks of cells whose mean index reaches the threshold, the first ``most`` in scan order.
+def block_alerts(field: DataFrame, isi: str, threshold: float, height: int = 7, width: int = 8, most: int = 10, rows: int = 70, cols: int = 80, extremes: Sequence[Column] = ()) -> DataFrame:
+    """Blocks of cells whose mean index reaches the threshold, the first ``most`` in scan order, with the cell of
+    the highest index (of equals the first) and further aggregates, such as the most dust and the least mixing height.
 
     As published, the last row and column of blocks are never scored.
     """
-    b = field.select(F.floor(F.col("gy") / height).cast("int").alias("bi"), F.floor(F.col("gx") / width).cast("int").alias("bj"), isi)
+    b = field.withColumn("bi", F.floor(F.col("gy") / height).cast("int")).withColumn("bj", F.floor(F.col("gx") / width).cast("int"))
     b = b.where((F.col("bi") * height < rows - height) & (F.col("bj") * width < cols - width))
-    mean = b.groupBy("bi", "bj").agg(F.avg(isi).alias("isi")).where(F.col("isi") >= threshold)
-    return mean.orderBy("bi", "bj").limit(most)
-
+    top = F.max(F.struct(F.col(isi), (-F.col("gy")).alias("y"), (-F.col("gx")).alias("x")))
+    mean = b.groupBy("bi", "bj").agg(F.avg(isi).alias("isi"), top.alias("t"), *extremes).where(F.col("isi") >= threshold)
+    return mean.withColumn("top_gy", -F.col("t.y")).withColumn("top_gx", -F.col("t.x")).drop("t").orderBy("bi", "bj").limit(most)

@@ -212,19 +212,20 @@ def o7(spark, sf_dir):
     return j.select("station_id", "hour", F.coalesce("v", F.lit(40.0)).alias("value"), F.col("v").isNull().alias("is_synthetic"))
 
 
-@query("g2_filled_grid", sql(f", {GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st WHERE id < 8)), v AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small WHERE hour < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT gy, gx, round(sum(value / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)) / sum(1 / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)), 6) AS value FROM kk JOIN v USING (id) WHERE rank <= 8 GROUP BY gy, gx", "st", "h_small"))
+@query("g2_filled_grid", sql(f", {GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st WHERE id IN (SELECT station_id FROM h_small))), v AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small GROUP BY 1) SELECT gy, gx, round(sum(value / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)) / sum(1 / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)), 6) AS value FROM kk JOIN v USING (id) WHERE rank <= 8 GROUP BY gy, gx", "st", "h_small"))
 def g2(spark, sf_dir):
-    """Silent stations are filled forward first, so every one of the eight counts."""
-    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    """Silent stations are filled forward first, so every one of a cell's eight counts."""
+    h = h_small(spark, sf_dir)
     last = h.groupBy(F.col("station_id").alias("id")).agg(F.max(F.struct("hour", "value"))["value"].alias("value"))
-    w = SP.nearest_stations(SP.grid(spark), stations(spark, sf_dir).where("id < 8"))
+    w = SP.nearest_stations(SP.grid(spark), stations(spark, sf_dir).join(last, "id", "left_semi"))
     f = SP.weighted(w, last, ["gy", "gx"])
     return f.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("value", 6).alias("value"))
 
 
 @query("g4_spline_field")
 def g4(spark, sf_dir):
-    v = h_small(spark, sf_dir).where("hour >= timestamp_ntz'2024-01-15' and hour < timestamp_ntz'2024-01-16'").withColumnRenamed("station_id", "id").join(F.broadcast(stations(spark, sf_dir).where("id < 8").select("id", "lat", "lon")), "id")  # eight rows
+    """A field for each hour of the table, through all stations that report in it."""
+    v = h_small(spark, sf_dir).withColumnRenamed("station_id", "id").join(stations(spark, sf_dir).select("id", "lat", "lon"), "id")
     cells = [(i, j, 28.2 + i * 0.7 / 9, 76.8 + j * 0.8 / 9) for i in range(10) for j in range(10)]
     return FL.spline(v, cells)
 
@@ -298,7 +299,11 @@ def f4(spark, sf_dir):
 
 @query("f5_interventions")
 def f5(spark, sf_dir):
-    live = h_small(spark, sf_dir).where("station_id < 5").select(F.get(F.array(*[F.lit(d[1]) for d in SC.DISTRICTS]), F.col("station_id").cast("int")).alias("district"), (F.unix_seconds(F.col("hour").cast("timestamp")) / 3600 % 73).cast("int").alias("hour"), F.col("value").alias("pm25"), F.lit(0.4).alias("inversion"))
+    """Every station belongs to the district nearest to it; a district's frame is the mean of its stations."""
+    near = M.neighbours(stations(spark, sf_dir).select(F.col("id").alias("station_id"), "lat", "lon"), districts(spark).select(F.col("di").alias("id"), "lat", "lon"), 1, ["station_id"])
+    name = F.get(F.array(*[F.lit(d[1]) for d in SC.DISTRICTS]), F.col("id")).alias("district")
+    frame = (F.unix_seconds(F.col("hour").cast("timestamp")) / 3600 % 73).cast("int").alias("hour")
+    live = h_small(spark, sf_dir).join(near, "station_id").groupBy(name, frame).agg(steady(F.avg("value")).alias("pm25"), F.lit(0.4).alias("inversion"))
     return SC.with_interventions(live, SC.frames(districts(spark)), SC.frames(districts(spark), 40, 25, 10))
 
 

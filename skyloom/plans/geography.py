@@ -12,6 +12,7 @@ from ..operators import fires as FI
 from ..operators import matching as M
 from ..operators import spatial as SP
 from ..sources.bridge import SMALL, observations, pixels, sql, stations, steady
+from ..sources.scratch import written
 from .expressions import BAND_SQL, STATE_SQL, _bear, _compass, _hav
 from .registry import Registry
 from .series import h_small, hp
@@ -31,11 +32,6 @@ def split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 SPLIT_SQL = "live AS (SELECT * FROM st WHERE id % 5 = 0), arch AS (SELECT * FROM st WHERE id % 5 <> 0)"
 
 
-#: Plumes are drawn for strong fires, those of at least so many detections.
-STRONG = "quantity >= 50"
-STRONG_SQL = f"strong AS (SELECT * FROM px WHERE {STRONG})"
-
-
 @query("j5_without_near", sql(f", {SPLIT_SQL} SELECT id, name FROM arch a WHERE NOT EXISTS (SELECT 1 FROM live b WHERE {FLAT} <= 4)", "st"))
 def j5(spark, sf_dir):
     live, archive = split(spark, sf_dir)
@@ -109,11 +105,11 @@ def j17(spark, sf_dir):
     return used.join(F.broadcast(spec), "name").select("name", "unit", "offset", "scale")  # twelve rows
 
 
-V = "v AS (SELECT station_id AS id, value FROM h_small WHERE hour = (SELECT max(hour) FROM h_small WHERE hour < TIMESTAMP '2024-01-15'))"
+V = "v AS (SELECT station_id AS id, value FROM h_small WHERE hour = (SELECT max(hour) FROM h_small))"
 
 
 def _snapshot(spark, sf_dir) -> DataFrame:
-    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    h = h_small(spark, sf_dir)
     return h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour").select(F.col("station_id").alias("id"), "value")  # one row
 
 
@@ -134,24 +130,24 @@ def g5(spark, sf_dir):
 
 @query(
     "g7_plume",
-    sql(f""", {STRONG_SQL}, {GRID_SQL}, p AS (SELECT gy, gx, frp, (glon - lon) * 97.5::DOUBLE AS dx, (glat - lat) * 111.0::DOUBLE AS dy FROM strong, g),
+    sql(f""", {GRID_SQL}, p AS (SELECT gy, gx, frp, (glon - lon) * 97.5::DOUBLE AS dx, (glat - lat) * 111.0::DOUBLE AS dy FROM px, g),
     a AS (SELECT *, dx * (3.0::DOUBLE / 5) + dy * (-4.0::DOUBLE / 5) AS al, abs(dy * (3.0::DOUBLE / 5) - dx * (-4.0::DOUBLE / 5)) AS ac FROM p)
-    SELECT gy, gx, round(sum(frp * exp(-(dx * dx + dy * dy) / 4050)) * 0.22, 6) AS frp, round(sum(CASE WHEN al > 0 AND al / 18 <= 72 THEN frp * exp(-(ac * ac) / 4050) / (1 + al / 200) * (2.0::DOUBLE / 5) ELSE 0 END) * 0.22, 6) AS smoke FROM a GROUP BY gy, gx""", "px"),
+    SELECT gy, gx, round(sum(frp * exp(-(dx * dx + dy * dy) / 4050)) * 0.22, 2) AS frp, round(sum(CASE WHEN al > 0 AND al / 18 <= 72 THEN frp * exp(-(ac * ac) / 4050) / (1 + al / 200) * (2.0::DOUBLE / 5) ELSE 0 END) * 0.22, 2) AS smoke FROM a GROUP BY gy, gx""", "px"),
 )
 def g7(spark, sf_dir):
-    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).where(STRONG).select("lat", "lon", "frp"), 3.0, -4.0)
-    return f.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("frp", 6).alias("frp"), F.round("smoke", 6).alias("smoke"))
+    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).select("lat", "lon", "frp"), 3.0, -4.0)
+    return f.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("frp", 2).alias("frp"), F.round("smoke", 2).alias("smoke"))
 
 
 @query(
     "g9_left_out",
-    sql(""", s AS (SELECT * FROM st WHERE id < 8), r AS (SELECT a.id AS a, b.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2)), b.id) AS rank, 1 / pow(greatest(1e-9, sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2))), 2) AS w FROM s a, s b WHERE a.id <> b.id),
+    sql(""", s AS (SELECT * FROM st WHERE id IN (SELECT station_id FROM h_small)), r AS (SELECT a.id AS a, b.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2)), b.id) AS rank, 1 / pow(greatest(1e-9, sqrt(pow((b.lat - a.lat) * 111.0::DOUBLE, 2) + pow((b.lon - a.lon) * 97.5::DOUBLE, 2))), 2) AS w FROM s a, s b WHERE a.id <> b.id),
     q AS (SELECT a, hour, sum(w * value) / sum(w) AS idw, arg_min(value, rank) AS nearest FROM r JOIN h_small ON h_small.station_id = r.id WHERE rank <= 8 GROUP BY a, hour)
     SELECT h.station_id AS id, h.hour, h.value AS truth, round(q.idw + 1.37e-9, 6) AS idw, q.nearest FROM h_small h LEFT JOIN q ON q.a = h.station_id AND q.hour = h.hour""", "st", "h_small"),
 )
 def g9(spark, sf_dir):
-    s = stations(spark, sf_dir).where("id < 8")
-    return SP.left_out(s, h_small(spark, sf_dir).withColumnRenamed("station_id", "id")).select("id", "hour", "truth", steady(F.col("idw")).alias("idw"), "nearest")
+    h = h_small(spark, sf_dir).withColumnRenamed("station_id", "id")
+    return SP.left_out(stations(spark, sf_dir).join(h, "id", "left_semi"), h).select("id", "hour", "truth", steady(F.col("idw")).alias("idw"), "nearest")
 
 
 @query(
@@ -230,18 +226,20 @@ def t8(spark, sf_dir):
     return top.select(F.concat(F.array_join(F.transform(F.slice("s", 1, 3), lambda x: x["state"]), " > "), F.lit(" > Delhi")).alias("route"))
 
 
-
-
-
 @query(
     "a22_block_alerts",
-    sql(f""", {STRONG_SQL}, {GRID_SQL}, p AS (SELECT gy, gx, sum(frp * exp(-(pow((glon - lon) * 97.5::DOUBLE, 2) + pow((glat - lat) * 111.0::DOUBLE, 2)) / 4050)) * 0.22 AS frp FROM strong, g GROUP BY gy, gx), i AS (SELECT gy // 7 AS bi, gx // 8 AS bj, avg(1 / (1 + exp(-frp / 500 + 1))) AS isi FROM p WHERE (gy // 7) * 7 < 63 AND (gx // 8) * 8 < 72 GROUP BY 1, 2)
-    SELECT bi::INTEGER AS bi, bj::INTEGER AS bj, round(isi, 6) AS isi FROM i WHERE isi >= 0.3 ORDER BY bi, bj LIMIT 10""", "px"),
+    sql(f""", {GRID_SQL}, p AS MATERIALIZED (SELECT gy, gx, sum(frp * exp(-(pow((glon - lon) * 97.5::DOUBLE, 2) + pow((glat - lat) * 111.0::DOUBLE, 2)) / 4050)) * 0.22 AS frp FROM px, g GROUP BY gy, gx),
+    c AS (SELECT gy, gx, frp, 1 / (1 + exp(1 - frp / (SELECT avg(frp) FROM p))) AS isi FROM p),
+    i AS (SELECT gy // 7 AS bi, gx // 8 AS bj, avg(isi) AS isi, max(frp) AS frp, arg_max(gy, isi) AS top_gy, arg_max(gx, isi) AS top_gx FROM c WHERE (gy // 7) * 7 < 63 AND (gx // 8) * 8 < 72 GROUP BY 1, 2)
+    SELECT bi::INTEGER AS bi, bj::INTEGER AS bj, round(isi, 6) AS isi, round(frp, 2) AS frp_max, top_gy::INTEGER AS top_gy, top_gx::INTEGER AS top_gx FROM i WHERE isi >= 0.5 ORDER BY bi, bj LIMIT 10""", "px"),
 )
 def a22(spark, sf_dir):
-    f = SP.plume(SP.grid(spark), pixels(spark, sf_dir).where(STRONG).select("lat", "lon", "frp"), 3.0, -4.0)
-    f = f.withColumn("isi", 1 / (1 + F.exp(-F.col("frp") / 500 + 1)))
-    return SP.block_alerts(f, "isi", 0.3).select("bi", "bj", F.round("isi", 6).alias("isi"))
+    """The index of a cell is relative to the mean fire load of all cells."""
+    f = written(SP.plume(SP.grid(spark), pixels(spark, sf_dir).select("lat", "lon", "frp"), 3.0, -4.0), "plume")
+    mean = f.agg(F.avg("frp").alias("mean"))
+    f = f.join(F.broadcast(mean)).withColumn("isi", 1 / (1 + F.exp(1 - F.col("frp") / F.col("mean"))))  # one row
+    b = SP.block_alerts(f, "isi", 0.5, extremes=[F.max("frp").alias("frp_max")])
+    return b.select("bi", "bj", F.round("isi", 6).alias("isi"), F.round("frp_max", 2).alias("frp_max"), "top_gy", "top_gx")
 
 
 @query("k6_geojson_stride", (f"WITH {GRID_SQL} SELECT gy, gx, '{{\"type\":\"Point\",\"coordinates\":[' || round(glon, 4) || ',' || round(glat, 4) || ']}}' AS geometry FROM g WHERE gy % 7 = 0 AND gx % 8 = 0"))

@@ -11,7 +11,7 @@ from ..operators import forecast as FC
 from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
-from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, steady, steady_sql
+from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, stations, steady, steady_sql
 from .expressions import CATEGORY_SQL
 from .registry import Registry
 from .series import A2_SQL, D8, h_small, hp, mesh
@@ -238,9 +238,9 @@ def a32(spark, sf_dir):
     return indexed(spark, sf_dir).groupBy("zone").agg(F.count_if(F.col("aqi") > 200).alias("watch"), F.count_if(F.col("aqi") > 100).alias("moderate"), F.max("aqi").alias("worst"))
 
 
-@query("a33_channel_coverage", sql("SELECT parameter, count(*) AS reporting, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM hp WHERE hour = (SELECT max(hour) FROM hp WHERE hour < TIMESTAMP '2024-01-15') GROUP BY parameter", "hp"))
+@query("a33_channel_coverage", sql("SELECT parameter, count(*) AS reporting, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM hp WHERE hour = (SELECT max(hour) FROM hp) GROUP BY parameter", "hp"))
 def a33(spark, sf_dir):
-    h = hp(spark, sf_dir, SMALL).where("hour < timestamp_ntz'2024-01-15'")
+    h = hp(spark, sf_dir, SMALL)
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
     return now.groupBy("parameter").agg(F.count("*").alias("reporting"), F.min("value").alias("low"), R.upper_median(F.col("value")).alias("upper_median"))
 
@@ -269,9 +269,9 @@ def a38(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.round(R.circular_mean(F.col("value")), 4).alias("bearing"))
 
 
-@query("a39_sector_worst", sql("SELECT station_id % 4 AS sector, count(*) AS stations, max(value) AS worst, arg_max(station_id, value) AS station_id FROM h_small WHERE hour = (SELECT max(hour) FROM h_small WHERE hour < TIMESTAMP '2024-01-15') GROUP BY 1", "h_small"))
+@query("a39_sector_worst", sql("SELECT station_id % 4 AS sector, count(*) AS stations, max(value) AS worst, arg_max(station_id, value) AS station_id FROM h_small WHERE hour = (SELECT max(hour) FROM h_small) GROUP BY 1", "h_small"))
 def a39(spark, sf_dir):
-    h = h_small(spark, sf_dir).where("hour < timestamp_ntz'2024-01-15'")
+    h = h_small(spark, sf_dir)
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
     t = now.groupBy((F.col("station_id") % 4).alias("sector")).agg(F.count("*").alias("stations"), F.max(F.struct("value", (-F.col("station_id")).alias("s"))).alias("t"))
     return t.select("sector", "stations", F.col("t.value").alias("worst"), (-F.col("t.s")).alias("station_id"))
@@ -456,9 +456,11 @@ def s9(spark, sf_dir):
     return back.select("station_id", F.inline(F.arrays_zip("d.hourly.time", "d.hourly.value"))).toDF("station_id", "hour", "value")
 
 
-@query("s10_cells_by_time", sql("SELECT hour AS valid_time, count(*) AS cells, list(value ORDER BY station_id) AS vals FROM h_small WHERE station_id BETWEEN 1 AND 5 GROUP BY hour", "h_small"))
+@query("s10_cells_by_time", sql("SELECT hour AS valid_time, count(*) AS cells, list(value ORDER BY station_id) AS vals FROM h_small WHERE station_id IN (SELECT id FROM st WHERE lat BETWEEN 28.3 AND 28.7 AND lon BETWEEN 76.9 AND 77.4) GROUP BY hour", "st", "h_small"))
 def s10(spark, sf_dir):
-    h = h_small(spark, sf_dir).where("station_id between 1 and 5")
+    """Cells inside a box, as lists by time: the box bounds a list."""
+    inside = stations(spark, sf_dir).where("lat between 28.3 and 28.7 and lon between 76.9 and 77.4").select(F.col("id").alias("station_id"))
+    h = h_small(spark, sf_dir).join(inside, "station_id", "left_semi")
     g = h.groupBy(F.col("hour").alias("valid_time")).agg(F.sort_array(F.collect_list(F.struct("station_id", "value"))).alias("r"))
     return g.select("valid_time", F.size("r").cast("long").alias("cells"), F.transform("r", lambda x: x["value"]).alias("vals"))
 
