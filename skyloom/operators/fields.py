@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,67 @@ def contours(field: DataFrame, threshold: float) -> DataFrame:
     return out.where((F.abs(F.col("x1") - F.col("x2")) > 1e-9) | (F.abs(F.col("y1") - F.col("y2")) > 1e-9))
 
 
-def terrain_wind(lat: Column, lon: Column, u: Column, v: Column, stagnation: float, mean_speed: float) -> tuple[Column, Column, Column]:
+def polylines(segments: DataFrame, by: Sequence[str], passes: int = 2) -> DataFrame:
+    """Segments (*by, x1, y1, x2, y2) joined end to end into lines (*by, line, closed, points), with cut corners.
+
+    Open lines are walked from their ends, then rings from any point. Lines of fewer than three different points are
+    left out. A group is one field at one level, which its grid bounds, and is walked in one task. Each of ``passes``
+    puts two points on every stretch, at a quarter and three quarters of it; open lines keep their ends.
+    """
+    kinds = dict(segments.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "line int, closed boolean, points array<struct<x: double, y: double>>"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = np.round(pdf[["x1", "y1", "x2", "y2"]].sort_values(["y1", "x1", "y2", "x2"]).to_numpy(float), 9)
+        touching: dict[tuple, list[int]] = {}
+        for i, (x1, y1, x2, y2) in enumerate(ends):
+            touching.setdefault((x1, y1), []).append(i)
+            touching.setdefault((x2, y2), []).append(i)
+        free, found = set(range(len(ends))), []
+        for start in [p for p, t in touching.items() if len(t) % 2] + list(touching):
+            while any(i in free for i in touching[start]):
+                path = [start]
+                while (i := next((i for i in touching[path[-1]] if i in free), None)) is not None:
+                    free.remove(i)
+                    a, b = tuple(ends[i, :2]), tuple(ends[i, 2:])
+                    path.append(b if a == path[-1] else a)
+                    if path[-1] == start:
+                        break
+                if len(set(path)) >= 3:
+                    found.append(path)
+        rows = [(path[0] == path[-1], [{"x": x, "y": y} for x, y in _cut(np.array(path), passes)]) for path in found]
+        head = {c: pdf[c].iloc[0] for c in by}
+        return pd.DataFrame([{**head, "line": n, "closed": closed, "points": points} for n, (closed, points) in enumerate(rows)], columns=[*by, "line", "closed", "points"])
+
+    return segments.groupBy(*by).applyInPandas(walk, schema)
+
+
+def _cut(points: np.ndarray, passes: int) -> np.ndarray:
+    """Corner cutting; of a ring the first point comes again at its end."""
+    closed = bool((points[0] == points[-1]).all())
+    for _ in range(passes):
+        a, b = points[:-1], points[1:]
+        cut = np.stack([a * 0.75 + b * 0.25, a * 0.25 + b * 0.75], 1).reshape(-1, 2)
+        points = np.vstack([cut, cut[:1]]) if closed else np.vstack([points[:1], cut, points[-1:]])
+    return points
+
+
+def flow(cells: DataFrame, winds: DataFrame, keys: Sequence[str] = ("gy", "gx")) -> DataFrame:
+    """Cells (*keys, lat, lon), a grid of fixed size, with the direction of flow (u, v) there: the mean of unit vectors
+    of all winds (lat, lon, from_deg), weighted by the inverse square of their distance; from the north-west without any.
+    """
+    toward = F.radians(F.col("from_deg") + 180.0)
+    w = winds.dropna(subset=["lat", "lon", "from_deg"]).select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.sin(toward).alias("__u"), F.cos(toward).alias("__v"))
+    dy, dx = F.col("lat") - F.col("__lat"), (F.col("lon") - F.col("__lon")) * LON_SCALE
+    near = 1 / F.greatest(dy * dy + dx * dx, F.lit(1e-4))
+    summed = w.join(F.broadcast(cells)).groupBy(*keys).agg(F.sum(F.col("__u") * near).alias("__su"), F.sum(F.col("__v") * near).alias("__sv"))
+    size = F.hypot("__su", "__sv")
+    part = lambda c, still: F.when(size > 0, F.col(c) / size).otherwise(F.when(size == 0, 0.0).otherwise(still))
+    out = cells.join(F.broadcast(summed), list(keys), "left")  # a row for each cell at most
+    return out.withColumn("u", part("__su", 0.7071)).withColumn("v", part("__sv", -0.7071)).drop("__su", "__sv")
+
+
+def terrain_wind(lat: Column, lon: Column, u: Column, v: Column, stagnation: Column | float, mean_speed: Column | float) -> tuple[Column, Column, Column]:
     """A flow direction turned along ridges it nears and drawn into the basin, with its slowed-down speed."""
     blocked = F.lit(0.0)
     for alat, alon, blat, blon, width in RIDGES:

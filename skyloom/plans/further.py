@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,10 +271,52 @@ def g11(spark, sf_dir):
     return FL.contours(_cells(spark), 60.0).select("y", "x", "segment", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("g12_terrain_wind")
+@query("g11_lines")
+def g11_lines(spark, sf_dir):
+    """Smooth lines of the filled field (g2) at its levels."""
+    field = written(g2(spark, sf_dir), "field")
+    segments = [FL.contours(field, level).withColumn("level", F.lit(level)) for level in LEVELS]
+    return FL.polylines(reduce(DataFrame.unionByName, segments), ["level"])
+
+
+#: Levels of the contour lines of a filled field.
+LEVELS = (10.0, 20.0, 30.0, 50.0)
+
+# The wind of a station: its last value stands for mixing height (8 m a unit), speed (1/25) and bearing (7 degrees).
+_WINDS = "lv AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small GROUP BY 1), ws AS (SELECT lat, lon, value, radians(value * 7 % 360 + 180) AS toward FROM st JOIN lv USING (id)), air AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - avg(value * 8) / 900)) AS stag, avg(value / 25) AS mean FROM ws)"
+
+
+def _ridge_sql(before: str, name: str, alat: float, alon: float, blat: float, blon: float, width: float) -> str:
+    """One ridge's turn of the flow as two table expressions after ``before``."""
+    k = FL.LON_SCALE
+    ax, ay, dx, dy = alon * k, alat, (blon - alon) * k, blat - alat
+    size = math.hypot(dx, dy)
+    tx, ty = dx / size, dy / size
+    d = lambda x: f"({x!r}::DOUBLE)"
+    along = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((lon * {d(k)} - {d(ax)}) * {d(tx)} + (lat - {d(ay)}) * {d(ty)}) / {d(size)}))"
+    off = f"pow(lon * {d(k)} - (al * {d(dx)} + {d(ax)}), 2) + pow(lat - (al * {d(dy)} + {d(ay)}), 2)"
+    return f"""{name}a AS (SELECT *, {along} AS al FROM {before}), {name}b AS (SELECT * EXCLUDE (al), exp(-({off}) / {d(width * width)}) AS e FROM {name}a),
+    {name} AS (SELECT * EXCLUDE (e, u, v, blocked), greatest(blocked, CASE WHEN e >= 0.01 THEN e ELSE 0 END) AS blocked, u + CASE WHEN e >= 0.01 THEN CASE WHEN u * {d(tx)} + v * {d(ty)} >= 0 THEN 1.15 ELSE -1.15 END * e * {d(tx)} ELSE 0 END AS u,
+    v + CASE WHEN e >= 0.01 THEN CASE WHEN u * {d(tx)} + v * {d(ty)} >= 0 THEN 1.15 ELSE -1.15 END * e * {d(ty)} ELSE 0 END AS v FROM {name}b)"""
+
+
+_G12 = f""", {_WINDS}, cells AS (SELECT gy, gx, 28.2::DOUBLE + gy * (0.7::DOUBLE / 23) AS lat, 76.8::DOUBLE + gx * (0.8::DOUBLE / 23) AS lon FROM range(24) a(gy), range(24) b(gx)),
+    f AS (SELECT gy, gx, c.lat, c.lon, sum(sin(toward) / q) AS su, sum(cos(toward) / q) AS sv FROM (SELECT c.*, toward, greatest(1e-4::DOUBLE, pow(c.lat - w.lat, 2) + pow((c.lon - w.lon) * {FL.LON_SCALE!r}::DOUBLE, 2)) AS q FROM cells c, ws w) c GROUP BY ALL),
+    r0 AS (SELECT gy, gx, lat, lon, su / sqrt(su * su + sv * sv) AS u, sv / sqrt(su * su + sv * sv) AS v, 0.0::DOUBLE AS blocked FROM f), {_ridge_sql("r0", "r1", *FL.RIDGES[0])}, {_ridge_sql("r1", "r2", *FL.RIDGES[1])},
+    p AS (SELECT *, {FL.BASIN[0]}::DOUBLE - lat AS ny, ({FL.BASIN[1]}::DOUBLE - lon) * {FL.LON_SCALE!r}::DOUBLE AS nx FROM r2), q AS (SELECT *, greatest(1e-6::DOUBLE, sqrt(ny * ny + nx * nx)) AS dist FROM p),
+    o AS (SELECT *, u + nx / dist * exp(-pow(dist / 0.34::DOUBLE, 2)) * stag * 1.25 AS uu, v + ny / dist * exp(-pow(dist / 0.34::DOUBLE, 2)) * stag * 1.25 AS vv, (1 - blocked * 0.4) * (1 - exp(-pow(dist / 0.3::DOUBLE, 2)) * stag * 0.45) * mean * (0.4 + 0.85 * (1 - stag)) AS speed FROM q, air)
+    SELECT gy, gx, round(uu / sqrt(uu * uu + vv * vv) * speed, 6) AS u, round(vv / sqrt(uu * uu + vv * vv) * speed, 6) AS v, round(speed, 6) AS speed FROM o"""
+
+
+@query("g12_terrain_wind", sql(_G12, "st", "h_small"))
 def g12(spark, sf_dir):
-    u, v, s = FL.terrain_wind(F.col("lat"), F.col("lon"), F.lit(0.7071), F.lit(-0.7071), 0.4, 2.5)
-    return SP.grid(spark, 24, 24).select("gy", "gx", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), F.round(s, 6).alias("speed"))
+    """The flow between all stations' winds over the terrain; how still and how fast the air is follows from their means."""
+    last = h_small(spark, sf_dir).groupBy(F.col("station_id").alias("id")).agg(F.max(F.struct("hour", "value"))["value"].alias("value"))
+    winds = stations(spark, sf_dir).join(last, "id").withColumn("from_deg", F.col("value") * 7 % 360)
+    air = winds.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.avg(F.col("value") * 8) / 900)).alias("still"), F.avg(F.col("value") / 25).alias("mean"))
+    cells = FL.flow(SP.grid(spark, 24, 24), winds).join(F.broadcast(air))  # one row
+    u, v, s = FL.terrain_wind(F.col("lat"), F.col("lon"), F.col("u"), F.col("v"), F.col("still"), F.col("mean"))
+    return cells.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), F.round(s, 6).alias("speed"))
 
 
 def districts(spark) -> DataFrame:

@@ -27,6 +27,17 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key of an aggregating stream, run to its end: its updates are kept with their batch."""
+    spark = stream.sparkSession
+    table = _fresh(spark, "updates")
+    write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(table)
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", _fresh(spark, "at")).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.parquet(table).groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("t"))
+    return last.select(*keys, *[F.col(f"t.{c}").alias(c) for c in rest])
+
+
 POLLS = "polls AS (SELECT station_id, value < 300 AS valid, ts AS observed_at, parameter AS pollutant, CASE WHEN event_id % 3 > 0 THEN value END AS concentration, floor(value)::INTEGER AS sub_index, event_id AS seq FROM obs), rec AS (SELECT station_id, pollutant, date_trunc('hour', observed_at) AS hour, coalesce(concentration, sub_index) AS value, CASE WHEN concentration IS NOT NULL THEN 'ugm3' ELSE 'subindex' END AS unit, seq FROM polls WHERE valid AND pollutant IN ('pm25', 'pm10', 'o3'))"
 
 
@@ -47,16 +58,15 @@ def r1(spark, sf_dir):
 def r3(spark, sf_dir):
     o = observations(spark, sf_dir, SMALL).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
     s = R.tumbling(R.snapshots(spark, dropped(o, "events", 2), "station_id long, parameter string, ts timestamp, value double", 2))
-    table = _fresh(spark, "hours")
-    s.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(table)).option("checkpointLocation", _fresh(spark, "at")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(table).groupBy("station_id", "parameter", "hour").agg(F.max(F.struct("batch", "value", "n")).alias("t"))
-    return last.select("station_id", "parameter", F.col("hour").cast("timestamp_ntz").alias("hour"), steady(F.col("t.value")).alias("value"), F.col("t.n").alias("n"))
+    last = _latest(s, ["station_id", "parameter", "hour"])
+    return last.select("station_id", "parameter", F.col("hour").cast("timestamp_ntz").alias("hour"), steady(F.col("value")).alias("value"), "n")
 
 
 @query("r4_sliding_days", sql(f", w AS (SELECT station_id, parameter, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM obs_large) SELECT station_id, parameter, until, {steady_sql('avg(value)')} AS value, count(*) AS n FROM w GROUP BY ALL", "obs_large"))
 def r4(spark, sf_dir):
     o = observations(spark, sf_dir, LARGE).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return R.sliding(o).select("station_id", "parameter", F.col("until").cast("timestamp_ntz").alias("until"), steady(F.col("value")).alias("value"), "n")
+    stream = R.sliding(R.snapshots(spark, dropped(o, "days", 2), "station_id long, parameter string, ts timestamp, value double", 2))
+    return _latest(stream, ["station_id", "parameter", "until"]).select("station_id", "parameter", F.col("until").cast("timestamp_ntz").alias("until"), steady(F.col("value")).alias("value"), "n")
 
 
 @query("r5_scheduled_ingest", "SELECT o_custkey AS key, count(*) - 1 AS skipped FROM orders GROUP BY 1")
@@ -80,4 +90,5 @@ def k5(spark, sf_dir):
 @query("r6_step_means", sql(f"SELECT event_id % 72 AS lead, {steady_sql('avg(value)')} AS mean, count(*) AS n FROM obs GROUP BY 1", "obs"))
 def r6(spark, sf_dir):
     o = observations(spark, sf_dir, SMALL).select((F.col("event_id") % 72).alias("lead"), "value")
-    return R.step_means(o).select("lead", steady(F.col("mean")).alias("mean"), "n")
+    stream = R.step_means(R.snapshots(spark, dropped(o, "steps", 3), "lead long, value double"))
+    return _latest(stream, ["lead"]).select("lead", steady(F.col("mean")).alias("mean"), "n")

@@ -210,3 +210,72 @@ def test_left_out_uses_the_others_only(spark):
         w = [(1 / d**2, 10.0 * (j + 1)) for d, j in others]
         assert got[i]["idw"] == pytest.approx(sum(a * b for a, b in w) / sum(a for a, _ in w))
         assert got[i]["nearest"] == 10.0 * (others[0][1] + 1)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_neighbours_are_the_nearest(spark, apart):
+    a, da = places(spark, 40, 21)
+    b, db = places(spark, 90, 22)
+    b += [(90 + i, 29.9, 78.9) for i in range(12)] + [(200, b[0][1], b[0][2])]  # a far cluster at one spot, and a twin
+    db = spark.createDataFrame([*b, (300, None, 77.0)], "id long, lat double, lon double")
+    a += [(40, 28.5, 77.1), (41, 29.9, 78.9), (42, 26.0, 74.0)]
+    da = spark.createDataFrame([*a, (43, None, None)], "p long, lat double, lon double")
+    for k in (1, 5, 200):
+        got = {}
+        for r in M.neighbours(da, db, k, ["p"], apart).collect():
+            got.setdefault(r["p"], {})[r["rank"]] = r["id"]
+        for x in a:
+            ranked = sorted((km(x, y), y[0]) for y in b if not (apart and y[0] == x[0]))
+            if k == 200:  # ties at one spot: only those that can be among the k are kept
+                assert got[x[0]] == {i + 1: j for i, (_, j) in enumerate(ranked)}
+            else:
+                assert got[x[0]] == {i + 1: j for i, (_, j) in enumerate(ranked[:k])}
+        assert 43 not in got
+    assert M.neighbours(da, db.limit(0), 3, ["p"]).count() == 0
+    assert M.neighbours(da.limit(0), db, 3, ["p"]).count() == 0
+
+
+def test_plume_equals_a_sum_over_fires(spark):
+    rng = random.Random(4)
+    fires = [(27 + rng.random() * 4, 75 + rng.random() * 3, rng.random() * 30) for _ in range(30)]
+    d = spark.createDataFrame([*fires, fires[0], (None, 75.0, 1.0), (28.0, 75.0, None)], "lat double, lon double, frp double")
+    got = {(r["gy"], r["gx"]): (r["frp"], r["smoke"]) for r in SP.plume(SP.grid(spark, 5, 6), d, 3.0, -4.0).collect()}
+    for c in SP.grid(spark, 5, 6).collect():
+        frp = smoke = 0.0
+        for la, lo, f in [*fires, fires[0]]:
+            dx, dy = (c["lon"] - lo) * 97.5, (c["lat"] - la) * 111.0
+            along, across = dx * 0.6 - dy * 0.8, abs(dy * 0.6 + dx * 0.8)
+            frp += 0.22 * f * math.exp(-(dx * dx + dy * dy) / 4050)
+            if along > 0 and along / 18 <= 72:
+                smoke += 0.22 * f * math.exp(-across * across / 4050) / (1 + along / 200) * 0.4
+        assert got[c["gy"], c["gx"]] == pytest.approx((frp, smoke))
+
+
+def test_contours_become_smooth_lines(spark):
+    from skyloom.operators.fields import contours, polylines
+
+    hill = [(y, x, 10.0 - math.hypot(y - 6.2, x - 7.1)) for y in range(14) for x in range(15)]
+    slope = [(y, x, float(x) + 0.3) for y in range(6) for x in range(6)]
+    rings = contours(spark.createDataFrame(hill, "gy int, gx int, value double"), 6.0).selectExpr("'hill' as field", "*")
+    lines = contours(spark.createDataFrame(slope, "gy int, gx int, value double"), 2.0).selectExpr("'slope' as field", "*")
+    rough = {r["field"]: r for r in polylines(rings.unionByName(lines), ["field"], 0).collect()}
+    assert rough["hill"]["closed"] and len(rough["hill"]["points"]) == rings.count() + 1
+    assert not rough["slope"]["closed"] and [(p["x"], p["y"]) for p in rough["slope"]["points"]] == [pytest.approx((1.7, float(y))) for y in range(6)]
+    smooth = {r["field"]: r for r in polylines(rings.unionByName(lines), ["field"]).collect()}
+    assert smooth["hill"]["points"][0] == smooth["hill"]["points"][-1] and len(smooth["hill"]["points"]) == 4 * rings.count() + 1
+    assert all(abs(math.hypot(p["y"] - 6.2, p["x"] - 7.1) - 4) < 0.1 for p in smooth["hill"]["points"])
+    assert smooth["slope"]["points"][0] == rough["slope"]["points"][0] and smooth["slope"]["points"][-1] == rough["slope"]["points"][-1]
+    assert polylines(lines.limit(0), ["field"]).count() == 0
+
+
+def test_flow_turns_through_north(spark):
+    from skyloom.operators.fields import flow
+
+    cells = spark.createDataFrame([(0, 0, 28.5, 77.0)], "gy int, gx int, lat double, lon double")
+    winds = lambda *b: spark.createDataFrame([(28.5, 77.0 + d, x) for d, x in b], "lat double, lon double, from_deg double")
+    r = flow(cells, winds((-0.1, 350.0), (0.1, 10.0))).first()
+    assert (r["u"], r["v"]) == pytest.approx((0.0, -1.0), abs=1e-9)
+    r = flow(cells, winds((0.0, 90.0))).first()
+    assert (r["u"], r["v"]) == pytest.approx((-1.0, 0.0), abs=1e-9)
+    r = flow(cells, winds((0.0, 90.0)).limit(0)).first()
+    assert (r["u"], r["v"]) == (0.7071, -0.7071)
