@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,21 @@ def counts(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
     return n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__v", "__n")))).alias(name))
 
 
-def clusters(pixels: DataFrame, cell: float = 0.25, most: int = 24) -> DataFrame:
-    """Cells with their weighted centre, strongest first: ``listed`` ones have two pixels and a rank up to ``most``."""
+def clusters(pixels: DataFrame, cell: float = 0.25, most: int = 24, histograms: Sequence[str] = ("confidence",), now: Column | None = None) -> DataFrame:
+    """Cells with their weighted centre, strongest first: ``listed`` ones have two pixels and a rank up to ``most``.
+
+    Each column of histograms becomes a map of its values to counts; with ``now``, age_h is the age of the newest pixel.
+    """
     keyed = pixels.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("__at", detected_at(F.col("acq_date"), F.col("acq_time")))
     w = F.col("frp")
     cells = keyed.groupBy("cy", "cx").agg(
         F.count("*").alias("pixels"), F.sum(w).alias("frp_total"), F.max(w).alias("frp_max"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"), (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon"), F.max("__at").alias("newest")
     )
-    cells = cells.where("frp_total > 0").join(counts(keyed, ["cy", "cx"], F.col("confidence"), "confidence"), ["cy", "cx"], "left")
+    cells = cells.where("frp_total > 0")
+    for name in histograms:
+        cells = cells.join(counts(keyed, ["cy", "cx"], F.col(name), name), ["cy", "cx"], "left")
+    if now is not None:
+        cells = cells.withColumn("age_h", (F.unix_seconds(now) - F.unix_seconds(F.col("newest").cast("timestamp"))) / 3600)
     total = cells.agg(F.sum("frp_total").alias("__all"))
     out = cells.join(F.broadcast(total)).withColumn("share_pct", F.col("frp_total") / F.col("__all") * 100).drop("__all")  # one row
     kept = out.where("pixels >= 2").orderBy(F.desc("frp_total"), "cy", "cx").limit(most).select("cy", "cx", F.lit(True).alias("__kept"))

@@ -17,16 +17,16 @@ from ..operators import matching as M
 from ..operators import scenario as SC
 from ..operators import spatial as SP
 from ..operators import store as ST
-from ..operators import timeseries as S
 from ..sources.bridge import SMALL, observations, pixels, read, sql, stations, steady, steady_sql
 from ..sources.scratch import written
 from ..streaming import recorder as R
 from .expressions import CATEGORY_SQL, index_by_sql, ladder_sql
 from .geography import GRID_SQL, split
-from .registry import Query, Registry
-from .relations import M_LAST, backtest, dense, fitted, indexed
+from .registry import Registry
+from .relations import M_LAST, fitted, indexed
 from .series import A2_SQL, h_small, hp
 from .streams import _fresh, dropped
+from .tools import ask
 
 REG = Registry()
 query = REG.query
@@ -388,10 +388,6 @@ def r8(spark, sf_dir):
     return spark.read.parquet(out).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
-#: Questions by name with parameters, for callers that don't write DataFrames.
-TOOLS: dict[str, Query] = {"city_now": lambda s, d: indexed(s, d).agg(F.max("aqi").alias("worst"), F.avg("aqi").alias("mean")), "backtest_size": lambda s, d: backtest(s, d).agg(F.count("*").alias("n")), "missing_hours": lambda s, d: S.densify(dense(s, d).select("station_id", "hour"), K).agg(F.count("*").alias("n"))}
-
-
 @query("u2_named_tool", sql(f"{A2_SQL}, {M_LAST} SELECT max(aqi) AS worst, {steady_sql('avg(aqi)')} AS mean FROM ml", "hp_large"))
 def u2(spark, sf_dir):
-    return TOOLS["city_now"](spark, sf_dir).select("worst", steady(F.col("mean")).alias("mean"))
+    return ask(spark, sf_dir, "city_now")

@@ -163,15 +163,18 @@ def g10(spark, sf_dir):
 
 
 CL_SQL = f"""c AS (SELECT *, floor(lat / 0.25)::BIGINT AS cy, floor(lon / 0.25)::BIGINT AS cx, strptime(acq_date || ' ' || lpad(acq_time, 4, '0'), '%Y-%m-%d %H%M') AS seen FROM px),
-    q AS (SELECT cy, cx, count(*) AS pixels, sum(frp) AS frp_total, max(frp) AS frp_max, sum(lat * frp) / sum(frp) AS lat, sum(lon * frp) / sum(frp) AS lon, max(seen) AS newest, count(*) FILTER (confidence = 'a') AS conf_a FROM c GROUP BY cy, cx HAVING sum(frp) > 0),
+    q AS (SELECT cy, cx, count(*) AS pixels, sum(frp) AS frp_total, max(frp) AS frp_max, sum(lat * frp) / sum(frp) AS lat, sum(lon * frp) / sum(frp) AS lon, max(seen) AS newest, count(*) FILTER (confidence = 'a') AS conf_a, count(*) FILTER (kind = 0) AS kind_0, count(*) FILTER (satellite = 'O') AS sat_o, count(*) FILTER (extract(hour FROM seen) NOT BETWEEN 6 AND 17) AS nightly FROM c GROUP BY cy, cx HAVING sum(frp) > 0),
     k AS MATERIALIZED (SELECT *, pixels >= 2 AND row_number() OVER (PARTITION BY pixels >= 2 ORDER BY frp_total DESC, cy, cx) <= 24 AS listed, frp_total / (SELECT sum(frp_total) FROM q) * 100 AS share FROM q)"""
 
 
-@query("a8_fire_clusters", sql(f", {CL_SQL} SELECT cy, cx, pixels, round(frp_total, 6) AS frp_total, frp_max, round(lat, 6) AS lat, round(lon, 6) AS lon, newest, conf_a, listed, round(share, 6) AS share_pct, {BAND_SQL} AS band, {STATE_SQL} AS state, round({_hav('lat', 'lon', *T.TARGET)}, 6) AS dist_km FROM k", "px"))
+@query("a8_fire_clusters", sql(f", {CL_SQL} SELECT cy, cx, pixels, round(frp_total, 6) AS frp_total, frp_max, round(lat, 6) AS lat, round(lon, 6) AS lon, newest, conf_a, kind_0, sat_o, nightly, round(date_diff('minute', newest, TIMESTAMP '2001-12-01') / 60.0::DOUBLE, 6) AS age_h, listed, round(share, 6) AS share_pct, {BAND_SQL} AS band, {STATE_SQL} AS state, round({_hav('lat', 'lon', *T.TARGET)}, 6) AS dist_km FROM k", "px"))
 def a8(spark, sf_dir):
-    c = FI.clusters(pixels(spark, sf_dir))
+    rows = pixels(spark, sf_dir).withColumn("nightly", ~F.hour(detected_at(F.col("acq_date"), F.col("acq_time"))).between(6, 17))
+    c = FI.clusters(rows, histograms=("confidence", "kind", "satellite", "nightly"), now=F.lit("2001-12-01").cast("timestamp"))
     r = lambda k: F.round(k, 6).alias(k)
-    return c.select("cy", "cx", "pixels", r("frp_total"), "frp_max", r("lat"), r("lon"), F.col("newest").cast("timestamp_ntz").alias("newest"), F.coalesce(F.try_element_at("confidence", F.lit("a")), F.lit(0)).cast("long").alias("conf_a"), "listed", r("share_pct"), "band", "state", r("dist_km"))
+    n = lambda k, of, name: F.coalesce(F.try_element_at(k, F.lit(of)), F.lit(0)).cast("long").alias(name)
+    shares = [n("confidence", "a", "conf_a"), n("kind", 0, "kind_0"), n("satellite", "O", "sat_o"), n("nightly", True, "nightly")]
+    return c.select("cy", "cx", "pixels", r("frp_total"), "frp_max", r("lat"), r("lon"), F.col("newest").cast("timestamp_ntz").alias("newest"), *shares, r("age_h"), "listed", r("share_pct"), "band", "state", r("dist_km"))
 
 
 @query("a8_fire_others", sql(f", {CL_SQL} SELECT count(*) AS clusters, sum(pixels)::BIGINT AS pixels, round(sum(frp_total), 6) AS frp_total, count(*) FILTER (pixels < 2) AS isolated FROM k WHERE NOT listed", "px"))

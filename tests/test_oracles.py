@@ -43,3 +43,19 @@ def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert all(set(r.asDict()) == set(df.columns) for r in rows)
+
+
+def test_tools_answer_by_name(spark):
+    from skyloom.plans.tools import TOOLS, ask
+
+    assert len(TOOLS) == 8
+    days = ask(spark, SF, "city_history", days=7).first()
+    assert days["days"] == 7 and days["mean"] > 0
+    assert [r["hours"] for r in ask(spark, SF, "index_rules", pollutant="o3").collect()] == [8]
+    assert ask(spark, SF, "station_detail", station="supplier#000000001, delhi - cpcb").count() == ask(spark, SF, "station_detail", station="0001,").count() == 1
+    assert ask(spark, SF, "station_detail", station="nowhere").count() == 0
+    everything, later = (ask(spark, SF, "fire_corridor", since=s).agg({"pixels": "sum"}).first()[0] for s in (None, "1998-01-01"))
+    assert 0 < later < everything
+    assert [r["lead"] for r in ask(spark, SF, "forecast", hours=24).orderBy("lead").collect()] == [6, 12, 18, 24]
+    with pytest.raises(ValueError):
+        ask(spark, SF, "weather")
