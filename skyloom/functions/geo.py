@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,6 +126,20 @@ def utm(lat: Column, lon: Column, zone_number: int = 43) -> tuple[Column, Column
     return east * (k0 * radius) + 500000.0, north * (k0 * radius)
 
 
+def feature(properties: Sequence[str], names: Mapping[str, str] = {}, lat: str = "lat", lon: str = "lon") -> Column:
+    """K6: a row as a GeoJSON feature, a point with the named properties; a null property is left out."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.round(lon, 4), F.round(lat, 4)).alias("coordinates"))
+    own = F.struct(*[F.col(c).alias(names.get(c, c)) for c in properties])
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), own.alias("properties")))
+
+
+def feature_collection(properties: Sequence[str], names: Mapping[str, str] = {}, order: Sequence[str] = (), lat: str = "lat", lon: str = "lon") -> Column:
+    """K6: an aggregate: the rows of a group, which one document holds, as a GeoJSON feature collection in the given order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, feature(properties, names, lat, lon).alias("__f"))))
+    head, tail = F.lit('{"type":"FeatureCollection","features":['), F.lit("]}")
+    return F.concat(head, F.array_join(F.transform(rows, lambda r: r["__f"]), ","), tail)
+
+
 def grid_index(lat: Column, lon: Column) -> tuple[Column, Column]:
     """The row and column of the first grid line at or above a place, within the grid."""
     g = T.GRID

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from ..functions import tables as T
 RIDGES = [(28.3, 76.88, 28.66, 77.22, 0.13), (28.82, 77.34, 29.06, 77.78, 0.15)]
 BASIN = (28.62, 77.18)
 LON_SCALE = math.cos(math.radians(28.6))
+#: Cells of a grid that a task adds up in arrays.
+MOST_CELLS = 100_000
 
 
 def spline(values: DataFrame, cells: list[tuple[int, int, float, float]], by: str = "hour") -> DataFrame:
@@ -115,19 +117,48 @@ def _cut(points: np.ndarray, passes: int) -> np.ndarray:
     return points
 
 
-def flow(cells: DataFrame, winds: DataFrame, keys: Sequence[str] = ("gy", "gx")) -> DataFrame:
+def flow(cells: DataFrame, winds: DataFrame, keys: Sequence[str] = ("gy", "gx"), by: Sequence[str] = ()) -> DataFrame:
     """Cells (*keys, lat, lon), a grid of fixed size, with the direction of flow (u, v) there: the mean of unit vectors
     of all winds (lat, lon, from_deg), weighted by the inverse square of their distance; from the north-west without any.
+
+    With ``by``, a field for each of its values among the winds. Each task adds its winds up in arrays of all cells, a
+    row for each field that a batch touches, so no wind is sent to every cell; the arrays are then added cell by cell.
     """
-    toward = F.radians(F.col("from_deg") + 180.0)
-    w = winds.dropna(subset=["lat", "lon", "from_deg"]).select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.sin(toward).alias("__u"), F.cos(toward).alias("__v"))
-    dy, dx = F.col("lat") - F.col("__lat"), (F.col("lon") - F.col("__lon")) * LON_SCALE
-    near = 1 / F.greatest(dy * dy + dx * dx, F.lit(1e-4))
-    summed = w.join(F.broadcast(cells)).groupBy(*keys).agg(F.sum(F.col("__u") * near).alias("__su"), F.sum(F.col("__v") * near).alias("__sv"))
+    at = cells.select("lat", "lon", *keys).orderBy(*keys).toPandas()
+    if len(at) > MOST_CELLS:
+        raise ValueError(f"a grid of {len(at)} cells is more than the {MOST_CELLS} that a task adds up in arrays")
+    lat, lon = at["lat"].to_numpy(float), at["lon"].to_numpy(float)
+    kinds = dict(winds.dtypes)
+    head = [f"{c} {kinds[c]}" for c in by]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(list(by), sort=False) if by else [((), batch)]
+            for key, own in groups:
+                su, sv = np.zeros(len(at)), np.zeros(len(at))
+                for i in range(0, len(own), 256):
+                    w = own.iloc[i : i + 256]
+                    dy = lat - w["lat"].to_numpy()[:, None]
+                    dx = (lon - w["lon"].to_numpy()[:, None]) * LON_SCALE
+                    near = 1 / np.maximum(dy * dy + dx * dx, 1e-4)
+                    toward = np.radians(w["from_deg"].to_numpy() + 180.0)
+                    su, sv = su + np.sin(toward) @ near, sv + np.cos(toward) @ near
+                yield pd.DataFrame([[*key, su, sv]], columns=[*by, "__su", "__sv"])
+
+    w = winds.dropna(subset=[*by, "lat", "lon", "from_deg"]).select(*by, *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "from_deg")])
+    sums = w.mapInPandas(add, ", ".join([*head, "__su array<double>, __sv array<double>"]))
+    each = sums.select(*by, F.posexplode(F.arrays_zip("__su", "__sv")).alias("__k", "__s"))
+    summed = each.groupBy(*by, "__k").agg(F.sum("__s.__su").alias("__su"), F.sum("__s.__sv").alias("__sv"))
+    placed = F.broadcast(cells.sparkSession.createDataFrame(at.assign(__k=range(len(at))), _schema_of(cells, keys)))  # MOST_CELLS at most
     size = F.hypot("__su", "__sv")
     part = lambda c, still: F.when(size > 0, F.col(c) / size).otherwise(F.when(size == 0, 0.0).otherwise(still))
-    out = cells.join(F.broadcast(summed), list(keys), "left")  # a row for each cell at most
-    return out.withColumn("u", part("__su", 0.7071)).withColumn("v", part("__sv", -0.7071)).drop("__su", "__sv")
+    out = summed.join(placed, "__k") if by else placed.join(F.broadcast(summed), "__k", "left")  # a row for each cell at most
+    return out.withColumn("u", part("__su", 0.7071)).withColumn("v", part("__sv", -0.7071)).drop("__su", "__sv", "__k")
+
+
+def _schema_of(cells: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(cells.dtypes)
+    return ", ".join(["lat double, lon double", *[f"{c} {kinds[c]}" for c in keys], "__k int"])
 
 
 def terrain_wind(lat: Column, lon: Column, u: Column, v: Column, stagnation: Column | float, mean_speed: Column | float) -> tuple[Column, Column, Column]:

@@ -10,34 +10,50 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import tables as T
 from ..functions.parse import detected_at
+from ..sources.scratch import written
 
 
-def counts(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """A histogram column: map of values to counts for each key, from partial aggregates; nulls aren't counted."""
-    n = rows.where(value.isNotNull()).groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n"))
-    return n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__v", "__n")))).alias(name))
+def _histogram(name: str) -> Column:
+    """A map of values to counts from the combinations (values, pixels) of a cell; nulls aren't counted."""
+    pairs = F.filter("__parts", lambda p: p[name].isNotNull())
+    values = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p[name])))
+    count = lambda v: F.aggregate(F.filter(pairs, lambda p: p[name] == v), F.lit(0).cast("long"), lambda n, p: n + p["__pixels"])
+    return F.when(F.size(values) > 0, F.map_from_arrays(values, F.transform(values, count)))
 
 
-def clusters(pixels: DataFrame, cell: float = 0.25, most: int = 24, histograms: Sequence[str] = ("confidence",), now: Column | None = None) -> DataFrame:
+def clusters(
+    pixels: DataFrame, cell: float = 0.25, most: int = 24, histograms: Sequence[str] = ("confidence",), now: Column | None = None
+) -> DataFrame:
     """Cells with their weighted centre, strongest first: ``listed`` ones have two pixels and a rank up to ``most``.
 
     Each column of histograms becomes a map of its values to counts; with ``now``, age_h is the age of the newest pixel.
+    Pixels are read once: partial sums by cell and combination of the histograms' values (few, for those are kinds) are summed up
+    by cell, and the cells, which the region bounds, are written for what looks at all of them.
     """
-    keyed = pixels.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("__at", detected_at(F.col("acq_date"), F.col("acq_time")))
+    at = detected_at(F.col("acq_date"), F.col("acq_time"))
+    y, x = F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)
     w = F.col("frp")
-    cells = keyed.groupBy("cy", "cx").agg(
-        F.count("*").alias("pixels"), F.sum(w).alias("frp_total"), F.max(w).alias("frp_max"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"), (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon"), F.max("__at").alias("newest")
-    )
-    cells = cells.where("frp_total > 0")
-    for name in histograms:
-        cells = cells.join(counts(keyed, ["cy", "cx"], F.col(name), name), ["cy", "cx"], "left")
+    sums = {"pixels": F.count("*"), "frp_total": F.sum(w), "__lat": F.sum(F.col("lat") * w), "__lon": F.sum(F.col("lon") * w)}
+    tops = {"frp_max": F.max(w), "newest": F.max("__at")}
+    keyed = pixels.withColumns({"cy": y, "cx": x, "__at": at})
+    parts = keyed.groupBy("cy", "cx", *histograms).agg(*[c.alias(k) for k, c in (sums | tops).items()])
+    cells = parts.groupBy("cy", "cx").agg(
+        *[F.sum(k).alias(k) for k in sums],
+        *[F.max(k).alias(k) for k in tops],
+        F.collect_list(F.struct(*histograms, F.col("pixels").alias("__pixels"))).alias("__parts"),
+    )
+    centre = {"lat": F.col("__lat") / F.col("frp_total"), "lon": F.col("__lon") / F.col("frp_total")}
+    cells = cells.where("frp_total > 0").withColumns(centre | {name: _histogram(name) for name in histograms})
+    columns = ["cy", "cx", "pixels", "frp_total", "frp_max", "lat", "lon", "newest", *histograms]
+    cells = written(cells.select(*columns), "fire-cells")
     if now is not None:
         cells = cells.withColumn("age_h", (F.unix_seconds(now) - F.unix_seconds(F.col("newest").cast("timestamp"))) / 3600)
     total = cells.agg(F.sum("frp_total").alias("__all"))
     out = cells.join(F.broadcast(total)).withColumn("share_pct", F.col("frp_total") / F.col("__all") * 100).drop("__all")  # one row
     kept = out.where("pixels >= 2").orderBy(F.desc("frp_total"), "cy", "cx").limit(most).select("cy", "cx", F.lit(True).alias("__kept"))
-    out = out.join(kept, ["cy", "cx"], "left").withColumn("listed", F.coalesce("__kept", F.lit(False))).drop("__kept")
-    return out.withColumn("band", G.latitude_band(F.col("lat"))).withColumn("state", G.rough_state(F.col("lat"), F.col("lon"))).withColumn("dist_km", G.haversine_km(F.col("lat"), F.col("lon"), *T.TARGET))
+    out = out.join(F.broadcast(kept), ["cy", "cx"], "left").withColumn("listed", F.coalesce("__kept", F.lit(False))).drop("__kept")  # ``most`` rows
+    band, state = G.latitude_band(F.col("lat")), G.rough_state(F.col("lat"), F.col("lon"))
+    return out.withColumns({"band": band, "state": state, "dist_km": G.haversine_km(F.col("lat"), F.col("lon"), *T.TARGET)})
 
 
 def others(found: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,13 +24,19 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float, left_id: str = "i
     return a.join(b, ["cy", "cx"]).select("a", "b", d.alias("km")).where(F.col("km") <= km)
 
 
+#: Levels of cells, each half as wide as those of the level before; the first is as wide as all there is.
+LEVELS = 20
+
+
 def neighbours(points: DataFrame, places: DataFrame, k: int, keys: Sequence[str], apart: bool = False) -> DataFrame:
     """(*keys, id, rank, km) of the k places (id, lat, lon) nearest to each point (*keys, lat, lon), ties by id;
     fewer where there are fewer. With ``apart`` the place of a point's own id doesn't count.
 
-    Each round looks within a radius, by ``pairs_within``; points that find k places there are done, the others go on
-    with twice the radius. The first radius follows from how dense the places lie, so most points need one round. Of
-    places at one spot only the k (or k + 1) of least id can be among the nearest, so the others are left out.
+    Each point looks at cells as fine as its own surroundings are dense: places are counted by cell at all levels, each count
+    is added to the nine cells around, and a point takes the finest level at which the nine cells around it hold enough places.
+    The k nearest are then no farther than the diagonal of a two-by-two block from it, so cells up to three away hold
+    them all. However unevenly places lie, a point meets about as many as there are in seven times seven of its cells.
+    Of places at one spot only the k (or k + 1) of least id can be among the nearest, so the others are left out.
     """
     spot = Window.partitionBy("lat", "lon").orderBy("id")
     most = k + 1 if apart else k
@@ -39,32 +44,37 @@ def neighbours(points: DataFrame, places: DataFrame, k: int, keys: Sequence[str]
     some = written(some.drop("__n"), "places")
     left = written(points.select(F.struct(*keys).alias("a"), "lat", "lon").dropna(subset=["lat", "lon"]), "points")
     edges = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lon")]
-    inner = some.agg(F.count("*").alias("n"), *edges).first()
-    outer = left.select("lat", "lon").unionByName(some.select("lat", "lon")).agg(*edges).first()
-    if not inner["n"]:
-        return left.select("a.*", F.lit(None).cast(dict(some.dtypes)["id"]).alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("km")).where("false")
-    sides = lambda e: ((e["max_lat"] - e["min_lat"]) * T.KM_LAT, (e["max_lon"] - e["min_lon"]) * T.KM_LON)
-    whole = 1.01 * math.hypot(*sides(outer)) + 1e-3
-    dense = math.sqrt(2 * most * math.prod(sides(inner)) / (math.pi * inner["n"]))
-    km = whole if inner["n"] <= most else max(dense, whole / 1000)
-    found = None
-    while True:
-        last = km >= whole
-        near = pairs_within(left, some, km, "a", "id").withColumnRenamed("b", "id")
-        near = near.where(F.col("km") <= km * (1 - 1e-9))  # what lies on the rim may miss by rounding
-        if apart:
-            near = near.where(F.col("id") != F.col(f"a.{keys[0]}"))
-        own = Window.partitionBy("a")
-        top = near.withColumn("rank", F.row_number().over(own.orderBy("km", "id"))).where(F.col("rank") <= k)
-        done = top if last else top.withColumn("__n", F.count("*").over(own)).where(F.col("__n") == k).drop("__n")
-        done = written(done, "neighbours")
-        found = done if found is None else found.unionByName(done)
-        if not last:
-            left = written(left.join(done.where("rank = 1").select("a"), "a", "left_anti"), "points")
-            last = left.isEmpty()
-        if last:
-            return found.select("a.*", "id", "rank", "km")
-        km *= 2
+    e = left.select("lat", "lon").unionByName(some.select("lat", "lon")).agg(*edges).first()
+    if e["min_lat"] is None:
+        return left.select("a.*", F.lit(None).cast(dict(some.dtypes)["id"]).alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("km"))
+    sides = (e["max_lat"] - e["min_lat"]) * T.KM_LAT, (e["max_lon"] - e["min_lon"]) * T.KM_LON
+    size = F.lit(1.01 * max(sides) + 1e-3) / F.pow(F.lit(2.0), F.col("level"))
+
+    def celled(rows: DataFrame) -> DataFrame:
+        y = F.floor((F.col("lat") - e["min_lat"]) * T.KM_LAT / size)
+        x = F.floor((F.col("lon") - e["min_lon"]) * T.KM_LON / size)
+        return rows.withColumns({"cy": y, "cx": x})
+
+    def around(rows: DataFrame, reach: int) -> DataFrame:
+        near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+        moved = {"cy": F.col("cy") + F.col("__d.i"), "cx": F.col("cx") + F.col("__d.j")}
+        return rows.withColumn("__d", F.explode(F.array(*near))).withColumns(moved).drop("__d")
+
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    cell = ["level", "cy", "cx"]
+    placed = celled(some.withColumn("level", level))
+    held = placed.groupBy(*cell).agg(F.count("*").alias("n"))
+    enough = around(held, 1).groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= most).select(*cell)
+    own = celled(left.withColumn("level", level)).join(enough, cell).groupBy("a", "lat", "lon").agg(F.max("level").alias("level"))
+    sized = left.join(own, ["a", "lat", "lon"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    asked = around(celled(sized), 3).select(*cell, "a", F.col("lat").alias("alat"), F.col("lon").alias("alon"))
+    km = G.planar_km(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon"))
+    near = asked.join(placed, cell).withColumn("km", km).where((F.col("level") == 0) | (F.col("km") <= size * 2.83))
+    if apart:
+        near = near.where(F.col("id") != F.col(f"a.{keys[0]}"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("km", "id"))
+    top = near.select("a", "id", "km").withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.select("a.*", "id", "rank", "km")
 
 
 def without_near(left: DataFrame, right: DataFrame, km: float, key: str = "id") -> DataFrame:

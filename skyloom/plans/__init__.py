@@ -1,7 +1,7 @@
 """All queries of the library by name, and the SQL they are held against."""
 
-from . import expressions, further, geography, relations, series, streams
+from . import expressions, further, geography, grids, relations, scenarios, series, streams
 
-FAMILIES = [expressions, series, geography, relations, streams, further]
+FAMILIES = [expressions, series, geography, relations, streams, further, grids, scenarios]
 QUERIES = {name: f for m in FAMILIES for name, f in m.REG.queries.items()}
 ORACLES = {name: s for m in FAMILIES for name, s in m.REG.oracles.items()}

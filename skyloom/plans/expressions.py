@@ -492,7 +492,22 @@ def p25(spark, sf_dir):
     return wanted.unionByName(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value")), allowMissingColumns=True)
 
 
-@query("p26_utm")
+def _utm_sql() -> str:
+    """Easting and northing by the same series, as nested table expressions over st."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    scale = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * n**0.5 / (1 + n)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    atanh = lambda x: f"(ln((1 + {x}) / (1 - {x})) / 2)"
+    sinh, cosh = (lambda x, s=s: f"((exp({x}) {s} exp(-({x}))) / 2)" for s in "-+")
+    sums = lambda f, g: " + ".join(f"{a!r}::DOUBLE * {f}({2 * j} * xi) * {g(f'{2 * j} * eta')}" for j, a in enumerate(alpha, 1))
+    return f""", r AS (SELECT id, radians(lat) AS p, radians(lon - 75.0) AS dl FROM st),
+    t AS (SELECT id, dl, {sinh(f"{atanh('sin(p)')} - {e!r}::DOUBLE * {atanh(f'({e!r}::DOUBLE * sin(p))')}")} AS t FROM r),
+    x AS (SELECT id, atan2(t, cos(dl)) AS xi, {atanh("(sin(dl) / sqrt(1 + t * t))")} AS eta FROM t)
+    SELECT id, round((eta + {sums("cos", sinh)}) * {scale!r}::DOUBLE + 500000, 3) AS easting, round((xi + {sums("sin", cosh)}) * {scale!r}::DOUBLE, 3) AS northing FROM x"""
+
+
+@query("p26_utm", sql(_utm_sql(), "st"))
 def p26(spark, sf_dir):
     e, n = G.utm(F.col("lat"), F.col("lon"))
     return stations(spark, sf_dir).select("id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import index as X
 from ..functions import tables as T
 from ..operators import fields as FL
-from ..operators import forecast as FC
-from ..operators import matching as M
 from ..operators import scenario as SC
 from ..operators import spatial as SP
 from ..operators import store as ST
 from ..sources.bridge import SMALL, observations, pixels, read, sql, stations, steady, steady_sql
-from ..sources.scratch import written
-from ..streaming import recorder as R
-from .expressions import CATEGORY_SQL, index_by_sql, ladder_sql
-from .geography import GRID_SQL, split
+from ..sources.scratch import scratch, written
+from .expressions import CATEGORY_SQL, index_by_sql
+from .geography import GRID_SQL
 from .registry import Registry
-from .relations import M_LAST, fitted, indexed
+from .relations import M_LAST, indexed
 from .series import A2_SQL, h_small, hp
-from .streams import _fresh, dropped
 from .tools import ask
 
 REG = Registry()
@@ -33,15 +28,10 @@ query = REG.query
 K = ["station_id"]
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    written(spark.range(1), "place")
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_partitioned_scan", sql("SELECT station_id, count(*) AS n, max(value) AS top FROM obs WHERE parameter = 'pm25' AND ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY station_id", "obs"))
 def s1(spark, sf_dir):
     """A Hive-style folder by day and pollutant: both filters prune partitions."""
-    path = _place(spark, "observations")
+    path = scratch(spark, "observations")
     observations(spark, sf_dir, SMALL).withColumn("day", F.col("ts").cast("date")).write.partitionBy("day", "parameter").parquet(path)
     got = spark.read.parquet(path).where("parameter = 'pm25' and day between date'2024-01-10' and date'2024-01-12'")
     return got.groupBy("station_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
@@ -49,7 +39,7 @@ def s1(spark, sf_dir):
 
 @query("s3_csv_scan", "SELECT event_id, ts, value FROM events WHERE value > 20")
 def s3(spark, sf_dir):
-    path = _place(spark, "events-csv")
+    path = scratch(spark, "events-csv")
     read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "value").write.option("header", True).csv(path)
     return spark.read.schema("event_id long, ts timestamp_ntz, value double").option("header", True).csv(path).where("value > 20")
 
@@ -108,14 +98,14 @@ def s18(spark, sf_dir):
 def k1(spark, sf_dir):
     from .series import mesh
 
-    path = _place(spark, "index")
+    path = scratch(spark, "index")
     mesh(spark, sf_dir).withColumn("season", F.floor(F.dayofmonth("hour") / 8)).write.partitionBy("season").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("season").cast("long").alias("season")).agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"))
 
 
 @query("k9_score_report", "SELECT o_orderstatus AS status, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")
 def k9(spark, sf_dir):
-    path = _place(spark, "report")
+    path = scratch(spark, "report")
     read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")).write.option("header", True).csv(path)
     return spark.read.schema("status string, n long, top double").option("header", True).csv(path)
 
@@ -214,7 +204,16 @@ def o7(spark, sf_dir):
     return j.select("station_id", "hour", F.coalesce("v", F.lit(40.0)).alias("value"), F.col("v").isNull().alias("is_synthetic"))
 
 
-@query("g2_filled_grid", sql(f", {GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st WHERE id IN (SELECT station_id FROM h_small))), v AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small GROUP BY 1) SELECT gy, gx, round(sum(value / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)) / sum(1 / (CASE WHEN km = 0 THEN 1e-26 ELSE km * km END)), 6) AS value FROM kk JOIN v USING (id) WHERE rank <= 8 GROUP BY gy, gx", "st", "h_small"))
+_NEAR = "CASE WHEN km = 0 THEN 1e-26 ELSE km * km END"
+G2_SQL = f"""{GRID_SQL}, kk AS (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank
+      FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km
+      FROM g, st WHERE id IN (SELECT station_id FROM h_small))),
+    lastv AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small GROUP BY 1),
+    g2 AS MATERIALIZED (SELECT gy, gx, round(sum(value / ({_NEAR})) / sum(1 / ({_NEAR})), 6) AS value
+      FROM kk JOIN lastv USING (id) WHERE rank <= 8 GROUP BY gy, gx)"""
+
+
+@query("g2_filled_grid", sql(f", {G2_SQL} SELECT gy, gx, value FROM g2", "st", "h_small"))
 def g2(spark, sf_dir):
     """Silent stations are filled forward first, so every one of a cell's eight counts."""
     h = h_small(spark, sf_dir)
@@ -250,25 +249,39 @@ def g8(spark, sf_dir):
     return p.select("hour", *[steady(F.col(c)).alias(c) for c in T.POLLUTANTS])
 
 
-def _cells(spark) -> DataFrame:
-    return SP.grid(spark, 24, 24).select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), (F.sin(F.col("gy") * 0.7) * 40 + F.cos(F.col("gx") * 0.45) * 30 + 50.3).alias("value"))
+#: Levels of the contour lines of a filled field, and the one whose segments are held against SQL.
+LEVELS, LEVEL = (10.0, 20.0, 30.0, 50.0), 50.0
+# --- fixed values: which edges the strands of a cell join, by which of its corners reach the level ---
+_LINES = {1: "lb", 2: "br", 3: "lr", 4: "tr", 6: "tb", 7: "lt", 8: "lt", 9: "tb", 11: "tr", 12: "lr", 13: "br", 14: "lb"}
+_EDGE = {
+    "t": (f"x + ({LEVEL} - tl) / (tr - tl)", "y"),
+    "r": ("x + 1", f"y + ({LEVEL} - tr) / (br - tr)"),
+    "b": (f"x + ({LEVEL} - bl) / (br - bl)", "y + 1"),
+    "l": ("x", f"y + ({LEVEL} - tl) / (bl - tl)"),
+}
 
 
-_LINES = {1: ["lb"], 2: ["br"], 3: ["lr"], 4: ["tr"], 6: ["tb"], 7: ["lt"], 8: ["lt"], 9: ["tb"], 11: ["tr"], 12: ["lr"], 13: ["br"], 14: ["lb"]}
-_E = {"t": ("x + (60 - tl) / (tr - tl)", "y"), "r": ("x + 1", "y + (60 - tr) / (br - tr)"), "b": ("x + (60 - bl) / (br - bl)", "y + 1"), "l": ("x", "y + (60 - tl) / (bl - tl)")}
+def _seg(*pairs: str) -> str:
+    ends = [{"x1": _EDGE[a][0], "y1": _EDGE[a][1], "x2": _EDGE[b][0], "y2": _EDGE[b][1]} for a, b in pairs]
+    return "[" + ", ".join("{" + ", ".join(f"'{k}': ({x})::DOUBLE" for k, x in end.items()) + "}" for end in ends) + "]"
 
 
-def _seg(pairs: list[str]) -> str:
-    return "[" + ", ".join("{" + f"'x1': ({_E[a][0]})::DOUBLE, 'y1': ({_E[a][1]})::DOUBLE, 'x2': ({_E[b][0]})::DOUBLE, 'y2': ({_E[b][1]})::DOUBLE" + "}" for a, b in pairs) + "]"
+_BITS = " + ".join(f"({c} >= {LEVEL})::INTEGER * {w}" for c, w in (("tl", 8), ("tr", 4), ("br", 2), ("bl", 1)))
+_CASES = " ".join(f"WHEN k = {n} THEN {_seg(p)}" for n, p in _LINES.items())
+G11_SQL = f""", {G2_SQL},
+    c AS (SELECT a.gy AS y, a.gx AS x, a.value AS tl, b.value AS tr, d.value AS br, e.value AS bl FROM g2 a JOIN g2 b ON b.gy = a.gy AND b.gx = a.gx + 1
+      JOIN g2 d ON d.gy = a.gy + 1 AND d.gx = a.gx + 1 JOIN g2 e ON e.gy = a.gy + 1 AND e.gx = a.gx),
+    k AS (SELECT *, {_BITS} AS k, (tl + tr + br + bl) / 4 >= {LEVEL} AS j FROM c),
+    s AS (SELECT y, x, CASE {_CASES} WHEN (k = 5) = j THEN {_seg("lt", "br")} ELSE {_seg("lb", "tr")} END AS s FROM k WHERE k NOT IN (0, 15)),
+    u AS (SELECT y, x, unnest(range(len(s))) AS segment, unnest(s) AS e FROM s)
+    SELECT y, x, segment::INTEGER AS segment, round(e.x1, 6) AS x1, round(e.y1, 6) AS y1, round(e.x2, 6) AS x2, round(e.y2, 6) AS y2
+    FROM u WHERE abs(e.x1 - e.x2) > 1e-9 OR abs(e.y1 - e.y2) > 1e-9"""
 
 
-@query("g11_contours", f"""WITH f AS (SELECT gy, gx, sin(gy * 0.7::DOUBLE) * 40 + cos(gx * 0.45::DOUBLE) * 30 + 50.3 AS v FROM range(24) a(gy), range(24) b(gx)),
-    c AS (SELECT a.gy AS y, a.gx AS x, a.v AS tl, b.v AS tr, d.v AS br, e.v AS bl FROM f a JOIN f b ON b.gy = a.gy AND b.gx = a.gx + 1 JOIN f d ON d.gy = a.gy + 1 AND d.gx = a.gx + 1 JOIN f e ON e.gy = a.gy + 1 AND e.gx = a.gx),
-    k AS (SELECT *, (tl >= 60)::INTEGER * 8 + (tr >= 60)::INTEGER * 4 + (br >= 60)::INTEGER * 2 + (bl >= 60)::INTEGER AS k, (tl + tr + br + bl) / 4 >= 60 AS j FROM c),
-    s AS (SELECT y, x, CASE {" ".join(f"WHEN k = {n} THEN {_seg(p)}" for n, p in _LINES.items())} WHEN (k = 5) = j THEN {_seg(["lt", "br"])} ELSE {_seg(["lb", "tr"])} END AS s FROM k WHERE k NOT IN (0, 15)), u AS (SELECT y, x, unnest(range(len(s))) AS segment, unnest(s) AS e FROM s)
-    SELECT y, x, segment::INTEGER AS segment, round(e.x1, 6) AS x1, round(e.y1, 6) AS y1, round(e.x2, 6) AS x2, round(e.y2, 6) AS y2 FROM u""")
+@query("g11_contours", sql(G11_SQL, "st", "h_small"))
 def g11(spark, sf_dir):
-    return FL.contours(_cells(spark), 60.0).select("y", "x", "segment", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    """Where the filled field (g2) crosses a level."""
+    return FL.contours(written(g2(spark, sf_dir), "field"), LEVEL).select("y", "x", "segment", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("g11_lines")
@@ -279,9 +292,6 @@ def g11_lines(spark, sf_dir):
     return FL.polylines(reduce(DataFrame.unionByName, segments), ["level"])
 
 
-#: Levels of the contour lines of a filled field.
-LEVELS = (10.0, 20.0, 30.0, 50.0)
-
 # The wind of a station: its last value stands for mixing height (8 m a unit), speed (1/25) and bearing (7 degrees).
 _WINDS = "lv AS (SELECT station_id AS id, arg_max(value, hour) AS value FROM h_small GROUP BY 1), ws AS (SELECT lat, lon, value, radians(value * 7 % 360 + 180) AS toward FROM st JOIN lv USING (id)), air AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - avg(value * 8) / 900)) AS stag, avg(value / 25) AS mean FROM ws)"
 
@@ -319,52 +329,6 @@ def g12(spark, sf_dir):
     return cells.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), F.round(s, 6).alias("speed"))
 
 
-def districts(spark) -> DataFrame:
-    return spark.createDataFrame(SC.DISTRICTS, SC.DISTRICT_SCHEMA)
-
-
-_D = "d AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {la}::DOUBLE, {lo}::DOUBLE, {e}::DOUBLE, {s}::DOUBLE, {t}::DOUBLE, {y}::DOUBLE)" for i, n, la, lo, e, s, t, y in SC.DISTRICTS) + ") x(di, district, lat, lon, emission, stubble, traffic, industry))"
-_n = lambda x: f"(sin(({x}) * 12.9898::DOUBLE) * 43758.5453::DOUBLE - floor(sin(({x}) * 12.9898::DOUBLE) * 43758.5453::DOUBLE))"
-_c = lambda x, a, b: f"greatest({a}::DOUBLE, least({b}::DOUBLE, {x}))"
-_w = _c(f"1.5 + 1.9 * greatest(0.0::DOUBLE, sin((lh - 8) / 24 * pi() * 2)) + 0.7 * sin(h / 19.0::DOUBLE * pi()) + 0.6 * ({_n('h * 7.31 + di * 3.77')} - 0.5) + dy * 0.35", 0.3, 7.5)
-_STEPS = f"""WITH RECURSIVE {_D}, r AS (
-    SELECT di, district, emission, stubble * {{0}} + traffic * {{1}} + industry * {{2}} AS ef, -1::BIGINT AS h, 0.0::DOUBLE AS pm, 0.0::DOUBLE AS pbl, 0.0::DOUBLE AS solar, 0.0::DOUBLE AS wind, 0.55 * (stubble * {{0}} + traffic * {{1}} + industry * {{2}}) + 0.2 AS aod FROM d
-    UNION ALL
-    SELECT di, district, emission, ef, h, pm, pbl, solar, wind, {_c("aod * 0.62 + pm / 210 * 0.38", 0.05, 2.2)} FROM (SELECT *, {_c("(emission * ef * (0.625 * 41) + (sin(h / 17.0::DOUBLE) * 7 + 12) * 0.625) / " + _c("pbl / 900 * (wind / 4.5 + 0.42)", 0.45, 1.15), 6, 780)} AS pm
-    FROM (SELECT *, {_c("236 + " + _n("di * 5.1 + dy") + " * 96 + pow(solar / 720, 0.85) * 1750 * (exp(-0.62 * aod) * 0.45 + 0.55)", 60, 1900)} AS pbl FROM (SELECT *, CASE WHEN (lh - 6.2) / 11.6 <= 0 OR (lh - 6.2) / 11.6 >= 1 THEN 0.0 ELSE 720 * sin(pi() * (lh - 6.2) / 11.6) END * exp(-0.62 * aod) AS solar, {_w} AS wind
-    FROM (SELECT di, district, emission, ef, aod, h + 1 AS h, ((h + 20) % 24)::DOUBLE AS lh, floor((h + 20) / 24.0::DOUBLE) AS dy FROM r WHERE h < 72) q1) q2) q3) q4)"""
-_FRAME = f"SELECT district, h::INTEGER AS hour, floor(pm * 10 + 0.5) / 10 AS pm25, floor(coalesce({ladder_sql('pm', T.CLIENT_PM25, True)}, (pm - 250) * (99.0::DOUBLE / 750) + 401) + 0.5)::INTEGER AS aqi, floor(pbl + 0.5)::BIGINT AS pbl, floor(solar + 0.5)::BIGINT AS solar, floor(wind * 10 + 0.5) / 10 AS wind FROM r WHERE h >= 0"
-
-
-@query("f4_scenario", _STEPS.format("0.6::DOUBLE", "0.75::DOUBLE", "0.9::DOUBLE") + " " + _FRAME)
-def f4(spark, sf_dir):
-    return SC.frames(districts(spark), 40, 25, 10).select("district", "hour", "pm25", "aqi", "pbl", "solar", "wind")
-
-
-@query("f5_interventions")
-def f5(spark, sf_dir):
-    """Every station belongs to the district nearest to it; a district's frame is the mean of its stations."""
-    near = M.neighbours(stations(spark, sf_dir).select(F.col("id").alias("station_id"), "lat", "lon"), districts(spark).select(F.col("di").alias("id"), "lat", "lon"), 1, ["station_id"])
-    name = F.get(F.array(*[F.lit(d[1]) for d in SC.DISTRICTS]), F.col("id")).alias("district")
-    frame = (F.unix_seconds(F.col("hour").cast("timestamp")) / 3600 % 73).cast("int").alias("hour")
-    live = h_small(spark, sf_dir).join(near, "station_id").groupBy(name, frame).agg(steady(F.avg("value")).alias("pm25"), F.lit(0.4).alias("inversion"))
-    return SC.with_interventions(live, SC.frames(districts(spark)), SC.frames(districts(spark), 40, 25, 10))
-
-
-@query("f3_live_diurnal")
-def f3(spark, sf_dir):
-    """Archive stations borrow yesterday's hour from the live station each is matched with, and the blend uses it."""
-    live, archive = split(spark, sf_dir)
-    pairs = M.exclusive(M.pairs_within(archive, live, 12.0), ["km"], [])
-    n = live.agg(F.count("*").alias("n")).first()["n"]
-    feed = h_small(spark, sf_dir).select(F.col("station_id").alias("k"), "hour", "value")
-    borrowed = pairs.join(feed, (F.col("b") / 5).cast("long") % F.lit(min(8, n)) == F.col("k")).select((F.col("a") % 8).alias("station_id"), "hour", "value").dropDuplicates(["station_id", "hour"])
-    d, whole, _ = fitted(spark, sf_dir)
-    shares = d.groupBy("hour").agg(F.lit(0.1).alias("share"))
-    origin = d.agg((F.max("hour") - F.expr("interval 96 hours")).alias("origin"))
-    return FC.blend(d, d, "station_id", origin, whole, shares, borrowed).groupBy("method").agg(F.count("*").alias("n"), steady(F.avg("value")).alias("mean"))
-
-
 @query("f7_frames", sql(f""", {SUBS}, m AS (SELECT station_id, max(sub) AS aqi FROM subs GROUP BY station_id), o AS (SELECT station_id, aqi, unnest(range(73)) AS f FROM m), s AS (SELECT *, aqi * ((1 + 0.32 * cos(((7 + f) % 24 - 7) / 24.0::DOUBLE * 2 * pi())) / (1 + 0.32 * cos((7 - 7) / 24.0::DOUBLE * 2 * pi()))) * ((1 + 0.06 * sin(f * 0.7::DOUBLE + station_id * 1.3::DOUBLE)) / (1 + 0.06 * sin(station_id * 1.3::DOUBLE))) AS x FROM o)
     SELECT station_id, f::INTEGER AS lead, floor(x + 0.5)::INTEGER AS aqi FROM s""", "hp"))
 def f7(spark, sf_dir):
@@ -378,16 +342,6 @@ def f7(spark, sf_dir):
     return o.select("station_id", "lead", X.half_up(F.col("aqi") * shape).alias("aqi"))
 
 
-@query("r8_stuck_online")
-def r8(spark, sf_dir):
-    rows = h_small(spark, sf_dir).select("station_id", F.col("hour").cast("timestamp").alias("ts"), (F.round(F.col("value") / 10) * 10).alias("value"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _fresh(spark, "stuck")
-    stream = R.stuck(R.snapshots(spark, dropped(rows.coalesce(1), "rows", 1), "station_id long, ts timestamp, value double"), 3, 100.0)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh(spark, "at")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("station_id").agg(F.count("*").alias("n"))
-
-
 @query("u2_named_tool", sql(f"{A2_SQL}, {M_LAST} SELECT max(aqi) AS worst, {steady_sql('avg(aqi)')} AS mean FROM ml", "hp_large"))
 def u2(spark, sf_dir):
     return ask(spark, sf_dir, "city_now")

@@ -38,7 +38,23 @@ def j5(spark, sf_dir):
     return M.without_near(archive, live, 4.0).select("id", "name")
 
 
-@query("j6_exclusive_nearest")
+def greedy_sql(pairs: str) -> str:
+    """Table expressions that end in greedy (a, b, km): each a in turn takes its nearest b that is left, a row at a time."""
+    free = "NOT list_contains(w.used, p.b)"
+    return f"""turns AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT a FROM {pairs})),
+    walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS km, []::BIGINT[] AS used
+      UNION ALL
+      SELECT i, a, b, km, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END FROM (
+        SELECT t.i, t.a, any_value(w.used) AS used, min_by(p.b, {{'km': p.km, 'b': p.b}}) FILTER (WHERE {free}) AS b, min(p.km) FILTER (WHERE {free}) AS km
+        FROM walk w JOIN turns t ON t.i = w.i + 1 JOIN {pairs} p ON p.a = t.a GROUP BY t.i, t.a)),
+    greedy AS (SELECT a, b, km FROM walk WHERE b IS NOT NULL)"""
+
+
+_J6 = f"""SPLIT, near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {FLAT} AS km FROM arch a JOIN live b ON {FLAT} <= 12), {greedy_sql("near")}
+    SELECT a, b, round(km + 1.37e-9, 6) AS km FROM greedy"""
+
+
+@query("j6_exclusive_nearest", sql(", " + _J6.replace("SPLIT", SPLIT_SQL), "st").replace("WITH ", "WITH RECURSIVE ", 1))
 def j6(spark, sf_dir):
     live, archive = split(spark, sf_dir)
     p = M.pairs_within(archive, live, 12.0)
@@ -245,11 +261,28 @@ def a22(spark, sf_dir):
     return b.select("bi", "bj", F.round("isi", 6).alias("isi"), F.round("frp_max", 2).alias("frp_max"), "top_gy", "top_gx")
 
 
-@query("k6_geojson_stride", (f"WITH {GRID_SQL} SELECT gy, gx, '{{\"type\":\"Point\",\"coordinates\":[' || round(glon, 4) || ',' || round(glat, 4) || ']}}' AS geometry FROM g WHERE gy % 7 = 0 AND gx % 8 = 0"))
+_FEATURE = """'{"type":"Feature","geometry":{"type":"Point","coordinates":[' || round(glon, 4) || ',' || round(glat, 4)
+    || ']},"properties":{"station":' || id || ',"value":' || value || '}}'"""
+
+
+@query(
+    "k6_geojson_stride",
+    sql(
+        f""", {GRID_SQL}, {V}, n AS (SELECT gy, gx, glat, glon, id, row_number() OVER (PARTITION BY gy, gx
+          ORDER BY sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)), id) AS rn FROM g, st JOIN v USING (id) WHERE gy % 7 = 0 AND gx % 8 = 0)
+        SELECT gy // 7 AS part, '{{"type":"FeatureCollection","features":[' || string_agg({_FEATURE}, ',' ORDER BY gx) || ']}}' AS collection
+        FROM n JOIN v USING (id) WHERE rn = 1 GROUP BY gy // 7""",
+        "st", "h_small",
+    ),
+)
 def k6(spark, sf_dir):
-    c = SP.grid(spark).where("gy % 7 = 0 and gx % 8 = 0")
-    shape = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 4), F.round("lat", 4)).alias("coordinates")))
-    return c.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), shape.alias("geometry"))
+    """The nearest reporting station's value at every seventh row and eighth column, a collection for each such row."""
+    v = _snapshot(spark, sf_dir)
+    known = stations(spark, sf_dir).join(v.select("id"), "id", "left_semi")
+    some = SP.grid(spark).where("gy % 7 = 0 and gx % 8 = 0")
+    near = SP.nearest_stations(some, known, k=1).join(v, "id").join(F.broadcast(some.select("gy", "gx", "lat", "lon")), ["gy", "gx"])  # 100 cells
+    collection = G.feature_collection(["id", "value"], {"id": "station"}, order=["gx"])
+    return near.groupBy((F.col("gy") / 7).cast("long").alias("part")).agg(collection.alias("collection"))
 
 
 @query("s4_fire_csv", sql("SELECT count(*) AS pixels, round(sum(frp), 6) AS frp_total, count(*) FILTER (confidence = 'n') AS n FROM px WHERE line <> 3", "px"))

@@ -12,6 +12,7 @@ from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
 from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, stations, steady, steady_sql
+from ..sources.scratch import written
 from .expressions import CATEGORY_SQL
 from .registry import Registry
 from .series import A2_SQL, D8, h_small, hp, mesh
@@ -60,7 +61,8 @@ FIT_SQL = "wh AS (SELECT coalesce(sum(obs) FILTER (model > 0) / sum(model) FILTE
 
 
 def fitted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = dense(spark, sf_dir)
+    """The dense series beside the model's, written once for all that looks at it, and its corrections."""
+    d = written(dense(spark, sf_dir), "dense")
     return (d, *FC.corrections(d.where("hour <= timestamp_ntz'2024-01-15'")))
 
 

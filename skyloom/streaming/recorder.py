@@ -5,6 +5,7 @@ Sinks write by key and are idempotent: a batch that is run again after a lost ex
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.store import insert_absent, last_of
+from ..operators.store import first_of, last_of
 
 READING = "station_id long, pollutant string, hour timestamp_ntz, value double, unit string, seq long"
 KEYS = ["station_id", "pollutant", "hour", "unit"]
@@ -35,18 +36,41 @@ def readings(rows: DataFrame) -> DataFrame:
     return kept.select("station_id", "pollutant", F.date_trunc("hour", "observed_at").cast("timestamp_ntz").alias("hour"), F.coalesce("concentration", F.col("sub_index").cast("double")).alias("value"), unit.alias("unit"), "seq")
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to: made with the checkpoint's folder and lost with it, so that batch
+    numbers, which begin anew with a new checkpoint, never meet those of an earlier one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/run")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.create(spark._jvm.org.apache.hadoop.fs.Path(path, uuid.uuid4().hex)).close()
+    return min(x.getPath().getName() for x in files.listStatus(path))
+
+
+def _replace(rows: DataFrame, table: str, *by: str) -> None:
+    """Writes rows as partitions of the table; only partitions that rows have are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+
+
 def record(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch's last reading a key to the log at ``table``; ``current`` reads the last one of all."""
+    """Appends each batch's last reading a key to the log at ``table``; ``current`` reads the last one of all.
+
+    A batch's file is named by run and batch: a batch that is run again replaces its own, and a new checkpoint leaves the
+    log of earlier ones as it is, even where their source files are gone.
+    """
+    run = run_of(stream.sparkSession, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        last_of(batch, KEYS, "seq").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        last = last_of(batch, KEYS, "seq").withColumns({"run": F.lit(run), "batch": F.lit(number)})
+        _replace(last, table, "run", "batch")
 
     return readings(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """One row a key: the last reading by poll order, whatever order batches came in (R2: late data overwrites)."""
-    return last_of(spark.read.schema(f"{READING}, batch int").parquet(table), KEYS, "seq", "batch").drop("batch")
+    log = spark.read.schema(f"{READING}, run string, batch int").parquet(table)
+    return last_of(log, KEYS, "seq", "value", "run", "batch").drop("run", "batch")
 
 
 def compacted(spark: SparkSession, table: str, target: str, newest_days: int = 30) -> None:
@@ -56,21 +80,36 @@ def compacted(spark: SparkSession, table: str, target: str, newest_days: int = 3
     rows.join(F.broadcast(edge)).where("hour >= __edge").drop("__edge").write.mode("overwrite").parquet(target)  # one row
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, schema: str) -> StreamingQuery:
-    """Insert-if-absent: the first row of each key stays. A batch that is run again replaces its own part only."""
+def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, schema: str, buckets: int = 64) -> StreamingQuery:
+    """Insert-if-absent: the first row of each key stays.
+
+    The table is partitioned by a hash of the key into so many buckets, and below by run and batch. A batch reads the keys of the
+    buckets that its own keys fall into, and no others, and adds a file to some of these. One that is run again
+    replaces its own files only. Choose as many buckets as keep one within what a batch may read.
+    """
+    run = run_of(stream.sparkSession, checkpoint)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        there = spark.read.schema(f"{schema}, batch int").parquet(table).where(F.col("batch") != number) if _exists(spark, table) else spark.createDataFrame([], schema)
-        fresh, _ = insert_absent(there, batch, keys, order)
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        rows = first_of(batch, keys, order).withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
+        there = stored(spark, table, schema).where(F.col("bucket").isin(touched) & ~((F.col("run") == run) & (F.col("batch") == number)))
+        fresh = rows.join(there.select(*keys), keys, "left_anti").withColumns({"run": F.lit(run), "batch": F.lit(number)})
+        _replace(fresh, table, "bucket", "run", "batch")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The table that ``ingest`` keeps, with bucket, run and batch; without rows before its first batch."""
+    whole = f"{schema}, bucket int, run string, batch int"
+    return spark.read.schema(whole).parquet(table) if _exists(spark, table) else spark.createDataFrame([], whole)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def tumbling(stream: DataFrame, late: str = "30 days") -> DataFrame:
@@ -88,30 +127,144 @@ def step_means(stream: DataFrame) -> DataFrame:
     return stream.groupBy("lead").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
-class StuckSensor(StatefulProcessor):
-    """Reports a station whose value has stayed the same, and low, for ``run`` readings in a row."""
+HOUR_MS = 3_600_000
+_HELD = "hours array<long>, values array<double>, seqs array<long>"
 
-    def __init__(self, run: int = 6, low: float = 5.0):
-        self.run, self.low = run, low
+
+class Retained(StatefulProcessor):
+    """K5, R2 for one station, pollutant and unit: the last reading of each of its newest hours.
+
+    The state is three arrays with an entry for each hour that is kept, so days * 24 + 1 at most, and one event-time timer, for
+    the oldest of them. It emits what an hour's reading has become, and once more, as ``gone``, when the hour is too old.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "value double, length int")
+        self.handle = handle
+        self.state = handle.getValueState("hours", _HELD)
+
+    def _held(self) -> dict[int, tuple[float, int]]:
+        if not self.state.exists():
+            return {}
+        hours, values, seqs = self.state.get()
+        return dict(zip(hours, zip(values, seqs, strict=True), strict=True))
+
+    def _keep(self, held: dict[int, tuple[float, int]]) -> None:
+        if not held:
+            self.state.clear()
+            return
+        hours = sorted(held)
+        self.state.update((hours, [held[h][0] for h in hours], [held[h][1] for h in hours]))
+        at = hours[0] - HOUR_MS + 1
+        timers = list(self.handle.listTimers())
+        if timers != [at]:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    @staticmethod
+    def _out(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, *r) for r in rows], columns=["station_id", "pollutant", "unit", "hour", "value", "seq", "gone"])
+        out["hour"] = pd.to_datetime(out["hour"], unit="ms")
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held, changed = self._held(), {}
+        for r in pd.concat(list(rows)).sort_values(["seq", "value"]).itertuples():
+            hour = int(r.hour.timestamp() * 1000)
+            if hour not in held or held[hour][1] <= r.seq:
+                held[hour] = changed[hour] = (float(r.value), int(r.seq))
+        self._keep(held)
+        yield self._out(key, [(h, *v, False) for h, v in changed.items()])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        edge, held = timerValues.getCurrentWatermarkInMs() + HOUR_MS, self._held()
+        old = [h for h in held if h < edge]
+        for h in old:
+            del held[h]
+        self._keep(held)
+        yield self._out(key, [(h, None, None, True) for h in old])
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        value, length = self.state.get() if self.state.exists() else (None, 0)
+    def close(self) -> None:
+        pass
+
+
+def retained_stream(stream: DataFrame, days: int = 30) -> DataFrame:
+    """K5, R2 as keyed state: changes (station_id, pollutant, unit, hour, value, seq, gone) of the table of the newest hours.
+
+    stream: as ``readings`` gives it. A later poll overwrites an hour's reading as long as the hour is at most so many days before
+    the newest hour of all (an hour more, for the watermark drops what equals it); older rows are dropped, and counted by
+    Spark (numRowsDroppedByWatermark). Hours that have become too old leave the state by a timer. Needs the RocksDB store.
+    """
+    rows = stream.withColumn("hour", F.col("hour").cast("timestamp")).withWatermark("hour", f"{days * 24 + 1} hours")
+    schema = "station_id long, pollutant string, unit string, hour timestamp, value double, seq long, gone boolean"
+    keyed = rows.groupBy("station_id", "pollutant", "unit")
+    return keyed.transformWithStateInPandas(Retained(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class StuckSensor(StatefulProcessor):
+    """Readings of runs of at least ``run`` equal low values, each no more than ``gap_ms`` after the one before.
+
+    Readings wait in the state until the watermark has passed them, and are then looked at in the order of their time, so
+    neither late rows nor batches break or join a run. The state is what waits, bounded by the watermark's delay, and the
+    times of the present run, ``run`` at most.
+    """
+
+    def __init__(self, run: int = 6, low: float = 5.0, gap_ms: int = HOUR_MS):
+        self.run, self.low, self.gap_ms = run, low, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", "value double, length int, times array<long>, waiting array<long>, values array<double>")
+
+    def _get(self) -> tuple[float | None, int, list[int], list[int], list[float]]:
+        if not self.state.exists():
+            return None, 0, [], [], []
+        value, length, *lists = self.state.get()
+        return value, length, *map(list, lists)
+
+    def _wake(self, waiting: list[int]) -> None:
+        if waiting and (at := min(waiting)) not in list(self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        value, length, times, waiting, values = self._get()
+        for r in pd.concat(list(rows)).dropna(subset=["ts", "value"]).itertuples():
+            waiting.append(int(r.ts.timestamp() * 1000))
+            values.append(float(r.value))
+        self.state.update((value, length, times, waiting, values))
+        self._wake(waiting)
+        yield self._out(key, [])
+
+    @staticmethod
+    def _out(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(key[0], *r) for r in rows], columns=["station_id", "ts", "value", "length"])
+        out["ts"] = pd.to_datetime(out["ts"], unit="ms")
+        return out
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        value, length, times, waiting, values = self._get()
+        pending = sorted(zip(waiting, values, strict=True))
         out = []
-        for r in pd.concat(list(rows)).sort_values("ts").itertuples():
-            length = length + 1 if r.value == value else 1
-            value = r.value
-            if length >= self.run and value < self.low:
-                out.append((key[0], r.ts, value, length))
-        self.state.update((value, length))
-        yield pd.DataFrame(out, columns=["station_id", "ts", "value", "length"])
+        for ts, v in (p for p in pending if p[0] <= passed):
+            if not (v == value and ts - times[-1] <= self.gap_ms):
+                value, length, times = v, 0, []
+            length, times = length + 1, [*times, ts][-self.run :]
+            if v < self.low and length >= self.run:
+                out += [(t, v, length) for t in (times if length == self.run else times[-1:])]
+        rest = [p for p in pending if p[0] > passed]
+        self.state.update((value, length, times, [p[0] for p in rest], [p[1] for p in rest]))
+        self._wake([p[0] for p in rest])
+        yield self._out(key, out)
 
     def close(self) -> None:
         pass
 
 
-def stuck(stream: DataFrame, run: int = 6, low: float = 5.0) -> DataFrame:
-    """R8 over a stream of station_id, ts, value; state is one value and one count a station."""
-    return stream.groupBy("station_id").transformWithStateInPandas(StuckSensor(run, low), outputStructType="station_id long, ts timestamp, value double, length int", outputMode="Append", timeMode="None")
+def stuck(stream: DataFrame, run: int = 6, low: float = 5.0, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """R8 over a stream of station_id, ts, value: (station_id, ts, value, length), the same rows as W9 drops, each once the
+    watermark has passed its run's last needed reading. Rows later than ``late`` are dropped. Needs the RocksDB store."""
+    gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
+    keyed = stream.withWatermark("ts", late).groupBy("station_id")
+    schema = "station_id long, ts timestamp, value double, length int"
+    return keyed.transformWithStateInPandas(StuckSensor(run, low, gap_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
