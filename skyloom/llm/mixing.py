@@ -1,15 +1,15 @@
 """Mixing of sources to target weights by iterative proportional fitting, by DataFrame functions only.
 
-Token counts are summed up by cell (source, language, topic). The cells' weights are raked: scaled to the target of each
-source, then of each language, then of each topic, round after round, never above what a cell holds. A document is
+Token counts are summed up by cell (source, language, topic). Targets are tempered, but never above what a value holds: the
+rest is shared out among the others. The cells' weights are raked: scaled to the target of each source, then of each
+language, then of each topic, round after round until they have settled, never above what a cell holds. A document is
 sampled with its cell's weight by its cell's tokens as probability, decided by a hash of its id.
 
-Cells are combinations of labels, far fewer than documents: they are gathered in one row, and all rounds are a fold over
-arrays in one expression.
+Up to ``FOLD`` cells, combinations of labels, are counted and then gathered in one row, and all rounds are one fold over
+arrays: a step costs as much as there are cells. More cells stay rows: a round is then three sums by a dimension, joined
+back, and a written table. Both rake alike.
 
-``mix`` takes a fixed number of rounds to targets as tempered, as op8's SQL has it. ``mix_attainable`` first clips targets
-at what there is and shares out the rest, leaves documents without a topic out of the topic step, and rakes until weights
-have settled; ``marginals`` reports what is wanted and what comes out.
+Documents without a topic are left out of the topic step; ``marginals`` reports what is wanted and what comes out.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from .shared import table, union_all
 DIMENSIONS = ("source", "lang", "topic")
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-ROUNDS = 10
 #: Dimensions in which null is no value: such documents have no target there.
 OPEN = ("topic",)
 #: Rounds after which weights have settled, and steps that then scale all to the share of all tokens.
 SETTLED, FINAL = 300, 40
+#: Cells that are raked in one row, and the change of a weight, by its cell's tokens, below which more cells have settled.
+FOLD, STILL = 5_000, 1e-7
 
 
 def words(text: Column) -> Column:
@@ -36,24 +37,52 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def tempered(cells: DataFrame, dimension: str, share: float, exponent: float) -> DataFrame:
-    """(dimension, target): ``share`` of all tokens, split in proportion to each value's tokens to the power ``exponent``.
-
-    1 keeps the present mixture, 0 makes all values alike. A value without tokens has target 0.
-    """
-    sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("have"))
-    total = sums.agg(F.sum("have").alias("all"), F.sum(F.when(F.col("have") > 0, F.pow(F.col("have").cast("double"), F.lit(exponent)))).alias("powers"))
-    part = F.when(F.col("have") > 0, F.pow(F.col("have").cast("double"), F.lit(exponent)) / F.col("powers")).otherwise(0.0)
-    return sums.join(F.broadcast(total)).select(dimension, (F.col("all") * F.lit(share) * part).alias("target"))  # total is one row
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS, final: int = 0) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = SETTLED, final: int = FINAL, fold: int = FOLD) -> DataFrame:
     """cells with weight: their tokens scaled to the targets of each dimension in turn, at most all of a cell.
 
     cells: the dimensions and tokens, a row for each combination; nulls are a value of their own. targets: for each
     dimension its values and target tokens; a value without a target keeps its weight. In the end ``final`` steps scale
     all weights to the share of all tokens, for the caps of the cells may leave less.
     """
+    few = cells.limit(fold + 1).count() <= fold
+    return _raked_in_a_row(cells, targets, share, rounds, final) if few else _raked_by_joins(cells, targets, share, rounds, final)
+
+
+def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int, final: int) -> DataFrame:
+    """Raking of many cells: each sum is a partial aggregate, each round a written table, until no weight moves."""
+    have = F.coalesce(F.col("tokens").cast("double"), F.lit(0.0))
+    now = table(cells.withColumns({"__have": have, "weight": have * share}), "raked")
+
+    def scaled(rows: DataFrame, sums: DataFrame, same: Column | None) -> DataFrame:
+        factor = F.when(F.col("__sum") > 0, F.coalesce(F.col("__target") / F.col("__sum"), F.lit(1.0))).otherwise(1.0)
+        met = rows.join(sums, same, "left") if same is not None else rows.join(F.broadcast(sums))  # one row
+        return met.withColumn("weight", F.least("__have", F.col("weight") * F.coalesce(factor, F.lit(1.0)))).select(*rows.columns)
+
+    def settled(nxt: DataFrame) -> tuple[DataFrame, bool]:
+        nxt = table(nxt, "raked")
+        most = F.max(F.abs(F.col("weight") - F.col("__before")) / F.greatest("__have", F.lit(1.0)))
+        return nxt.drop("__before"), (nxt.agg(most.alias("m")).first()["m"] or 0.0) < STILL
+
+    for _ in range(rounds):
+        nxt = now.withColumn("__before", F.col("weight"))
+        for d, t in targets.items():
+            sums = nxt.groupBy(F.col(d).alias("__value")).agg(F.sum("weight").alias("__sum"))
+            wanted = t.select(F.col(d).alias("__wanted"), F.col("target").alias("__target"))
+            sums = sums.join(wanted, F.col("__value").eqNullSafe(F.col("__wanted")), "left").drop("__wanted")
+            nxt = scaled(nxt, sums, F.col(d).eqNullSafe(F.col("__value")))
+        now, still = settled(nxt)
+        if still:
+            break
+    for _ in range(final):
+        whole = now.agg(F.sum("weight").alias("__sum"), (F.sum("__have") * share).alias("__target"))
+        now, still = settled(scaled(now.withColumn("__before", F.col("weight")), whole, None))
+        if still:
+            break
+    return now.select(*cells.columns, "weight")
+
+
+def _raked_in_a_row(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int, final: int) -> DataFrame:
+    """Raking of few cells: all of them in one row, all rounds in one fold."""
     names, coded = list(targets), cells
     for k, d in enumerate(names):  # each value of a dimension gets a number
         values = cells.select(d).distinct().join(targets[d].select(F.col(d).alias("__wanted"), F.col("target").alias(f"__target{k}")), F.col(d).eqNullSafe(F.col("__wanted")), "left")
@@ -66,12 +95,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds:
     row = coded.agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     row = row.withColumn("all", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"]) * F.lit(share))
     row = row.withColumn("widths", F.transform(F.sequence(F.lit(1), F.lit(len(names) + 1)), lambda d: F.aggregate("cells", F.lit(0), lambda a, c: F.greatest(a, F.element_at(c["codes"], d) + 1))))
+    # For each dimension and each of its values the places of its cells: a step then looks at each cell once.
+    places = F.sequence(F.lit(1), F.size("cells"))
+    of = lambda d, v: F.filter(places, lambda i: F.element_at(F.element_at("cells", i)["codes"], d) == v)
+    values = lambda d: F.sequence(F.lit(0), F.element_at("widths", d) - 1)
+    row = row.withColumn("groups", F.transform(F.sequence(F.lit(1), F.lit(len(names) + 1)), lambda d: F.transform(values(d), lambda v: of(d, v))))
+    row = table(row, "cells-in-a-row")
     each = F.lit(len(names))
     dimension = lambda step: F.when(step < each * rounds, F.pmod(step, each)).otherwise(each).cast("int") + 1
 
     def summed(weights: Column, d: Column) -> Column:
-        pairs = lambda v: F.zip_with("cells", weights, lambda c, w: F.when(F.element_at(c["codes"], d) == v, w).otherwise(0.0))
-        return F.transform(F.sequence(F.lit(0), F.element_at("widths", d) - 1), lambda v: F.aggregate(pairs(v), F.lit(0.0), lambda a, w: a + w))
+        own = lambda g: F.aggregate(g, F.lit(0.0), lambda a, i: a + F.element_at(weights, i))
+        return F.transform(F.element_at("groups", d), own)
 
     def scaled(weights: Column, sums: Column, d: Column) -> Column:
         def one(c: Column, w: Column) -> Column:
@@ -96,19 +131,6 @@ def chance(key: Column, seed: str) -> Column:
     return F.conv(F.left(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, seed: str = "mix", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """A row for each of docs (doc_id and the dimensions, tokens): these columns, probability and kept.
-
-    exponents: how each dimension's target is tempered, 0.5 where none is given. A cell without tokens has probability
-    ``share``. Rows that repeat an id share its fate if they are in one cell. Null dimensions are a value of their own.
-    """
-    rows = table(docs.select("doc_id", *dimensions, "tokens"), "token-counts")
-    cells = table(rows.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")), "cells")
-    targets = {d: tempered(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
-    raked = rake(cells, targets, share, rounds)
-    return sampled(rows, raked, share, seed, dimensions)
-
-
 def sampled(rows: DataFrame, raked: DataFrame, share: float, seed: str, dimensions: Sequence[str]) -> DataFrame:
     """rows with the probability of their cell, weight by tokens, and whether they are kept."""
     fit = raked.select(*[F.col(d).alias(f"__{d}") for d in dimensions], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(share)).alias("probability"))
@@ -118,8 +140,9 @@ def sampled(rows: DataFrame, raked: DataFrame, share: float, seed: str, dimensio
 
 
 def attainable(cells: DataFrame, dimension: str, share: float, exponent: float) -> DataFrame:
-    """(dimension, target) as tempered, but no target is above what its value holds: the rest goes to values with room,
-    in proportion to their tokens to the power ``exponent`` again. Nulls of OPEN dimensions have no target."""
+    """(dimension, target): ``share`` of all tokens, split in proportion to each value's tokens to the power ``exponent``.
+    No target is above what its value holds: the rest goes to values with room, in the same proportion. Nulls of OPEN
+    dimensions have no target."""
     here = cells.where(F.col(dimension).isNotNull()) if dimension in OPEN else cells
     sums = table(here.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0"), "sums")
     wanted = F.pow("have", F.lit(exponent))
@@ -137,18 +160,23 @@ def fitted(rows: DataFrame, share: float, exponents: dict[str, float] | None, di
     """The cells of rows with settled weights, and the targets of each dimension."""
     cells = table(rows.groupBy(*dimensions).agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")), "cells")
     targets = {d: attainable(cells, d, share, (exponents or {}).get(d, 0.5)) for d in dimensions}
-    return rake(cells, targets, share, SETTLED, FINAL), targets
+    return rake(cells, targets, share), targets
 
 
 def mix_attainable(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, seed: str = "mix", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """As mix, but to targets that the values hold, with weights that settled and the whole share of all tokens."""
+    """A row for each of docs (doc_id and the dimensions, tokens): these columns, probability and kept.
+
+    exponents: how each dimension's target is tempered, 0.5 where none is given: 1 keeps the present mixture, 0 makes all
+    values alike. A cell without tokens has probability ``share``. Rows that repeat an id share its fate if they are in one
+    cell. Null dimensions are a value of their own, but for a topic, which documents may lack.
+    """
     rows = table(docs.select("doc_id", *dimensions, "tokens"), "token-counts")
     raked, _ = fitted(rows, share, exponents, dimensions)
     return sampled(rows, raked, share, seed, dimensions)
 
 
 def marginals(docs: DataFrame, share: float = 0.5, exponents: dict[str, float] | None = None, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """(dimension, value, tokens, wanted, achieved): what mix_attainable wants of each value and what its weights come to."""
+    """(dimension, value, tokens, wanted, achieved): what ``mix_attainable`` wants of each value and what its weights come to."""
     raked, targets = fitted(docs, share, exponents, dimensions)
     out = []
     for d, t in targets.items():

@@ -414,7 +414,7 @@ def test_mixing_reaches_its_targets(spark, clashing, nothing):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(["x", "y"]), rng.choice([1, 2, 3]), rng.randint(50, 150)) for i in range(4000)]
     d = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic int, tokens long")
-    got = mixing.mix(d, share=0.4).cache()
+    got = mixing.mix_attainable(d, share=0.4).cache()
     assert got.count() == 4000 and got.where("probability < 0 or probability > 1 or kept is null").count() == 0
     total = d.agg(F.sum("tokens")).first()[0]
     for dim in ("source", "lang", "topic"):
@@ -425,8 +425,8 @@ def test_mixing_reaches_its_targets(spark, clashing, nothing):
             assert expected[k] == pytest.approx(0.4 * total * v**0.5 / powers, rel=0.01)
     assert got.where("kept").agg(F.sum("tokens")).first()[0] == pytest.approx(0.4 * total, rel=0.06)
     vectors = spark.createDataFrame([(1, 4), (1, 3), (2, None), (None, 9)], "vec_id long, label int")
-    assert mixing.mix(mixing.with_topics(clashing, vectors)).count() == clashing.count()
-    assert mixing.mix(mixing.with_topics(nothing, vectors)).count() == 0
+    assert mixing.mix_attainable(mixing.with_topics(clashing, vectors)).count() == clashing.count()
+    assert mixing.mix_attainable(mixing.with_topics(nothing, vectors)).count() == 0
 
 
 def test_mixing_of_scarce_topics_takes_the_whole_share(spark, nothing):
@@ -460,6 +460,67 @@ def test_mixing_of_scarce_topics_takes_the_whole_share(spark, nothing):
     assert mixing.mix_attainable(mixing.with_topics(nothing, spark.createDataFrame([], "vec_id long, label int"))).count() == 0
 
 
+def raked_plainly(cells, share, rounds=400):
+    """Iterative proportional fitting by dictionaries: (source, lang, topic): tokens to weights."""
+    targets = []
+    for k in range(3):
+        have = collections.Counter()
+        for c, n in cells.items():
+            if k < 2 or c[k] is not None:
+                have[c[k]] += n
+        full, free = {}, {v for v, n in have.items() if n}
+        while True:
+            scale = (share * sum(have.values()) - sum(full.values())) / sum(have[v] ** 0.5 for v in free)
+            new = {v for v in free if have[v] <= scale * have[v] ** 0.5}
+            if not new:
+                break
+            full |= {v: have[v] for v in new}
+            free -= new
+        targets.append(full | {v: scale * have[v] ** 0.5 for v in free})
+    w = {c: n * share for c, n in cells.items()}
+    for step in range(3 * rounds + 60):
+        key = (lambda c, k=step % 3: c[k]) if step < 3 * rounds else (lambda c: "all")
+        wanted = targets[step % 3] if step < 3 * rounds else {"all": share * sum(cells.values())}
+        sums = collections.Counter()
+        for c, x in w.items():
+            sums[key(c)] += x
+        w = {c: min(cells[c], x * (wanted[key(c)] / sums[key(c)] if key(c) in wanted and sums[key(c)] else 1)) for c, x in w.items()}
+    return w
+
+
+def test_raking_equals_proportional_fitting(spark):
+    """In one row and by joins; with topics that hold less than their target, and documents without one."""
+    import random
+
+    rng = random.Random(7)
+    cells = {(s, l, t): rng.randint(0, 400) if t != 1 else rng.randint(0, 20) for s in ("a", "b", "c`d", None) for l in ("x", "y") for t in (1, 2, 3, None)}
+    rows = [(*c, n) for c, n in cells.items()]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, topic int, tokens long")
+    want = raked_plainly(cells, 0.5)
+    for fold in (mixing.FOLD, 5):
+        table = docs.select("source", "lang", "topic", "tokens")
+        targets = {d: mixing.attainable(table, d, 0.5, 0.5) for d in mixing.DIMENSIONS}
+        got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(table, targets, 0.5, fold=fold).collect()}
+        assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=2e-3) for c in want)
+        assert sum(got.values()) == pytest.approx(0.5 * sum(cells.values()), rel=1e-4)
+
+
+def test_mixing_of_the_tables_reaches_its_marginals(spark):
+    """On the driver's table: the share within 1 %, every source, language and topic within 2 % of what is wanted."""
+    import os
+
+    from skyloom.llm.shared import read_documents
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables aren't here")
+    rows = mixing.with_topics(read_documents(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet"))
+    report = mixing.marginals(rows, 0.5).collect()
+    total = rows.agg(F.sum("tokens")).first()[0]
+    assert sum(r["achieved"] for r in report if r["dimension"] == "source") == pytest.approx(0.5 * total, rel=0.01)
+    assert all(r["achieved"] == pytest.approx(r["wanted"], rel=0.02) for r in report if r["wanted"] is not None)
+
+
 @pytest.mark.parametrize("small", [4, 16, 512])
 def test_near_dedup_of_a_drifting_family(spark, small):
     """Copies of copies: neighbours are linked, distant ones aren't, and some are linked to nothing."""
