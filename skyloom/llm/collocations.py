@@ -7,13 +7,13 @@ Texts are scanned three times, in tasks that code words by numbers and count arr
 2. Phrases of such words are counted by a hash into arrays of fixed size, with numpy, block by block summed over tasks.
    A place whose sum is below the threshold rules out its phrases; the others leave a bit. Bits may let too much through,
    never too little, and what is broadcast has the same size for any corpus.
-3. Phrases whose words, parts and place all pass are written with their counts, once for each share of a task. The different
-   ones are the candidates.
+3. Phrases whose words, parts and place all pass are written with their counts, once for each share of a task, dealt to blocks
+   by a hash: sorted, so that they pack to a few bytes each. A block's different phrases are its candidates.
 
-Candidates are dealt to blocks by a hash, each block holding a bounded number. Each block gets a minimal perfect hash; mappers
-(some for each block) look the written phrases up, compare them with the key stored at the slot, and count numpy arrays
-by slot, which are then summed as a tree: the mappers' arrays of a block to one. Counts of phrases and of both parts of
-each cut are read from these arrays by slot.
+There are as many blocks as keep one bounded. Each gets a minimal perfect hash; mappers (some for each block) look the
+written phrases up, compare them with the key stored at the slot, and count numpy arrays by slot, which are then summed
+as a tree: the mappers' arrays of a block to one. Counts of phrases and of both parts of each cut are read from these
+arrays by slot.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(UPPER + b"\t" + PIECE_ENDS, LOWER + b" " + b"\n" * len(PIECE_ENDS))
 #: Bits of a place in the fixed arrays, and of a place within a block of them.
 PLACE, BLOCK_PLACE = 26, 16
-#: Words that a share of a task holds at once, different words it remembers, keys of a block at most about, mappers of a block.
-SHARE, REMEMBERED, BLOCK_KEYS, MAPPERS = 3_000_000, 1_000_000, 200_000, 4
+#: Words that a share of a task holds at once, different words it remembers, words of the corpus for a block, mappers of a block.
+#: Of so many words a fifth can be frequent phrases of two or three words at a threshold of ten.
+SHARE, REMEMBERED, BLOCK_WORDS, MAPPERS = 6_000_000, 1_000_000, 2_000_000, 4
 _SLICE = 4 << 20
 
 
@@ -145,7 +146,7 @@ def _batch(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatc
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n): words, counted for each share of a task."""
+    """(lang, phrase, n): words, counted for each share of a task, and with the empty phrase how many there are of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coder, codes in shares(batches, None):
@@ -153,7 +154,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             n[:2] = 0
             at = np.flatnonzero(n)
             if len(at):
-                yield _batch(coder.lang, [coder.words[i] for i in at.tolist()], n[at])
+                yield _batch(coder.lang, [b"", *[coder.words[i] for i in at.tolist()]], np.append(n.sum(), n[at]))
 
     return texts.mapInArrow(run, _COUNTED)
 
@@ -226,11 +227,29 @@ def bits_of_phrases(texts: DataFrame, frequent, least: int) -> list[np.ndarray]:
     return [_placed([(b - k * half, x) for b, x in rows if b // half == k], size) for k in (0, 1)]
 
 
-def _written(texts: DataFrame, frequent, two_bits, three_bits) -> DataFrame:
-    """(lang, phrase, n): phrases that may be frequent, counted for each share of a task."""
+_PACKED = "lang string, block int, phrases binary, counts binary"
+
+
+def _packed(coder: Coder, phrases: list[bytes], counts: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Phrases and their counts as a row for each block, by the hash that Spark's xxhash64(lang, phrase) gives."""
+    digest, seed = xxhash.xxh64_intdigest, coder.seed
+    block = np.array([digest(p, seed) for p in phrases], np.uint64).view(np.int64) % blocks
+    order = np.argsort(block, kind="stable")
+    used, starts = np.unique(block[order], return_index=True)
+    rows = [sorted(order[a:b].tolist(), key=phrases.__getitem__) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+    texts = [zlib.compress(b"\n".join([phrases[i] for i in own]), 1) for own in rows]
+    n = [zlib.compress(counts[own].astype(np.uint32).tobytes(), 1) for own in rows]
+    arrays = [pa.array([coder.lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["lang", "block", "phrases", "counts"])
+
+
+def _written(texts: DataFrame, frequent, two_bits, three_bits, blocks: int) -> DataFrame:
+    """(lang, block, phrases, counts): what may be frequent, counted for each share of a task and packed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coder, codes in shares(batches, frequent.value):
+            n = np.bincount(codes, minlength=len(coder.words))
+            ones = np.flatnonzero((n > 0) & coder.passes[: len(n)])
             two, three, pairs, triples = _neighbours(coder, codes)
             passed = np.zeros(len(codes) + 1, bool)
             passed[two] = has_bit(two_bits.value, pairs)
@@ -239,55 +258,78 @@ def _written(texts: DataFrame, frequent, two_bits, three_bits) -> DataFrame:
             wide, base = codes.astype(np.int64), len(coder.words)
             heads: list[bytes] = coder.words
             begins = wide
+            if len(ones):
+                yield _packed(coder, [coder.words[i] for i in ones.tolist()], n[ones], blocks)
             for at, size in ((two, 2), (three, 3)):
                 keys, where, n = np.unique(begins[at] * base + wide[at + size - 1], return_inverse=True, return_counts=True)
                 ends = zip((keys // base).tolist(), (keys % base).tolist(), strict=True)
                 heads = [b"%b %b" % (heads[a], coder.words[b]) for a, b in ends]
                 begins = np.zeros(len(codes), np.int64)
                 begins[at] = where
-                for k in range(0, len(keys), 100_000):
-                    yield _batch(coder.lang, heads[k : k + 100_000], n[k : k + 100_000])
+                if len(heads):
+                    yield _packed(coder, heads, n, blocks)
+
+    return texts.mapInArrow(run, _PACKED)
+
+
+def _keys(lang: str, packed: bytes) -> list[bytes]:
+    """The keys of packed phrases. No phrase holds a tab or line feed; its language, which might, stands before it in hex."""
+    head = lang.encode().hex().encode() + b"\t"
+    return [head + p for p in zlib.decompress(packed).split(b"\n")]
+
+
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-    return texts.mapInArrow(run, _COUNTED)
 
+_TABLES = "block int, hash binary, keys binary"
 
-def keyed(rows: DataFrame, phrase: str, blocks: int) -> DataFrame:
-    """rows with the 128-bit key (k1, k2) of a phrase and the block that it belongs to."""
-    k1, k2 = F.xxhash64("lang", phrase), F.xxhash64(F.lit(1), "lang", phrase)
-    return rows.withColumns({"k1": k1, "k2": k2, "block": F.pmod(k1, F.lit(blocks)).cast("int")})
 
+def _hashed(written: DataFrame) -> DataFrame:
+    """For each block the minimal perfect hash of its different phrases, and these by slot."""
 
-_TABLES = "block int, hash binary, first binary, second binary"
+    def made(block: int, keys: set[bytes]) -> pa.RecordBatch:
+        listed = sorted(keys)
+        table = MinimalHash.of(*_halves(listed))
+        by_slot = [listed[i] for i in np.argsort(table.slots(*_halves(listed))).tolist()]
+        arrays = [pa.array([block], pa.int32()), pa.array([table.to_bytes()], pa.binary()), pa.array([zlib.compress(b"\n".join(by_slot), 1)], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "hash", "keys"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, keys = None, set()
+        for b in batches:
+            for own, lang, packed in zip(*(b[c].to_pylist() for c in ("block", "lang", "phrases")), strict=True):
+                if own != block:
+                    if keys:
+                        yield made(block, keys)
+                    block, keys = own, set()
+                keys.update(_keys(lang, packed))
+        if keys:
+            yield made(block, keys)
 
-def _hashed(group: pa.Table) -> pa.Table:
-    """A block's minimal perfect hash and its keys by slot."""
-    k1, k2 = (group[c].combine_chunks().to_numpy().view(np.uint64) for c in ("k1", "k2"))
-    made = MinimalHash.of(k1, k2)
-    at = np.argsort(made.slots(k1, k2))
-    columns = {"block": group["block"][:1].combine_chunks(), "hash": [made.to_bytes()]}
-    return pa.table(columns | {"first": [k1[at].tobytes()], "second": [k2[at].tobytes()]})
+    dealt = written.select("block", "lang", "phrases").repartition(partitions(written.sparkSession), "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, _TABLES)
 
 
 class Slots:
-    """A block as a task holds it. Its keys are at most about BLOCK_KEYS."""
+    """A block as a task holds it."""
 
-    def __init__(self, made: bytes, first: bytes, second: bytes, counts: bytes | None):
-        self.hash = MinimalHash.from_bytes(made)
-        self.first, self.second = np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)
-        self.counts = np.zeros(len(self.first), np.int64) if counts is None else np.frombuffer(counts, np.int64)
+    def __init__(self, made: bytes, keys: bytes, counts: bytes | None):
+        self.hash, self.keys = MinimalHash.from_bytes(made), zlib.decompress(keys).split(b"\n")
+        self.counts = np.zeros(len(self.keys), np.int64) if counts is None else np.frombuffer(counts, np.int64)
 
-    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    def find(self, keys: list[bytes]) -> np.ndarray:
         """Slots, -1 for what isn't the key that is stored there."""
-        at = self.hash.slots(k1, k2)
-        return np.where((at >= 0) & (self.first[at] == k1) & (self.second[at] == k2), at, -1)
+        at = self.hash.slots(*_halves(keys))
+        return np.array([s if s >= 0 and self.keys[s] == k else -1 for s, k in zip(at.tolist(), keys, strict=True)], np.int64)
 
 
-Seen = Callable[[Slots, int, pa.RecordBatch], pa.RecordBatch | None]
+Seen = Callable[[Slots, pa.RecordBatch], pa.RecordBatch | None]
 
 
 def _at_slots(tables: DataFrame, rows: DataFrame, schema: str, seen: Seen, done: Callable[[Slots, int], pa.RecordBatch] | None) -> DataFrame:
-    """What becomes of rows (block, mapper, k1, k2, ...) at their block's tables (block, hash, first, second, maybe counts).
+    """What becomes of rows (block, mapper, ...) at their block's tables (block, hash, keys, maybe slot_counts).
 
     Rows are dealt by block and mapper and sorted, a block's tables ahead of them, so a task streams them past one block at
     a time: ``seen`` makes rows of a batch, and ``done`` one of a block at its end."""
@@ -307,8 +349,8 @@ def _at_slots(tables: DataFrame, rows: DataFrame, schema: str, seen: Seen, done:
                     if slots is not None and done:
                         yield done(slots, block)
                     one = part.to_pylist()[0]
-                    slots, block = Slots(one["hash"], one["first"], one["second"], one.get("counts")), one["block"]
-                elif slots is not None and (out := seen(slots, block, part)) is not None:
+                    slots, block = Slots(one["hash"], one["keys"], one.get("slot_counts")), one["block"]
+                elif slots is not None and (out := seen(slots, part)) is not None:
                     yield out
         if slots is not None and done:
             yield done(slots, block)
@@ -316,47 +358,63 @@ def _at_slots(tables: DataFrame, rows: DataFrame, schema: str, seen: Seen, done:
     return dealt.mapInArrow(run, schema)
 
 
-def _found(slots: Slots, part: pa.RecordBatch) -> np.ndarray:
-    return slots.find(*(part[c].to_numpy().view(np.uint64) for c in ("k1", "k2")))
-
-
-def _count(slots: Slots, block: int, part: pa.RecordBatch) -> None:
-    at = _found(slots, part)
-    n = part["n"].to_numpy()[at >= 0]
-    slots.counts += np.bincount(at[at >= 0], n, len(slots.counts)).astype(np.int64)
+def _count(slots: Slots, part: pa.RecordBatch) -> None:
+    for lang, phrases, counts in zip(*(part[c].to_pylist() for c in ("lang", "phrases", "counts")), strict=True):
+        at = slots.find(_keys(lang, phrases))
+        n = np.frombuffer(zlib.decompress(counts), np.uint32)[at >= 0]
+        slots.counts += np.bincount(at[at >= 0], n, len(slots.counts)).astype(np.int64)
 
 
 def _counts_of(slots: Slots, block: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([slots.counts.tobytes()], pa.binary())], ["block", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([slots.counts.tobytes()], pa.binary())], ["block", "slot_counts"])
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in group["counts"].to_pylist())
-    return pa.table({"block": group["block"][:1].combine_chunks(), "counts": [total.tobytes()]})
+    total = sum(np.frombuffer(x, np.int64) for x in group["slot_counts"].to_pylist())
+    return pa.table({"block": group["block"][:1].combine_chunks(), "slot_counts": [total.tobytes()]})
 
 
-def count_at_slots(tables: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
-    """The tables with the counts of rows (lang, phrase, n) by slot: mappers' arrays, summed."""
-    spread = keyed(rows, "phrase", blocks).select("block", (F.spark_partition_id() % MAPPERS).alias("mapper"), "k1", "k2", "n")
-    arrays = _at_slots(tables, spread, "block int, counts binary", _count, _counts_of)
-    return tables.join(arrays.groupBy("block").applyInArrow(_sum, "block int, counts binary"), "block")
+def count_at_slots(tables: DataFrame, written: DataFrame) -> DataFrame:
+    """The tables with the counts of what is written by slot: mappers' arrays, summed."""
+    spread = written.withColumn("mapper", F.spark_partition_id() % MAPPERS)
+    arrays = _at_slots(tables, spread, "block int, slot_counts binary", _count, _counts_of)
+    return tables.join(arrays.groupBy("block").applyInArrow(_sum, "block int, slot_counts binary"), "block")
 
 
 def read_at_slots(tables: DataFrame, rows: DataFrame, part: str, blocks: int) -> DataFrame:
     """rows (lang, phrase, ...) with f, the count of the phrase in column ``part``. A part that many phrases share is looked
     up by several mappers."""
     kept = rows.columns
-    asked = keyed(rows, part, blocks).withColumn("mapper", F.pmod(F.xxhash64("phrase"), F.lit(MAPPERS)).cast("int"))
+    mapper = F.pmod(F.xxhash64("phrase"), F.lit(MAPPERS)).cast("int")
+    asked = rows.withColumns({"block": F.pmod(F.xxhash64("lang", part), F.lit(blocks)).cast("int"), "mapper": mapper})
 
-    def seen(slots: Slots, block: int, part: pa.RecordBatch) -> pa.RecordBatch:
-        at = _found(slots, part)
+    def seen(slots: Slots, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [f"{lang.encode().hex()}\t{p}".encode() for lang, p in zip(batch["lang"].to_pylist(), batch[part].to_pylist(), strict=True)]
+        at = slots.find(keys)
         f = np.where(at >= 0, slots.counts[at], 0)
-        return pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(f)], [*kept, "f"])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(f)], [*kept, "f"])
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     return _at_slots(tables, asked, f"{schema}, f long", seen, None)
 
 
+def frequent_at_slots(tables: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, a): phrases of several words that reach the threshold, by slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, raw in zip(b["keys"].to_pylist(), b["slot_counts"].to_pylist(), strict=True):
+                counts = np.frombuffer(raw, np.int64)
+                listed = zlib.decompress(keys).split(b"\n")
+                at = [i for i in np.flatnonzero(counts >= least).tolist() if b" " in listed[i]]
+                parts = [listed[i].decode().split("\t") for i in at]
+                langs, texts = [bytes.fromhex(p[0]).decode() for p in parts], [p[1] for p in parts]
+                arrays = [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(counts[at])]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "a"])
+
+    return tables.select("keys", "slot_counts").mapInArrow(run, "lang string, phrase string, a long")
+
+
 def _cut(k: int) -> Column:
     """floor(1000000 * a * a / (l * r)) of a cut, exactly: products have up to 38 digits."""
     return F.expr(f"(cast(a as decimal(38,0)) * a * 1000000) div (cast(l{k} as decimal(38,0)) * r{k})")
@@ -373,22 +431,17 @@ def phrases(docs: DataFrame, least: int = 10, limit: int = 2000, inside: int = 5
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     texts = with_lang(docs)
-    words = table(count_words(texts), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = words.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase")
-    frequent = table(frequent, "frequent-words")
-    word_bits = send(bits_of_words(frequent))
-    bits = [send(b) for b in bits_of_phrases(texts, word_bits, least)]
-    written = table(_written(texts, word_bits, *bits), "phrases")
-    candidates = table(frequent.unionByName(written.select("lang", "phrase").distinct()), "candidates")
-    blocks = max(partitions(spark), -(-candidates.count() // BLOCK_KEYS))
-    keys = keyed(candidates, "phrase", blocks).select("block", "k1", "k2")
-    tables = table(keys.groupBy("block").applyInArrow(_hashed, _TABLES), "hashes")
-    tables = table(count_at_slots(tables, words.unionByName(written), blocks), "slots")
-
-    several = candidates.where(F.col("phrase").contains(" "))
-    known = read_at_slots(tables, several, "phrase", blocks).where(F.col("f") >= least).withColumnRenamed("f", "a")
-    known = table(known, "frequent-phrases")
+    words = count_words(texts).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = table(words.where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent-words")
+    totals = words.where("phrase = ''").select("lang", "n")
+    of_words = send(bits_of_words(words.where("phrase <> ''")))
+    bits = [send(b) for b in bits_of_phrases(texts, of_words, least)]
+    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(partitions(spark), -(-total // BLOCK_WORDS))
+    written = table(_written(texts, of_words, *bits, blocks), "phrases")
+    tables = table(_hashed(written), "hashes")
+    tables = table(count_at_slots(tables, written), "slots")
+    known = table(frequent_at_slots(tables, least), "frequent-phrases")
     return ranked(known, tables, blocks, limit, inside).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -179,10 +179,10 @@ COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def test_phrases_equal_counting_everything(spark, clashing, monkeypatch):
-    monkeypatch.setattr(collocations, "BLOCK_KEYS", 50)
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 300)
     rng = random.Random(5)
     words = ["alpha", "Beta", "gamma\t", "δέλτα", "a.b", "x,", "the", "  ", "\n", "ÀÉ", "the the", "no."]
-    extra = [(None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 80))), [None, "en", "de"][i % 3], None, None) for i in range(60)]
+    extra = [(None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 80))), [None, "en", "d e\n\t"][i % 3], None, None) for i in range(60)]
     docs = clashing.select("doc_id", "text", "lang", "source", "n_chars", "score", "n", "a").union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x")] * 3))
     rows = [(d["text"], d["lang"]) for d in docs.collect()]
     for share, remembered, least, limit in ((10**6, 10**6, 3, 40), (500, 20, 10, 2000)):
