@@ -62,13 +62,14 @@ _LAST = 0x323AF
 
 @functools.cache
 def _scripts() -> np.ndarray:
-    """For each code point 0 if it is no letter and no mark on one, else its script's place in SCRIPTS plus 1."""
+    """For each code point up to _LAST, and at the end for all beyond, 0 if it is no letter and no mark on one, else its
+    script's place in SCRIPTS plus 1."""
     kinds = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(_LAST + 1)])
     out = kinds.astype(np.uint8)
     for k, ranges in enumerate(SCRIPT_RANGES.values(), 2):
         for low, high in ranges:
             out[low : high + 1] = np.where(kinds[low : high + 1], k, 0)
-    return out
+    return np.append(out, np.uint8(0))  # what lies beyond: tags, variation selectors, private use
 
 
 @dataclass
@@ -86,7 +87,7 @@ class Words:
 def words_of(texts: list[str]) -> Words:
     raw = [t.lower() for t in texts]
     a = np.frombuffer(("\n" + "\n".join(raw) + "\n\n").encode("utf-32-le", "replace"), np.uint32)
-    kind = _scripts()[np.minimum(a, _LAST)]
+    kind = _scripts()[np.minimum(a, _LAST + 1)]
     letter = kind > 0
     at = np.flatnonzero(letter)
     plain = np.where(letter, a, np.uint32(32))
