@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from . import matching as M
 
 # --- fixed values: ridges as (lat, lon, lat, lon, width in degrees), the basin's middle ---
 RIDGES = [(28.3, 76.88, 28.66, 77.22, 0.13), (28.82, 77.34, 29.06, 77.78, 0.15)]
@@ -20,29 +21,66 @@ LON_SCALE = math.cos(math.radians(28.6))
 MOST_CELLS = 100_000
 
 
-def spline(values: DataFrame, cells: list[tuple[int, int, float, float]], by: str = "hour") -> DataFrame:
-    """A thin-plate spline through each group's stations (by, lat, lon, value), at the cells; an inverse-distance field
-    below four stations. A group is one moment of one network, solved in one task."""
+def thin_plate(p: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at places ``at`` (km) of the thin-plate spline through (p, v); inverse distances below four stations."""
+    dist = np.sqrt(((at[:, None] - p[None]) ** 2).sum(2))
+    if len(p) < 4:
+        w = 1 / np.maximum(dist, 1e-10) ** 2
+        return (w * v).sum(1) / w.sum(1) if len(p) else np.full(len(at), np.nan)
+    mid, span = p.mean(0), np.abs(p - p.mean(0)).max() or 1.0
+    phi = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0)
+    q, n = (p - mid) / span, len(p)
+    tail = np.column_stack([np.ones(n), q])
+    a = np.block([[phi(np.sqrt(((q[:, None] - q[None]) ** 2).sum(2))), tail], [tail.T, np.zeros((3, 3))]])
+    c = np.linalg.lstsq(a, np.concatenate([v, np.zeros(3)]), rcond=None)[0]
+    return phi(dist / span) @ c[:n] + np.column_stack([np.ones(len(at)), (at - mid) / span]) @ c[n:]
+
+
+def spline(values: DataFrame, cells: list[tuple[int, int, float, float]], by: str = "hour", most: int = 100) -> DataFrame:
+    """(by, gy, gx, value): for each moment of ``by`` a thin-plate spline through its stations (by, lat, lon, value), at the
+    cells, a grid of fixed size; an inverse-distance field below four stations.
+
+    Up to ``most`` stations a moment is one solve. More are parted: patches lie over the grid, as many as the stations ask for,
+    each solves for the ``most`` stations nearest to its middle, and where patches overlap their fields are blended by weights
+    that fall to nothing at a patch's edge. So no solve has more than ``most`` stations, solves grow in number with the
+    stations, and the field has no seams. Nulls don't count; of stations at one place any one does.
+    """
+    places = values.select("lat", "lon").dropna().distinct()
+    n = places.count()
+    kind = dict(values.dtypes)[by]
+    km = lambda la, lo: (la * T.KM_LAT, lo * T.KM_LON)
+    at = np.array([km(la, lo) for _, _, la, lo in cells])
+    low, size = at.min(0), np.maximum(at.max(0) - at.min(0), 1e-9)
+    side = 1 if n <= most else min(math.ceil(math.sqrt(4 * n / most)), math.ceil(math.sqrt(len(cells))))
+    middles = [low + size * ((i + 0.5) / side, (j + 0.5) / side) for i in range(side) for j in range(side)]
+    #: Half a patch's width both ways; patches overlap by as much again.
+    reach = size / side
+
+    def weights(patch: int) -> np.ndarray:
+        if side == 1:
+            return np.ones(len(at))
+        off = np.abs(at - middles[patch]) / reach
+        return np.prod(np.maximum(0.0, 1 - off) ** 2, axis=1)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().drop_duplicates(["lat", "lon"])
-        at = np.array([(la * T.KM_LAT, lo * T.KM_LON) for _, _, la, lo in cells])
-        p, v = np.column_stack([pdf["lat"] * T.KM_LAT, pdf["lon"] * T.KM_LON]), pdf["value"].to_numpy(float)
-        dist = np.sqrt(((at[:, None] - p[None]) ** 2).sum(2))
-        if len(p) < 4:
-            w = 1 / np.maximum(dist, 1e-10) ** 2
-            got = (w * v).sum(1) / w.sum(1) if len(p) else np.full(len(at), np.nan)
-        else:
-            mid, span = p.mean(0), np.abs(p - p.mean(0)).max() or 1.0
-            phi = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0)
-            q, n = (p - mid) / span, len(p)
-            tail = np.column_stack([np.ones(n), q])
-            a = np.block([[phi(np.sqrt(((q[:, None] - q[None]) ** 2).sum(2))), tail], [tail.T, np.zeros((3, 3))]])
-            c = np.linalg.lstsq(a, np.concatenate([v, np.zeros(3)]), rcond=None)[0]
-            got = phi(dist / span) @ c[:n] + np.column_stack([np.ones(len(at)), (at - mid) / span]) @ c[n:]
-        return pd.DataFrame({by: pdf[by].iloc[0] if len(pdf) else pd.NaT, "gy": [c[0] for c in cells], "gx": [c[1] for c in cells], "value": got})
-
-    return values.select(by, "lat", "lon", "value").groupBy(by).applyInPandas(solve, f"{by} {dict(values.dtypes)[by]}, gy int, gx int, value double")
+        own = pdf.dropna(subset=["lat", "lon", "value"]).drop_duplicates(["lat", "lon"])
+        w = weights(int(pdf["patch"].iloc[0]))
+        some = np.flatnonzero(w)
+        got = thin_plate(np.column_stack(km(own["lat"], own["lon"])), own["value"].to_numpy(float), at[some])
+        return pd.DataFrame({by: pdf[by].iloc[0], "gy": [cells[i][0] for i in some], "gx": [cells[i][1] for i in some], "weight": w[some], "value": got})
+
+    rows = values.select(by, "lat", "lon", "value")
+    if side == 1:
+        rows = rows.withColumn("patch", F.lit(0))
+    else:
+        spots = [(i, float(y / T.KM_LAT), float(x / T.KM_LON)) for i, (y, x) in enumerate(middles)]
+        patches = values.sparkSession.createDataFrame(spots, "patch int, lat double, lon double")  # not more than cells
+        near = M.neighbours(patches, places.withColumn("id", F.struct("lat", "lon")), most, ["patch"])
+        rows = rows.join(near.select("patch", "id.lat", "id.lon"), ["lat", "lon"])
+    parts = rows.groupBy(by, "patch").applyInPandas(solve, f"{by} {kind}, gy int, gx int, weight double, value double")
+    known = parts.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    mean = F.sum(F.col("weight") * F.col("value")) / F.sum("weight")
+    return known.groupBy(by, "gy", "gx").agg(mean.alias("value"))
 
 
 def contours(field: DataFrame, threshold: float) -> DataFrame:

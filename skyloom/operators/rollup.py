@@ -66,6 +66,26 @@ def errors(samples: DataFrame, methods: Sequence[str], truth: str = "truth", by:
     return long.groupBy(*names, "method").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
 
 
+def errors_by_thirds(samples: DataFrame, guess: str, base: str, truth: str = "truth", lead: str = "lead", third: int = 24) -> DataFrame:
+    """(bucket, n, rmse, base_rmse, skill): for each third of the horizon the mean over its leads of the root mean squared
+    error at that lead; ``all`` for all pairs together. skill is 1 - rmse / base_rmse, 0 where the base makes no error.
+
+    Leads count from 1; the last third takes all that is left. Pairs count where truth and both guesses are known.
+    """
+    rows = samples.dropna(subset=[truth, guess, base, lead])
+    square = lambda c: F.pow(F.col(c) - F.col(truth), F.lit(2))
+    sums = [F.count("*").alias("n"), F.sum(square(guess)).alias("s"), F.sum(square(base)).alias("b")]
+    each = rows.groupBy(F.col(lead).alias("lead")).agg(*sums)  # a row a lead
+    name = lambda k: f"{k * third}-{(k + 1) * third}h"
+    bucket = F.when(F.col("lead") <= third, name(0)).when(F.col("lead") <= 2 * third, name(1)).otherwise(name(2))
+    root = lambda c: F.avg(F.sqrt(F.col(c) / F.col("n"))).alias("rmse" if c == "s" else "base_rmse")
+    whole = lambda c: F.sqrt(F.sum(c) / F.sum("n")).alias("rmse" if c == "s" else "base_rmse")
+    parts = each.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), root("s"), root("b"))
+    every = each.groupBy(F.lit("all").alias("bucket")).agg(F.sum("n").alias("n"), whole("s"), whole("b"))
+    skill = F.when(F.col("base_rmse") > 0, 1 - F.col("rmse") / F.col("base_rmse")).otherwise(0.0)
+    return parts.unionByName(every).withColumn("skill", skill)
+
+
 def mode(value: Column) -> Column:
     """The most frequent value; of several the least."""
     return F.mode(value, True)
@@ -77,10 +97,9 @@ def circular_mean(degrees: Column) -> Column:
     return F.when(F.hypot(s, c) >= 1e-6, F.pmod(F.degrees(F.atan2(s, c)) + 360.0, F.lit(360.0)))
 
 
-def upper_median(value: Column) -> Column:
-    """Of an even number of values the higher middle one; groups are the stations of one network."""
-    s = F.sort_array(F.collect_list(value))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """Of an even number of values of a column the higher middle one, from counts of different values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
 
 
 def newest(rows: DataFrame, keys: Sequence[str], at: str, ties: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from . import matching as M
+from .fields import MOST_CELLS
 
 
 def grid(spark: SparkSession, rows: int | None = None, cols: int | None = None) -> DataFrame:
@@ -37,13 +38,46 @@ def weighted(weights: DataFrame, values: DataFrame, by: Sequence[str], value: st
     return weights.join(v, "id").groupBy(*by).agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias(value))
 
 
+def arrays_of(cells: DataFrame) -> pd.DataFrame:
+    """A grid's cells (gy, gx, lat, lon) as tasks hold them; an error if there are more than a task adds up in arrays."""
+    at = cells.select("gy", "gx", "lat", "lon").limit(MOST_CELLS + 1).toPandas()
+    if len(at) > MOST_CELLS:
+        raise ValueError(f"the grid has more than the {MOST_CELLS} cells that a task adds up in arrays")
+    return at
+
+
+def softened(cells: DataFrame, values: DataFrame, soft: float = 0.01) -> DataFrame:
+    """(gy, gx, value): each cell's mean of all values (lat, lon, value), weighted by 1 / (km^2 + soft).
+
+    Each task adds its values up in arrays of all cells; a row for each cell leaves it.
+    """
+    at = arrays_of(cells)
+    lat, lon = at["lat"].to_numpy(), at["lon"].to_numpy()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight, seen = np.zeros(len(at)), np.zeros(len(at)), False
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                b, seen = batch.iloc[i : i + 256], True
+                dy, dx = (b["lat"].to_numpy()[:, None] - lat) * T.KM_LAT, (b["lon"].to_numpy()[:, None] - lon) * T.KM_LON
+                w = 1 / (dy * dy + dx * dx + soft)
+                total, weight = total + b["value"].to_numpy() @ w, weight + w.sum(0)
+        if seen:
+            yield pd.DataFrame({"gy": at["gy"], "gx": at["gx"], "total": total, "weight": weight})
+
+    kinds = dict(cells.dtypes)
+    known = values.select("lat", "lon", F.col("value").cast("double").alias("value")).dropna()
+    parts = known.mapInPandas(add, f"gy {kinds['gy']}, gx {kinds['gx']}, total double, weight double")
+    return parts.groupBy("gy", "gx").agg((F.sum("total") / F.sum("weight")).alias("value"))
+
+
 def plume(cells: DataFrame, fires: DataFrame, u: float, v: float, sigma: float = 45.0, decay: float = 200.0, reference: float = 2.0, horizon_h: float = 72.0, calm: float = 0.5, factor: float = 0.22) -> DataFrame:
     """Frp and smoke of each cell, summed over all fires: what burns near it, and what the wind carries to it.
 
     cells is a grid of fixed size and goes to every task as arrays; fires at one place are summed first, each task adds up
     its fires' fields, and only one row for each cell leaves it. No fires give no rows.
     """
-    at, speed = cells.select("gy", "gx", "lat", "lon").toPandas(), math.hypot(u, v)
+    at, speed = arrays_of(cells), math.hypot(u, v)
     lat, lon = at["lat"].to_numpy(), at["lon"].to_numpy()
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

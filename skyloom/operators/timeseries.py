@@ -127,13 +127,51 @@ def history(rows: DataFrame, keys: Sequence[str], end: Column, hours: int = 24,
     return held.select(*keys, F.transform(F.sequence(first, F.lit(hours - 1)), lambda k: F.try_element_at("__m", k)).alias("window"))
 
 
-def blocks(hours: DataFrame, hour: str = "hour") -> DataFrame:
-    """(start, end, length) of runs of consecutive hours; hours are distinct."""
+def blocks(hours: DataFrame, hour: str = "hour", keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, start, end, length) of runs of consecutive hours, which are distinct by key. Without keys the hours are a
+    calendar, not the data."""
     n = F.unix_seconds(F.col(hour).cast("timestamp")) / 3600
-    islands = hours.select(hour, (n - F.row_number().over(Window.orderBy(hour))).cast("long").alias("__k"))  # an hour each: a calendar, not the data
-    return islands.groupBy("__k").agg(F.min(hour).alias("start"), F.max(hour).alias("end"), F.count("*").alias("length")).drop("__k")
+    islands = hours.select(*keys, hour, (n - F.row_number().over(Window.partitionBy(*keys).orderBy(hour))).cast("long").alias("__k"))
+    ends = [F.min(hour).alias("start"), F.max(hour).alias("end"), F.count("*").alias("length")]
+    return islands.groupBy(*keys, "__k").agg(*ends).drop("__k")
 
 
 def windows_in(length: Column, size: int, stride: int) -> Column:
     """How many windows of size hours, stride apart, lie inside a block."""
     return F.when(length >= size, F.floor((length - size) / stride) + 1).otherwise(0).cast("long")
+
+
+def legal_starts(runs: DataFrame, span: int, stride: int) -> DataFrame:
+    """(*keys, start) of all windows of span hours, stride apart, that lie wholly inside one of the blocks."""
+    last = F.col("end") - F.expr(f"interval {span - 1} hours")
+    fit = runs.where(F.col("length") >= span)
+    starts = F.explode(F.sequence("start", last, F.expr(f"interval {stride} hours")))
+    return fit.select(*[c for c in runs.columns if c not in ("start", "end", "length")], starts.alias("start"))
+
+
+def split_by_date(starts: DataFrame, span: int, low: Column, high: Column) -> DataFrame:
+    """Starts with ``part``: val for windows wholly inside [low, high], train for those clear of it, null for those that
+    overlap it by even one hour."""
+    end = F.col("start") + F.expr(f"interval {span - 1} hours")
+    inside = (F.col("start") >= low) & (end <= high)
+    clear = (F.col("start") > high) | (end < low)
+    return starts.withColumn("part", F.when(inside, "val").when(clear, "train"))
+
+
+def split_with_gap(starts: DataFrame, span: int, fraction: float) -> DataFrame:
+    """Starts with ``part``: val for the latest windows, the given fraction of all, train for those that end before the
+    first of them begins, null for those between. All windows of the hour at which the fraction begins are val.
+
+    Everything is train without a fraction or with fewer than four windows. The hour is found among the different hours, a
+    calendar, with their numbers of windows.
+    """
+    n = starts.groupBy("start").agg(F.count("*").alias("__n"))
+    so_far = F.sum("__n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))  # an hour each
+    counted = n.select("start", so_far.alias("__sum"))
+    total = F.max("__sum").over(Window.partitionBy())
+    cut = counted.withColumn("__all", total).where(F.col("__sum") > F.floor(F.col("__all") * (1.0 - fraction)))
+    first = cut.agg(F.min("start").alias("__first"), F.max("__all").alias("__all"))  # one row
+    none = F.lit(fraction <= 0) | (F.col("__all") < 4) | F.col("__first").isNull()
+    ends = F.col("start") + F.expr(f"interval {span} hours")
+    part = F.when(none, "train").when(F.col("start") >= F.col("__first"), "val").when(ends <= F.col("__first"), "train")
+    return starts.join(F.broadcast(first)).withColumn("part", part).drop("__first", "__all")

@@ -515,6 +515,9 @@ def p26(spark, sf_dir):
 
 @query("p27_columnar_records", sql(", a AS (SELECT list(lat ORDER BY okey, line) AS lat, list(lon ORDER BY okey, line) AS lon, list(frp ORDER BY okey, line) AS frp, satellite FROM px GROUP BY satellite) SELECT satellite, unnest(lat) AS lat, unnest(lon) AS lon, unnest(frp) AS frp FROM a", "px"))
 def p27(spark, sf_dir):
-    rows = pixels(spark, sf_dir).groupBy("satellite", (F.col("okey") % 64).alias("part")).agg(F.sort_array(F.collect_list(F.struct("okey", "line", "lat", "lon", "frp"))).alias("r"))
-    payload = rows.select("satellite", F.transform("r", lambda x: x["lat"]).alias("lat"), F.transform("r", lambda x: x["lon"]).alias("lon"), F.transform("r", lambda x: x["frp"]).alias("frp"))
+    """Records as parallel arrays, a payload for each satellite and range of orders: as many as the table needs."""
+    record = F.struct("okey", "line", "lat", "lon", "frp")
+    part = F.floor(F.col("okey") / 2048).alias("part")
+    rows = pixels(spark, sf_dir).groupBy("satellite", part).agg(F.sort_array(F.collect_list(record)).alias("r"))
+    payload = rows.select("satellite", *[F.col(f"r.{c}").alias(c) for c in ("lat", "lon", "frp")])  # an array each
     return payload.select("satellite", F.inline(F.arrays_zip("lat", "lon", "frp")))

@@ -54,15 +54,21 @@ def s5(spark, sf_dir):
 
 @query("s6_nested_catalogue", "SELECT n_nationkey AS station, s_suppkey AS sensor, CASE s_suppkey % 3 WHEN 0 THEN 'pm25' WHEN 1 THEN 'no2' ELSE 'o3' END AS parameter FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 7 <> 0")
 def s6(spark, sf_dir):
-    """Stations as JSON documents with a map of sensor lists; those without coordinates are skipped."""
+    """Stations as JSON files with a map of sensor lists, a document for a thousand sensors; those without coordinates are
+    skipped."""
+    path = scratch(spark, "catalogue-json")
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
     p = F.when(F.col("s_suppkey") % 3 == 0, "pm25").when(F.col("s_suppkey") % 3 == 1, "no2").otherwise("o3")
-    one = s.groupBy("s_nationkey", p.alias("p")).agg(F.collect_list(F.struct(F.col("s_suppkey").alias("sensor_id"))).alias("l"))
-    docs = one.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("p", "l"))).alias("sensors")).join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    part = F.floor(F.col("s_suppkey") / 1000).alias("part")
+    one = s.groupBy("s_nationkey", part, p.alias("p")).agg(F.collect_list(F.struct(F.col("s_suppkey").alias("sensor_id"))).alias("l"))
+    sensors = F.map_from_entries(F.collect_list(F.struct("p", "l"))).alias("sensors")
+    docs = one.groupBy("s_nationkey", "part").agg(sensors).join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
     lat = F.when(F.col("n_nationkey") % 7 != 0, F.lit(28.5))
-    text = docs.select(F.to_json(F.struct(F.col("n_nationkey").alias("location_id"), lat.alias("latitude"), "sensors")).alias("j"))
-    back = text.select(F.from_json("j", "location_id int, latitude double, sensors map<string, array<struct<sensor_id:bigint>>>").alias("d")).select("d.*").where("latitude is not null")
-    return back.select(F.col("location_id").alias("station"), F.explode("sensors").alias("parameter", "l")).select("station", F.explode("l").alias("x"), "parameter").select("station", F.col("x.sensor_id").alias("sensor"), "parameter")
+    docs.select(F.col("n_nationkey").alias("location_id"), lat.alias("latitude"), "sensors").write.json(path)
+    schema = "location_id int, latitude double, sensors map<string, array<struct<sensor_id: bigint>>>"
+    back = spark.read.schema(schema).json(path).where("latitude is not null")
+    lists = back.select(F.col("location_id").alias("station"), F.explode("sensors").alias("parameter", "l"))
+    return lists.select("station", F.explode("l").alias("x"), "parameter").select("station", F.col("x.sensor_id").alias("sensor"), "parameter")
 
 
 @query("s15_latest_measurements", sql("SELECT station_id, max(value) FILTER (parameter = 'pm25') AS pm25, coalesce(nullif(max(value) FILTER (parameter = 'no2'), 0), max(value) FILTER (parameter = 'so2')) AS nox, max(value) FILTER (parameter = 'o3') AS o3 FROM hp WHERE hour = (SELECT max(hour) FROM hp) GROUP BY station_id", "hp"))

@@ -172,10 +172,9 @@ def g9(spark, sf_dir):
     SELECT y AS gy, x AS gx, round(sum(w * value) / sum(w), 6) AS value FROM w GROUP BY y, x""", "st", "h_small"),
 )
 def g10(spark, sf_dir):
-    c = SP.grid(spark, 18, 18).select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.col("lat").alias("glat"), F.col("lon").alias("glon"))
-    s = stations(spark, sf_dir).join(_snapshot(spark, sf_dir), "id").join(F.broadcast(c))  # 324 cells
-    w = 1 / (F.pow((F.col("lat") - F.col("glat")) * T.KM_LAT, 2) + F.pow((F.col("lon") - F.col("glon")) * T.KM_LON, 2) + 0.01)
-    return s.withColumn("w", w).groupBy("gy", "gx").agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("value"))
+    seen = stations(spark, sf_dir).join(_snapshot(spark, sf_dir), "id")
+    field = SP.softened(SP.grid(spark, 18, 18), seen)
+    return field.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.round("value", 6).alias("value"))
 
 
 CL_SQL = f"""c AS (SELECT *, floor(lat / 0.25)::BIGINT AS cy, floor(lon / 0.25)::BIGINT AS cx, strptime(acq_date || ' ' || lpad(acq_time, 4, '0'), '%Y-%m-%d %H%M') AS seen FROM px),

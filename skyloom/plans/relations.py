@@ -12,7 +12,7 @@ from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
 from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, stations, steady, steady_sql
-from ..sources.scratch import written
+from ..sources.scratch import scratch, written
 from .expressions import CATEGORY_SQL
 from .registry import Registry
 from .series import A2_SQL, D8, h_small, hp, mesh
@@ -244,7 +244,7 @@ def a32(spark, sf_dir):
 def a33(spark, sf_dir):
     h = hp(spark, sf_dir, SMALL)
     now = h.join(F.broadcast(h.agg(F.max("hour").alias("hour"))), "hour")
-    return now.groupBy("parameter").agg(F.count("*").alias("reporting"), F.min("value").alias("low"), R.upper_median(F.col("value")).alias("upper_median"))
+    return now.groupBy("parameter").agg(F.count("*").alias("reporting"), F.min("value").alias("low"), R.upper_median("value").alias("upper_median"))
 
 
 @query("a34_drivers", sql(f"{A2_SQL}, {M_LAST} SELECT prominent, count(*) FILTER (zone = 'North') AS \"North\", count(*) FILTER (zone = 'South') AS \"South\", round(count(*) * 100.0 / (SELECT count(*) FROM ml), 6) AS pct FROM ml GROUP BY prominent", "hp_large"))
@@ -452,10 +452,14 @@ def s2(spark, sf_dir):
 
 @query("s9_columnar_json", sql("SELECT station_id, hour, value FROM h_small", "h_small"))
 def s9(spark, sf_dir):
-    arrays = h_small(spark, sf_dir).groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("r"))
-    doc = arrays.select("station_id", F.to_json(F.struct(F.struct(F.transform("r", lambda x: x["hour"]).alias("time"), F.transform("r", lambda x: x["value"]).alias("value")).alias("hourly"))).alias("doc"))
-    back = doc.select("station_id", F.from_json("doc", "hourly struct<time:array<timestamp_ntz>,value:array<double>>").alias("d"))
-    return back.select("station_id", F.inline(F.arrays_zip("d.hourly.time", "d.hourly.value"))).toDF("station_id", "hour", "value")
+    """Hourly values as parallel arrays in JSON files, a document for each station and day, read as files again."""
+    path, day = scratch(spark, "hourly-json"), F.to_date("hour").alias("day")
+    arrays = h_small(spark, sf_dir).groupBy("station_id", day).agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("r"))
+    hourly = F.struct(F.transform("r", lambda x: x["hour"]).alias("time"), F.transform("r", lambda x: x["value"]).alias("value"))
+    arrays.select("station_id", hourly.alias("hourly")).write.json(path)
+    schema = "station_id long, hourly struct<time: array<timestamp_ntz>, value: array<double>>"
+    back = spark.read.schema(schema).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSS]").json(path)
+    return back.select("station_id", F.inline(F.arrays_zip("hourly.time", "hourly.value"))).toDF("station_id", "hour", "value")
 
 
 @query("s10_cells_by_time", sql("SELECT hour AS valid_time, count(*) AS cells, list(value ORDER BY station_id) AS vals FROM h_small WHERE station_id IN (SELECT id FROM st WHERE lat BETWEEN 28.3 AND 28.7 AND lon BETWEEN 76.9 AND 77.4) GROUP BY hour", "st", "h_small"))

@@ -155,3 +155,29 @@ def test_feature_collections_are_json(spark):
     got = json.loads(df.agg(G.feature_collection(["value", "name"], {"name": "label"}, ["k"]).alias("j")).first()["j"])
     assert got["type"] == "FeatureCollection" and [f["properties"] for f in got["features"]] == [{}, {"value": 2.5, "label": 'a"b'}]
     assert got["features"][1]["geometry"] == {"type": "Point", "coordinates": [77.0, 28.1235]} or got["features"][1]["geometry"]["coordinates"] == [77.0, 28.1234]
+
+
+def test_splines_of_few_stations_are_one_solve_and_of_many_bounded_ones(spark, monkeypatch):
+    rng = random.Random(13)
+    cells = [(i, j, 28.2 + i * 0.07, 76.8 + j * 0.08) for i in range(10) for j in range(10)]
+    smooth = lambda la, lo: 40 + 30 * math.sin(3 * la) + 20 * math.cos(4 * lo)
+    spots = [(28.15 + rng.random() * 0.8, 76.75 + rng.random() * 0.9) for _ in range(900)]
+    km = lambda la, lo: (la * 111.0, lo * 97.5)
+
+    def field(n, most):
+        rows = [(h, la, lo, smooth(la, lo) + h) for h in (0, 1) for la, lo in spots[:n]] + [(0, None, 77.0, 1.0), (1, 28.5, 77.0, None)]
+        got = FL.spline(spark.createDataFrame(rows, "hour int, lat double, lon double, value double"), cells, most=most)
+        return {(r["hour"], r["gy"], r["gx"]): r["value"] for r in got.collect()}
+
+    want = FL.thin_plate(np.array([km(*s) for s in spots[:60]]), np.array([smooth(*s) for s in spots[:60]]), np.array([km(la, lo) for _, _, la, lo in cells]))
+    few = field(60, 100)
+    assert len(few) == 200
+    for (i, j, _, _), v in zip(cells, want, strict=True):
+        assert few[0, i, j] == pytest.approx(v, abs=1e-6) and few[1, i, j] == pytest.approx(v + 1, abs=1e-6)
+    # parted into patches that each see all stations, the blend is the same field
+    apart = field(60, 59)
+    assert max(abs(apart[0, i, j] - v) for (i, j, _, _), v in zip(cells, want, strict=True)) < 1.0
+    many = field(900, 60)
+    assert len(many) == 200
+    for i, j, la, lo in cells:
+        assert many[0, i, j] == pytest.approx(smooth(la, lo), abs=0.5) and many[1, i, j] == pytest.approx(many[0, i, j] + 1, abs=1e-6)

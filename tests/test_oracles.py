@@ -57,5 +57,45 @@ def test_tools_answer_by_name(spark):
     everything, later = (ask(spark, SF, "fire_corridor", since=s).agg({"pixels": "sum"}).first()[0] for s in (None, "1998-01-01"))
     assert 0 < later < everything
     assert [r["lead"] for r in ask(spark, SF, "forecast", hours=24).orderBy("lead").collect()] == [6, 12, 18, 24]
-    with pytest.raises(ValueError):
-        ask(spark, SF, "weather")
+    assert ask(spark, SF, "city_history").first()["days"] == 30
+    assert ask(spark, SF, "station_detail", station="' OR 1 = 1 --").count() == 0
+    assert ask(spark, SF, "fire_corridor").count() > 0 and ask(spark, SF, "index_rules").count() > 5
+
+
+@pytest.mark.parametrize(
+    ("name", "given"),
+    [
+        ("weather", {}),
+        ("city_now", {"hour": 3}),
+        ("station_detail", {}),
+        ("station_detail", {"station": 5}),
+        ("station_detail", {"station": "  "}),
+        ("forecast", {"hours": 0}),
+        ("forecast", {"hours": 73}),
+        ("forecast", {"hours": "24"}),
+        ("forecast", {"hours": 24.0}),
+        ("forecast", {"hours": True}),
+        ("fire_corridor", {"since": "1998-02-30"}),
+        ("fire_corridor", {"since": "19980201"}),
+        ("fire_corridor", {"since": "' OR true"}),
+        ("city_history", {"days": 31}),
+        ("city_history", {"days": -1}),
+        ("index_rules", {"pollutant": "pm1"}),
+    ],
+)
+def test_tools_refuse_what_they_cannot_take(spark, name, given):
+    from skyloom.plans.tools import Refused, ask
+
+    with pytest.raises(Refused):
+        ask(spark, SF, name, **given)
+
+
+def test_tools_are_declared_with_their_arguments():
+    from skyloom.plans.tools import TOOLS, declarations
+
+    told = {d["name"]: d["parameters"] for d in declarations()}
+    assert told.keys() == TOOLS.keys() and all(p["additionalProperties"] is False for p in told.values())
+    assert told["station_detail"]["required"] == ["station"]
+    assert told["forecast"]["properties"]["hours"] == {"type": "integer", "description": "How far ahead to read.", "minimum": 1, "maximum": 72, "default": 72}
+    assert told["fire_corridor"]["properties"]["since"]["format"] == "date"
+    assert "o3" in told["index_rules"]["properties"]["pollutant"]["enum"]
