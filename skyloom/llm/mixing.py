@@ -96,7 +96,7 @@ def _raked_in_a_row(cells: DataFrame, targets: dict[str, DataFrame], share: floa
     row = row.withColumn("all", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"]) * F.lit(share))
     row = row.withColumn("widths", F.transform(F.sequence(F.lit(1), F.lit(len(names) + 1)), lambda d: F.aggregate("cells", F.lit(0), lambda a, c: F.greatest(a, F.element_at(c["codes"], d) + 1))))
     # For each dimension and each of its values the places of its cells: a step then looks at each cell once.
-    places = F.sequence(F.lit(1), F.size("cells"))
+    places = F.when(F.size("cells") > 0, F.sequence(F.lit(1), F.size("cells"))).otherwise(F.array().cast("array<int>"))
     of = lambda d, v: F.filter(places, lambda i: F.element_at(F.element_at("cells", i)["codes"], d) == v)
     values = lambda d: F.sequence(F.lit(0), F.element_at("widths", d) - 1)
     row = row.withColumn("groups", F.transform(F.sequence(F.lit(1), F.lit(len(names) + 1)), lambda d: F.transform(values(d), lambda v: of(d, v))))

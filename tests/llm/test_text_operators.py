@@ -460,7 +460,7 @@ def test_mixing_of_scarce_topics_takes_the_whole_share(spark, nothing):
     assert mixing.mix_attainable(mixing.with_topics(nothing, spark.createDataFrame([], "vec_id long, label int"))).count() == 0
 
 
-def raked_plainly(cells, share, rounds=400):
+def raked_plainly(cells, share, rounds=400, final=60):
     """Iterative proportional fitting by dictionaries: (source, lang, topic): tokens to weights."""
     targets = []
     for k in range(3):
@@ -478,7 +478,7 @@ def raked_plainly(cells, share, rounds=400):
             free -= new
         targets.append(full | {v: scale * have[v] ** 0.5 for v in free})
     w = {c: n * share for c, n in cells.items()}
-    for step in range(3 * rounds + 60):
+    for step in range(3 * rounds + final):
         key = (lambda c, k=step % 3: c[k]) if step < 3 * rounds else (lambda c: "all")
         wanted = targets[step % 3] if step < 3 * rounds else {"all": share * sum(cells.values())}
         sums = collections.Counter()
@@ -496,13 +496,14 @@ def test_raking_equals_proportional_fitting(spark):
     cells = {(s, l, t): rng.randint(0, 400) if t != 1 else rng.randint(0, 20) for s in ("a", "b", "c`d", None) for l in ("x", "y") for t in (1, 2, 3, None)}
     rows = [(*c, n) for c, n in cells.items()]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, topic int, tokens long")
-    want = raked_plainly(cells, 0.5)
-    for fold in (mixing.FOLD, 5):
-        table = docs.select("source", "lang", "topic", "tokens")
-        targets = {d: mixing.attainable(table, d, 0.5, 0.5) for d in mixing.DIMENSIONS}
-        got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(table, targets, 0.5, fold=fold).collect()}
+    table = docs.select("source", "lang", "topic", "tokens")
+    targets = {d: mixing.attainable(table, d, 0.5, 0.5) for d in mixing.DIMENSIONS}
+    rows = lambda **how: {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(table, targets, 0.5, **how).collect()}
+    settled = rows()
+    assert sum(settled.values()) == pytest.approx(0.5 * sum(cells.values()), rel=1e-4)
+    few = {"rounds": 4, "final": 2}
+    for got, want in ((settled, raked_plainly(cells, 0.5)), (rows(fold=5, **few), raked_plainly(cells, 0.5, **few))):
         assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=2e-3) for c in want)
-        assert sum(got.values()) == pytest.approx(0.5 * sum(cells.values()), rel=1e-4)
 
 
 def test_mixing_of_the_tables_reaches_its_marginals(spark):
