@@ -67,11 +67,13 @@ def plain_removal(rows, least):
             continue
         words = [tuple(w for _, w in plain_words(p)) for p in own]
         n, spans = len(own), set()
-        total = lambda a, b: sum(len(w) for w in words[a:b])  # noqa: B023, E731
-        for i in range(n):
-            spans |= {(i, j) for j in range(i + 1, n + 1) if total(i, j) >= least and total(i, j - 1) < least}
+        sizes = [len(w) for w in words]
+        for i in range(n):  # the first end, and for each end the last beginning, that make up enough words
+            j = next((j for j in range(i + 1, min(n, i + 4 * least) + 1) if sum(sizes[i:j]) >= least), None)
+            spans |= {(i, j)} if j else set()
         for j in range(1, n + 1):
-            spans |= {(i, j) for i in range(j) if total(i, j) >= least and total(i + 1, j) < least}
+            i = next((i for i in range(j - 1, max(-1, j - 1 - 4 * least), -1) if sum(sizes[i:j]) >= least), None)
+            spans |= {(i, j)} if i is not None else set()
         for i, j in spans:
             where[tuple(words[i:j])].add((doc, i, j))
     gone = collections.defaultdict(set)
