@@ -11,6 +11,7 @@ from ..operators import forecast as FC
 from ..operators import rollup as R
 from ..operators import store as ST
 from ..operators import timeseries as S
+from ..operators.selection import ranked_by_hash
 from ..sources.bridge import LARGE, SMALL, observations, read, readings, sql, stations, steady, steady_sql
 from ..sources.scratch import scratch, written
 from .expressions import CATEGORY_SQL
@@ -290,9 +291,10 @@ def a41(spark, sf_dir):
     SELECT f::DOUBLE AS fraction, {steady_sql("avg(rmse)", 4)} AS rmse_mean, {steady_sql("stddev_pop(rmse)", 4)} AS rmse_sd FROM e GROUP BY f""")
 def a42(spark, sf_dir):
     """Networks are thinned by a seeded hash order in place of a generator, five times each."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.md5(F.concat(F.col("t").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string")))))
-    s = s.withColumn("rn", rank).withColumn("f", F.explode(F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25))))
+    trials = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"), trials)
+    s = s.withColumn("h", F.md5(F.concat(F.col("t").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string"))))
+    s = ranked_by_hash(s, ["t"], "h", "s_suppkey", "rn").withColumn("f", F.explode(F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25))))
     n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     s = s.join(F.broadcast(n)).withColumn("held", F.col("rn") > F.round(F.col("n") * F.col("f")))
     mean = s.where("not held").groupBy("f", "t").agg(F.avg("v").alias("k"))
