@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, held_out, quoted, sliced
+from .shared import columns_of, held_out, let_go, quoted, sliced
 
 BITS = 16
 UNDETERMINED = "und"
@@ -116,6 +116,7 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", least_script_share: float = 0.001) -> Model:
     """Counts over all rows with a text and a label. What comes to the driver is the model: 2**BITS counts a language at most."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sums: dict[str, np.ndarray] = {}
         for b in sliced(batches):
             by: dict[str, list[str]] = {}
@@ -204,6 +205,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
     own = [c for c in carry if c not in ("lang_pred", "score", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # of a tokenizer and its words, where one ran before
         for b in sliced(batches):
             got = label(b.column(len(own)).to_pylist(), shared.value, switch)
             spans = pa.array([[dict(zip(("start", "end", "lang"), x, strict=True)) for x in g[2]] for g in got], span)
