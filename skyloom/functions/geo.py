@@ -49,9 +49,11 @@ def wind_parts(speed: Column, from_deg: Column) -> tuple[Column, Column]:
 
 
 def wind_block(u: Column, v: Column) -> Column:
-    """Struct of rounded parts, speed and both directions; null if either part is."""
+    """Struct of rounded parts, speed and both directions; null if either part is. A calm keeps the sign of its northward
+    part, as IEEE's atan2 has it: -0.0 is south (Spark's atan2 takes it for 0.0)."""
     speed = F.hypot(u, v)
-    to = F.pmod(F.degrees(F.atan2(u, v)) + 360.0, F.lit(360.0))
+    south = (u == 0) & (v.cast("string") == "-0.0")
+    to = F.when(south, 180.0).otherwise(F.pmod(F.degrees(F.atan2(u, v)) + 360.0, F.lit(360.0)))
     back = F.pmod(to + 180.0, F.lit(360.0))
     made = F.struct(
         F.bround(speed, 2).alias("speed_ms"), F.bround(speed * 3.6, 1).alias("speed_kmh"), F.bround(to, 1).alias("to_deg"), compass(to).alias("to_compass"), F.bround(back, 1).alias("from_deg"), compass(back).alias("from_compass")

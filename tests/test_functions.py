@@ -127,6 +127,12 @@ def test_bearing_compass_and_wind(spark):
     assert one(spark, G.wind_block(num(None), num(1))) is None
 
 
+@pytest.mark.parametrize(("u", "v", "to", "back"), [(0.0, -0.0, "S", "N"), (-0.0, -0.0, "S", "N"), (0.0, 0.0, "N", "S"), (-0.0, 0.0, "N", "S")])
+def test_wind_block_of_a_calm(spark, u, v, to, back):
+    w = spark.createDataFrame([(u, v)], "u double, v double").select(G.wind_block(F.col("u"), F.col("v")).alias("w")).first()["w"]
+    assert (w["to_compass"], w["from_compass"], w["speed_ms"]) == (to, back, 0.0)
+
+
 def test_transit_outcomes(spark):
     lat, lon = num(30.9), num(75.85)
     to = G.bearing_deg(lat, lon, *T.TARGET)
