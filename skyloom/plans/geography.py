@@ -57,8 +57,7 @@ _J6 = f"""SPLIT, near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {FLAT} AS km
 @query("j6_exclusive_nearest", sql(", " + _J6.replace("SPLIT", SPLIT_SQL), "st").replace("WITH ", "WITH RECURSIVE ", 1))
 def j6(spark, sf_dir):
     live, archive = split(spark, sf_dir)
-    p = M.pairs_within(archive, live, 12.0)
-    return M.exclusive(p, ["km"], []).select("a", "b", steady(F.col("km")).alias("km"))
+    return M.in_turn(archive, live, 12.0).select("a", "b", steady(F.col("km")).alias("km"))
 
 
 @query("j7_nearest_in_time", sql(""", p AS (SELECT event_id, station_id, ts FROM obs WHERE parameter = 'so2'), r AS (SELECT DISTINCT station_id, hour FROM hp WHERE parameter = 'o3' AND extract(hour FROM hour) % 6 = 0),

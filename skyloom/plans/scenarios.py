@@ -166,7 +166,7 @@ def f3(spark, sf_dir):
     ids = d.select(F.col("station_id").alias("id")).distinct()
     archive = stations(spark, sf_dir).join(ids, "id", "left_semi")
     feed = archive.select((F.col("id") + 1_000_000).alias("id"), "lat", "lon").select("id", (F.col("lat") + 0.006).alias("lat"), (F.col("lon") + 0.004).alias("lon"))
-    pairs = M.exclusive(M.pairs_within(archive, feed, 2.0), ["km"], [])
+    pairs = M.in_turn(archive, feed, 2.0)
     recorded = h_small(spark, sf_dir).join(F.broadcast(origin)).where("hour <= origin")  # one row
     live = pairs.select(F.col("a").alias("borrower"), (F.col("b") - 1_000_000).alias("station_id")).join(recorded, "station_id")
     live = live.select(F.col("borrower").alias("station_id"), "hour", "value")

@@ -13,6 +13,7 @@ from skyloom.operators import rollup as R
 from skyloom.operators import spatial as SP
 from skyloom.operators import store as ST
 from skyloom.operators import timeseries as S
+from skyloom.sources.scratch import written
 
 H0 = dt.datetime(2025, 11, 1)
 
@@ -125,6 +126,44 @@ def test_matching_by_distance(spark):
     assert {(r["a"], r["b"]) for r in M.exclusive(p, ["km"], []).collect()} == serial
 
 
+def crowd(spark, n, first):
+    """Many places at few spots, whose ids alternate between the spots and whose distances tie."""
+    rows = [(first + i, 28.2 + i * 37 % 7 / 64, 76.8 + i * 53 % 8 / 64) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, lat double, lon double")
+
+
+def test_matching_of_places_at_the_same_spots(spark, monkeypatch):
+    a, da = crowd(spark, 300, 10)
+    b, db = crowd(spark, 170, 5000)
+    near = {(x[0], y[0]): km(x, y) for x in a for y in b if km(x, y) <= 6}
+    serial, used = {}, set()
+    for x in a:
+        free = [(d, j) for (i, j), d in near.items() if i == x[0] and j not in used]
+        if free:
+            serial[x[0]] = min(free)[1]
+            used.add(min(free)[1])
+    for turns, blocks in ((1000, 1), (70, 5)):  # in one block and in several
+        tables = []
+        monkeypatch.setattr(M, "written", lambda df, name: tables.append(name) or written(df, name))
+        got = M.in_turn(da, db, 6.0, turns).collect()
+        assert {r["a"]: r["b"] for r in got} == serial and len(got) == len(serial)
+        assert tables.count("won") == blocks
+    greedy, ua, ub = {}, set(), set()
+    for (i, j), _ in sorted(near.items(), key=lambda kv: (kv[1], kv[0])):
+        if i not in ua and j not in ub:
+            greedy[i] = j
+            ua.add(i), ub.add(j)
+    words = lambda d, *w: d.withColumn("words", F.array(*map(F.lit, w), F.col("id").cast("string")))
+    x = M.alike(words(da, "station", "dpcc"), words(db, "station", "cpcb"))
+    assert x.select("group").distinct().count() == 56
+    p = M.pairs_within(x.where("id = `group`"), db, 6.0)
+    tables.clear()
+    got = M.exclusive(p, ["km"], ["km"], x.select(F.col("group").alias("a"), "id")).collect()
+    assert {r["a"]: r["b"] for r in got} == greedy and len(got) == len(greedy)
+    assert tables.count("lost") < 10
+    assert M.alike(words(da, "north"), words(db, "south")).where("size(words) > 0").isEmpty()
+
+
 def test_nearest_in_time_prefers_the_earlier(spark):
     t = lambda h: H0 + dt.timedelta(hours=h)
     left = spark.createDataFrame([(1, t(5)), (1, t(0)), (1, t(90)), (2, t(5))], "k long, at timestamp_ntz")
