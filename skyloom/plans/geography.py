@@ -73,10 +73,13 @@ def j7(spark, sf_dir):
 @query("j8_greedy_matching")
 def j8(spark, sf_dir):
     live, archive = split(spark, sf_dir)
-    p = M.pairs_within(live, archive, 12.0)
-    named = p.join(live.select(F.col("id").alias("a"), M.tokens(F.col("name")).alias("x")), "a").join(archive.select(F.col("id").alias("b"), M.tokens(F.col("name")).alias("y")), "b")
+    x, y = (d.select("id", "lat", "lon", M.tokens(F.col("name")).alias("words")) for d in (live, archive))
+    x = written(M.alike(x, y), "alike")
+    p = M.pairs_within(x.where(F.col("id") == F.col("group")), y, 12.0)
+    named = p.join(x.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(y.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     fit = named.where((F.col("km") <= 0.25) | F.arrays_overlap("x", "y")).select("a", "b", "km")
-    return M.exclusive(fit, ["km"], ["km"]).select("a", "b", steady(F.col("km")).alias("km"))
+    found = M.exclusive(fit, ["km"], ["km"], x.select(F.col("group").alias("a"), "id"))
+    return found.select("a", "b", steady(F.col("km")).alias("km"))
 
 
 KNN_SQL = f"{GRID_SQL}, kk AS MATERIALIZED (SELECT gy, gx, id, km, row_number() OVER (PARTITION BY gy, gx ORDER BY km, id) AS rank FROM (SELECT gy, gx, id, sqrt(pow((lat - glat) * 111.0::DOUBLE, 2) + pow((lon - glon) * 97.5::DOUBLE, 2)) AS km FROM g, st)), k AS (SELECT * FROM kk WHERE rank <= 8)"
