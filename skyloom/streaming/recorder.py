@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -128,61 +128,57 @@ def step_means(stream: DataFrame) -> DataFrame:
 
 
 HOUR_MS = 3_600_000
-_HELD = "hours array<long>, values array<double>, seqs array<long>"
+_HELD = "at long, pollutants array<string>, units array<string>, hours array<long>, values array<double>, seqs array<long>"
 
 
 class Retained(StatefulProcessor):
-    """K5, R2 for one station, pollutant and unit: the last reading of each of its newest hours.
+    """K5, R2 for one station: the last reading of each pollutant, unit and newest hour.
 
-    The state is three arrays with an entry for each hour that is kept, so days * 24 + 1 at most, and one event-time timer, for
-    the oldest of them. It emits what an hour's reading has become, and once more, as ``gone``, when the hour is too old.
+    The state is arrays with an entry for each hour that is kept, so days * 24 + 1 at most for each pollutant and unit, and one
+    event-time timer, ``at``, for the oldest of them. It emits what an hour's reading has become, and once more, as ``gone``, when
+    the hour is too old. Hours are milliseconds. What a call costs hardly depends on its rows, so a station has one for all of them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("hours", _HELD)
 
-    def _held(self) -> dict[int, tuple[float, int]]:
-        if not self.state.exists():
-            return {}
-        hours, values, seqs = self.state.get()
-        return dict(zip(hours, zip(values, seqs, strict=True), strict=True))
-
-    def _keep(self, held: dict[int, tuple[float, int]]) -> None:
-        if not held:
+    def _held(self) -> tuple[int | None, dict[tuple[str, str, int], tuple[float, int]]]:
+        got = self.state.get()
+        if got is None:
+            return None, {}
+        at, pollutants, units, hours, values, seqs = got
+        return at, dict(zip(zip(pollutants, units, hours, strict=True), zip(values, seqs, strict=True), strict=True))
+
+    def _keep(self, at: int | None, held: dict[tuple[str, str, int], tuple[float, int]]) -> None:
+        wake = min(k[2] for k in held) - HOUR_MS + 1 if held else None
+        if at is not None and at != wake:
+            self.handle.deleteTimer(at)
+        if wake is None:
             self.state.clear()
             return
-        hours = sorted(held)
-        self.state.update((hours, [held[h][0] for h in hours], [held[h][1] for h in hours]))
-        at = hours[0] - HOUR_MS + 1
-        timers = list(self.handle.listTimers())
-        if timers != [at]:
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at)
-
-    @staticmethod
-    def _out(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(*key, *r) for r in rows], columns=["station_id", "pollutant", "unit", "hour", "value", "seq", "gone"])
-        out["hour"] = pd.to_datetime(out["hour"], unit="ms")
-        return out
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held, changed = self._held(), {}
-        for r in pd.concat(list(rows)).sort_values(["seq", "value"]).itertuples():
-            hour = int(r.hour.timestamp() * 1000)
-            if hour not in held or held[hour][1] <= r.seq:
-                held[hour] = changed[hour] = (float(r.value), int(r.seq))
-        self._keep(held)
-        yield self._out(key, [(h, *v, False) for h, v in changed.items()])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        edge, held = timerValues.getCurrentWatermarkInMs() + HOUR_MS, self._held()
-        old = [h for h in held if h < edge]
-        for h in old:
-            del held[h]
-        self._keep(held)
-        yield self._out(key, [(h, None, None, True) for h in old])
+        if at != wake:
+            self.handle.registerTimer(wake)
+        self.state.update((wake, *([k[i] for k in held] for i in range(3)), *([v[i] for v in held.values()] for i in range(2))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        (at, held), changed = self._held(), {}
+        for seq, value, *k in sorted((r.seq, r.value, r.pollutant, r.unit, r.ms) for r in rows):
+            k = tuple(k)
+            if k not in held or held[k][1] <= seq:
+                held[k] = changed[k] = (value, seq)
+        self._keep(at, held)
+        for k, (value, seq) in changed.items():
+            yield Row(station_id=key[0], pollutant=k[0], unit=k[1], hour=k[2], value=value, seq=seq, gone=False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        edge, (_, held) = timerValues.getCurrentWatermarkInMs() + HOUR_MS, self._held()
+        old = [k for k in held if k[2] < edge]
+        for k in old:
+            del held[k]
+        self._keep(None, held)  # a timer that has expired is gone
+        for k in old:
+            yield Row(station_id=key[0], pollutant=k[0], unit=k[1], hour=k[2], value=None, seq=None, gone=True)
 
     def close(self) -> None:
         pass
@@ -195,10 +191,10 @@ def retained_stream(stream: DataFrame, days: int = 30) -> DataFrame:
     the newest hour of all (an hour more, for the watermark drops what equals it); older rows are dropped, and counted by
     Spark (numRowsDroppedByWatermark). Hours that have become too old leave the state by a timer. Needs the RocksDB store.
     """
-    rows = stream.withColumn("hour", F.col("hour").cast("timestamp")).withWatermark("hour", f"{days * 24 + 1} hours")
-    schema = "station_id long, pollutant string, unit string, hour timestamp, value double, seq long, gone boolean"
-    keyed = rows.groupBy("station_id", "pollutant", "unit")
-    return keyed.transformWithStateInPandas(Retained(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    rows = stream.withColumn("hour", F.col("hour").cast("timestamp")).withColumn("ms", F.unix_millis("hour")).withWatermark("hour", f"{days * 24 + 1} hours")
+    schema = "station_id long, pollutant string, unit string, hour long, value double, seq long, gone boolean"
+    changes = rows.groupBy("station_id").transformWithState(Retained(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return changes.withColumn("hour", F.timestamp_millis("hour"))
 
 
 class StuckSensor(StatefulProcessor):

@@ -157,3 +157,15 @@ def test_stuck_sensors_in_any_order(spark, tmp_path):
     run_out(R.stuck(R.snapshots(spark, src, schema), 3, 5.0, late="22 hours"), table, at)
     got = [(r["station_id"], (r["ts"] - T0).total_seconds() / 3600) for r in spark.read.parquet(table).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_station_holds_one_state(spark, tmp_path):
+    """Pollutants and units of a station share its state and its timer, so calls don't multiply by them."""
+    rocks(spark)
+    rows = [(s, p, T0 + dt.timedelta(hours=n), float(n), u, n) for s in (1, 2) for p in ("pm25", "o3") for u in ("ugm3", "subindex") for n in (0, 3)]
+    src, table, at = (str(tmp_path / x) for x in ("src", "table", "at"))
+    spark.createDataFrame(rows, LIVE).coalesce(1).write.parquet(src)
+    progress = run_out(R.retained_stream(R.snapshots(spark, src, LIVE), 1), table, at)
+    got = spark.read.parquet(table)
+    assert {(r["station_id"], r["pollutant"], r["hour"], r["value"], r["unit"], r["seq"]) for r in got.collect()} == set(rows)
+    assert max(op["numRowsUpdated"] for p in progress for op in p["stateOperators"]) < 8, [op["numRowsUpdated"] for p in progress for op in p["stateOperators"]]
