@@ -59,8 +59,8 @@ def r3(spark, sf_dir):
 @query("r4_sliding_days", sql(f", w AS (SELECT station_id, parameter, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM obs_large) SELECT station_id, parameter, until, {steady_sql('avg(value)')} AS value, count(*) AS n FROM w GROUP BY ALL", "obs_large"))
 def r4(spark, sf_dir):
     o = observations(spark, sf_dir, LARGE).select("station_id", "parameter", F.col("ts").cast("timestamp").alias("ts"), "value")
-    stream = R.sliding(R.snapshots(spark, dropped(o, "days", 2), "station_id long, parameter string, ts timestamp, value double", 2))
-    return _latest(stream, ["station_id", "parameter", "until"]).select("station_id", "parameter", F.col("until").cast("timestamp_ntz").alias("until"), steady(F.col("value")).alias("value"), "n")
+    stream = R.hourly_sums(R.snapshots(spark, dropped(o, "days", 2), "station_id long, parameter string, ts timestamp, value double", 2))
+    return R.sliding(_latest(stream, ["station_id", "parameter", "hour"])).select("station_id", "parameter", F.col("until").cast("timestamp_ntz").alias("until"), steady(F.col("value")).alias("value"), "n")
 
 
 @query("r5_scheduled_ingest", "SELECT o_custkey AS key, count(*) - 1 AS skipped FROM orders GROUP BY 1")

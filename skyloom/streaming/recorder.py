@@ -117,9 +117,26 @@ def tumbling(stream: DataFrame, late: str = "30 days") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "station_id", "parameter").agg(F.avg("value").alias("value"), F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "station_id", "parameter", "value", "n")
 
 
-def sliding(stream: DataFrame, hours: int = 24, late: str = "30 days") -> DataFrame:
-    """Means over sliding windows of so many hours, every hour."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", f"{hours} hours", "1 hour"), "station_id", "parameter").agg(F.avg("value").alias("value"), F.count("*").alias("n")).select(F.col("window.end").alias("until"), "station_id", "parameter", "value", "n")
+def hourly_sums(stream: DataFrame, late: str = "30 days") -> DataFrame:
+    """R4's state: sum and count of each hour by station and pollutant. Windows that slide by the hour are sums of whole hours, so
+    no window needs a state of its own."""
+    hour = F.window("ts", "1 hour")
+    sums = stream.withWatermark("ts", late).groupBy(hour, "station_id", "parameter").agg(F.sum("value").alias("total"), F.count("*").alias("rows"), F.count("value").alias("valued"))
+    return sums.select(F.col("window.start").alias("hour"), "station_id", "parameter", "total", "rows", "valued")
+
+
+def sliding(sums: DataFrame, hours: int = 24) -> DataFrame:
+    """Means over sliding windows of so many hours, every hour, from the last state of ``hourly_sums``: a sorted pass over each
+    station and pollutant, whose hours are followed by those without a reading that their windows still reach."""
+    own = Window.partitionBy("station_id", "parameter").orderBy("__s")
+    timed = sums.withColumn("__s", F.unix_seconds("hour"))
+    empty = F.least(F.coalesce((F.lead("__s").over(own) - F.col("__s")) / 3600, F.lit(hours)).cast("int"), F.lit(hours)) - 1
+    spread = timed.withColumn("__n", empty).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    only = lambda c: F.when(F.col("__k") == 0, F.col(c))
+    dense = spread.select("station_id", "parameter", (F.col("__s") + F.col("__k") * 3600).alias("__s"), *[only(c).alias(c) for c in ("total", "rows", "valued")])
+    frame = own.rangeBetween(-3600 * (hours - 1), 0)
+    value = F.sum("total").over(frame) / F.nullif(F.sum("valued").over(frame), F.lit(0))
+    return dense.select(F.timestamp_seconds(F.col("__s") + 3600).alias("until"), "station_id", "parameter", value.alias("value"), F.sum("rows").over(frame).alias("n"))
 
 
 def step_means(stream: DataFrame) -> DataFrame:

@@ -159,6 +159,22 @@ def test_stuck_sensors_in_any_order(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sliding_windows_over_gaps(spark):
+    """Windows that reach into hours without readings are there, those of nothing but such hours aren't; nulls count as rows only."""
+    h = lambda n: T0 + dt.timedelta(hours=n)
+    sums = [(1, "o3", 0, 5.0, 2, 1), (1, "o3", 2, 7.0, 1, 1), (1, "o3", 40, 3.0, 3, 3), (2, "o3", 1, None, 1, 0), (1, "no2", 1, 4.0, 1, 1)]
+    df = spark.createDataFrame([(s, p, h(n), *rest) for s, p, n, *rest in sums], "station_id long, parameter string, hour timestamp, total double, rows long, valued long")
+    want = {}
+    for s, p, n, total, rows, valued in sums:
+        for u in range(n + 1, n + 25):
+            t, r, v = want.get((s, p, u), (0.0, 0, 0))
+            want[s, p, u] = t + (total or 0), r + rows, v + valued
+    out = R.sliding(df)
+    got = {(r["station_id"], r["parameter"], (r["until"] - T0).total_seconds() / 3600): (r["value"], r["n"]) for r in out.collect()}
+    assert got == {k: (t / v if v else None, r) for k, (t, r, v) in want.items()}
+    assert "HashAggregate" not in out._jdf.queryExecution().toString()  # no window has an entry in a task's hash table
+
+
 def test_a_station_holds_one_state(spark, tmp_path):
     """Pollutants and units of a station share its state and its timer, so calls don't multiply by them."""
     rocks(spark)
