@@ -21,6 +21,9 @@ from skyloom.llm.shared import quoted, read_documents, table
 #: Of all tokens, the part that the mixture takes.
 SHARE = 0.8
 
+#: Pieces that packing's workers remember: few, for by then the executors hold what four stages have left.
+REMEMBERED = 150_000
+
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a language of their own go; lang becomes the predicted one.
@@ -55,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import sliced, table
 from .token_files import in_order
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, window_in_part long, offset long"
 
@@ -92,17 +92,18 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray,
     return ends, cost
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at_sentence: float = 2.0, inside: float = 8.0, stride: int = 64, block: int = 1 << 20, parts: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at_sentence: float = 2.0, inside: float = 8.0, stride: int = 64, block: int = 1 << 20, parts: int | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is packed, equal ids as documents of their own; a null text is an empty one and has its end id
     only. Columns other than doc_id and text aren't read. Streams are cut in blocks of whole documents of about
     ``block`` ids, so that a task holds one block; a block ends with a window. The pieces are written to a scratch table
-    once, because the number of windows before each range is needed for sequence_id.
+    once, because the number of windows before each range is needed for sequence_id. A worker keeps ``remembered`` pieces twice
+    at most: fewer take less memory and more time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remembered)
         stops = enc.ends_sentence()
         end = np.array([end_id], np.uint32)
 

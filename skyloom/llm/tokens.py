@@ -184,6 +184,10 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+#: Pieces that an encoder remembers where nothing else is asked for.
+REMEMBERED = 600_000
+
+
+def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """One for each Python worker: what it remembers serves the next tasks too."""
-    return held_by_worker(f"encoder {path}", lambda: PieceEncoder(path))
+    return held_by_worker(f"encoder {path} {remembered}", lambda: PieceEncoder(path, remembered))

@@ -37,3 +37,14 @@ def test_stages_of_awkward_documents(spark, awkward, nothing):
     for docs in (awkward, nothing):
         for _, stage in P.STAGES:
             docs = table(stage(spark, docs, SF), "stage")
+
+
+def test_packing_in_the_pipeline_remembers_fewer_pieces(monkeypatch):
+    """Its workers run beside what four stages have left in memory; op6's, which run alone, keep the encoder's own bound."""
+    from skyloom.llm import tokens
+
+    asked = []
+    monkeypatch.setattr(P, "pack", lambda docs, path, **how: asked.append(how))
+    P.pack_sequences(None, None, "")
+    made = tokens.encoder(P.public_tokenizers.path("byte_bpe_50k.json"), **asked[0])
+    assert made.remembered <= tokens.REMEMBERED // 4
