@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, held_out, let_go, quoted, sliced
+from .shared import columns_of, held_out, let_go, quoted, sliced_by_size
 
 BITS = 16
 UNDETERMINED = "und"
@@ -118,7 +118,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", least_scr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         sums: dict[str, np.ndarray] = {}
-        for b in sliced(batches):
+        for b in sliced_by_size(batches, 0):
             by: dict[str, list[str]] = {}
             for t, lg in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lg, []).append(t)
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()  # of a tokenizer and its words, where one ran before
-        for b in sliced(batches):
+        for b in sliced_by_size(batches, len(own)):
             got = label(b.column(len(own)).to_pylist(), shared.value, switch)
             spans = pa.array([[dict(zip(("start", "end", "lang"), x, strict=True)) for x in g[2]] for g in got], span)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], [*own, "lang_pred", "score", "spans"])

@@ -132,6 +132,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at
                 if total >= block:
                     yield close(held)
                     held, total = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield close(held)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def sliced_by_size(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in a column begin within so many bytes of each other: their sum is bounded by that and one text."""
+    for b in sliced(batches):
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(sizes) - sizes) // size
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(i, j - i)
+
+
 def quoted(name: str) -> str:
     """A column's name as expressions and schemas need it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
@@ -60,8 +73,11 @@ def held_by_worker(name: str, make: Callable[[], T]) -> T:
 
 
 def let_go() -> None:
-    """Frees what the worker holds for other work: memory-hungry tasks begin with this."""
-    _held.clear()
+    """Frees what the worker holds for other work, and what Arrow keeps of earlier batches: memory-hungry tasks begin with this."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:

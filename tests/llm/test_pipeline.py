@@ -48,3 +48,37 @@ def test_packing_in_the_pipeline_remembers_fewer_pieces(monkeypatch):
     P.pack_sequences(None, None, "")
     made = tokens.encoder(P.public_tokenizers.path("byte_bpe_50k.json"), **asked[0])
     assert made.remembered <= tokens.REMEMBERED // 4
+
+
+def test_language_tasks_hold_a_bounded_slice(spark):
+    """1,000 long texts in one batch: what a task makes of texts at once is bounded by their size, not by their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skyloom.llm.langid import train
+    from skyloom.llm.shared import sliced_by_size
+
+    class Rows:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, task, schema):
+            self.task = task
+            raise StopIteration
+
+    rows = Rows()
+    with pytest.raises(StopIteration):
+        train(rows)
+    texts = ["many words of a long text " * 150] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 1000)], ["text", "lang"])
+    tracemalloc.start()
+    out = list(rows.task(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out[0].column(2).to_pylist()) > 3_000_000 and peak < 60_000_000
+    odd = pa.RecordBatch.from_arrays([pa.array([None, "", "a" * 10, "b" * 10, "c" * 500, None, "d"])], ["text"])
+    parts = [b.column(0).to_pylist() for b in sliced_by_size(iter([odd, odd.slice(0, 0), odd.slice(4)]), 0, 20)]
+    assert parts == [[None, "", "a" * 10, "b" * 10], ["c" * 500], [None, "d"], ["c" * 500], [None, "d"]]
