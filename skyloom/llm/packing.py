@@ -126,7 +126,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 1024, at
 
         held, total = [], 0
         for b in sliced(batches):
-            for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 held.append((key, np.concatenate([ids, end])))
                 total += len(ids) + 1
                 if total >= block:

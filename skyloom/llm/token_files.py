@@ -39,7 +39,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, parts: int | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
         for b in sliced(batches):
-            ids = [np.concatenate([x, end]) for x in encoder(vocabulary).encode(b.column(1).to_pylist())]
+            ids = [np.concatenate([x, end]) for x in encoder(vocabulary).encode(b.column(1))]
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())

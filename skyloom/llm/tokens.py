@@ -1,9 +1,10 @@
 """Exact tokenization of whole texts by the tokenizers library, piece by piece.
 
 Both kinds of vocabulary file split a text before they merge, and never across a single blank or line feed that a plain
-character follows, nor across the end of a word that a full stop or comma follows. Texts are cut at those places, each
-different piece goes to the library once, and its ids are remembered. A text with any other pattern of white space goes
-to the library cut only where that can't matter. Special tokens' texts count as those tokens, as the library has it.
+character follows, nor across the end of a word that a full stop or comma follows. Texts are cut at those places, some MB
+at once as arrays of bytes; each different piece of these goes to the library once, and its ids are remembered. A text with
+any other pattern of white space goes to the library cut only where that can't matter. Special tokens' texts count as those
+tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -15,28 +16,53 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use every core
 
 from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
-from .shared import held_by_worker  # noqa: E402
+from .shared import held_by_worker, sliced_by_size  # noqa: E402
 
 #: Characters that are neither white space nor combining in any engine: printable ASCII and Latin letters with marks.
 PLAIN = "!-~¡-¬®-˿"
 _CUT = re.compile(f"(?= [{PLAIN}])")
 _STARTS_PLAIN = re.compile(f"\n?[{PLAIN}]")
-_PUNCTUATION = re.escape(string.punctuation)
-_STEM_AND_TAIL = re.compile(f"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([{_PUNCTUATION}]+)", re.DOTALL)
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+_BREAKS, _PUNCTUATION, _ALPHANUMERIC = (np.isin(np.arange(256), list(x.encode())) for x in (" \n", string.punctuation, string.ascii_letters + string.digits))
+#: Longer runs of punctuation behind a word stay with it.
+LONGEST_TAIL = 4
 #: Characters after which a sentence can end, and a letter no text of this corpus is likely to hold.
 SENTENCE_ENDS = ".!?\n"
 RARE = "ⵣ"
 ODD = 0
 
 
+def pieces(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces that make up the texts, and where among them each text begins and the last ends.
+
+    A piece begins at a text's beginning, at a blank or line feed, and where punctuation ends what began so with a Latin letter or
+    digit before: both kinds of vocabulary split there.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    begins = np.append(_BREAKS[raw], True)
+    begins[ends] = True
+    tail = np.flatnonzero(begins)[1:] - 1
+    tail = tail[_PUNCTUATION[raw[tail]]]
+    for _ in range(LONGEST_TAIL - 1):
+        tail -= _PUNCTUATION[raw[tail - 1]] & (tail > 0)
+    tail = tail[tail > 1]
+    one, two = raw[tail - 1], raw[tail - 2]
+    begins[tail[_ALPHANUMERIC[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]] = True
+    at = np.flatnonzero(begins).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw)), np.searchsorted(at, ends)
+
+
 class PieceEncoder:
-    """ids of whole texts as arrays of uint32; at most 2 * remembered pieces and as many stems stay in memory, the latest.
+    """ids of whole texts as arrays of uint32; at most 2 * remembered pieces and those of a slice stay in memory, the latest.
 
     Vocabularies that drop white space and letter case (word-level ones) are told from byte-level ones by themselves.
     """
@@ -50,7 +76,6 @@ class PieceEncoder:
         self.drops_blanks = not self._ids(" ")
         self.known: dict[str, bytes | int] = {}
         self.older: dict[str, bytes | int] = {}
-        self.stems: dict[str, bytes] = {"": b""}
         #: The same vocabulary for words of Latin letters, which need no pattern to be parted and no normal form.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
@@ -84,94 +109,76 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(starts, [*(ends * 4).tolist(), len(raw)], strict=True)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """ids of words of Latin letters, each after a blank: all are encoded as one text and parted where ids show a word's edge."""
+        """ids of words of Latin letters, each with its blank before it: all are encoded as one text and parted where ids show a word's edge."""
         if not words:
             return []
-        text = " ".join(words).lower() if self.drops_blanks else " " + " ".join(words)
+        text = "".join(words).lower()[1:] if self.drops_blanks else "".join(words)
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.edge[ids])
         if len(at) != len(words):  # can't be; then one by one
-            return [np.array(self._ids(f" {w}"), np.uint32).tobytes() for w in words]
+            return [np.array(self._ids(w), np.uint32).tobytes() for w in words]
         cuts = ([0, *((at + 1) * 4).tolist()]) if self.drops_blanks else [*(at * 4).tolist(), len(ids) * 4]
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _key(self, piece: str) -> tuple[str, str, bool]:
-        """stem, tail and whether a line feed leads; a stem of a byte-level vocabulary has its blank before it."""
-        fed = piece[0] == "\n"
-        p = piece[1:] if fed else piece
-        if self.drops_blanks:
-            p, fed = p.lower(), False
-        elif not fed:
-            p = f" {p}"
-        m = _STEM_AND_TAIL.fullmatch(p)
-        return (m[1], m[2], fed) if m else (p, "", fed)
-
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Remembers the ids of each piece; ODD for one that its text can't be cut at."""
-        known, older, tailed, keys = self.known, self.older, [], {}
-        again = older.keys() & pieces
-        known.update((p, older[p]) for p in again)
-        pieces = pieces - again
-        words = {p for p in pieces if p.isalpha() and (p.isascii() or _LATIN.fullmatch(p))}
-        for p in pieces - words:
-            word = p.rstrip(string.punctuation)  # both vocabularies split between a word and punctuation behind it
-            if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
-                tailed.append((p, word, p[len(word) :]))
-                if word not in known:
-                    words.add(word)
-            elif not _STARTS_PLAIN.match(p) or RARE in p:
+        known, words, others = self.known, [], {}
+        for p, again in zip(pieces, map(self.older.get, pieces), strict=True):
+            if again is not None:
+                known[p] = again
+            elif _WORD.fullmatch(p):
+                words.append(p)
+            elif p[0] not in " \n":  # punctuation behind a word, or a text's beginning
+                known[p] = np.array(self._ids(p), np.uint32).tobytes()
+            elif not _STARTS_PLAIN.match(p[1:] if p[0] == " " else p) or RARE in p:
                 known[p] = ODD
-            else:
-                keys[p] = self._key(p)
-        new = list(words)
-        known.update(zip(new, self._words(new), strict=True))
-        stems = [k[0] for k in keys.values()]
-        tails = [x[2] for x in tailed] + [k[1] for k in keys.values()]
-        for part in (stems, tails):
-            lacking = list(dict.fromkeys(x for x in part if x not in self.stems))
-            self.stems.update(zip(lacking, self._many(lacking), strict=True))
-        for p, word, tail in tailed:
-            known[p] = known[word] + self.stems[tail]
-        for p, (stem, tail, fed) in keys.items():
-            known[p] = (self.feed if fed else b"") + self.stems[stem] + self.stems[tail]
+            else:  # a stem of a byte-level vocabulary has its blank before it
+                others[p] = p[1:].lower() if self.drops_blanks else p.removeprefix("\n")
+        known.update(zip(words, self._words(words), strict=True))
+        stems = list(dict.fromkeys(others.values()))
+        ids = dict(zip(stems, self._many(stems), strict=True))
+        known.update((p, self.feed + ids[stem] if p[0] == "\n" else ids[stem]) for p, stem in others.items())
 
     def _slowly(self, text: str) -> bytes:
         parts = [text] if self.drops_blanks else _CUT.split(text)
         return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)), np.uint32).tobytes()
 
-    def encode(self, texts: list[str | None], together: int = 16) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), together):
-            yield from self._some(texts[i : i + together])
+    def encode(self, texts: list[str | None] | pa.Array, together: int = 4 << 20) -> Iterator[np.ndarray]:
+        """ids of each text. Texts of so many bytes are cut at once."""
+        rows = pa.RecordBatch.from_arrays([pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")], ["text"])
+        for b in sliced_by_size(iter([rows]), 0, together):
+            yield from self._some(b.column(0))
 
-    def _some(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _some(self, texts: pa.StringArray) -> list[np.ndarray]:
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        if len(self.stems) > self.remembered:
-            self.stems = {"": b""}
-        cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        firsts = [x.pop(0) for x in cut]  # no blank stands before them
-        get, parts, gaps, missing = self.known.get, [], [], set()
-        for pieces in cut:
-            found = list(map(get, pieces))
-            gap = [k for k, x in enumerate(found) if x is None] if None in found else []
-            missing.update([pieces[k] for k in gap])
-            parts.append(found)
-            gaps.append(gap)
-        if missing:
-            self._learn(missing)
-        out, known = [], self.known
-        for t, first, pieces, found, gap in zip(texts, firsts, cut, parts, gaps, strict=True):
+        parts, bounds = pieces(texts)
+        coded = parts.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, different))
+        if None in found:
+            gap = [k for k, x in enumerate(found) if x is None]
+            self._learn([different[k] for k in gap])
             for k in gap:
-                found[k] = known[pieces[k]]
-            if self.special.search(t or ""):
+                found[k] = self.known[different[k]]
+        codes, odd = coded.indices.to_numpy(), set()
+        if ODD in found:  # pieces that can't be cut off
+            can_not = np.array([x is ODD for x in found], bool)
+            odd = set((np.searchsorted(bounds, np.flatnonzero(can_not[codes]), "right") - 1).tolist())
+            found = [b"" if x is ODD else x for x in found]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ends = np.cumsum(sizes[codes], dtype=np.int32)  # where each piece's ids end among all
+        here = (np.cumsum(sizes, dtype=np.int32))[codes] - ends  # from there to its ids among those of different pieces
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.frombuffer(b"".join(found), np.uint32)[np.repeat(here, sizes[codes]) + np.arange(total, dtype=np.int32)]
+        cuts = np.append(np.int32(0), ends)[bounds].tolist()
+        out = []
+        for i, t in enumerate(texts.to_pylist()):
+            if self.special.search(t):
                 out.append(np.array(self._ids(t), np.uint32))
-                continue
-            try:
-                raw = (np.array(self._ids(first), np.uint32).tobytes() if first else b"") + b"".join(found)
-            except TypeError:  # a piece that can't be cut off
-                raw = self._slowly(t)
-            out.append(np.frombuffer(raw, np.uint32))
+            else:
+                out.append(np.frombuffer(self._slowly(t), np.uint32) if i in odd else ids[cuts[i] : cuts[i + 1]])
         return out
 
     def ends_sentence(self) -> np.ndarray:

@@ -51,6 +51,42 @@ def test_special_tokens_are_the_library_s(spark):
         assert [x.tolist() for x in PieceEncoder(path).encode(texts)] == [enc(t) for t in texts]
 
 
+def test_different_pieces_are_looked_up_once_a_slice():
+    """Most words of a corpus are repeated: remembered ids are asked for once for each different piece, not for each word."""
+    from skyloom.llm.tokens import PieceEncoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    texts = ["some words, and some more words. And Wörter!\n"[i % 7 :] * 50 for i in range(200)]
+    for path in (WORD, BYTE):
+        made, enc = PieceEncoder(path), encoder(path)
+        made.known = Counted()
+        assert [x.tolist() for x in made.encode(texts)] == [enc(t) for t in texts]
+        assert made.known.asked < 100
+
+
+@pytest.mark.parametrize("remembered,together", [(600_000, 4 << 20), (500, 3000), (50, 1)])
+def test_pieces_have_the_library_s_ids(remembered, together):
+    """Blanks, line feeds, punctuation and letters in any order, at slices' and texts' ends too."""
+    import random
+
+    from skyloom.llm.tokens import PieceEncoder
+
+    rng = random.Random(5)
+    bits = ["a", "foo", "É", "über", "×", "x×", "ß!", ".", "...", "?!", "'s", "don't", "-", "%%%", "####!!", "3.", "4,5", "(a)", " ", "  ", "\n", " \n", "\t", "\r\n", "\u00a0", "\u2028", "中文", "\u0301", "\u200d", "ⵣ", "İ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += [None, "", ".", "...", "a", "a.", "a..", ".a", "É.", "×.", ". .", "\n.", " ", "a.b.", "a....", "a.....", "É......"] * 3
+    rng.shuffle(texts)
+    for path in (WORD, BYTE):
+        enc = encoder(path)
+        assert [x.tolist() for x in PieceEncoder(path, remembered).encode(texts, together)] == [enc(t) for t in texts]
+
+
 def test_token_files_are_read_selectively(spark):
     import pyarrow.parquet as pq
 
