@@ -111,6 +111,70 @@ def test_spans_of_awkward_documents(spark, clashing):
     assert set(clashing.columns) <= set(got.columns)
 
 
+def test_different_words_are_hashed_once_a_slice(spark, monkeypatch):
+    """Tasks cut texts of Latin letters as arrays: a word that comes again and again isn't hashed each time."""
+    import types
+
+    import pyarrow as pa
+
+    class Rows:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, task, schema):
+            self.task = task
+            return self
+
+    asked = []
+    counted = types.SimpleNamespace(xxh3_128_digest=xxhash.xxh3_128_digest, xxh32_intdigest=lambda w: asked.append(w) or xxhash.xxh32_intdigest(w))
+    monkeypatch.setattr(span_dedup, "xxhash", counted)
+    text = " ".join(f"word{i % 10} wörter{i % 7}" for i in range(300))
+    rows = span_dedup.span_keys(Rows())
+    got = list(rows.task(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text])], ["doc_id", "text"])])))
+    assert sum(b.num_rows for b in got) > 20
+    assert len(asked) < 100
+
+
+def test_pieces_cut_as_arrays_are_the_sentences():
+    """Latin and other texts in any order, empty ones, stops, blanks and letters of several bytes anywhere."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    latin = ["a", "foo", "É", "über", "ł", "×", ".", " ", "  ", "\n", "\n\n", " \n", "\t", "\x0b", "...", "?!", "!", "don't", "3.14", "<b>", "ā."]
+    for k in range(300):
+        bits = latin if k % 3 else [*latin, "中文字", "。", "\u00a0", "\u2003", "\u0301"]
+        texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", ". ", "\n"]) for _ in range(rng.choice([0, 1, 3, 20, 60]))) for _ in range(rng.randint(0, 8))]
+        least = rng.choice([2, 5, 20])
+        sizes, counts, digests, bounds = span_dedup.cut_up(pa.array(["before", *texts], pa.string()).slice(1))
+        own = [plain_pieces(t) for t in texts]
+        words = [[w for _, w in plain_words(p)] for t in own for p in t]
+        assert sizes.tolist() == [len(p.encode()) for t in own for p in t] and counts.tolist() == [len(w) for w in words]
+        assert digests == b"".join(xxhash.xxh3_128_digest(" ".join(w)) for w in words)
+        assert bounds.tolist() == [sum(map(len, own[:i])) for i in range(len(own) + 1)]
+        found = list(zip(*[x.tolist() for x in span_dedup.runs_of(counts, bounds, least)], strict=True))
+        assert found == [(d, bounds[d] + i, n) for d in range(len(own)) for i, n in span_dedup.runs(counts[bounds[d] : bounds[d + 1]].tolist(), least)]
+
+
+def test_removed_places_count_characters(spark):
+    """Letters of several bytes before and in what is removed, several places in a text, at its beginning and its end."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("äéßñxyz中") for _ in range(4))
+    passages = [" ".join(word() for _ in range(60)) + ". " for _ in range(4)]
+    own = lambda: " ".join(word() for _ in range(9)) + ". "
+    rows = [(i, p) for i, p in enumerate(passages)] + [(10, passages[0] + own() + passages[1]), (11, own() + passages[2] + passages[3] + own()), (12, own()), (13, None), (13, own() + passages[1] + own()), (None, passages[0])]
+    got = span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    lost = {}
+    for r in got:
+        text = next(t for k, t in rows if k == r["doc_id"] and (t is None) == (r["text"] is None) and (t is None or len(t) == len(r["text"]) + sum(x["length"] for x in r["removed"])))
+        for x in reversed(r["removed"]):
+            text = text[: x["start"]] + text[x["start"] + x["length"] :]
+        assert text == r["text"]
+        lost[r["doc_id"], r["text"] is None] = len(r["removed"])
+    assert lost[10, False] == 2 and lost[11, False] in (1, 2) and lost[12, False] == 0 and lost[13, False] == 1 and lost[13, True] == 0
+
+
 def test_spans_of_nothing(spark, nothing):
     assert span_dedup.dedup_spans(nothing).count() == 0
     assert span_dedup.dedup_spans(nothing).columns[-3:] == ["n_sentences", "n_removed", "removed"]
