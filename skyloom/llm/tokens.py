@@ -1,7 +1,7 @@
 """Exact tokenization of whole texts by the tokenizers library, piece by piece.
 
 Both kinds of vocabulary file split a text before they merge, and never across a single blank or line feed that a plain
-character follows, nor across the end of a word that a full stop or comma follows. Texts are cut at those places, some MB
+character follows, nor across the end of a word that a full stop or comma follows. Texts are cut at those places, about 1 MB
 at once as arrays of bytes; each different piece of these goes to the library once, and its ids are remembered. A text with
 any other pattern of white space goes to the library cut only where that can't matter. Special tokens' texts count as those
 tokens, as the library has it.
@@ -144,10 +144,10 @@ class PieceEncoder:
         parts = [text] if self.drops_blanks else _CUT.split(text)
         return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)), np.uint32).tobytes()
 
-    def encode(self, texts: list[str | None] | pa.Array, together: int = 4 << 20) -> Iterator[np.ndarray]:
-        """ids of each text. Texts of so many bytes are cut at once."""
+    def encode(self, texts: list[str | None] | pa.Array, together: int | None = None) -> Iterator[np.ndarray]:
+        """ids of each text. Texts of so many bytes are cut at once; 1 MB, or less if few pieces are remembered."""
         rows = pa.RecordBatch.from_arrays([pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")], ["text"])
-        for b in sliced_by_size(iter([rows]), 0, together):
+        for b in sliced_by_size(iter([rows]), 0, together or min(1 << 20, max(1, 4 * self.remembered))):
             yield from self._some(b.column(0))
 
     def _some(self, texts: pa.StringArray) -> list[np.ndarray]:
